@@ -33,8 +33,8 @@ from .vectors import BLOCK_ROWS, by_key, centre, hashed, in_blocks, packed, scan
 
 MIN_ANCHORS, MAX_ANCHORS = 64, 8192
 #: Vectors an anchor, on average, until there are MAX_ANCHORS.
-ROWS_PER_ANCHOR = 400
-SET_SIZE, BANDS = 8, 8
+ROWS_PER_ANCHOR = 100
+SET_SIZE, BANDS = 12, 8
 _EDGES = "a bigint, b bigint, sure boolean"
 
 
@@ -93,13 +93,14 @@ def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, band
     return rows.mapInArrow(encode, "vhash binary, id bigint, code binary, scale float, err float, keys array<int>")
 
 
-def similarities(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Where two sets of coded vectors are alike for sure, and where the codes do not tell."""
+def similarities(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, sure) for the pairs of two sets of coded vectors that are or may be alike. The whole
+    matrix is only compared with one number; what depends on a pair's own errors is done for those that pass."""
     s = a[0] @ b[0].T
-    s -= np.float32(threshold)
-    margin = a[1][:, None] + b[1][None, :]
-    sure = s >= margin
-    return sure, ~sure & (s > -margin)
+    r, c = np.nonzero(s > np.float32(threshold) - a[1].max() - b[1].max())
+    margin, over = a[1][r] + b[1][c], s[r, c] - np.float32(threshold)
+    keep = over > -margin
+    return r[keep], c[keep], (over >= margin)[keep]
 
 
 def floats(batch: pa.RecordBatch, code_at: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +110,7 @@ def floats(batch: pa.RecordBatch, code_at: int, dim: int) -> tuple[np.ndarray, n
     return codes * batch.column(code_at + 1).to_numpy()[:, None], (1.01 * batch.column(code_at + 2).to_numpy() + 1e-6).astype(np.float32)
 
 
-def spanning_links(ids: np.ndarray, blocks: list[np.ndarray], x: tuple, threshold: float, rows: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spanning_links(ids: np.ndarray, blocks: list[np.ndarray], x: tuple, threshold: float, rows: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A spanning forest of the sure links among ``ids`` (between the blocks if there are two), as links to the
     smallest id; and all unsure pairs. All pairs are compared, a strip at a time."""
     label = np.arange(len(ids))
@@ -120,22 +121,19 @@ def spanning_links(ids: np.ndarray, blocks: list[np.ndarray], x: tuple, threshol
         j = right if left is not right else right[begin:]
         if not len(j):
             continue
-        sure, open_ = similarities((x[0][i], x[1][i]), (x[0][j], x[1][j]), threshold)
-        # Each row hangs on its first link; links that join different trees are taken until none is left.
-        while True:
-            apart = sure & (label[i][:, None] != label[j][None, :])
-            r = np.flatnonzero(apart.any(1))
-            if not len(r):
-                break
-            c = apart[r].argmax(1)
-            low = np.minimum(label[i[r]], label[j[c]])
-            np.minimum.at(label, label[i[r]], low)
-            np.minimum.at(label, label[j[c]], low)
+        r, c, sure = similarities((x[0][i], x[1][i]), (x[0][j], x[1][j]), threshold)
+        a, b = i[r], j[c]
+        open_ = ~sure & (a != b)
+        unsure.append(np.stack([ids[a[open_]], ids[b[open_]]], 1))
+        a, b = a[sure], b[sure]
+        while len(a):  # links that join different trees, until there are none
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            low = np.minimum(label[a], label[b])
+            np.minimum.at(label, label[a], low)
+            np.minimum.at(label, label[b], low)
             while (label[label] != label).any():
                 label = label[label]
-        r, c = np.nonzero(open_)
-        keep = i[r] != j[c]
-        unsure.append(np.stack([ids[i[r[keep]]], ids[j[c[keep]]]], 1))
     tree = np.flatnonzero(label != np.arange(len(ids)))
     return ids[tree], ids[label[tree]], np.concatenate(unsure) if unsure else np.zeros((0, 2), np.int64)
 
@@ -193,17 +191,16 @@ def member_degrees(members: DataFrame, dim: int, threshold: float, most_groups:
             left, right = _task_blocks(batch, 1)
             x = floats(batch, 5, dim)
             degree, unsure = np.zeros(len(ids), np.int64), []
-            for begin in range(0, len(left), 1024):
-                i = left[begin : begin + 1024]
-                sure, open_ = similarities((x[0][i], x[1][i]), (x[0][right], x[1][right]), threshold)
-                degree[i] += sure.sum(1)
-                if left is right:
-                    degree[i] -= sure[np.arange(len(i)), i]
-                else:
-                    degree[right] += sure.sum(0)
-                r, c = np.nonzero(open_)
-                pairs = np.stack([i[r], right[c]], 1)
-                unsure.append(pairs[pairs[:, 0] < pairs[:, 1]] if left is right else pairs)
+            for begin in range(0, len(left), 512):
+                i = left[begin : begin + 512]
+                r, c, sure = similarities((x[0][i], x[1][i]), (x[0][right], x[1][right]), threshold)
+                a, b = i[r], right[c]
+                other = a != b
+                degree += np.bincount(a[sure & other], minlength=len(ids))
+                if left is not right:
+                    degree += np.bincount(b[sure], minlength=len(ids))
+                open_ = ~sure & ((a < b) if left is right else other)
+                unsure.append(np.stack([a[open_], b[open_]], 1))
             total = np.zeros(len(ids))
             if left is right:
                 total = (x[0] @ x[0].sum(0)).astype(np.float64)
