@@ -27,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrowtools import by_key, packed, scan_tasks, unpacked
 from ..session import write_table
 from .components import connected_components
-from .vectors import BLOCK_ROWS, by_key, centre, hashed, in_blocks, packed, scan_tasks, unit, unpacked, usable, vector_rows
+from .vectors import BLOCK_ROWS, centre, hashed, in_blocks, unit, usable, vector_rows
 
 MIN_ANCHORS, MAX_ANCHORS = 64, 8192
 #: Vectors an anchor, on average, until there are MAX_ANCHORS.
 ROWS_PER_ANCHOR = 100
-SET_SIZE, BANDS = 12, 8
+SET_SIZE, BANDS = 16, 14
 _EDGES = "a bigint, b bigint, sure boolean"
 
 

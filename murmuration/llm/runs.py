@@ -15,20 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrowtools import flat_list
+
 #: Most rows of a codebook that are sent to all tasks: 16 MB. A larger one is joined instead.
 MAX_CODEBOOK = 1_000_000
 _SCHEMA = pa.schema([("seg_id", pa.int64()), ("run_start", pa.int32()), ("base_unit", pa.int32()), ("run_length", pa.int32())])
 
 
-def flat_list(col: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Start and length of each list, and the values they point into; a null list has length 0."""
-    offsets = col.offsets.to_numpy()
-    length = np.diff(offsets)
-    if col.null_count:
-        length = np.where(col.is_null().to_numpy(zero_copy_only=False), 0, length)
-    return offsets[:-1].astype(np.int64), length.astype(np.int64), col.values
-
-
 def runs_of(seg_id: np.ndarray, starts: np.ndarray, lengths: np.ndarray, units: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     """Owner, start position, unit and length of every run of valid equal neighbours in the lists."""
     total = int(lengths.sum())

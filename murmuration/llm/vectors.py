@@ -1,16 +1,16 @@
-"""What the operators on vectors share: usable vectors, centring, grouped scans of sorted partitions, hot keys."""
+"""What the operators on vectors share: usable vectors, centring, hot keys."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..arrowtools import matrix
 from ..session import write_table
-from .runs import flat_list
 
 #: Most rows of one key that one task takes at once; a key with more is cut into blocks.
 BLOCK_ROWS = 8192
@@ -18,14 +18,8 @@ BLOCK_ROWS = 8192
 
 def usable(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose list has exactly ``dim`` elements, all non-null and finite, not all zero; and their vectors."""
-    starts, lengths, values = flat_list(col)
-    flat = values.to_numpy(zero_copy_only=False)
-    rows = np.flatnonzero(lengths == dim)
-    if len(rows) == len(lengths) and len(rows):
-        x = flat[starts[0] : starts[0] + len(rows) * dim].reshape(-1, dim).astype(np.float64)
-    else:
-        x = flat[starts[rows][:, None] + np.arange(dim)].astype(np.float64)
-    good = np.isfinite(x).all(1) & (x != 0).any(1)
+    rows, x = matrix(col, dim)
+    good = (x != 0).any(1)
     return rows[good], x[good]
 
 
@@ -70,48 +64,6 @@ def unit(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def packed(x: np.ndarray) -> pa.Array:
-    """Rows of a matrix as binary values."""
-    x = np.ascontiguousarray(x)
-    width = x.shape[1] * x.itemsize
-    offsets = np.arange(len(x) + 1, dtype=np.int32) * width
-    return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x.tobytes())])
-
-
-def unpacked(col: pa.Array, dtype: type, dim: int) -> np.ndarray:
-    """The inverse of ``packed``."""
-    if not len(col):
-        return np.zeros((0, dim), dtype)
-    at = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4)
-    return np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype).reshape(len(col), dim)
-
-
-def by_key(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.RecordBatch]:
-    """The rows of each key (the first ``keys`` columns) of a partition that is sorted by them, together."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        new = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and a == 0 and all(held[0].column(i)[0].as_py() == batch.column(i)[0].as_py() for i in range(keys)):
-                held.append(batch.slice(a, b - a))
-                continue
-            if held:
-                yield _joined(held)
-            held = [batch.slice(a, b - a)]
-    if held:
-        yield _joined(held)
-
-
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
 def in_blocks(rows: DataFrame, key: str, id_col: str, limit: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` with the columns ``lo, hi, block``, so that (key, lo, hi) is a task of bounded size.
 
@@ -134,11 +86,6 @@ def in_blocks(rows: DataFrame, key: str, id_col: str, limit: int, block_rows: in
     return spread.select("*", F.least("block", "other").cast("int").alias("lo"), F.greatest("block", "other").cast("int").alias("hi")).drop("n_blocks", "other")
 
 
-def scan_tasks(rows: DataFrame, keys: list[str], then: list[str], f: Callable, schema: str) -> DataFrame:
-    """Rows of each key together, by one shuffle and a sort; ``f`` gets an iterator of Arrow batches."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *then).mapInArrow(f, schema)
-
-
 def hashed(*columns: Column) -> Column:
     """An order that looks random and is the same in every run."""
     return F.xxhash64(F.lit(20240601), *columns)
