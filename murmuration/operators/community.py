@@ -24,6 +24,8 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) ->
     own = vertices.select(F.col("seg_id").cast("bigint").alias("seg_id")).distinct()
     both = write_table(edges.where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").cast("bigint").alias("a"), F.col("dst").cast("bigint").alias("b")), F.struct(F.col("dst").cast("bigint").alias("a"), F.col("src").cast("bigint").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
     labels = write_table(own.select("seg_id", F.col("seg_id").alias("component")), "labels")
+    if both.df.isEmpty():
+        return labels.df
     for _ in range(max_rounds):
         along = both.df.join(labels.df.select(F.col("seg_id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("c"))
         near = labels.df.join(along, F.col("seg_id") == F.col("a"), "left").select("seg_id", F.col("component").alias("old"), F.least("component", "c").alias("component"))
