@@ -26,6 +26,8 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", i
     a, b = F.col(src).cast("bigint"), F.col(dst).cast("bigint")
     edges = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where((F.col(src).isNotNull()) & F.col(dst).isNotNull() & (F.col("a") < F.col("b"))).distinct()
     table = write_table(edges, "links")
+    if table.df.isEmpty():
+        return table.df.select(F.col("b").alias(id_col), F.col("a").alias(group_col))
     for _ in range(max_rounds):
         sent = table.df.select(F.explode(F.expr("array(struct(a as v, b as u), struct(b as v, a as u))")).alias("e")).select("e.v", "e.u")
         least = sent.groupBy("v").agg(F.min("u").alias("u0")).select("v", F.least("v", "u0").alias("m"))

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from ..arrowtools import by_key, packed, scan_tasks, unpacked
 from ..session import write_table
-from .vectors import centre, hashed, in_blocks, is_usable, unit, usable, vector_rows
+from .vectors import BLOCK_ROWS, centre, hashed, in_blocks, is_usable, unit, usable, vector_rows
 
 MIN_LISTS, MAX_LISTS = 8, 16384
 #: Vectors a list, on average, until there are MAX_LISTS.
@@ -124,7 +124,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query: np.ndarray, stored: np.n
     return tuple(np.concatenate(parts) for parts in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.0, queries: str | None = None, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", store_ratio: float = 1.2, query_ratio: float = 1.2, most_stored: int = 6, most_searched: int = 6) -> DataFrame:
+def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.0, queries: str | None = None, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", store_ratio: float = 1.2, query_ratio: float = 1.2, most_stored: int = 6, most_searched: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id, neighbour, similarity, place`` (1 to k) of the k most similar vectors of each query.
 
     A vector is usable if it has ``dim`` elements, all non-null and finite and not all zero; other rows, and rows
@@ -179,7 +179,7 @@ def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.
 
     asked = F.expr(f"coalesce({queries}, false)") if queries else F.lit(True)
     postings = rows.select("id", "x", asked.alias("asks")).mapInArrow(post, "list int, id bigint, role int, x binary")
-    tasks = in_blocks(postings, "list", "id", MAX_LISTS).select("list", "lo", "hi", "block", "id", "role", "x")
+    tasks = in_blocks(postings, "list", "id", MAX_LISTS, block_rows).select("list", "lo", "hi", "block", "id", "role", "x")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches, 3):
