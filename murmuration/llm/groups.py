@@ -14,8 +14,8 @@
 * **Splitting.** Links within a component are counted, again by matrix products. Where not all members are alike,
   the member with the most links takes these as its group, then the next of the rest, and so on.
 
-Equal vectors are reduced to the smallest id before any of this, by an aggregation that combines before its
-shuffle, and come back at the end.
+Equal vectors are reduced to the smallest id before any of this, by an aggregation of their hashes that combines
+before its shuffle, and come back at the end.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from .vectors import BLOCK_ROWS, centre, hashed, in_blocks, unit, usable, vector
 MIN_ANCHORS, MAX_ANCHORS = 64, 8192
 #: Vectors an anchor, on average, until there are MAX_ANCHORS.
 ROWS_PER_ANCHOR = 100
-SET_SIZE, BANDS = 16, 14
+SET_SIZE, BANDS = 14, 10
 _EDGES = "a bigint, b bigint, sure boolean"
 
 
@@ -67,8 +67,7 @@ def minhash_keys(x: np.ndarray, anchors: np.ndarray, permutations: np.ndarray, s
 
 
 def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, bands: int, set_size: int) -> DataFrame:
-    """``vhash, id, code, scale, err, keys`` of each usable vector, one row for all equal vectors, by smallest id;
-    and ``members``: ``id, vhash`` of all. Both are written to the shared folder."""
+    """``vhash, id, code, scale, err, keys`` of each row with a usable vector; ``vhash`` is the same for equal ones."""
     rng = np.random.default_rng(3)
     permutations = np.stack([rng.permutation(max(len(anchors), 1)) for _ in range(bands)]).astype(np.int32)
     shared = rows.sparkSession.sparkContext.broadcast((mean, anchors, permutations))
@@ -148,10 +147,10 @@ def _task_blocks(batch: pa.RecordBatch, lo_at: int) -> list[np.ndarray]:
     return [every[block == lo], every[block == hi]]
 
 
-def bucket_links(codes: DataFrame, dim: int, threshold: float, buckets: int) -> DataFrame:
+def bucket_links(codes: DataFrame, dim: int, threshold: float, buckets: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``a, b, sure``: links of a spanning forest of each bucket, and the pairs left to the full vectors."""
     rows = codes.select(F.explode("keys").alias("key"), "id", "code", "scale", "err")
-    tasks = in_blocks(rows, "key", "id", buckets).select("key", "lo", "hi", "block", "id", "code", "scale", "err")
+    tasks = in_blocks(rows, "key", "id", buckets, block_rows).select("key", "lo", "hi", "block", "id", "code", "scale", "err")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +179,10 @@ def alike_pairs(pairs: DataFrame, rows: DataFrame, mean: np.ndarray, dim: int, t
     return both.select("a", "b", "xa", "xb").mapInArrow(decide, "a bigint, b bigint")
 
 
-def member_degrees(members: DataFrame, dim: int, threshold: float, most_groups: int) -> DataFrame:
+def member_degrees(members: DataFrame, dim: int, threshold: float, most_groups: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``grp, id, degree, typicality``: for each member the number of other members of the same group that are
     alike, and the sum of its similarities to the members. ``unsure`` pairs are rows with ``other`` set."""
-    tasks = in_blocks(members, "grp", "id", most_groups).select("grp", "lo", "hi", "block", "id", "code", "scale", "err")
+    tasks = in_blocks(members, "grp", "id", most_groups, block_rows).select("grp", "lo", "hi", "block", "id", "code", "scale", "err")
     schema = pa.schema([("grp", pa.int64()), ("id", pa.int64()), ("degree", pa.int64()), ("typicality", pa.float64()), ("other", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +237,7 @@ def split_loose(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     return scan_tasks(members.select("grp", "id", "degree", "code", "scale", "err"), ["grp"], ["id"], split, "id bigint, part bigint")
 
 
-def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", bands: int = BANDS, set_size: int = SET_SIZE) -> DataFrame:
+def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", bands: int = BANDS, set_size: int = SET_SIZE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Groups of similar vectors.
 
     A vector is usable if it has ``dim`` elements, all non-null and finite and not all zero; other rows, and rows
@@ -255,13 +254,15 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     rows = vector_rows(segments, id_col, vector_col)
     mean, n = centre(rows, dim)
     anchors = anchor_vectors(rows, mean, n, dim)
-    every = write_table(coded(rows, mean, anchors, dim, bands, set_size), "codes")
-    first = {c: F.first(c).alias(c) for c in ("code", "scale", "err", "keys")}
-    reps = write_table(every.df.groupBy("vhash").agg(F.min("id").alias("id"), *first.values()), "vectors")
-    copies = write_table(every.df.select("id", "vhash").distinct().join(reps.df.select("vhash", F.col("id").alias("rep")), "vhash").where("id <> rep").select("id", "rep"), "copies")
-    every.drop()
-
-    found = write_table(bucket_links(reps.df, dim, threshold, max(len(anchors), 1)).dropDuplicates(["a", "b"]), "bucket-links")
+    every = write_table(coded(rows, mean, anchors, dim, bands, set_size).withColumn("row", F.monotonically_increasing_id()), "codes")
+    # Equal vectors are found by their hashes alone, so that the codes are not shuffled for it.
+    hashes = every.df.select("vhash", "id", "row")
+    several = hashes.groupBy("vhash").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("vhash", F.col("first.id").alias("rep"), F.col("first.row").alias("kept"))
+    surplus = write_table(hashes.join(several, "vhash").where("row <> kept").select("id", "row", "rep"), "copies")
+    copies = surplus.df.where("id <> rep").select("id", "rep").distinct()
+    vectors = every.df.join(surplus.df.select("row"), "row", "left_anti")
+
+    found = write_table(bucket_links(vectors, dim, threshold, max(len(anchors), 1), block_rows).dropDuplicates(["a", "b"]), "bucket-links")
     unsure = found.df.where("not sure").select("a", "b")
     links = found.df.where("sure").select("a", "b")
     if not unsure.isEmpty():
@@ -269,8 +270,8 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     linked = write_table(connected_components(links, "a", "b", "id", "grp"), "groups")
     found.drop()
 
-    members = write_table(reps.df.select("id", "code", "scale", "err").join(linked.df, "id"), "members")
-    counted = write_table(member_degrees(members.df, dim, threshold, n // BLOCK_ROWS + 1), "degrees")
+    members = write_table(vectors.select("id", "code", "scale", "err").join(linked.df, "id"), "members")
+    counted = write_table(member_degrees(members.df, dim, threshold, n // block_rows + 1, block_rows), "degrees")
     unsure = counted.df.where("other is not null").select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
     degrees = counted.df.where("other is null").select("grp", "id", "degree", "typicality")
     if not unsure.isEmpty():
@@ -285,10 +286,10 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     parts = split_loose(loose.join(members.df.select("id", "code", "scale", "err"), "id"), dim, threshold)
     settled = known_table.df.join(parts, "id", "left").select("id", F.coalesce("part", "grp").alias("group_id"), F.col("grp").alias("component"), "degree", "typicality", "tight")
     # Vectors without a link, then the copies, which share their representative's group.
-    alone = reps.df.select("id").join(linked.df, "id", "left_anti").select("id", F.col("id").alias("group_id"), F.col("id").alias("component"), F.lit(0).cast("bigint").alias("degree"), F.lit(1.0).alias("typicality"), F.lit(True).alias("tight"))
-    vectors = settled.unionByName(alone)
-    of_copies = copies.df.join(vectors.withColumnRenamed("id", "rep"), "rep").select("id", "group_id", "component", "degree", "typicality", "tight")
-    full = vectors.unionByName(of_copies)
+    alone = vectors.select("id").join(linked.df, "id", "left_anti").select("id", F.col("id").alias("group_id"), F.col("id").alias("component"), F.lit(0).cast("bigint").alias("degree"), F.lit(1.0).alias("typicality"), F.lit(True).alias("tight"))
+    placed = settled.unionByName(alone)
+    of_copies = copies.join(placed.withColumnRenamed("id", "rep"), "rep").select("id", "group_id", "component", "degree", "typicality", "tight")
+    full = placed.unionByName(of_copies)
     sizes = full.groupBy("group_id").agg(F.count("*").alias("n_members"))
     in_component = full.groupBy("component").agg(F.count("*").alias("n_component"))
     return full.join(sizes, "group_id").join(in_component, "component").select("id", "group_id", "n_members", "tight", "degree", "typicality", "component", "n_component")
