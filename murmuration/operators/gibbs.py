@@ -215,6 +215,7 @@ def fbgmm(vectors: DataFrame, prior: FixedPrior | ConjugatePrior, k_max: int, fa
         rows = rows.join(start.select(F.col(id_col).alias("id"), F.col("k").cast("bigint").alias("k")), "id", "left")
     else:
         rows = rows.withColumn("k", F.lit(None).cast("bigint"))
+    fresh = start is None
     if rows.count() > MAX_ROWS:
         raise ValueError(f"a sweep is one task and takes at most {MAX_ROWS} vectors")
 
@@ -227,9 +228,9 @@ def fbgmm(vectors: DataFrame, prior: FixedPrior | ConjugatePrior, k_max: int, fa
         ids = batch.column(0).to_numpy()[at]
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
-        k = len(x) if init == "each-in-own" and start is None else k_max
+        k = len(x) if init == "each-in-own" and fresh else k_max
         rng = np.random.default_rng([seed, first_iter])
-        z = batch.column(2).fill_null(-1).to_numpy()[at][order] if start is not None else initial_assignments(len(x), k, init, rng)
+        z = batch.column(2).fill_null(-1).to_numpy()[at][order] if not fresh else initial_assignments(len(x), k, init, rng)
         sampler = Sampler(Components(x, prior, family, max(k, int(z.max()) + 1), z), alpha, rng)
         trace = [sampler.sweep() for _ in range(n_iter)]
         n, t = len(ids), len(trace)

@@ -42,7 +42,7 @@ def read_frames(spark: SparkSession, folder: str) -> DataFrame:
 def read_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     """``utt_id, pos, end_sec`` of all ``*.list`` files below ``folder``: one time a line, blank lines and what
     follows a ``#`` left out. ``pos`` counts the times of a file from 0."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.list").text(folder)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.list").text(folder, wholetext=True)
     lines = files.select(stem(F.col("_metadata.file_path")).alias("utt_id"), F.split("value", r"\r?\n").alias("lines"))
     clean = F.filter(F.transform("lines", lambda v: F.trim(F.regexp_replace(v, "#.*$", ""))), lambda v: v != "")
     return lines.select("utt_id", F.posexplode(clean).alias("pos", "v")).select("utt_id", "pos", F.col("v").cast("double").alias("end_sec"))
@@ -75,7 +75,7 @@ def read_partition(spark: SparkSession, path: str) -> DataFrame:
     members gives no class, so classes are numbered by the headings that have members. A file is one row of text
     while it is read.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
     rows = files.select("path", F.posexplode("lines").alias("at", "line")).select("path", "at", F.filter(F.split(F.trim("line"), r"\s+"), lambda v: v != "").alias("part"))
     kept = rows.where(F.size("part").isin(2, 3))
     w = Window.partitionBy("path").orderBy("at")
