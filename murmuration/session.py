@@ -14,24 +14,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: list[str] = []
+#: Folders of this process's applications, with their sessions; what is left in them goes when the process ends.
+_used: dict[str, SparkSession] = {}
 
 
-@atexit.register
-def _remove_local() -> None:
-    for path in _local:
-        shutil.rmtree(path, ignore_errors=True)
+def shared_dir(spark: SparkSession) -> str:
+    """The application's folder for intermediate tables, below ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="murmuration-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/murmuration/{spark.sparkContext.applicationId}"
+    if path not in _used:
+        _used[path] = spark
+        atexit.register(_forget, path)  # after the JVM's own exit handler, so it runs before it
+    return path
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; sets ``spark.checkpoint.dir`` if it is not set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="murmuration-")
-        _local.append(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _forget(path: str) -> None:
+    try:
+        _delete(_used.pop(path), path)
+    except Exception:  # noqa: BLE001 - the session has ended, and with it the way to the folder
+        pass
 
 
 class Table:
@@ -39,15 +50,12 @@ class Table:
 
     def __init__(self, df: DataFrame, label: str) -> None:
         self._spark = df.sparkSession
-        app = self._spark.sparkContext.applicationId
-        self.path = f"{shared_dir(self._spark)}/murmuration/{app}/{label}-{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self._spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self._spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self._spark, self.path)
 
 
 def write_table(df: DataFrame, label: str) -> Table:
