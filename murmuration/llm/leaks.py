@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .codepoints import LETTER, NUMBER, classes, in_portions, span_hashes, spans, to_codepoints
 
 #: Items of one pass over the documents; more items take more passes.
-ITEMS_PER_PASS = 20_000
+ITEMS_PER_PASS = 5_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -62,7 +62,7 @@ class PassageIndex:
         first = np.flatnonzero(text[window - 1 :] == text[: len(text) - window + 1]) if len(text) >= window else np.zeros(0, np.int64)
         grams = word[first[:, None] + np.arange(window)] if len(first) else np.zeros((0, window), np.int64)
         self.item = np.array([ids[t] for t in text[first]], np.int64)
-        self.gram_words = [[joined[starts[k] : stops[k]] for k in range(i, i + window)] for i in first.tolist()]
+        self.text, self.starts, self.stops, self.first = joined, starts, stops, first
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
         rng = np.random.default_rng(seed)
@@ -134,7 +134,9 @@ class PassageIndex:
 
     def _verified(self, joined: str, starts: np.ndarray, stops: np.ndarray, p: int, g: int) -> bool:
         own = [joined[starts[k] : stops[k]] for k in range(p, p + self.window)]
-        return own == self.gram_words[g] if not self.max_edits else edit_distance(own, self.gram_words[g]) <= self.max_edits
+        at = int(self.first[g])
+        of_item = [self.text[self.starts[k] : self.stops[k]] for k in range(at, at + self.window)]
+        return own == of_item if not self.max_edits else edit_distance(own, of_item) <= self.max_edits
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, window: int = 12, max_edits: int = 0, recall: float = 0.95, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:

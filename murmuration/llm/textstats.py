@@ -157,7 +157,8 @@ def outlier_scores(statistics: DataFrame, id_col: str = "doc_id", lang_col: str
     have a null score and do not enter the ranks; those of a null language are ranked among themselves. Repeated
     rows are expected to have been dropped.
     """
-    stats = statistics.select(F.col(id_col).alias("id"), F.col(lang_col).alias("grp"), *(F.col(s).cast("double").alias(s) for s in SHARES))
+    # Read three times below: the texts are not.
+    stats = write_table(statistics.select(F.col(id_col).alias("id"), F.col(lang_col).alias("grp"), *(F.col(s).cast("double").alias(s) for s in SHARES)), "statistics").df
     pairs = ", ".join(f"'{s}', {s}" for s in SHARES)
     long = stats.where("n_words > 0").select("id", "grp", F.expr(f"stack({len(SHARES)}, {pairs}) as (stat, value)"))
     ranks = value_ranks(long)
