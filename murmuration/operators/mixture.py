@@ -181,6 +181,26 @@ def score_predictive(vectors: DataFrame, stats: DataFrame, prior: FixedPrior | C
     return rows.mapInArrow(score, "id bigint, k bigint, log_pred double").withColumnRenamed("id", id_col)
 
 
+def assignment_posteriors(vectors: DataFrame, stats: DataFrame, prior: FixedPrior | ConjugatePrior, alpha: float, k_max: int, id_col: str = "seg_id") -> DataFrame:
+    """``id_col, k, prob``: for each vector and active component the probability of ``alpha / k_max + n`` times the
+    posterior predictive, scaled to a sum of 1. Largest exponents are taken out first, so nothing underflows."""
+    shared = vectors.sparkSession.sparkContext.broadcast(predictive_arrays(predictive_parameters(stats, prior)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ks, n, mu, var, v = shared.value
+        for batch in batches:
+            at, x = matrix(batch.column(1), mu.shape[1])
+            if len(x):
+                p = log_predictive(x, mu, var, v) + np.log(alpha / k_max + n)
+                p = np.exp(p - p.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                ids = batch.column(0).take(pa.array(np.repeat(at, len(ks))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(ks, len(x))), pa.array(p.ravel())], names=["id", "k", "prob"])
+
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col("x").cast("array<double>").alias("x")).where("x is not null")
+    return rows.mapInArrow(score, "id bigint, k bigint, prob double").withColumnRenamed("id", id_col)
+
+
 def log_prior_assignments(stats: DataFrame, alpha: float, k_max: int) -> DataFrame:
     """``log_prob_z``, one row: Dirichlet-multinomial probability of the counts, empty components up to ``k_max``
     included."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -372,6 +373,25 @@ def predictive_diag(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("log_pred", F.round("log_pred", 4))
 
 
+@query
+def assignment_posteriors(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of each component for each vector, fixed variances."""
+    vectors, labels = _labelled(spark, folder)
+    found = mixture.assignment_posteriors(vectors, mixture.component_stats(vectors, labels), _fixed_prior(), 1.0, 16)
+    return found.withColumn("prob", F.round("prob", 6) + F.lit(0.0))
+
+
+@query
+def gmm_step(spark: SparkSession, folder: str) -> DataFrame:
+    """One round of expectation maximisation from twenty vectors with equal weights and variances."""
+    vectors = _labelled(spark, folder)[0]
+    _, c = neighbours.centroid_matrix(_first_centroids(vectors))
+    model, _ = gmm.em_step(vectors, gmm.Spherical(np.full(len(c), 1 / len(c)), c, np.full(len(c), 0.05)))
+    means = neighbours.centroid_table(spark, np.column_stack([model.weight, model.var, model.mean]))
+    rows = means.select("k", F.round(F.element_at("x", 1), 6).alias("weight"), F.round(F.element_at("x", 2), 6).alias("var"), F.slice("x", 3, LABELLED_DIM).alias("m"))
+    return rows.select("k", "weight", "var", *shown("m"))
+
+
 @query
 def log_densities(spark: SparkSession, folder: str) -> DataFrame:
     """Normal and Student t densities of the events' values."""

@@ -147,6 +147,18 @@ SELECT k, round(-n * {_D}::DOUBLE / 2 * ln(pi()) + {_D}::DOUBLE / 2 * ln(0.05::D
     "predictive_fixed": f"""WITH {_DIMS}, par AS (SELECT k, dim, (s / 0.02::DOUBLE) / (1 / 0.4::DOUBLE + n / 0.02::DOUBLE) AS mu, 1 / (1 / 0.4::DOUBLE + n / 0.02::DOUBLE) + 0.02::DOUBLE AS var FROM dims),
 scored AS (SELECT l.seg_id, par.k, sum(-0.5::DOUBLE * (ln(2 * pi()) + ln(var) + (l.v - mu) * (l.v - mu) / var)) AS p FROM long l JOIN par USING (dim) GROUP BY l.seg_id, par.k)
 SELECT seg_id, k, round(p, 4) AS log_pred FROM scored QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY p DESC, k) = 1""",
+    "assignment_posteriors": f"""WITH {_DIMS}, par AS (SELECT k, dim, n, (s / 0.02::DOUBLE) / (1 / 0.4::DOUBLE + n / 0.02::DOUBLE) AS mu, 1 / (1 / 0.4::DOUBLE + n / 0.02::DOUBLE) + 0.02::DOUBLE AS var FROM dims),
+scored AS (SELECT l.seg_id, par.k, ln(1.0::DOUBLE / 16 + max(n)) + sum(-0.5::DOUBLE * (ln(2 * pi()) + ln(var) + (l.v - mu) * (l.v - mu) / var)) AS p FROM long l JOIN par USING (dim) GROUP BY l.seg_id, par.k),
+topped AS (SELECT *, exp(p - max(p) OVER (PARTITION BY seg_id)) AS e FROM scored)
+SELECT seg_id, k, round(e / sum(e) OVER (PARTITION BY seg_id), 6) + 0.0::DOUBLE AS prob FROM topped""",
+    "gmm_step": f"""WITH {_LABELLED}, {_STARTED},
+joint AS (SELECT p.seg_id, p.x, c.k, -0.5::DOUBLE * list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 0.05::DOUBLE AS j FROM lab p, cents c),
+topped AS (SELECT *, exp(j - max(j) OVER (PARTITION BY seg_id)) AS e FROM joint),
+resp AS (SELECT seg_id, x, k, e / sum(e) OVER (PARTITION BY seg_id) AS r FROM topped),
+tot AS (SELECT k, sum(r) + 10 * 2.220446049250313e-16::DOUBLE AS n, sum(r * list_dot_product(x, x)) AS q FROM resp GROUP BY k),
+dims AS (SELECT k, dim, sum(r * v) AS s FROM (SELECT k, r, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM resp) GROUP BY k, dim),
+means AS (SELECT k, list(s / n ORDER BY dim) AS m FROM dims JOIN tot USING (k) GROUP BY k)
+SELECT k, round(n / sum(n) OVER (), 6) AS weight, round((q / n - list_dot_product(m, m)) / 64.0::DOUBLE + 1e-6::DOUBLE, 6) AS var, {_shown('m')} FROM means JOIN tot USING (k)""",
     "predictive_diag": f"""WITH {_DIMS}, par AS (SELECT k, dim, s / (n + 0.05::DOUBLE) AS mu, n + 67 AS df,
   (n + 1.05::DOUBLE) / ((n + 0.05::DOUBLE) * (n + 67)) * (0.1::DOUBLE + q - s * s / (n + 0.05::DOUBLE)) AS var FROM dims),
 scored AS (SELECT l.seg_id, par.k, sum(lgamma((df + 1) / 2) - lgamma(df / 2) - (ln(df) + ln(pi()) + ln(var)) / 2 - (df + 1) / 2 * ln(1 + (l.v - mu) * (l.v - mu) / (var * df))) AS p FROM long l JOIN par USING (dim) GROUP BY l.seg_id, par.k)

@@ -1 +1 @@
-
+"""Fitting in batches as frames arrive."""
