@@ -30,9 +30,14 @@ from pyspark.sql import functions as F
 from ..arrowtools import by_key, packed, scan_tasks, unpacked
 from ..session import write_table
 from .components import connected_components
+from .knn import CentroidGraph
 from .vectors import BLOCK_ROWS, centre, hashed, in_blocks, unit, usable, vector_rows
 
-MIN_ANCHORS, MAX_ANCHORS = 64, 8192
+MIN_ANCHORS, MAX_ANCHORS = 64, 131_072
+#: Up to so many anchors a vector is compared with all of them, beyond with those that a graph leads to.
+EXACT_ANCHORS = 8192
+#: Members of a loose component whose codes one task holds: 130 MB. Larger ones are split in rounds.
+SPLIT_ROWS = 1_000_000
 #: Vectors an anchor, on average, until there are MAX_ANCHORS.
 ROWS_PER_ANCHOR = 100
 SET_SIZE, BANDS = 14, 10
@@ -55,10 +60,17 @@ def code(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
 
 
-def minhash_keys(x: np.ndarray, anchors: np.ndarray, permutations: np.ndarray, size: int) -> list[np.ndarray]:
-    """The different buckets of each vector."""
+def nearest_anchors(x: np.ndarray, anchors: np.ndarray, graph: CentroidGraph | None, size: int) -> np.ndarray:
+    """The set of each vector; through the graph it may have fewer anchors, which are then repeated."""
     size = min(size, len(anchors))
-    near = np.argpartition(x @ anchors.T, len(anchors) - size, axis=1)[:, -size:]
+    if graph is None:
+        return np.argpartition(x @ anchors.T, len(anchors) - size, axis=1)[:, -size:]
+    near, _ = graph.search(x, size)
+    return np.where(near >= 0, near, near[:, :1])
+
+
+def minhash_keys(near: np.ndarray, permutations: np.ndarray) -> list[np.ndarray]:
+    """The different buckets of each vector, of its set."""
     keys = np.stack([np.take_along_axis(near, p[near].argmin(1)[:, None], 1)[:, 0] for p in permutations], 1)
     keys.sort(1)
     new = np.ones_like(keys, bool)
@@ -70,13 +82,14 @@ def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, band
     """``vhash, id, code, scale, err, keys`` of each row with a usable vector; ``vhash`` is the same for equal ones."""
     rng = np.random.default_rng(3)
     permutations = np.stack([rng.permutation(max(len(anchors), 1)) for _ in range(bands)]).astype(np.int32)
-    shared = rows.sparkSession.sparkContext.broadcast((mean, anchors, permutations))
+    graph = CentroidGraph(anchors, fan=1024, entries=4) if len(anchors) > EXACT_ANCHORS else None
+    shared = rows.sparkSession.sparkContext.broadcast((mean, anchors, graph, permutations))
     schema = pa.schema([("vhash", pa.binary()), ("id", pa.int64()), ("code", pa.binary()), ("scale", pa.float32()), ("err", pa.float32()), ("keys", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        mean, anchors, permutations = shared.value
+        mean, anchors, graph, permutations = shared.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 4096):
                 part = batch.slice(begin, 4096)
@@ -86,8 +99,7 @@ def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, band
                 key = [xxhash.xxh3_128_digest(v.tobytes()) for v in (raw + 0.0).astype(np.float32)]
                 x = unit(raw, mean)
                 codes, scale, err = code(x)
-                # The scale is rounded up and the error with it, so that both stay bounds.
-                buckets = minhash_keys(x.astype(np.float32), anchors, permutations, set_size)
+                buckets = minhash_keys(nearest_anchors(x.astype(np.float32), anchors, graph, set_size), permutations)
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), part.column(0).take(pa.array(at)), packed(codes), pa.array(scale.astype(np.float32)), pa.array((err + 1e-6).astype(np.float32)), pa.array(buckets, pa.list_(pa.int32()))], schema=schema)
 
     return rows.mapInArrow(encode, "vhash binary, id bigint, code binary, scale float, err float, keys array<int>")
@@ -237,6 +249,33 @@ def split_loose(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     return scan_tasks(members.select("grp", "id", "degree", "code", "scale", "err"), ["grp"], ["id"], split, "id bigint, part bigint")
 
 
+def split_large(members: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """``split_loose`` for components of any size: in each round, every component's free member with the most links
+    takes the free members that are alike. Rounds are as many as the most parts of a component."""
+    state = write_table(members.select("grp", "id", "degree", "code", "scale", "err", F.lit(None).cast("bigint").alias("medoid")), "split")
+    while True:
+        free = state.df.where("medoid is null")
+        best = F.max_by(F.struct("id", "code", "scale"), F.struct(F.col("degree"), -F.col("id")))
+        heads = write_table(free.groupBy("grp").agg(best.alias("m")).select("grp", F.col("m.id").alias("head"), F.col("m.code").alias("head_code"), F.col("m.scale").alias("head_scale")), "medoids")
+        if heads.df.isEmpty():
+            break
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (unpacked(batch.column(f"{p}code"), np.int8, dim).astype(np.float32) * batch.column(f"{p}scale").to_numpy()[:, None] for p in ("", "head_"))
+                ids, head = batch.column("id").to_numpy(), batch.column("head").to_numpy()
+                alike = (np.einsum("ij,ij->i", x, y) >= threshold) | (ids == head)
+                medoid = pa.array(head, mask=~alike)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "id", "degree", "code", "scale", "err")), medoid], names=["grp", "id", "degree", "code", "scale", "err", "medoid"])
+
+        moved = free.drop("medoid").join(heads.df, "grp").mapInArrow(near, state.df.schema)
+        following = write_table(state.df.where("medoid is not null").unionByName(moved), "split")
+        state.drop()
+        state = following
+    parts = state.df.groupBy("medoid").agg(F.min("id").alias("part"))
+    return state.df.join(parts, "medoid").select("id", "part")
+
+
 def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", bands: int = BANDS, set_size: int = SET_SIZE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Groups of similar vectors.
 
@@ -282,8 +321,10 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     by_group = by_member.groupBy("grp").agg(F.count("*").alias("n"), F.min("degree").alias("least"))
     known = by_member.join(by_group, "grp").select("grp", "id", "degree", (F.col("typicality") / F.col("n")).alias("typicality"), (F.col("least") == F.col("n") - 1).alias("tight"), "n")
     known_table = write_table(known, "known")
-    loose = known_table.df.where("not tight")
-    parts = split_loose(loose.join(members.df.select("id", "code", "scale", "err"), "id"), dim, threshold)
+    loose = known_table.df.where("not tight").join(members.df.select("id", "code", "scale", "err"), "id")
+    parts = split_loose(loose.where(F.col("n") <= SPLIT_ROWS), dim, threshold)
+    if not (large := loose.where(F.col("n") > SPLIT_ROWS)).isEmpty():
+        parts = parts.unionByName(split_large(large, dim, threshold))
     settled = known_table.df.join(parts, "id", "left").select("id", F.coalesce("part", "grp").alias("group_id"), F.col("grp").alias("component"), "degree", "typicality", "tight")
     # Vectors without a link, then the copies, which share their representative's group.
     alone = vectors.select("id").join(linked.df, "id", "left_anti").select("id", F.col("id").alias("group_id"), F.col("id").alias("component"), F.lit(0).cast("bigint").alias("degree"), F.lit(1.0).alias("typicality"), F.lit(True).alias("tight"))

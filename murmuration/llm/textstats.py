@@ -110,7 +110,7 @@ def quality_marks(statistics: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.when(common < 0.01, "no_common"),
         F.when((ended >= 0.5) & (mean <= 8) & (symbols <= 0.12), "prose"),
     )
-    return statistics.select(id_col, F.explode(F.array_compact(marks)).alias("mark"))
+    return statistics.select(id_col, F.explode(F.array_compact(marks)).alias("mark")).distinct()
 
 
 def value_ranks(values: DataFrame) -> DataFrame:

@@ -81,7 +81,9 @@ def test_groups_are_components_and_cliques_are_told_apart(spark, block):
     assert all(r["n_component"] == sizes[r["component"]] for r in got.values())
 
 
-def test_loose_components_are_split_around_medoids(spark):
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_loose_components_are_split_around_medoids(spark, monkeypatch, most):
+    monkeypatch.setattr(groups, "SPLIT_ROWS", most)
     rng = np.random.default_rng(2)
     base = np.linalg.qr(rng.normal(size=(DIM, DIM)))[0]
     angles = np.deg2rad([0, 20, 40, 60, 80])  # a chain: neighbours are alike, ends are not
@@ -99,6 +101,16 @@ def test_loose_components_are_split_around_medoids(spark):
         assert near[np.ix_(at, at)].all(1).any()  # a medoid is alike to all of its part
 
 
+def test_anchors_through_the_graph(spark, monkeypatch):
+    monkeypatch.setattr(groups, "EXACT_ANCHORS", 8)
+    rng = np.random.default_rng(7)
+    rows = clustered(rng, [1] * 100 + [4] * 60)
+    label, tight, _, _ = brute(rows, 0.7)
+    got = run(spark, rows)
+    assert {i: r["component"] for i, r in got.items()} == label
+    assert {r["component"] for r in got.values() if r["tight"]} == tight
+
+
 def test_borderline_pairs_are_decided_on_full_vectors(spark):
     rng = np.random.default_rng(3)
     rows = clustered(rng, [1] * 30 + [12] * 8, 0.6)
