@@ -5,7 +5,8 @@ cursor is written down, and a random bit of (j, word) says whether the cursor mo
 e have embeddings at a Hamming distance of about e**2 at most, and equal windows have equal ones. A hash table
 keeps, for each window, the embedding at some sampled steps. Windows of documents are walked in the same way, all
 windows of a batch at a time, and dropped as soon as what they have written at the sampled steps so far is no
-prefix of an entry. Several tables with other random bits and samples reach the target recall for windows with
+prefix of an entry. A window with edits must also hold an unchanged piece of an item's window; those without one are
+dropped first. Several tables with other random bits and samples reach the target recall for windows with
 edits; equal windows are found by one table, always. Each candidate is then verified word by word.
 """
 
@@ -59,10 +60,13 @@ class PassageIndex:
         joined, starts, stops, hashes, text = words_of(texts)
         self.vocabulary = np.unique(hashes)
         word = np.searchsorted(self.vocabulary, hashes) + 1  # 0 is a word that no item has
-        first = np.flatnonzero(text[window - 1 :] == text[: len(text) - window + 1]) if len(text) >= window else np.zeros(0, np.int64)
+        first = self._inside(text, window)
         grams = word[first[:, None] + np.arange(window)] if len(first) else np.zeros((0, window), np.int64)
         self.item = np.array([ids[t] for t in text[first]], np.int64)
         self.text, self.starts, self.stops, self.first = joined, starts, stops, first
+        # Of window // (edits + 1) words in a row, at least one such piece of an item's window is left as it is.
+        self.piece = window // (max_edits + 1)
+        self.pieces = np.unique(self._hash(word, self._inside(text, self.piece))) if max_edits else None
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
         rng = np.random.default_rng(seed)
@@ -81,6 +85,18 @@ class PassageIndex:
             order = np.argsort(owners[1], kind="stable")
             self.tables.append((bits, sample, prefixes, owners[1][order], owners[0][order]))
 
+    @staticmethod
+    def _inside(text: np.ndarray, n: int) -> np.ndarray:
+        """Where n words of one text begin."""
+        return np.flatnonzero(text[n - 1 :] == text[: len(text) - n + 1]) if len(text) >= n else np.zeros(0, np.int64)
+
+    def _hash(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the pieces that begin there."""
+        h = np.zeros(len(at), np.uint64)
+        for k in range(self.piece):
+            h = _mixed(h + word[at + k].astype(np.uint64) + np.uint64(k))
+        return h
+
     def _walk(self, at: np.ndarray, word: object, bits: np.ndarray, sample: list[int], known: list[np.ndarray] | None) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """Walk all windows; ``known`` are the prefix hashes that may go on. Returns the prefix hashes seen, and
         the windows left with their full hashes."""
@@ -115,6 +131,8 @@ class PassageIndex:
         word[maybe] = np.where(self.vocabulary[at] == hashes[maybe], at + 1, 0)
         last = np.append(text, -1)[np.minimum(np.arange(len(hashes)) + self.window - 1, len(hashes))]
         whole = last == text  # windows that end within their text
+        if self.pieces is not None:
+            whole &= self._with_piece(word, text)
         pairs: list[np.ndarray] = []
         for bits, sample, prefixes, table, owner in self.tables:
             begin = np.flatnonzero(whole & (word[: len(hashes)] > 0)) if sample[0] == 0 else np.flatnonzero(whole)
@@ -132,6 +150,19 @@ class PassageIndex:
                 out.append(pair)
         return out
 
+    def _with_piece(self, word: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Whether the window that begins at each word holds a piece of an item's window."""
+        at = self._inside(text, self.piece)
+        unknown = np.append(0, np.cumsum(word[: len(text)] == 0))
+        at = at[unknown[at + self.piece] == unknown[at]]
+        h = self._hash(word, at)
+        known = self.pieces[np.minimum(np.searchsorted(self.pieces, h), len(self.pieces) - 1)] == h
+        begins = np.zeros(len(text) + 1 + self.window, np.int64)
+        begins[at[known] + 1] = 1
+        so_far = np.cumsum(begins)
+        here = np.arange(len(text))
+        return so_far[here + self.window - self.piece + 1] > so_far[here]
+
     def _verified(self, joined: str, starts: np.ndarray, stops: np.ndarray, p: int, g: int) -> bool:
         own = [joined[starts[k] : stops[k]] for k in range(p, p + self.window)]
         at = int(self.first[g])
