@@ -236,6 +236,30 @@ def log_predictive_full(x: np.ndarray, n: int, s: np.ndarray, outer: np.ndarray,
     return math.lgamma((v + d) / 2) - math.lgamma(v / 2) - d / 2 * (math.log(v) + LOG_PI) - 0.5 * np.linalg.slogdet(cov)[1] - (v + d) / 2 * np.log1p(far / v)
 
 
+def map_table(outer: DataFrame, prior: ConjugatePrior) -> DataFrame:
+    """``k, n, mean, cov`` of ``component_outer``'s rows: the most probable mean and covariance (row by row) of each
+    full component, as expressions."""
+    d = prior.dim
+    k_n, v_n = F.col("n") + prior.k_0, F.col("n") + prior.v_0
+    mean = F.transform(F.arrays_zip(F.col("s").alias("s"), _lit(prior.m_0).alias("m")), lambda z: (z["s"] + prior.k_0 * z["m"]) / k_n)
+    base = _lit([float(prior.s_0[i][j]) + prior.k_0 * prior.m_0[i] * prior.m_0[j] for i in range(d) for j in range(d)])
+    rows = outer.select("k", "n", mean.alias("mean"), F.zip_with("outer", base, lambda a, b: a + b).alias("total"))
+    cov = F.transform("total", lambda t, i: (t - k_n * F.get("mean", F.floor(i / d).cast("int")) * F.get("mean", (i % d).cast("int"))) / (v_n + d + 2))
+    return rows.select("k", "n", "mean", cov.alias("cov"))
+
+
+def marginals_full(outer: DataFrame, prior: ConjugatePrior) -> DataFrame:
+    """``k, log_marg`` of ``component_outer``'s rows, full covariances; one matrix decomposition a component."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            out = [log_marginal_full(n, np.array(s), np.array(o).reshape(prior.dim, prior.dim), prior) for n, s, o in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["k", "log_marg"])
+
+    return outer.select("k", "n", "s", "outer").mapInArrow(score, "k bigint, log_marg double")
+
+
 def map_estimate(n: int, s: np.ndarray, outer: np.ndarray, prior: ConjugatePrior) -> tuple[np.ndarray, np.ndarray]:
     """Most probable mean and covariance of a full component: the divisor is ``v_N + D + 2``."""
     _, v_n, m_n, s_n = full_posterior(n, s, outer, prior)

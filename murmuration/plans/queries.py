@@ -352,6 +352,25 @@ def log_marginal_diag(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.log_marginal_diag(mixture.component_stats(*_labelled(spark, folder)), _diag_prior()).withColumn("log_marg", F.round("log_marg", 4))
 
 
+def _full_prior() -> mixture.ConjugatePrior:
+    return mixture.ConjugatePrior([0.0] * LABELLED_DIM, 0.05, LABELLED_DIM + 3, [[0.1 * (i == j) for j in range(LABELLED_DIM)] for i in range(LABELLED_DIM)])
+
+
+@query
+def map_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """Most probable mean and covariance of each full component: the covariance's trace and sum."""
+    found = mixture.map_table(mixture.component_outer(*_labelled(spark, folder)), _full_prior())
+    trace = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(LABELLED_DIM - 1)), lambda i: F.get("cov", i * (LABELLED_DIM + 1))), F.lit(0.0), lambda s, e: s + e)
+    total = F.aggregate("cov", F.lit(0.0), lambda s, e: s + e)
+    return found.select("k", "n", *shown("mean"), (F.round(trace, 6) + F.lit(0.0)).alias("trace"), (F.round(total, 6) + F.lit(0.0)).alias("total"))
+
+
+@query
+def log_marginal_full(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixture.marginals_full(mixture.component_outer(*_labelled(spark, folder)), _full_prior())
+    return found.withColumn("log_marg", F.round("log_marg", 4))
+
+
 @query
 def log_prior_assignments(spark: SparkSession, folder: str) -> DataFrame:
     found = mixture.log_prior_assignments(mixture.component_stats(*_labelled(spark, folder)), 1.0, 16)

@@ -143,6 +143,10 @@ SELECT k, round(sum(-(n - 1) / 2 * ln(v) - n / 2 * ln(2 * pi()) - ln(n * w + v)
     "log_marginal_diag": f"""WITH {_DIMS}, c AS (SELECT k, max(n) AS n, sum(ln(0.1::DOUBLE + q - s * s / (n + 0.05::DOUBLE))) AS log_s FROM dims GROUP BY k)
 SELECT k, round(-n * {_D}::DOUBLE / 2 * ln(pi()) + {_D}::DOUBLE / 2 * ln(0.05::DOUBLE) - {_D}::DOUBLE / 2 * ln(n + 0.05::DOUBLE) + 67.0::DOUBLE / 2 * {_D}::DOUBLE * ln(0.1::DOUBLE)
   - (n + 67) / 2 * log_s + {_D}::DOUBLE * (lgamma((n + 67) / 2) - lgamma(67.0::DOUBLE / 2)), 4) AS log_marg FROM c""",
+    "map_estimates": f"""WITH {_DIMS}, means AS (SELECT k, max(n)::BIGINT AS n, list(s / (n + 0.05::DOUBLE) ORDER BY dim) AS m, sum(q) AS q FROM dims GROUP BY k),
+sums AS (SELECT k, sum(list_sum(x) * list_sum(x)) AS t FROM lab GROUP BY k)
+SELECT k, n, {_shown('m')}, round((6.4::DOUBLE + q - (n + 0.05::DOUBLE) * list_dot_product(m, m)) / (n + 67 + 66), 6) + 0.0::DOUBLE AS trace,
+round((6.4::DOUBLE + t - (n + 0.05::DOUBLE) * list_sum(m) * list_sum(m)) / (n + 67 + 66), 6) + 0.0::DOUBLE AS total FROM means JOIN sums USING (k)""",
     "log_prior_assignments": "WITH c AS (SELECT count(*)::DOUBLE AS n FROM embeddings GROUP BY label) SELECT round(lgamma(1.0::DOUBLE) - lgamma(sum(n) + 1) + sum(lgamma(n + 1.0::DOUBLE / 16) - lgamma(1.0::DOUBLE / 16)), 4) AS log_prob_z FROM c",
     "predictive_fixed": f"""WITH {_DIMS}, par AS (SELECT k, dim, (s / 0.02::DOUBLE) / (1 / 0.4::DOUBLE + n / 0.02::DOUBLE) AS mu, 1 / (1 / 0.4::DOUBLE + n / 0.02::DOUBLE) + 0.02::DOUBLE AS var FROM dims),
 scored AS (SELECT l.seg_id, par.k, sum(-0.5::DOUBLE * (ln(2 * pi()) + ln(var) + (l.v - mu) * (l.v - mu) / var)) AS p FROM long l JOIN par USING (dim) GROUP BY l.seg_id, par.k)

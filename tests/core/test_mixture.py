@@ -65,14 +65,18 @@ def test_full_family_equals_the_kernel(spark):
     df, z = frames(spark)
     c = gibbs.Components(X, prior("full"), "full", 2, np.array([0, 0, 1, 0]))
     total = 0.0
+    tables = {r["k"]: r for r in mixture.map_table(mixture.component_outer(df, z), prior("full")).collect()}
+    marginals = {r["k"]: r["log_marg"] for r in mixture.marginals_full(mixture.component_outer(df, z), prior("full")).collect()}
     for r in mixture.component_outer(df, z).collect():
         outer = np.array(r["outer"]).reshape(3, 3)
         total += mixture.log_marginal_full(r["n"], np.array(r["s"]), outer, prior("full"))
         pred = mixture.log_predictive_full(X, r["n"], np.array(r["s"]), outer, prior("full"))
         assert pred == pytest.approx([c.log_pred(i)[r["k"]] for i in range(len(X))])
+        assert marginals[r["k"]] == pytest.approx(mixture.log_marginal_full(r["n"], np.array(r["s"]), outer, prior("full")))
         m, cov = mixture.map_estimate(r["n"], np.array(r["s"]), outer, prior("full"))
         k_n, v_n, m_n, s_n = mixture.full_posterior(r["n"], np.array(r["s"]), outer, prior("full"))
         assert np.allclose(m, m_n) and np.allclose(cov, s_n / (v_n + 5))
+        assert np.allclose(tables[r["k"]]["mean"], m) and np.allclose(np.array(tables[r["k"]]["cov"]).reshape(3, 3), cov)
     assert total == pytest.approx(c.log_marg_data())
 
 
