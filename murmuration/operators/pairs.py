@@ -6,7 +6,6 @@ size: cosines of two blocks are one matrix product, and what leaves a task are t
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,9 @@ from ..functions import arrays
 
 BLOCK_ROWS = 4096
 #: Sequences of a block of the edit join.
-BLOCK_SEQUENCES = 1024
+BLOCK_SEQUENCES = 2048
+#: Features to which the units of a sequence are hashed, for a bound of what two sequences share.
+BAG_DIMS = 512
 
 
 def block_pairs(rows: DataFrame, id_col: str, n_blocks: int) -> DataFrame:
@@ -70,40 +71,67 @@ def cosine_edges_joined(vectors: DataFrame, min_similarity: float = 0.5) -> Data
     return pairs.select("src", "dst", arrays.dot(F.col("xa"), F.col("xb")).alias("weight")).where(F.col("weight") >= min_similarity)
 
 
+def bags(texts: list[str], dims: int = BAG_DIMS) -> tuple[np.ndarray, np.ndarray]:
+    """Bags of characters as vectors, and lengths. The n-th occurrence of a character is a feature of its own, hashed
+    to one of ``dims``; so the inner product of two bags is at least the number of characters they share."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), length)
+    char = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    order = np.lexsort((char, owner))
+    owner, char = owner[order], char[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (char[1:] != char[:-1]))[: len(char)]
+    at = np.arange(len(char))
+    occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
+    feature = ((char * 2654435761 + occurrence * 40503 + (occurrence * char) % 8191) >> 4) % dims
+    out = np.zeros((len(texts), dims), np.float32)
+    np.add.at(out, (owner, feature), 1)
+    return out, length
+
+
 def edit_edges(sequences: DataFrame, min_similarity: float = 0.5, length_filter: str = "reference", block_rows: int = BLOCK_SEQUENCES) -> DataFrame:
     """``src, dst, weight`` with ``src < dst``: pairs with ``1 - distance / longer length >= min_similarity``.
 
     ``sequences``: ``seg_id, units``; null sequences take no part, null elements are left out. Two empty sequences
     are no pair, nor is an empty one with another. ``length_filter``: ``"reference"`` also drops pairs whose
     lengths differ by more than ``min_similarity`` of the longer one, ``"lossless"`` only those that cannot pass.
-    The two agree at 0.5. Equal sequences are compared once and expanded at the end. Lengths bound the join: a
-    sequence meets only those whose length lies within the filter, by bands of lengths and blocks within them.
+    The two agree at 0.5. Equal sequences are compared once and expanded at the end.
+
+    A distance is at least the longer length less the number of units that both share. That number has an upper
+    bound by a matrix product of bags of units, taken for two blocks of sequences at a time; only pairs that it
+    lets pass get their distance, which is computed in the JVM. No pair is lost.
     """
     if length_filter not in ("reference", "lossless"):
         raise ValueError("length_filter is 'reference' or 'lossless'")
     rows = sequences.where("seg_id is not null and units is not null").select(F.col("seg_id").cast("bigint").alias("seg_id"), arrays.as_text(F.col("units")).alias("t")).where("t <> ''")
-    texts = rows.groupBy("t").agg(F.min("seg_id").alias("id")).withColumn("n", F.length("t"))
-    lossless = 1.0 - min_similarity
-    bound = min(lossless, min_similarity) if length_filter == "reference" else lossless
-    # Lengths in bands that grow by a constant factor; a partner is at most ``reach`` bands away.
-    ratio = 1.25
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio)))
-    if bound < 1:
-        reach = math.ceil(-math.log(1 - bound + 1e-12) / math.log(ratio)) + 1
-    else:
-        reach = 200
-    banded = texts.withColumn("band", band.cast("int"))
-    blocks = 16 if texts.count() > block_rows else 1
-    left = banded.select(F.col("id").alias("ia"), F.col("t").alias("ta"), F.col("n").alias("na"), "band", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("blk"))
-    spread = F.explode(F.sequence(F.col("band") - reach, F.col("band")))
-    right = banded.select(F.col("id").alias("ib"), F.col("t").alias("tb"), F.col("n").alias("nb"), F.col("band").alias("own"), spread.alias("band")).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    order = (F.col("band") < F.col("own")) | (F.col("ia") < F.col("ib"))
-    longest = F.greatest("na", "nb").cast("double")
-    near = F.abs(F.col("na") - F.col("nb")) / longest <= (F.lit(min_similarity) if length_filter == "reference" else F.lit(lossless))
-    pairs = left.join(right, ["band", "blk"]).where(order & near).select("ia", "ib", longest.alias("longest"), F.levenshtein("ta", "tb").alias("d"))
-    weight = F.lit(1.0) - F.col("d") / F.col("longest")
-    between = pairs.select("ia", "ib", weight.alias("weight")).where(F.col("weight") >= min_similarity)
-    copies = rows.join(texts.select("t", "id"), "t").select("id", "seg_id")
+    texts = rows.groupBy("t").agg(F.min("seg_id").alias("id"))
+    n = texts.count()
+    tasks = block_pairs(texts, "id", max(1, -(-n // block_rows))).select("lo", "hi", "block", "id", "t")
+    schema = pa.schema([("ia", pa.int64()), ("ib", pa.int64()), ("ta", pa.string()), ("tb", pa.string())])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_key(batches, 2):
+            lo, hi = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+            block, ids, t = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4)
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            bag, length = bags(t.to_pylist())
+            for begin in range(0, len(left), 512):
+                i = left[begin : begin + 512]
+                longest = np.maximum(length[i][:, None], length[right][None, :])
+                keep = bag[i] @ bag[right].T >= min_similarity * longest - 1e-3
+                if lo == hi:
+                    keep &= ids[i][:, None] < ids[right][None, :]
+                r, c = np.nonzero(keep)
+                for part in range(0, len(r), 65536):
+                    a, b = pa.array(i[r[part : part + 65536]]), pa.array(right[c[part : part + 65536]])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids).take(a), pa.array(ids).take(b), t.take(a), t.take(b)], schema=schema)
+
+    near = scan_tasks(tasks, ["lo", "hi"], ["id"], candidates, "ia bigint, ib bigint, ta string, tb string")
+    na, nb = F.length("ta"), F.length("tb")
+    longest = F.greatest(na, nb).cast("double")
+    most = min_similarity if length_filter == "reference" else 1.0 - min_similarity
+    weight = F.lit(1.0) - F.levenshtein("ta", "tb") / longest
+    between = near.where(F.abs(na - nb) / longest <= F.lit(most)).select("ia", "ib", weight.alias("weight")).where(F.col("weight") >= min_similarity)
+    copies = rows.join(texts, "t").select("id", "seg_id")
     a, b = copies.select(F.col("id").alias("ia"), F.col("seg_id").alias("sa")), copies.select(F.col("id").alias("ib"), F.col("seg_id").alias("sb"))
     across = between.join(a, "ia").join(b, "ib").select(F.least("sa", "sb").alias("src"), F.greatest("sa", "sb").alias("dst"), "weight")
     equal = a.join(b, F.col("ia") == F.col("ib")).where("sa < sb").select(F.col("sa").alias("src"), F.col("sb").alias("dst"), F.lit(1.0).alias("weight"))
