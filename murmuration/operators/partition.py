@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..session import write_table
+from .numbering import number_rows
 
 
 def class_numbers(assignments: DataFrame, order: str = "first") -> DataFrame:
@@ -15,12 +14,8 @@ def class_numbers(assignments: DataFrame, order: str = "first") -> DataFrame:
     none. Clusters are range-partitioned and numbered with offsets, so that there may be any number of them."""
     sizes = assignments.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("n_members"), F.min("seg_id").alias("first_id"))
     keys = ["first_id"] if order == "first" else ["neg", "first_id"]
-    ranged = sizes.withColumn("neg", -F.col("n_members")).repartitionByRange(*keys).withColumn("pid", F.spark_partition_id())
-    table = write_table(ranged, "classes").df
-    counts = table.groupBy("pid").agg(F.count("*").alias("n"))
-    offsets = counts.select("pid", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    local = F.row_number().over(Window.partitionBy("pid").orderBy(*keys)) - 1
-    return table.withColumn("local", local).join(F.broadcast(offsets), "pid").select("cluster", (F.col("local") + F.col("offset")).cast("int").alias("class"), "n_members")
+    numbers = number_rows(sizes.withColumn("neg", -F.col("n_members")), keys, "class", "classes")
+    return numbers.select("cluster", F.col("class").cast("int").alias("class"), "n_members")
 
 
 def member_lists(assignments: DataFrame) -> DataFrame:
@@ -61,6 +56,6 @@ def labels_are_contiguous(assignments: DataFrame) -> DataFrame:
 
 def relabelled(assignments: DataFrame) -> DataFrame:
     """``seg_id, cluster`` with clusters numbered from 0 without gaps, in their order; -1 and null stay."""
-    w = Window.orderBy("cluster")
-    numbers = assignments.where("cluster >= 0").select("cluster").distinct().select("cluster", (F.row_number().over(w) - 1).cast("int").alias("number"))
-    return assignments.join(numbers, "cluster", "left").select("seg_id", F.coalesce("number", F.col("cluster").cast("int")).alias("cluster"))
+    used = assignments.where("cluster >= 0").select("cluster").distinct()
+    numbers = number_rows(used, ["cluster"], "number", "clusters")
+    return assignments.join(numbers, "cluster", "left").select("seg_id", F.coalesce("number", "cluster").cast("int").alias("cluster"))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import arrays
 from ..functions.timebase import seconds_to_frames
 from ..session import write_table
+from .numbering import number_rows
 
 #: Boundaries of one utterance that one task scans; a longer list is cut, and the pieces are joined by their totals.
 CHUNK = 10_000
@@ -108,17 +109,8 @@ def unit_sequences(frame_units: DataFrame, intervals: DataFrame, collapsed: bool
 
 
 def numbered(segments: DataFrame, out: str = "seg_id") -> DataFrame:
-    """``segments`` with the position of each in the order of utterance, start and end, from 0: the vertex number.
-
-    Rows are range-partitioned and numbered within partitions; the counts of the partitions before are added.
-    """
-    keys = ["utt_id", "start_frame", "end_frame"]
-    ordered = segments.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("pid", F.spark_partition_id()).withColumn("mono", F.monotonically_increasing_id())
-    table = write_table(ordered, "numbered").df
-    counts = table.groupBy("pid").agg(F.count("*").alias("n"), F.min("mono").alias("base"))
-    w = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = counts.select("pid", "base", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
-    return table.join(F.broadcast(offsets), "pid").withColumn(out, F.col("mono") - F.col("base") + F.col("offset")).drop("pid", "mono", "base", "offset")
+    """``segments`` with the position of each in the order of utterance, start and end, from 0: the vertex number."""
+    return number_rows(segments, ["utt_id", "start_frame", "end_frame"], out)
 
 
 def valid_vectors(segments: DataFrame, dim: int, x: str = "features", id_col: str = "seg_id") -> DataFrame:

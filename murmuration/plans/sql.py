@@ -118,9 +118,9 @@ SELECT seg_id, count(weight) AS degree, round(coalesce(sum(weight), 0.0::DOUBLE)
     "member_lists": f"WITH {_CLASSES} SELECT class, count(*)::INT AS n_members, string_agg(seg_id::VARCHAR, ' ' ORDER BY seg_id) AS members FROM asg JOIN cls USING (cluster) GROUP BY class",
     "partition_lines": f"""WITH {_MEMBERS}, good AS (SELECT * FROM mem WHERE utt_id IS NOT NULL AND end_sec > start_sec AND cluster >= 0 AND run_id IS NOT NULL),
 asg AS (SELECT member_id, run_id::BIGINT * 1000000 + cluster AS cluster, utt_id, {_frame('start_sec')} AS s, {_frame('end_sec')} AS e FROM good),
-cls AS (SELECT cluster, row_number() OVER (ORDER BY min(member_id))::INT - 1 AS class, count(*)::INT AS n FROM asg GROUP BY cluster)
-SELECT class, 0 AS line_no, 'Class ' || class AS line FROM cls UNION ALL SELECT class, n + 1, '' FROM cls UNION ALL
-SELECT class, row_number() OVER (PARTITION BY class ORDER BY member_id)::INT, utt_id || ' ' || round(s * 20.0::DOUBLE / 1000.0::DOUBLE, 2) || ' ' || round(e * 20.0::DOUBLE / 1000.0::DOUBLE, 2) FROM asg JOIN cls USING (cluster)""",
+cls AS (SELECT cluster, row_number() OVER (ORDER BY min(member_id))::INT - 1 AS class FROM asg GROUP BY cluster)
+SELECT class, 0 AS part, -1::BIGINT AS pos, 'Class ' || class AS line FROM cls UNION ALL SELECT class, 2, -1, '' FROM cls UNION ALL
+SELECT class, 1, member_id, utt_id || ' ' || round(s * 20.0::DOUBLE / 1000.0::DOUBLE, 2) || ' ' || round(e * 20.0::DOUBLE / 1000.0::DOUBLE, 2) FROM asg JOIN cls USING (cluster)""",
     "cluster_sizes": f"WITH {_MEMBERS} SELECT run_id, cluster, count(*) AS n_members FROM mem WHERE cluster >= 0 GROUP BY ALL",
     "size_summary": f"""WITH {_MEMBERS}, sizes AS (SELECT run_id, cluster, count(*) AS n FROM mem WHERE cluster >= 0 GROUP BY ALL)
 SELECT run_id, count(*) AS active, min(n) AS min_size, median(n) AS median_size, round(avg(n), 6) AS mean_size, max(n) AS max_size, 1000 - count(*) AS empty FROM sizes GROUP BY run_id""",

@@ -49,23 +49,22 @@ def read_boundaries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def partition_lines(members: DataFrame) -> DataFrame:
-    """``class, line_no, line`` of a partition file: for each class a heading ``Class k``, a line ``utterance start
-    end`` for each member, with times in seconds, and an empty line. ``members`` has ``class, pos, utt_id,
-    start_frame, end_frame``."""
+    """``class, part, pos, line`` of a partition file, whose order is that of the first three: for each class a
+    heading ``Class k`` (part 0), a line ``utterance start end`` for each member, with times in seconds (part 1),
+    and an empty line (part 2). ``members`` has ``class, pos, utt_id, start_frame, end_frame``."""
     start, end = (frames_to_seconds(F.col(c)).cast("string") for c in ("start_frame", "end_frame"))
-    order = F.row_number().over(Window.partitionBy("class").orderBy("pos"))
-    body = members.select("class", order.alias("line_no"), F.concat_ws(" ", "utt_id", start, end).alias("line"))
-    classes = members.groupBy("class").agg(F.count("*").alias("n"))
-    heads = classes.select("class", F.lit(0).alias("line_no"), F.concat(F.lit("Class "), F.col("class").cast("string")).alias("line"))
-    ends = classes.select("class", (F.col("n") + 1).cast("int").alias("line_no"), F.lit("").alias("line"))
-    return heads.unionByName(body).unionByName(ends)
+    none = F.lit(-1).cast("bigint")
+    body = members.select("class", F.lit(1).alias("part"), F.col("pos").cast("bigint").alias("pos"), F.concat_ws(" ", "utt_id", start, end).alias("line"))
+    classes = members.select("class").distinct()
+    heads = classes.select("class", F.lit(0).alias("part"), none.alias("pos"), F.concat(F.lit("Class "), F.col("class").cast("string")).alias("line"))
+    return heads.unionByName(body).unionByName(classes.select("class", F.lit(2).alias("part"), none.alias("pos"), F.lit("").alias("line")))
 
 
 def write_partition(members: DataFrame, path: str) -> None:
     """Write a partition as text files that, in the order of their names, are one partition file: the lines are
     range-partitioned by class and position, so no task holds more than its share."""
-    ordered = partition_lines(members).repartitionByRange("class", "line_no").sortWithinPartitions("class", "line_no")
-    ordered.select("line").write.text(path)
+    order = ("class", "part", "pos")
+    partition_lines(members).repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
 
 
 def read_partition(spark: SparkSession, path: str) -> DataFrame:
