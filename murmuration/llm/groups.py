@@ -40,7 +40,7 @@ EXACT_ANCHORS = 8192
 SPLIT_ROWS = 1_000_000
 #: Vectors an anchor, on average, until there are MAX_ANCHORS.
 ROWS_PER_ANCHOR = 100
-SET_SIZE, BANDS = 14, 10
+SET_SIZE, BANDS = 8, 16
 _EDGES = "a bigint, b bigint, sure boolean"
 
 
@@ -49,8 +49,9 @@ def anchor_vectors(rows: DataFrame, mean: np.ndarray, n: int, dim: int) -> np.nd
     wanted = int(np.clip(n // ROWS_PER_ANCHOR, MIN_ANCHORS, MAX_ANCHORS))
     share = min(1.0, 3.0 * wanted / max(n, 1))
     picked = rows.where(F.pmod(hashed("id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(hashed("id"), "id").limit(2 * wanted).toArrow()
-    at, x = usable(picked["x"].combine_chunks(), dim) if picked.num_rows else (None, np.zeros((0, dim)))
-    return unit(np.unique(x, axis=0)[:wanted], mean).astype(np.float32)
+    x = usable(picked["x"].combine_chunks(), dim)[1] if picked.num_rows else np.zeros((0, dim))
+    first = np.sort(np.unique(x, axis=0, return_index=True)[1])  # different vectors, in the order of the hash
+    return unit(x[first[:wanted]], mean).astype(np.float32)
 
 
 def code(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,6 +116,11 @@ def similarities(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.n
     return r[keep], c[keep], (over >= margin)[keep]
 
 
+def strip_rows(others: int) -> int:
+    """Rows that are compared with so many others at once: where all are alike, each pair takes some 60 bytes."""
+    return max(16, (1 << 20) // max(others, 1))
+
+
 def floats(batch: pa.RecordBatch, code_at: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """The decoded vectors of a batch with ``code, scale, err`` from a column on, and twice the errors' share of
     the bound: ``|x.y - x'.y'| <= |x'| err_y + err_x |y| <= 1.01 (err_x + err_y)``."""
@@ -122,12 +128,13 @@ def floats(batch: pa.RecordBatch, code_at: int, dim: int) -> tuple[np.ndarray, n
     return codes * batch.column(code_at + 1).to_numpy()[:, None], (1.01 * batch.column(code_at + 2).to_numpy() + 1e-6).astype(np.float32)
 
 
-def spanning_links(ids: np.ndarray, blocks: list[np.ndarray], x: tuple, threshold: float, rows: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spanning_links(ids: np.ndarray, blocks: list[np.ndarray], x: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A spanning forest of the sure links among ``ids`` (between the blocks if there are two), as links to the
     smallest id; and all unsure pairs. All pairs are compared, a strip at a time."""
     label = np.arange(len(ids))
     unsure: list[np.ndarray] = []
     left, right = blocks
+    rows = strip_rows(len(right))
     for begin in range(0, len(left), rows):
         i = left[begin : begin + rows]
         j = right if left is not right else right[begin:]
@@ -203,8 +210,9 @@ def member_degrees(members: DataFrame, dim: int, threshold: float, most_groups:
             left, right = _task_blocks(batch, 1)
             x = floats(batch, 5, dim)
             degree, unsure = np.zeros(len(ids), np.int64), []
-            for begin in range(0, len(left), 512):
-                i = left[begin : begin + 512]
+            rows = strip_rows(len(right))
+            for begin in range(0, len(left), rows):
+                i = left[begin : begin + rows]
                 r, c, sure = similarities((x[0][i], x[1][i]), (x[0][right], x[1][right]), threshold)
                 a, b = i[r], right[c]
                 other = a != b
