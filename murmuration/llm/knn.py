@@ -36,7 +36,7 @@ SAMPLE_PER_LIST = 8
 class CentroidGraph:
     """Centroids, pivots among them, and the edges from each pivot to the centroids around it."""
 
-    def __init__(self, centroids: np.ndarray, fan: int = 384, entries: int = 3) -> None:
+    def __init__(self, centroids: np.ndarray, fan: int = 512, entries: int = 4) -> None:
         self.centroids = centroids
         m = len(centroids)
         self.fan, self.entries = min(fan, m), entries
@@ -124,7 +124,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query: np.ndarray, stored: np.n
     return tuple(np.concatenate(parts) for parts in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.0, queries: str | None = None, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", store_ratio: float = 1.2, query_ratio: float = 1.2, most_stored: int = 6, most_searched: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.0, queries: str | None = None, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", store_ratio: float = 1.25, query_ratio: float = 1.25, most_stored: int = 6, most_searched: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id, neighbour, similarity, place`` (1 to k) of the k most similar vectors of each query.
 
     A vector is usable if it has ``dim`` elements, all non-null and finite and not all zero; other rows, and rows
@@ -142,7 +142,7 @@ def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.
     lists = int(np.clip(n // ROWS_PER_LIST, MIN_LISTS, MAX_LISTS))
     share = min(1.0, SAMPLE_PER_LIST * lists / max(n, 1))
     sample = rows.where(F.pmod(hashed("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE_PER_LIST * lists).select("x").toArrow()
-    fitted = unit(usable(sample["x"].combine_chunks(), dim)[1], mean).astype(np.float32) if sample.num_rows else np.zeros((0, dim), np.float32)
+    fitted = unit(np.unique(usable(sample["x"].combine_chunks(), dim)[1], axis=0), mean).astype(np.float32) if sample.num_rows else np.zeros((0, dim), np.float32)
     if not len(fitted):
         fitted = np.eye(1, dim, dtype=np.float32)
     shared = rows.sparkSession.sparkContext.broadcast((mean, CentroidGraph(fit_centroids(fitted, lists))))
