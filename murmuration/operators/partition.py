@@ -19,7 +19,7 @@ def class_numbers(assignments: DataFrame, order: str = "first") -> DataFrame:
 
 
 def member_lists(assignments: DataFrame) -> DataFrame:
-    """``class, members``: the sorted ids of each class as one list, which is the reference form of a partition; a
+    """``class, members``: the sorted ids of each class as one list, which is the list form of a partition; a
     class must fit into a row."""
     classes = class_numbers(assignments)
     return assignments.join(classes, "cluster").groupBy("class").agg(F.array_sort(F.collect_list("seg_id")).alias("members"))

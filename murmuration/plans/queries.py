@@ -185,7 +185,7 @@ def _base_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def edit_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of sequences at an edit similarity of 0.4, with the reference's filter by length."""
+    """Pairs of sequences at an edit similarity of 0.4, dropping pairs by length as the behaviour to be matched does."""
     return pairs.edit_edges(_base_sequences(spark, folder), 0.4).select("src", "dst", F.round("weight", 5).alias("weight"))
 
 
