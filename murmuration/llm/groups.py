@@ -2,7 +2,9 @@
 
 * **Sets.** MinHash needs sets. A vector's set is the ``set_size`` anchors most similar to it, out of a bounded
   random sample of the vectors themselves. Vectors at a high cosine have much of their sets in common (a Jaccard
-  similarity of 0.35 to 0.45 at a cosine of 0.87), others next to nothing.
+  similarity of 0.35 to 0.45 at a cosine of 0.87), others next to nothing. The denser the anchors, the less of
+  its set a pair shares, so ``set_size`` and ``bands`` are found for the anchors at hand: the least with which
+  pairs at just the threshold, made up from the anchors, meet in a bucket with the ``recall`` that is asked for.
 * **Banding.** Each of ``bands`` hash functions picks one anchor of the set: the vector's bucket. All bands share
   one space of buckets, so two picks that agree need not be of the same band. A bucket with many rows is cut into
   blocks, each pair of which is a task.
@@ -40,7 +42,10 @@ EXACT_ANCHORS = 8192
 SPLIT_ROWS = 1_000_000
 #: Vectors an anchor, on average, until there are MAX_ANCHORS.
 ROWS_PER_ANCHOR = 100
+#: The least set size and number of bands; as many bands an anchor of the set are kept for larger sets.
 SET_SIZE, BANDS = 8, 16
+#: Share of the pairs at just the threshold that are to meet in a bucket, where no anchor is of their group.
+RECALL = 0.95
 _EDGES = "a bigint, b bigint, sure boolean"
 
 
@@ -79,10 +84,58 @@ def minhash_keys(near: np.ndarray, permutations: np.ndarray) -> list[np.ndarray]
     return [k[m].astype(np.int32) for k, m in zip(keys, new)]
 
 
+def hash_orders(n_anchors: int, bands: int) -> np.ndarray:
+    """An order of the anchors for each band."""
+    rng = np.random.default_rng(3)
+    return np.stack([rng.permutation(max(n_anchors, 1)) for _ in range(bands)]).astype(np.int32)
+
+
+def threshold_pairs(anchors: np.ndarray, threshold: float, pairs: int, most: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest anchors, nearest first, of both vectors of pairs with just the cosine ``threshold``.
+
+    A pair is an anchor and a vector that leaves it in a direction with the covariance of the anchors. Anchors that
+    are alike with the first are left out, as if none were of the pair's group: so it is for small groups."""
+    rng = np.random.default_rng(seed)
+    some = anchors[rng.permutation(len(anchors))[:4096]]
+    left, right = [], []
+    for begin in range(0, pairs, 32):
+        x = anchors[rng.integers(len(anchors), size=min(32, pairs - begin))]
+        away = rng.normal(size=(len(x), len(some))).astype(np.float32) @ some
+        away -= np.einsum("ij,ij->i", away, x)[:, None] * x
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+        s = x @ anchors.T
+        own = s >= threshold
+        for side, near in ((left, s), (right, threshold * s + np.sqrt(1 - threshold**2) * (away @ anchors.T))):
+            near = np.where(own, np.float32(-9), near)
+            top = np.argpartition(-near, most - 1, axis=1)[:, :most]
+            side.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1), 1))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def shared_bucket(left: np.ndarray, right: np.ndarray, permutations: np.ndarray) -> float:
+    """Share of the pairs of sets that meet in a bucket."""
+    return float(np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(minhash_keys(left, permutations), minhash_keys(right, permutations))]))
+
+
+def fitted_sets(anchors: np.ndarray, threshold: float, recall: float = RECALL, pairs: int = 1024) -> tuple[int, int]:
+    """Set size and bands: the least with which ``threshold_pairs`` meet at ``recall``. All anchors are the last
+    resort: with them, all vectors meet."""
+    m = len(anchors)
+    if m <= SET_SIZE or threshold >= 1:
+        return SET_SIZE, BANDS
+    most, size = min(m, 256), SET_SIZE
+    left, right = threshold_pairs(anchors, max(threshold, 0.0), pairs, most)
+    while size < most:
+        bands = size * BANDS // SET_SIZE
+        if shared_bucket(left[:, :size], right[:, :size], hash_orders(m, bands)) >= recall:
+            return size, bands
+        size += max(1, size // 8)
+    return m, BANDS
+
+
 def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, bands: int, set_size: int) -> DataFrame:
     """``vhash, id, code, scale, err, keys`` of each row with a usable vector; ``vhash`` is the same for equal ones."""
-    rng = np.random.default_rng(3)
-    permutations = np.stack([rng.permutation(max(len(anchors), 1)) for _ in range(bands)]).astype(np.int32)
+    permutations = hash_orders(len(anchors), bands)
     graph = CentroidGraph(anchors, fan=1024, entries=4) if len(anchors) > EXACT_ANCHORS else None
     shared = rows.sparkSession.sparkContext.broadcast((mean, anchors, graph, permutations))
     schema = pa.schema([("vhash", pa.binary()), ("id", pa.int64()), ("code", pa.binary()), ("scale", pa.float32()), ("err", pa.float32()), ("keys", pa.list_(pa.int32()))])
@@ -284,7 +337,7 @@ def split_large(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     return state.df.join(parts, "medoid").select("id", "part")
 
 
-def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", bands: int = BANDS, set_size: int = SET_SIZE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", bands: int | None = None, set_size: int | None = None, block_rows: int = BLOCK_ROWS, recall: float = RECALL) -> DataFrame:
     """Groups of similar vectors.
 
     A vector is usable if it has ``dim`` elements, all non-null and finite and not all zero; other rows, and rows
@@ -296,11 +349,15 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     once), ``typicality`` the mean similarity to the component's vectors. A vector without any link is a group of
     one. Empty tables give an empty result; other columns are not read.
 
-    Links are found by banding, at a recall that ``bands`` and ``set_size`` set; a link that is found is exact.
+    Links are found by banding; a link that is found is exact. ``bands`` and ``set_size`` are fitted to the anchors,
+    whatever their number, so that pairs at just the threshold are found with about ``recall`` and others with more.
     """
     rows = vector_rows(segments, id_col, vector_col)
     mean, n = centre(rows, dim)
     anchors = anchor_vectors(rows, mean, n, dim)
+    if bands is None or set_size is None:
+        fitted = fitted_sets(anchors, threshold, recall)
+        set_size, bands = set_size or fitted[0], bands or fitted[1]
     every = write_table(coded(rows, mean, anchors, dim, bands, set_size).withColumn("row", F.monotonically_increasing_id()), "codes")
     # Equal vectors are found by their hashes alone, so that the codes are not shuffled for it.
     hashes = every.df.select("vhash", "id", "row")

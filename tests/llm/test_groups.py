@@ -112,6 +112,21 @@ def test_anchors_through_the_graph(spark, monkeypatch):
     assert {r["component"] for r in got.values() if r["tight"]} == tight
 
 
+@pytest.mark.parametrize("n", [500, 4000, 30000])
+def test_pairs_at_the_threshold_meet_however_many_anchors(n):
+    rng = np.random.default_rng(8)
+    anchors = rng.normal(size=(n, 64)).astype(np.float32)
+    anchors /= np.linalg.norm(anchors, axis=1, keepdims=True)
+    size, bands = groups.fitted_sets(anchors, 0.74)
+    x, away = rng.normal(size=(2, 500, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away -= (away * x).sum(1, keepdims=True) * x
+    y = 0.74 * x + np.sqrt(1 - 0.74**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    sets = [np.argsort(-(v @ anchors.T), axis=1)[:, :size] for v in (x, y.astype(np.float32))]
+    assert groups.shared_bucket(*sets, groups.hash_orders(n, bands)) >= 0.92
+    assert size < 64
+
+
 def test_borderline_pairs_are_decided_on_full_vectors(spark):
     rng = np.random.default_rng(3)
     rows = clustered(rng, [1] * 30 + [12] * 8, 0.6)
