@@ -32,11 +32,10 @@ from pyspark.sql import functions as F
 from ..arrowtools import by_key, packed, scan_tasks, unpacked
 from ..session import write_table
 from .components import connected_components
-from .knn import CentroidGraph
 from .vectors import BLOCK_ROWS, centre, hashed, in_blocks, unit, usable, vector_rows
 
 MIN_ANCHORS, MAX_ANCHORS = 64, 131_072
-#: Up to so many anchors a vector is compared with all of them, beyond with those that a graph leads to.
+#: Anchors of one matrix product. A vector is always compared with all anchors, so many at a time.
 EXACT_ANCHORS = 8192
 #: Members of a loose component whose codes one task holds: 130 MB. Larger ones are split in rounds.
 SPLIT_ROWS = 1_000_000
@@ -66,13 +65,28 @@ def code(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
 
 
-def nearest_anchors(x: np.ndarray, anchors: np.ndarray, graph: CentroidGraph | None, size: int) -> np.ndarray:
-    """The set of each vector; through the graph it may have fewer anchors, which are then repeated."""
+def nearest_anchors(x: np.ndarray, anchors: np.ndarray, size: int, block: int = EXACT_ANCHORS) -> np.ndarray:
+    """The set of each vector, out of all anchors, ``block`` of which are compared at once."""
     size = min(size, len(anchors))
-    if graph is None:
-        return np.argpartition(x @ anchors.T, len(anchors) - size, axis=1)[:, -size:]
-    near, _ = graph.search(x, size)
-    return np.where(near >= 0, near, near[:, :1])
+    block = max(block, size)
+    s = x @ anchors[:block].T
+    near = np.argpartition(s, s.shape[1] - size, axis=1)[:, -size:]
+    if len(anchors) <= block:
+        return near
+    best = np.take_along_axis(s, near, 1)
+    for begin in range(block, len(anchors), block):
+        s = x @ anchors[begin : begin + block].T
+        r, c = np.nonzero(s > best.min(1, keepdims=True))
+        if not len(r):
+            continue
+        # Nearer ones are few; with the sets so far, the best of each row.
+        row = np.append(np.repeat(np.arange(len(x)), size), r)
+        ids, sims = np.append(near, c + begin), np.append(best, s[r, c])
+        order = np.lexsort((-sims, row))
+        first = np.searchsorted(row[order], np.arange(len(x)))
+        keep = order[first[:, None] + np.arange(size)]
+        near, best = ids[keep], sims[keep]
+    return near
 
 
 def minhash_keys(near: np.ndarray, permutations: np.ndarray) -> list[np.ndarray]:
@@ -136,14 +150,14 @@ def fitted_sets(anchors: np.ndarray, threshold: float, recall: float = RECALL, p
 def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, bands: int, set_size: int) -> DataFrame:
     """``vhash, id, code, scale, err, keys`` of each row with a usable vector; ``vhash`` is the same for equal ones."""
     permutations = hash_orders(len(anchors), bands)
-    graph = CentroidGraph(anchors, fan=1024, entries=4) if len(anchors) > EXACT_ANCHORS else None
-    shared = rows.sparkSession.sparkContext.broadcast((mean, anchors, graph, permutations))
+    at_once = EXACT_ANCHORS
+    shared = rows.sparkSession.sparkContext.broadcast((mean, anchors, permutations))
     schema = pa.schema([("vhash", pa.binary()), ("id", pa.int64()), ("code", pa.binary()), ("scale", pa.float32()), ("err", pa.float32()), ("keys", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        mean, anchors, graph, permutations = shared.value
+        mean, anchors, permutations = shared.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 4096):
                 part = batch.slice(begin, 4096)
@@ -153,7 +167,7 @@ def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, band
                 key = [xxhash.xxh3_128_digest(v.tobytes()) for v in (raw + 0.0).astype(np.float32)]
                 x = unit(raw, mean)
                 codes, scale, err = code(x)
-                buckets = minhash_keys(nearest_anchors(x.astype(np.float32), anchors, graph, set_size), permutations)
+                buckets = minhash_keys(nearest_anchors(x.astype(np.float32), anchors, set_size, at_once), permutations)
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), part.column(0).take(pa.array(at)), packed(codes), pa.array(scale.astype(np.float32)), pa.array((err + 1e-6).astype(np.float32)), pa.array(buckets, pa.list_(pa.int32()))], schema=schema)
 
     return rows.mapInArrow(encode, "vhash binary, id bigint, code binary, scale float, err float, keys array<int>")

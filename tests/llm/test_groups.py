@@ -127,6 +127,14 @@ def test_pairs_at_the_threshold_meet_however_many_anchors(n):
     assert size < 64
 
 
+def test_sets_are_exact_with_many_anchors():
+    rng = np.random.default_rng(11)
+    anchors, x = rng.normal(size=(20000, 64)).astype(np.float32), rng.normal(size=(200, 64)).astype(np.float32)
+    want = np.sort(np.argsort(-(x @ anchors.T), axis=1)[:, :20], axis=1)
+    for block in (7, 8192, 20000):
+        assert (np.sort(groups.nearest_anchors(x, anchors, 20, block), axis=1) == want).all()
+
+
 def test_borderline_pairs_are_decided_on_full_vectors(spark):
     rng = np.random.default_rng(3)
     rows = clustered(rng, [1] * 30 + [12] * 8, 0.6)
