@@ -3,9 +3,10 @@
 * **Lists.** Centroids are fitted by k-means on a bounded sample; one whose list is too long is split. Every vector
   is posted to the list of its nearest centroid and, near a boundary, to those whose centroid is not much
   farther: whose distance is at most ``store_ratio`` times the smallest.
-* **Centroid search** goes through a graph in memory with two layers: a vector enters at the nearest of a few
-  pivots and follows their edges to centroids, so it is compared with some hundred of thousands of centroids.
-* **Pruning.** A query searches the lists whose centroid is at most ``query_ratio`` times as far as the nearest.
+* **Centroid search** goes through a graph in memory with two layers, pivots and their edges to centroids. The edges
+  are as many as the centroids, so that the nearest lists are exact; a bounded fan loses them as lists grow.
+* **Pruning.** A query searches the lists whose centroid is at most ``query_ratio`` times as far as the nearest. How
+  far and how many are widened until a sample of the queries finds the neighbours that all rows hold for it.
   Where all vectors are queries, the posting of a vector to a list serves as its query there as well.
 * A list is a task; one with too many rows is cut into blocks, each pair of which is a task, so nothing is left
   out. A task gives the k best for each query, and an aggregation the k best of these.
@@ -29,6 +30,8 @@ from .vectors import BLOCK_ROWS, centre, hashed, in_blocks, is_usable, unit, usa
 MIN_LISTS, MAX_LISTS = 8, 16384
 #: Vectors a list, on average, until there are MAX_LISTS.
 ROWS_PER_LIST = 100
+#: Queries whose true neighbours are looked up in all rows, to see how many lists must be searched.
+TRIAL_QUERIES = 1024
 #: Vectors of the sample for each list; the sample has at most this times MAX_LISTS.
 SAMPLE_PER_LIST = 8
 
@@ -100,6 +103,70 @@ def chosen_lists(ids: np.ndarray, sims: np.ndarray, ratio: float) -> np.ndarray:
     return (ids >= 0) & (far <= ratio * far[:, :1] + 1e-6)
 
 
+def true_neighbours(rows: DataFrame, ids: np.ndarray, x: np.ndarray, mean: np.ndarray, dim: int, k: int, least: float) -> DataFrame:
+    """``q, top``: for the queries, by their place in ``ids``, the k most similar of all rows with their vectors."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, x, mean))
+    spare = k + 4  # ids that repeat take up places
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, mean = shared.value
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, dim), np.float32))
+        floor = np.full(len(ids), least, np.float32)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2048):
+                part = batch.slice(begin, 2048)
+                at, y = usable(part.column(1), dim)
+                if not len(at):
+                    continue
+                own, y = part.column(0).to_numpy()[at], unit(y, mean).astype(np.float32)
+                s = y @ x.T
+                s[own[:, None] == ids[None, :]] = -9
+                if len(y) > spare and np.isin(floor, np.float32(least)).any():  # else all rows would pass
+                    floor = np.maximum(floor, np.partition(s, len(y) - spare, axis=0)[len(y) - spare])
+                r, c = np.nonzero(s >= floor)
+                q, n, sims = (np.concatenate(pair) for pair in zip(found, (c, own[r], s[r, c])))
+                v, source = np.concatenate([found[3], y]), np.append(np.arange(len(found[0])), len(found[0]) + r)
+                order = np.lexsort((n, -sims, q))
+                start = np.searchsorted(q[order], np.arange(len(ids)))
+                keep = order[np.arange(len(order)) - start[q[order]] < spare]
+                found = (q[keep], n[keep], sims[keep], v[source[keep]])
+                count = np.bincount(found[0], minlength=len(ids))
+                lowest = np.full(len(ids), np.inf, np.float32)
+                np.minimum.at(lowest, found[0], found[2])
+                floor = np.where(count >= spare, np.maximum(floor, lowest), floor)
+        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.float64)), packed(found[3])], names=["q", "neighbour", "s", "x"])
+
+    near = rows.select("id", "x").mapInArrow(best, "q bigint, neighbour bigint, s double, x binary")
+    return near.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("s"), "neighbour", "x"))), 1, k).alias("top"))
+
+
+def fitted_search(graph: CentroidGraph, x: np.ndarray, q: np.ndarray, s: np.ndarray, y: np.ndarray, store_ratio: float, most_stored: int, query_ratio: float, most_searched: int, recall: float) -> tuple[float, int]:
+    """The ratio and number of lists, at least those given, with which the queries ``x[q]`` find their true neighbours
+    ``y`` of similarities ``s`` at ``recall``, both in all and for the fifth with the farthest neighbours."""
+    lists = len(graph.centroids)
+    far = np.full(len(x), np.inf)
+    np.minimum.at(far, q, s)
+    asked = np.unique(q)
+    hard = np.isin(q, asked[np.argsort(far[asked], kind="stable")[: -(-len(asked) // 5)]])
+    place = np.full((len(q), most_stored), lists)
+    times = np.full((len(q), most_stored), np.inf)
+    for begin in range(0, len(q), 256):
+        cut = slice(begin, begin + 256)
+        kept, sims = graph.search(y[cut], most_stored)
+        stored = chosen_lists(kept, sims, store_ratio)
+        to = np.sqrt(np.maximum(2.0 - 2.0 * (x[q[cut]] @ graph.centroids.T), 0.0))
+        rank = np.empty(to.shape, np.int64)
+        np.put_along_axis(rank, np.argsort(to, axis=1, kind="stable"), np.arange(lists)[None, :], 1)
+        for out, value, missing in ((place, rank, lists), (times, to / np.maximum(to.min(1, keepdims=True), 1e-6), np.inf)):
+            out[cut, : kept.shape[1]] = np.where(stored, np.take_along_axis(value, np.maximum(kept, 0), 1), missing)
+    while most_searched < lists:
+        found = ((place < most_searched) & (times <= query_ratio)).any(1)
+        if not len(q) or min(found.mean(), found[hard].mean()) >= recall:
+            return query_ratio, most_searched
+        query_ratio, most_searched = query_ratio * 1.02, most_searched + max(1, most_searched // 5)
+    return np.inf, lists
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, query: np.ndarray, stored: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, neighbour row, similarity) of the k best stored rows of each query row; ties: smallest id."""
     out: list[tuple[np.ndarray, ...]] = []
@@ -124,7 +191,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query: np.ndarray, stored: np.n
     return tuple(np.concatenate(parts) for parts in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.0, queries: str | None = None, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", store_ratio: float = 1.25, query_ratio: float = 1.25, most_stored: int = 6, most_searched: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.0, queries: str | None = None, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", store_ratio: float = 1.25, query_ratio: float = 1.25, most_stored: int = 6, most_searched: int = 6, block_rows: int = BLOCK_ROWS, recall: float = 0.95) -> DataFrame:
     """``id, neighbour, similarity, place`` (1 to k) of the k most similar vectors of each query.
 
     A vector is usable if it has ``dim`` elements, all non-null and finite and not all zero; other rows, and rows
@@ -135,7 +202,9 @@ def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.
     first. Empty tables give an empty result, and a query without neighbours no row; other columns are not read.
 
     The search is approximate: a neighbour is found if its lists (at most ``most_stored``) and the query's (at most
-    ``most_searched``) have one in common. What is found has its exact similarity.
+    ``most_searched``) have one in common. ``query_ratio`` and ``most_searched`` are the least that is searched: both
+    are widened, up to all lists, until a sample of the queries finds the share ``recall`` of its true neighbours,
+    also where these are farthest. What is found has its exact similarity.
     """
     rows = vector_rows(segments, id_col, vector_col)
     mean, n = centre(rows, dim)
@@ -145,7 +214,9 @@ def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.
     fitted = unit(np.unique(usable(sample["x"].combine_chunks(), dim)[1], axis=0), mean).astype(np.float32) if sample.num_rows else np.zeros((0, dim), np.float32)
     if not len(fitted):
         fitted = np.eye(1, dim, dtype=np.float32)
-    shared = rows.sparkSession.sparkContext.broadcast((mean, CentroidGraph(fit_centroids(fitted, lists))))
+    centroids = fit_centroids(fitted, lists)
+    graph = CentroidGraph(centroids, fan=len(centroids))
+    shared = rows.sparkSession.sparkContext.broadcast((mean, graph))
 
     # Equal vectors beyond the first k + 1.
     keyed = rows.where(F.size("x") == dim).withColumn("h", F.xxhash64("x"))
@@ -157,27 +228,40 @@ def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.
         first = write_table(among.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1), "first-copies")
         surplus = write_table(among.join(first.df.select("id"), "id", "left_anti"), "surplus-copies")
         rows = rows.join(surplus.df.select("id"), "id", "left_anti")
+    asked = F.expr(f"coalesce({queries}, false)") if queries else F.lit(True)
+    if most_searched < len(centroids):
+        picked = rows.where(asked & (F.size("x") == dim)).where(is_usable("x")).orderBy(hashed("id"), "id").limit(TRIAL_QUERIES).toArrow()
+        at, trial = usable(picked["x"].combine_chunks(), dim) if picked.num_rows else (np.zeros(0, np.int64), np.zeros((0, dim)))
+        trial = unit(trial, mean).astype(np.float32)
+        ids = picked["id"].to_numpy()[at] if len(at) else np.zeros(0, np.int64)
+        near = true_neighbours(rows, ids, trial, mean, dim, k, min_similarity).select("q", F.explode("top").alias("t")).select("q", (-F.col("t.s")).alias("s"), "t.x").toArrow() if len(at) else None
+        if near is not None and near.num_rows:
+            query_ratio, most_searched = fitted_search(graph, trial, near["q"].to_numpy(), near["s"].to_numpy(), unpacked(near["x"].combine_chunks(), np.float32, dim), store_ratio, most_stored, query_ratio, most_searched, recall)
     schema = pa.schema([("list", pa.int32()), ("id", pa.int64()), ("role", pa.int32()), ("x", pa.binary())])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, graph = shared.value
+        step = int(np.clip((1 << 23) // len(graph.centroids), 64, 4096))
         for batch in batches:
-            for begin in range(0, batch.num_rows, 4096):
-                part = batch.slice(begin, 4096)
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
                 at, x = usable(part.column(1), dim)
                 if not len(at):
                     continue
                 x = unit(x, mean).astype(np.float32)
                 asks = part.column(2).to_numpy(zero_copy_only=False)[at].astype(bool)
-                found, sims = graph.search(x, max(most_stored, most_searched))
-                place = np.arange(found.shape[1])
-                store = chosen_lists(found, sims, store_ratio) & (place < most_stored)
-                ask = chosen_lists(found, sims, query_ratio) & (place < most_searched) & asks[:, None]
-                r, c = np.nonzero(store | ask)
-                role = store[r, c] + 2 * ask[r, c]
-                yield pa.RecordBatch.from_arrays([pa.array(found[r, c].astype(np.int32)), part.column(0).take(pa.array(at[r])), pa.array(role.astype(np.int32)), packed(x[r])], schema=schema)
+                # Only queries are compared with more lists than they are stored in.
+                for some, want in ((np.flatnonzero(asks), max(most_stored, most_searched)), (np.flatnonzero(~asks), most_stored)):
+                    if not len(some):
+                        continue
+                    found, sims = graph.search(x[some], want)
+                    place = np.arange(found.shape[1])
+                    store = chosen_lists(found, sims, store_ratio) & (place < most_stored)
+                    ask = chosen_lists(found, sims, query_ratio) & (place < most_searched) & asks[some][:, None]
+                    r, c = np.nonzero(store | ask)
+                    role = store[r, c] + 2 * ask[r, c]
+                    yield pa.RecordBatch.from_arrays([pa.array(found[r, c].astype(np.int32)), part.column(0).take(pa.array(at[some[r]])), pa.array(role.astype(np.int32)), packed(x[some[r]])], schema=schema)
 
-    asked = F.expr(f"coalesce({queries}, false)") if queries else F.lit(True)
     postings = rows.select("id", "x", asked.alias("asks")).mapInArrow(post, "list int, id bigint, role int, x binary")
     tasks = in_blocks(postings, "list", "id", MAX_LISTS, block_rows).select("list", "lo", "hi", "block", "id", "role", "x")
 
@@ -212,5 +296,5 @@ def similar_pairs(segments: DataFrame, k: int = 5, min_similarity: float = 0.97,
     """``id_a, id_b, similarity`` with ``id_a < id_b``: pairs of at least ``min_similarity`` of which one is among
     the other's k most similar vectors, as ``nearest_vectors`` finds them. Of more than ``k + 1`` equal vectors the
     pairs are those with the first of them, so copies are not expanded into all pairs."""
-    near = nearest_vectors(segments, k, min_similarity, **options)
+    near = nearest_vectors(segments, k, min_similarity, **({"recall": 0.99} | options))
     return near.groupBy(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).agg(F.max("similarity").alias("similarity"))

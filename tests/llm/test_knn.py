@@ -52,6 +52,22 @@ def test_recall_with_few_lists(spark):
     assert hit >= 0.9 * 5 * len(want)
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_recall_of_single_vectors_does_not_fall_with_the_rows(spark, n):
+    rng = np.random.default_rng(12)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(n, DIM)).astype(np.float32).tolist())]
+    x = np.array([v for _, v in rows])
+    x = x - x.mean(0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = run(spark, rows, k=5, queries="id % 10 = 0", query_ratio=1.05, most_searched=2)
+    hit = 0
+    for i in range(0, n, 10):
+        s = x @ x[i]
+        s[i] = -9
+        hit += len({m for m, _ in got[i]} & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 0.92 * 5 * len(range(0, n, 10))
+
+
 def test_copies_beyond_the_first(spark):
     rng = np.random.default_rng(3)
     rows = clustered(rng, [1] * 50)
