@@ -415,10 +415,55 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     return full.join(sizes, "group_id").join(in_component, "component").select("id", "group_id", "n_members", "tight", "degree", "typicality", "component", "n_component")
 
 
-def group_profiles(groups: DataFrame, typical: int = 3) -> DataFrame:
-    """``group_id, n_members, tight, typical_ids``: each group of ``similarity_groups`` with at least two members,
+def mean_similarities(rows: DataFrame, dim: int) -> DataFrame:
+    """``key, id, typicality`` of unit vectors ``key, id, x``: the mean similarity to all vectors of the key, by their
+    sum, so that no key is gathered and no pair is formed."""
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.sum(F.col("x")[i]) for i in range(dim))).alias("s"))
+    dot = F.aggregate(F.zip_with("x", "s", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda p, q: p + q)
+    return rows.join(sums, "key").select("key", "id", (dot / F.col("n")).alias("typicality"))
+
+
+def cluster_profiles(partition: DataFrame, segments: DataFrame, typical: int = 3, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features") -> DataFrame:
+    """``run_id, cluster, n_members, n_segments, typical_ids``: every cluster of every run with its most typical segments.
+
+    Members are the different ``member_id`` with a non-null run and a cluster of 0 or more; all count in ``n_members``,
+    whatever their times. A member's segment is the one of its ``utt_id`` whose ends lie nearest to its own, both at
+    most two frames away (ties: smallest id). Segments are usable as in ``similarity_groups``, and so is the
+    similarity; a segment counts once in a cluster. The most typical ones have the highest mean similarity to the
+    cluster's segments (ties: smallest id); a cluster without any has an empty list.
+    """
+    members = partition.where("run_id is not null and cluster >= 0 and member_id is not null").select("member_id", "run_id", "cluster", "utt_id", "start_sec", "end_sec").dropDuplicates(["member_id"])
+    sizes = members.groupBy("run_id", "cluster").agg(F.count("*").alias("n_members"))
+    rows = vector_rows(segments, id_col, vector_col)
+    mean, _ = centre(rows, dim)
+    shared = rows.sparkSession.sparkContext.broadcast(mean)
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = usable(batch.column(1), dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(list(unit(x, shared.value).astype(np.float32)), pa.list_(pa.float32()))], names=["id", "x"])
+
+    vectors = rows.mapInArrow(units, "id bigint, x array<float>")
+    # Only usable segments can be a member's; which these are is known from their ids.
+    places = segments.where("utt_id is not null").select(F.col(id_col).cast("bigint").alias("id"), "utt_id", "start_frame", "end_frame").dropDuplicates(["id"]).join(vectors.select("id"), "id", "left_semi")
+    first = F.floor(F.col("start_sec") * 50).cast("int")
+    near = members.where("utt_id is not null and end_sec > start_sec").withColumn("start_frame", F.explode(F.sequence(first - 2, first + 3))).join(places, ["utt_id", "start_frame"])
+    apart = F.greatest(F.abs(F.col("start_sec") * 50 - F.col("start_frame")), F.abs(F.col("end_sec") * 50 - F.col("end_frame")))
+    matched = near.withColumn("apart", F.round(apart, 3)).where("apart <= 2").groupBy("member_id", "run_id", "cluster").agg(F.min(F.struct("apart", "id")).alias("m"))
+    by_id = matched.groupBy(F.col("m.id").alias("id")).agg(F.collect_set(F.struct("run_id", "cluster")).alias("keys"))
+    chosen = write_table(vectors.join(by_id, "id").dropDuplicates(["id"]), "cluster-vectors").df.select(F.explode("keys").alias("key"), "id", "x")
+    ranked = write_table(mean_similarities(chosen, dim), "cluster-members").df
+    in_cluster = ranked.groupBy("key").agg(F.count("*").alias("n_members"))
+    picked = group_profiles(ranked.join(in_cluster, "key").select(F.col("key").alias("group_id"), "id", "n_members", "typicality", F.lit(None).cast("boolean").alias("tight")), typical, least=1)
+    profiles = picked.select("group_id.run_id", "group_id.cluster", F.col("n_members").alias("n_segments"), "typical_ids")
+    out = sizes.join(profiles, ["run_id", "cluster"], "left")
+    return out.select("run_id", "cluster", "n_members", F.coalesce("n_segments", F.lit(0).cast("bigint")).alias("n_segments"), F.coalesce("typical_ids", F.array().cast("array<bigint>")).alias("typical_ids"))
+
+
+def group_profiles(groups: DataFrame, typical: int = 3, least: int = 2) -> DataFrame:
+    """``group_id, n_members, tight, typical_ids``: each group of ``similarity_groups`` with at least ``least`` members,
     with the ids of its ``typical`` most typical members (ties: smallest id)."""
-    ranked = groups.where("n_members > 1").groupBy("group_id", "n_members", "tight")
+    ranked = groups.where(F.col("n_members") >= least).groupBy("group_id", "n_members", "tight")
     order = F.struct((-F.round("typicality", 6)).alias("t"), F.col("id").alias("id"))
     picks = [F.min(order).alias("p0")]
     first = ranked.agg(*picks)

@@ -35,8 +35,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Size and most typical members of every group."""
-    return groups.group_profiles(groups.similarity_groups(_table(spark, folder, "segments")))
+    """Size and most typical members of every group, which have ``group_id``, and of every discovered cluster, which
+    have ``run_id`` and ``cluster``; ``n_segments`` of a cluster's members have a segment."""
+    segments = _table(spark, folder, "segments")
+    of_groups = groups.group_profiles(groups.similarity_groups(segments)).withColumn("n_segments", F.col("n_members"))
+    of_clusters = groups.cluster_profiles(_table(spark, folder, "partition_file"), segments)
+    return of_groups.unionByName(of_clusters, allowMissingColumns=True)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -171,6 +171,22 @@ def test_profiles(spark):
         assert r["typical_ids"] == [i for _, i in best[:2]]
 
 
+def test_every_cluster_of_a_run_has_a_profile(spark):
+    rng = np.random.default_rng(13)
+    vectors = rng.normal(size=(12, DIM)).astype(np.float32)
+    segments = [(i, "u", 10 * i, 10 * i + 10, v.tolist()) for i, v in enumerate(vectors)] + [(50, "u", 500, 510, [0.0] * DIM)]
+    members = [(i, 1, 0, "u", 0.2 * i + (0.02 if i % 2 else 0.0), 0.2 * i + 0.2 - (0.04 if i == 3 else 0.0)) for i in range(8)]
+    members += [(20 + i, 2, 0, "u", 0.2 * i, 0.2 * i + 0.2) for i in (8, 9)] + [(30, 2, 7, "u", 70.0, 70.5), (31, 2, 9, "u", 10.0, 10.2)]
+    members += [(32, 1, 0, "u", 0.05, 0.25), (33, 1, 0, None, 0.0, 0.2), (34, 1, -1, "u", 0.0, 0.2), (35, 1, None, "u", 0.0, 0.2), (36, 2, 5, "u", 2.2, 2.4)]
+    s = spark.createDataFrame(segments + segments[:3], "seg_id bigint, utt_id string, start_frame int, end_frame int, features array<float>")
+    m = spark.createDataFrame(members + members[:3], "member_id bigint, run_id int, cluster int, utt_id string, start_sec double, end_sec double")
+    got = {(r["run_id"], r["cluster"]): (r["n_members"], r["n_segments"], r["typical_ids"]) for r in groups.cluster_profiles(m, s, 3, DIM).collect()}
+    x = vectors.astype(float) - vectors.astype(float).mean(0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    typical = (x[:8] @ x[:8].T).mean(1)
+    assert got == {(1, 0): (10, 8, np.argsort(-typical)[:3].tolist()), (2, 0): (2, 2, [8, 9]), (2, 5): (1, 1, [11]), (2, 7): (1, 0, []), (2, 9): (1, 0, [])}
+
+
 def test_empty_and_nothing_usable(spark):
     assert run(spark, []) == {} and run(spark, dirty()) == {}
     got = run(spark, [(3, [1.0] * DIM)])
