@@ -178,7 +178,7 @@ def vertex_degrees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _base_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    """Sequences in base units, as many as have an ASCII character, without missing frames."""
+    """Sequences without missing frames, their units modulo 90 as in the SQL; ``_unit_sequences`` has the units."""
     rows = table(spark, folder, "unit_segments").dropDuplicates(["seg_id"]).where("quantised is not null")
     return rows.select("seg_id", F.transform(F.filter("quantised", lambda u: u >= 0), lambda u: u % 90).alias("units"))
 
@@ -194,6 +194,23 @@ def edit_edges_lossless(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.edit_edges(_base_sequences(spark, folder), 0.4, "lossless").select("src", "dst", F.round("weight", 5).alias("weight"))
 
 
+def _unit_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of the table's own units, without missing frames."""
+    rows = table(spark, folder, "unit_segments").dropDuplicates(["seg_id"]).where("quantised is not null")
+    return rows.select("seg_id", F.filter("quantised", lambda u: u >= 0).alias("units"))
+
+
+@query
+def edit_edges_units(spark: SparkSession, folder: str) -> DataFrame:
+    """``edit_edges`` over the units as they are; in SQL there is only the one over units modulo 90."""
+    return pairs.edit_edges(_unit_sequences(spark, folder), 0.4).select("src", "dst", F.round("weight", 5).alias("weight"))
+
+
+@query
+def edit_edges_units_lossless(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.edit_edges(_unit_sequences(spark, folder), 0.4, "lossless").select("src", "dst", F.round("weight", 5).alias("weight"))
+
+
 def _first_centroids(vectors: DataFrame, n: int = 20) -> DataFrame:
     return vectors.where(F.col("seg_id") < n).select(F.col("seg_id").alias("k"), "x")
 

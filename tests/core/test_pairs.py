@@ -91,3 +91,29 @@ def test_degrees(spark):
     vertices = spark.createDataFrame([(1,), (2,), (3,)], "seg_id bigint")
     edges = spark.createDataFrame([(1, 2, 0.5)], "src bigint, dst bigint, weight double")
     assert sorted(map(tuple, pairs.vertex_degrees(vertices, edges).collect())) == [(1, 1, 0.5), (2, 1, 0.5), (3, 0, 0.0)]
+
+
+@pytest.mark.parametrize("how, most", [("edit_edges_units", 0.4), ("edit_edges_units_lossless", 0.6)])
+def test_edit_queries_keep_units_apart(spark, tmp_path, how, most):
+    from murmuration.plans import queries
+
+    sequences = {1: [1, 2, 3], 2: [91, 92, 93], 3: [181, 2, 3], 4: [1, 92, None, 93, -1], 5: [299, 2, 3, 7], 6: [2, 3], 7: []}
+    spark.createDataFrame(list(sequences.items()), "seg_id bigint, quantised array<int>").write.parquet(str(tmp_path / "unit_segments.parquet"))
+    clean = {i: [u for u in s if u is not None and u >= 0] for i, s in sequences.items()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = set()
+    for i, a in clean.items():
+        for j, b in clean.items():
+            if i < j and a and b:
+                n = max(len(a), len(b))
+                if abs(len(a) - len(b)) / n <= most and 1 - distance(a, b) / n >= 0.4:
+                    want.add((i, j, round(1 - distance(a, b) / n, 5)))
+    assert {tuple(r) for r in queries.QUERIES[how](spark, str(tmp_path)).collect()} == want
