@@ -360,7 +360,7 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     row for each usable id: ``id, group_id, n_members, tight, degree, typicality, component, n_component``.
     ``group_id`` is the smallest id of the group, ``tight`` says that all members are alike with one another and
     with none outside, ``degree`` is the number of members of the component that are alike (equal vectors count
-    once), ``typicality`` the mean similarity to the component's vectors. A vector without any link is a group of
+    once), ``typicality`` the mean similarity to the group's vectors. A vector without any link is a group of
     one. Empty tables give an empty result; other columns are not read.
 
     Links are found by banding; a link that is found is exact. ``bands`` and ``set_size`` are fitted to the anchors,
@@ -404,7 +404,10 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     parts = split_loose(loose.where(F.col("n") <= SPLIT_ROWS), dim, threshold)
     if not (large := loose.where(F.col("n") > SPLIT_ROWS)).isEmpty():
         parts = parts.unionByName(split_large(large, dim, threshold))
-    settled = known_table.df.join(parts, "id", "left").select("id", F.coalesce("part", "grp").alias("group_id"), F.col("grp").alias("component"), "degree", "typicality", "tight")
+    # Parts are described by their own members, not by those of the whole component.
+    parts = write_table(parts, "parts").df
+    of_parts = mean_similarities(decoded(parts.join(members.df.select("id", "code", "scale"), "id"), dim), dim).select("id", F.col("key").alias("part"), F.col("typicality").alias("in_part"))
+    settled = known_table.df.join(of_parts, "id", "left").select("id", F.coalesce("part", "grp").alias("group_id"), F.col("grp").alias("component"), "degree", F.coalesce("in_part", "typicality").alias("typicality"), "tight")
     # Vectors without a link, then the copies, which share their representative's group.
     alone = vectors.select("id").join(linked.df, "id", "left_anti").select("id", F.col("id").alias("group_id"), F.col("id").alias("component"), F.lit(0).cast("bigint").alias("degree"), F.lit(1.0).alias("typicality"), F.lit(True).alias("tight"))
     placed = settled.unionByName(alone)
@@ -415,6 +418,17 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     return full.join(sizes, "group_id").join(in_component, "component").select("id", "group_id", "n_members", "tight", "degree", "typicality", "component", "n_component")
 
 
+def decoded(rows: DataFrame, dim: int) -> DataFrame:
+    """``key, id, x`` of the coded vectors ``part, id, code, scale``."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = unpacked(batch.column(2), np.int8, dim).astype(np.float32) * batch.column(3).to_numpy()[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["key", "id", "x"])
+
+    return rows.select("part", "id", "code", "scale").mapInArrow(decode, "key bigint, id bigint, x array<float>")
+
+
 def mean_similarities(rows: DataFrame, dim: int) -> DataFrame:
     """``key, id, typicality`` of unit vectors ``key, id, x``: the mean similarity to all vectors of the key, by their
     sum, so that no key is gathered and no pair is formed."""

@@ -171,6 +171,22 @@ def test_profiles(spark):
         assert r["typical_ids"] == [i for _, i in best[:2]]
 
 
+def test_parts_of_a_loose_component_are_ranked_by_their_own_members(spark):
+    rng = np.random.default_rng(2)
+    base = np.linalg.qr(rng.normal(size=(DIM, DIM)))[0]
+    angles = np.deg2rad([0, 5, 10, 25, 45, 50, 55, 60, 62, 64, 66])
+    rows = [(i, (np.cos(a) * base[0] + np.sin(a) * base[1]).tolist()) for i, a in enumerate(angles)]
+    rows += [(200 + i, (-np.array(v)).tolist()) for i, v in rows]
+    got = run(spark, rows, 0.9)
+    x = {i: np.array(v) for i, v in rows}
+    mean = np.mean(list(x.values()), axis=0)
+    x = {i: (v - mean) / np.linalg.norm(v - mean) for i, v in x.items()}
+    assert any(r["n_members"] < r["n_component"] and r["n_members"] > 1 for r in got.values())
+    for i, r in got.items():
+        own = [j for j, s in got.items() if s["group_id"] == r["group_id"]]
+        assert abs(r["typicality"] - np.mean([x[i] @ x[j] for j in own])) < 0.01
+
+
 def test_every_cluster_of_a_run_has_a_profile(spark):
     rng = np.random.default_rng(13)
     vectors = rng.normal(size=(12, DIM)).astype(np.float32)
