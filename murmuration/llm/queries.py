@@ -90,6 +90,12 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(_table(spark, folder, "documents"))
 
 
+def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text, encoded and decoded again: its length and a digest of it."""
+    back = tokens.decode_corpus(tokens.encode_corpus(_table(spark, folder, "documents")))
+    return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold twelve consecutive words of an evaluation item."""
     return leaks.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
@@ -119,4 +125,4 @@ def p9_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return textstats.outlier_scores(_statistics(spark, folder)).withColumn("outlier_score", F.round("outlier_score", 4))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_profiles, p3_found, p3_knn, p4_found, p5_found, p5_collapsed, p6_found, p7_ids, p8_found, p8_near, p9_found, p9_statistics, p9_outliers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_profiles, p3_found, p3_knn, p4_found, p5_found, p5_collapsed, p6_found, p7_ids, p7_decoded, p8_found, p8_near, p9_found, p9_statistics, p9_outliers)}

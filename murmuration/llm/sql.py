@@ -85,6 +85,7 @@ reach(seg_id, group_id) USING KEY (seg_id) AS (
   UNION
   SELECT l.b, min(reach.group_id) AS group_id FROM reach JOIN links l ON l.a = reach.seg_id JOIN recurring.reach AS old ON old.seg_id = l.b WHERE reach.group_id < old.group_id GROUP BY l.b)
 SELECT seg_id, group_id FROM reach""",
+    "p7_decoded": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
     "p8_found": r"""WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 item_words AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 item_grams AS (SELECT DISTINCT item_id, list_slice(w, i, i + 11) AS g, g[1] AS head FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM item_words)),

@@ -1,18 +1,18 @@
 """Encoding with a public byte-level BPE vocabulary, as a streaming transducer with bounded lookahead.
 
-A text is read in blocks. Between blocks the encoder keeps only what may still change. Two bounds make that
-little:
+Every text, whatever its length, is read in blocks. Between blocks the encoder keeps only what may still change:
 
 * The splitting pattern always ends a piece where white space follows other characters, and where the class of
-  character (letter, number, other) changes, contractions aside. Text before the last such place is final.
-* Inside a piece without such a place (a run of one class, which may be of any length) BPE itself is cut. Tokens
-  that stand side by side in an encoding are the encoding of their joined bytes, and a row of tokens is the
-  encoding of a text exactly if that holds for all neighbours. So each prefix of the bytes has one last token, and
-  a token is stable once the last tokens of all prefixes within the longest token's length, which is the merge
-  list's sufficient lookahead, trace back to it.
-
-Memory is bounded by the block and the longest token, not by the text. Decoding is an incremental state machine
-from bytes to characters.
+  character (letter, number, other) changes, contractions aside. Text before the last such place in a block is
+  final, and what is kept is less than a block.
+* A block without such a place lies within one piece (a run of one class or of white space, which may be of any
+  length), and BPE itself is cut. Tokens that stand side by side in an encoding are the encoding of their joined
+  bytes, and a row of tokens is the encoding of a text exactly if that holds for all neighbours. So each prefix of
+  the bytes has one last token, and a token is stable once the last tokens of all prefixes within the longest
+  token's length, which is the merge list's sufficient lookahead, trace back to it.
+
+Memory is bounded by the block and the longest token, not by the text or its runs. Decoding is an incremental state
+machine from bytes to characters.
 """
 
 from __future__ import annotations
@@ -21,16 +21,18 @@ import base64
 import codecs
 import os
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Folder with the vocabulary files; a parameter of every operator here.
 TOKENIZER_DIR = "/opt/tokenizers"
-BLOCK_CHARS = 1 << 16
+#: Characters of a block: most documents are several.
+BLOCK_CHARS = 1 << 10
 #: Most ids of one Arrow batch that goes back to Spark.
 BATCH_IDS = 1 << 20
 # Fixed value: the splitting pattern of the vocabulary byte_bpe_50k.
@@ -50,6 +52,17 @@ class Vocabulary:
         self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self._joins: dict[tuple[int, int], bool] = {}
 
+    @cached_property
+    def automaton(self) -> object:
+        """Finds all tokens that end at each byte (a byte is a character of Latin-1), longest first."""
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            found.add_word(token.decode("latin-1"), (len(token), rank))
+        found.make_automaton()
+        return found
+
     def follows(self, left: int | None, right: int) -> bool:
         """Whether the tokens can stand side by side: whether they are the encoding of their joined bytes. With
         nothing on the left, whether the token is the encoding of its own bytes."""
@@ -91,10 +104,10 @@ class PieceStream:
 
     def push(self, data: bytes) -> list[int]:
         out: list[int] = []
-        for byte in data:
-            self.data.append(byte)
-            self.last.append(self._last_token())
-            if len(self.data) >= 8 * self.vocab.lookahead:
+        step = 4 * self.vocab.lookahead
+        for begin in range(0, len(data), step):
+            self._extend(data[begin : begin + step])
+            if len(self.data) >= step:
                 out += self._stable()
         return out
 
@@ -103,15 +116,22 @@ class PieceStream:
         self.data, self.last, self.context = bytearray(), [], None
         return out
 
-    def _last_token(self) -> int | None:
-        end = len(self.data)
-        for start in range(max(0, end - self.vocab.lookahead), end):
-            token = self.vocab.ranks.get(bytes(self.data[start:end]))
-            if token is not None:
-                before = self.last[start - 1] if start else self.context
-                if self.vocab.follows(before, token):
-                    return token
-        return None
+    def _extend(self, data: bytes) -> None:
+        """The last token for each new byte: the one of those ending there that may follow what is before it."""
+        old = len(self.data)
+        self.data += data
+        self.last += [None] * len(data)
+        begin = max(0, old - self.vocab.lookahead)
+        last, follows, done = self.last, self.vocab.follows, -1
+        # Of the tokens that end at a byte the automaton gives the longest first.
+        for at, (length, token) in self.vocab.automaton.iter(self.data[begin:].decode("latin-1")):
+            end = begin + at
+            start = end + 1 - length
+            if end < old or end == done or start < 0:
+                continue
+            before = last[start - 1] if start else self.context
+            if (before is not None or (not start and self.context is None)) and follows(before, token):
+                last[end], done = token, end
 
     def _ends(self, end: int) -> list[int]:
         ends = []
@@ -124,13 +144,19 @@ class PieceStream:
         return [self.last[e - 1] for e in self._ends(end)]
 
     def _stable(self) -> list[int]:
+        """Tokens up to the last end that all prefixes within the lookahead have in common: of their ends the largest
+        is led back by its token until one is left."""
         n = len(self.data)
-        common = set(self._ends(n))
-        for end in range(n - self.vocab.lookahead + 1, n):
-            common &= set(self._ends(end))
-        if not common:
+        ends = set(range(max(1, n - self.vocab.lookahead + 1), n + 1))
+        at = n
+        while len(ends) > 1:
+            while at not in ends:
+                at -= 1
+            ends.remove(at)
+            ends.add(at - len(self.vocab.bytes_of[self.last[at - 1]]))
+        cut = ends.pop()
+        if not cut:
             return []
-        cut = max(common)
         out = self._tokens(cut)
         self.context = out[-1]
         del self.data[:cut], self.last[:cut]
@@ -142,9 +168,18 @@ def _kind(c: str) -> str:
     return "L" if c.isalpha() else "N" if c.isalnum() else "S" if c.isspace() and c not in "\x1c\x1d\x1e\x1f" else "O"
 
 
-def safe_cut(text: str, floor: int = 0) -> int:
-    """The last place after ``floor`` at which a piece ends whatever follows, or 0 if there is none."""
-    for i in range(len(text) - 1, floor, -1):
+# Where a run of each class ends, and the last place in a block where white space follows an ASCII character.
+_RUN_ENDS = {kind: regex.compile(f"[{members}]") for kind, members in (("L", r"^\p{L}"), ("N", r"^\p{N}"), ("O", r"\s\p{L}\p{N}"), ("S", r"\S"))}
+_BLANK_CUT = regex.compile(r"(?r)(?<=[!-~])(?=[ \t\r\n])")
+_PIECES = regex.compile(PATTERN)
+
+
+def safe_cut(text: str) -> int:
+    """The last place in a block at which a piece ends whatever follows, or 0 if there is none."""
+    found = _BLANK_CUT.search(text)
+    if found is not None and found.start():
+        return found.start()
+    for i in range(len(text) - 1, 0, -1):
         a, b = _kind(text[i - 1]), _kind(text[i])
         if a != "S" and (b == "S" or (a != b and text[i - 1] != "'")):
             return i
@@ -155,7 +190,7 @@ class StreamingEncoder:
     """Encodes a text that arrives in parts; ``push`` gives the ids that are final, ``finish`` the rest.
 
     The parts may be cut anywhere. What is held between calls is less than a block, or, within a run of one
-    class that is longer than a block, the lookahead.
+    class or of white space that fills a block, about eight times the lookahead.
     """
 
     def __init__(self, vocab: Vocabulary, block: int = BLOCK_CHARS) -> None:
@@ -167,6 +202,10 @@ class StreamingEncoder:
             out += self._push(part[i : i + self.block])
         return out
 
+    def held(self) -> int:
+        """Characters or bytes that wait for what follows."""
+        return len(self.rest) + (len(self.piece.data) if self.piece is not None else 0)
+
     def _push(self, part: str) -> list[int]:
         out: list[int] = []
         self.rest += part
@@ -177,53 +216,54 @@ class StreamingEncoder:
             if cut:
                 out += self.vocab.encoding.encode_ordinary(self.rest[:cut])
                 self.rest = self.rest[cut:]
-            if len(self.rest) > self.block and (out_piece := self._open()) is not None:
-                out += out_piece
+            if len(self.rest) > self.block:
+                out += self._open()
         return out
 
-    def _open(self) -> list[int] | None:
-        """Begin to cut a run of letters, numbers or others that fills the block; white space is held whole."""
-        if (kind := _kind(self.rest[-1])) == "S":
-            return None
-        start = len(self.rest)
-        while start and _kind(self.rest[start - 1]) == kind:
-            start -= 1
-        if start and self.rest[start - 1] == " ":
-            start -= 1
-        elif start:  # an apostrophe before the run may be a contraction: leave that to the whole encoder
-            return None
-        head = self.vocab.encoding.encode_ordinary(self.rest[:start]) if start else []
-        self.piece, self.kind = PieceStream(self.vocab), kind
-        run, self.rest = self.rest[start:], ""
-        return head + self.piece.push(run.encode())
+    def _open(self) -> list[int]:
+        """Begin to cut the piece that reaches the end of the block. Where it begins is certain, since all pieces
+        before it end at a character that is known; the last three may still become part of a contraction."""
+        pieces = [m.span() for m in _PIECES.finditer(self.rest)]
+        out: list[int] = []
+        for begin, end in pieces[:-1]:
+            if end > len(self.rest) - 3:
+                break
+            out += self.vocab.encoding.encode_ordinary(self.rest[begin:end])
+        else:
+            begin = pieces[-1][0]
+        run, self.rest = self.rest[begin:], ""
+        if len(run) < 4 or begin != pieces[-1][0]:
+            self.rest = run
+            return out
+        self.piece, self.kind = PieceStream(self.vocab), _kind(run[-1])
+        if self.kind == "S":  # the last blank of a run belongs to what follows
+            run, self.rest = run[:-1], run[-1]
+        return out + self.piece.push(run.encode())
 
     def _continue(self) -> list[int]:
-        n = 0
-        while n < len(self.rest) and _kind(self.rest[n]) == self.kind:
-            n += 1
-        out = self.piece.push(self.rest[:n].encode())
-        if n < len(self.rest):
+        found = _RUN_ENDS[self.kind].search(self.rest)
+        n = len(self.rest) if found is None else found.start()
+        keep = n - (self.kind == "S")
+        out = self.piece.push(self.rest[:keep].encode())
+        if found is not None:
             out += self.piece.finish()
-            self.piece, self.rest = None, self.rest[n:]
-        else:
-            self.rest = ""
+            self.piece = None
+        self.rest = self.rest[keep:]
         return out
 
     def finish(self) -> list[int]:
-        out = self.piece.finish() if self.piece is not None else []
-        out += self.vocab.encoding.encode_ordinary(self.rest)
+        if self.piece is not None:  # only blanks are left beside a piece, and without a follower they belong to it
+            out = self.piece.push(self.rest.encode()) + self.piece.finish()
+        else:
+            out = self.vocab.encoding.encode_ordinary(self.rest) if self.rest else []
         self.piece, self.rest = None, ""
         return out
 
 
 def encode_text(vocab: Vocabulary, text: str | None, block: int = BLOCK_CHARS) -> list[int]:
-    """Ids of one text; null and empty give an empty list."""
-    if not text:
-        return []
-    if len(text) <= block:
-        return vocab.encoding.encode_ordinary(text)
+    """Ids of one text by the streaming encoder; null and empty give an empty list."""
     stream = StreamingEncoder(vocab, block)
-    return stream.push(text) + stream.finish()
+    return stream.push(text or "") + stream.finish()
 
 
 def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.tiktoken", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,38 @@ def test_memory_within_a_piece_is_bounded(vocab):
         assert len(stream.data) <= 8 * vocab.lookahead
 
 
+RUNS = [("foo\n", "acgt"), ("foo\t", "a"), ("foo'", "the"), ("''", "s"), ("x", " "), ("x", "\n"), ("x", " \t"), ("", "0123456789"), ("!", "-"), ("a", "你好")]
+
+
+@pytest.mark.parametrize(("before", "unit"), RUNS)
+def test_what_is_held_is_bounded_whatever_precedes_a_run(vocab, before, unit):
+    text = before + unit * (20_000 // len(unit)) + "x 's"
+    stream, ids, held = tokens.StreamingEncoder(vocab, 256), [], 0
+    for i in range(0, len(text), 100):
+        ids += stream.push(text[i : i + 100])
+        held = max(held, stream.held())
+    assert ids + stream.finish() == vocab.encoding.encode_ordinary(text)
+    assert held <= 256 + 9 * vocab.lookahead
+
+
+@pytest.mark.parametrize(("before", "unit"), [("foo\n", "acgt"), ("x", " "), ("", "word and 12 more\n")])
+def test_time_is_linear_in_the_text(vocab, before, unit):
+    def took(n):
+        text, began = before + unit * (n // len(unit)), time.perf_counter()
+        assert tokens.encode_text(vocab, text)
+        return time.perf_counter() - began
+
+    took(10_000)
+    assert took(3_000_000) < 25 * max(took(300_000), 0.02)
+
+
+def test_test_documents_in_blocks(vocab):
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        assert tokens.encode_text(vocab, text) == (vocab.encoding.encode_ordinary(text) if text else [])
+
+
 def test_equals_the_other_library(vocab):
     from tokenizers import Tokenizer
 
