@@ -18,8 +18,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalise(x: Column) -> Column:
-    """``x`` divided by its length plus 1e-10, so a zero vector stays zero."""
-    return F.transform(doubles(x), lambda v: v / (F.sqrt(dot(x, x)) + F.lit(NORM_EPSILON)))
+    """``x`` divided by its length plus 1e-10, so a zero vector stays zero. The length is bound once a vector: within
+    the division it would be computed for every element."""
+    length = F.array(F.sqrt(dot(x, x)) + F.lit(NORM_EPSILON))
+    return F.get(F.transform(length, lambda n: F.transform(doubles(x), lambda v: v / n)), F.lit(0))
 
 
 def subtract(a: Column, b: Column) -> Column:

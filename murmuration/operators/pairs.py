@@ -10,15 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..arrowtools import by_key, matrix, scan_tasks
 from ..functions import arrays
 
-BLOCK_ROWS = 4096
-#: Sequences of a block of the edit join.
-BLOCK_SEQUENCES = 2048
+#: Most vectors of a block: two of them are a task, at 96 dimensions 50 MB.
+BLOCK_ROWS = 32_768
+#: Most sequences of a block of the edit join, whose bags take 2 KB each.
+BLOCK_SEQUENCES = 16_384
 #: Features to which the units of a sequence are hashed, for a bound of what two sequences share.
 BAG_DIMS = 512
 
@@ -30,6 +31,39 @@ def block_pairs(rows: DataFrame, id_col: str, n_blocks: int) -> DataFrame:
     return spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
 
 
+def block_count(n: int, spark: SparkSession, block_rows: int) -> int:
+    """Blocks of at most ``block_rows`` rows: no more than that takes, since every row is copied once a block, but
+    enough that the pairs of blocks keep all cores busy."""
+    busy = int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism)))
+    return max(1, -(-n // block_rows), min(busy, -(-n // 1024)))
+
+
+def _cosine_tasks(vectors: DataFrame, block_rows: int) -> DataFrame:
+    """``lo, hi, block, seg_id, x``: the vectors with packed doubles, each in the tasks in which it meets the others."""
+    rows = vectors.where("seg_id is not null and x is not null").select(F.col("seg_id").cast("bigint").alias("seg_id"), F.col("x").cast("array<double>").alias("x"))
+    return block_pairs(rows, "seg_id", block_count(rows.count(), vectors.sparkSession, block_rows)).select("lo", "hi", "block", "seg_id", "x")
+
+
+def _similar(batches: Iterator[pa.RecordBatch], min_similarity: float, swap_last_two: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each strip of a task its ids, and the pairs that pass: places in the ids, and products."""
+    for batch in by_key(batches, 2):
+        lo, hi = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+        sizes = np.diff(batch.column(4).offsets.to_numpy())
+        at, x = matrix(batch.column(4), int(sizes.max()))
+        ids, block = batch.column(3).to_numpy()[at], batch.column(2).to_numpy()[at]
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        other = np.concatenate([x[right, :-2], x[right, -1:], x[right, -2:-1]], axis=1) if swap_last_two else x[right]
+        rows = int(np.clip((1 << 22) // max(len(right), 1), 16, 1024))
+        for begin in range(0, len(left), rows):
+            i = left[begin : begin + rows]
+            s = x[i] @ other.T
+            keep = s >= min_similarity
+            if lo == hi:
+                keep &= ids[i][:, None] < ids[right][None, :]
+            r, c = np.nonzero(keep)
+            yield ids, i[r], right[c], s[r, c]
+
+
 def cosine_edges(vectors: DataFrame, min_similarity: float = 0.5, block_rows: int = BLOCK_ROWS, swap_last_two: bool = False) -> DataFrame:
     """``src, dst, weight`` with ``src < dst``: pairs whose inner product is at least ``min_similarity``.
 
@@ -38,37 +72,35 @@ def cosine_edges(vectors: DataFrame, min_similarity: float = 0.5, block_rows: in
     made in double precision. With ``swap_last_two`` the last two elements of one side change places, which makes
     the product a squared distance for vectors that are prepared for it.
     """
-    rows = vectors.where("seg_id is not null and x is not null").select(F.col("seg_id").cast("bigint").alias("seg_id"), F.col("x").cast("array<double>").alias("x"))
-    n = rows.count()
-    tasks = block_pairs(rows, "seg_id", max(1, -(-n // block_rows))).select("lo", "hi", "block", "seg_id", "x")
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("weight", pa.float64())])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_key(batches, 2):
-            lo, hi = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
-            sizes = np.diff(batch.column(4).offsets.to_numpy())
-            at, x = matrix(batch.column(4), int(sizes.max()))
-            ids, block = batch.column(3).to_numpy()[at], batch.column(2).to_numpy()[at]
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            other = np.concatenate([x[right, :-2], x[right, -1:], x[right, -2:-1]], axis=1) if swap_last_two else x[right]
-            for begin in range(0, len(left), 1024):
-                i = left[begin : begin + 1024]
-                s = x[i] @ other.T
-                keep = s >= min_similarity
-                if lo == hi:
-                    keep &= ids[i][:, None] < ids[right][None, :]
-                r, c = np.nonzero(keep)
-                a, b = ids[i[r]], ids[right[c]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s[r, c])], schema=schema)
+        for ids, i, j, s in _similar(batches, min_similarity, swap_last_two):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(s)], schema=schema)
+
+    return scan_tasks(_cosine_tasks(vectors, block_rows), ["lo", "hi"], ["seg_id"], edges, "src bigint, dst bigint, weight double")
+
 
-    return scan_tasks(tasks, ["lo", "hi"], ["seg_id"], edges, "src bigint, dst bigint, weight double")
+def cosine_degrees(vectors: DataFrame, min_similarity: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``seg_id, degree, strength`` of every vector in the graph of ``cosine_edges``, without its edges: each task counts
+    those of its own rows, so what is shuffled is a row for each vector and task."""
+    schema = pa.schema([("seg_id", pa.int64()), ("degree", pa.int64()), ("strength", pa.float64())])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        for ids, i, j, s in _similar(batches, min_similarity):
+            if held is None or held[0] is not ids:
+                if held is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in held], schema=schema)
+                held = (ids, np.zeros(len(ids), np.int64), np.zeros(len(ids)))
+            for end in (i, j):
+                held[1][:] += np.bincount(end, minlength=len(ids))
+                held[2][:] += np.bincount(end, s, len(ids))
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in held], schema=schema)
 
-def cosine_edges_joined(vectors: DataFrame, min_similarity: float = 0.5) -> DataFrame:
-    """``cosine_edges`` as a plain join with the inner product as its condition; for some thousand vectors."""
-    a, b = vectors.select(F.col("seg_id").alias("src"), F.col("x").alias("xa")), vectors.select(F.col("seg_id").alias("dst"), F.col("x").alias("xb"))
-    pairs = a.join(b, F.col("src") < F.col("dst"))
-    return pairs.select("src", "dst", arrays.dot(F.col("xa"), F.col("xb")).alias("weight")).where(F.col("weight") >= min_similarity)
+    parts = scan_tasks(_cosine_tasks(vectors, block_rows), ["lo", "hi"], ["seg_id"], count, "seg_id bigint, degree bigint, strength double")
+    return parts.groupBy("seg_id").agg(F.sum("degree").alias("degree"), F.sum("strength").alias("strength"))
 
 
 def bags(texts: list[str], dims: int = BAG_DIMS) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +136,7 @@ def edit_edges(sequences: DataFrame, min_similarity: float = 0.5, length_filter:
         raise ValueError("length_filter is 'reference' or 'lossless'")
     rows = sequences.where("seg_id is not null and units is not null").select(F.col("seg_id").cast("bigint").alias("seg_id"), arrays.as_text(F.col("units")).alias("t")).where("t <> ''")
     texts = rows.groupBy("t").agg(F.min("seg_id").alias("id"))
-    n = texts.count()
-    tasks = block_pairs(texts, "id", max(1, -(-n // block_rows))).select("lo", "hi", "block", "id", "t")
+    tasks = block_pairs(texts, "id", block_count(texts.count(), sequences.sparkSession, block_rows)).select("lo", "hi", "block", "id", "t")
     schema = pa.schema([("ia", pa.int64()), ("ib", pa.int64()), ("ta", pa.string()), ("tb", pa.string())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +145,9 @@ def edit_edges(sequences: DataFrame, min_similarity: float = 0.5, length_filter:
             block, ids, t = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4)
             left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
             bag, length = bags(t.to_pylist())
-            for begin in range(0, len(left), 512):
-                i = left[begin : begin + 512]
+            rows = int(np.clip((1 << 22) // max(len(right), 1), 16, 512))
+            for begin in range(0, len(left), rows):
+                i = left[begin : begin + rows]
                 longest = np.maximum(length[i][:, None], length[right][None, :])
                 keep = bag[i] @ bag[right].T >= min_similarity * longest - 1e-3
                 if lo == hi:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -113,11 +113,27 @@ def numbered(segments: DataFrame, out: str = "seg_id") -> DataFrame:
     return number_rows(segments, ["utt_id", "start_frame", "end_frame"], out)
 
 
-def valid_vectors(segments: DataFrame, dim: int, x: str = "features", id_col: str = "seg_id") -> DataFrame:
-    """``seg_id, x`` of segments whose vector has ``dim`` elements, all non-null and finite, one row an id."""
+def has_valid_vector(x: str, dim: int) -> Column:
+    """Whether a vector has ``dim`` elements, all non-null and finite; false for a null."""
     v = F.col(x)
-    good = v.isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return segments.where(F.col(id_col).isNotNull() & good).dropDuplicates([id_col]).select(F.col(id_col).cast("bigint").alias("seg_id"), v.alias("x"))
+    return v.isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+
+
+def valid_vectors(segments: DataFrame, dim: int, x: str = "features", id_col: str = "seg_id", keep: list[str] | None = None) -> DataFrame:
+    """``seg_id, *keep, x`` of segments whose vector has ``dim`` elements, all non-null and finite, one row an id."""
+    good = segments.where(F.col(id_col).isNotNull() & has_valid_vector(x, dim)).dropDuplicates([id_col])
+    return good.select(F.col(id_col).cast("bigint").alias("seg_id"), *(keep or []), F.col(x).alias("x"))
+
+
+def rejected_vectors(segments: DataFrame, dim: int, x: str = "features", id_col: str = "seg_id") -> DataFrame:
+    """``reason, n``: how many rows ``valid_vectors`` leaves out, by the first reason that holds: ``null_id``,
+    ``null_vector``, ``length``, ``not_finite`` (null elements included), ``repeated``. Reasons without a row are left out."""
+    v = F.col(x)
+    reason = F.when(F.col(id_col).isNull(), "null_id").when(v.isNull(), "null_vector").when(F.size(v) != dim, "length").when(~has_valid_vector(x, dim), "not_finite")
+    marked = segments.select(F.col(id_col).alias("id"), reason.alias("reason")).groupBy("id", "reason").agg(F.count("*").alias("n"))
+    rest = F.when(F.col("reason").isNull() & (F.col("n") > 1), F.struct(F.lit("repeated").alias("reason"), (F.col("n") - 1).alias("n")))
+    first = F.when(F.col("reason").isNotNull(), F.struct("reason", "n"))
+    return marked.select(F.coalesce(first, rest).alias("r")).where("r is not null").groupBy("r.reason").agg(F.sum("r.n").alias("n"))
 
 
 def centred_unit(vectors: DataFrame) -> DataFrame:

@@ -35,8 +35,8 @@ def shown(x: str) -> list[Column]:
 def _frames(spark: SparkSession, folder: str) -> DataFrame:
     """Segments stand for frames, numbered by their first frame."""
     rows = table(spark, folder, "segments").where("utt_id is not null and start_frame is not null")
-    good = segments.valid_vectors(rows, DIM).withColumnRenamed("x", "v")
-    return rows.dropDuplicates(["seg_id"]).join(good, "seg_id").groupBy("utt_id", F.col("start_frame").alias("frame")).agg(F.min_by("v", "seg_id").alias("x"))
+    good = segments.valid_vectors(rows, DIM, keep=["utt_id", "start_frame"])
+    return good.groupBy("utt_id", F.col("start_frame").alias("frame")).agg(F.min_by("x", "seg_id").alias("x"))
 
 
 def _utterances(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,6 +137,12 @@ def normalised_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return _vectors(spark, folder).select("seg_id", *shown("x"))
 
 
+@query
+def rejected_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that the embedding loader leaves out, by reason."""
+    return segments.rejected_vectors(table(spark, folder, "segments"), DIM)
+
+
 @query
 def frame_moments(spark: SparkSession, folder: str) -> DataFrame:
     """Mean and variance of each dimension."""
@@ -177,37 +183,20 @@ def vertex_degrees(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("seg_id", "degree", F.round("strength", 4).alias("strength"))
 
 
-def _base_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    """Sequences without missing frames, their units modulo 90 as in the SQL; ``_unit_sequences`` has the units."""
-    rows = table(spark, folder, "unit_segments").dropDuplicates(["seg_id"]).where("quantised is not null")
-    return rows.select("seg_id", F.transform(F.filter("quantised", lambda u: u >= 0), lambda u: u % 90).alias("units"))
-
-
-@query
-def edit_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of sequences at an edit similarity of 0.4, dropping pairs by length as the behaviour to be matched does."""
-    return pairs.edit_edges(_base_sequences(spark, folder), 0.4).select("src", "dst", F.round("weight", 5).alias("weight"))
-
-
-@query
-def edit_edges_lossless(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.edit_edges(_base_sequences(spark, folder), 0.4, "lossless").select("src", "dst", F.round("weight", 5).alias("weight"))
-
-
 def _unit_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    """Sequences of the table's own units, without missing frames."""
+    """Sequences of the table's units, without missing frames."""
     rows = table(spark, folder, "unit_segments").dropDuplicates(["seg_id"]).where("quantised is not null")
     return rows.select("seg_id", F.filter("quantised", lambda u: u >= 0).alias("units"))
 
 
 @query
-def edit_edges_units(spark: SparkSession, folder: str) -> DataFrame:
-    """``edit_edges`` over the units as they are; in SQL there is only the one over units modulo 90."""
+def edit_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of sequences at an edit similarity of 0.4, dropping pairs by length as the behaviour to be matched does."""
     return pairs.edit_edges(_unit_sequences(spark, folder), 0.4).select("src", "dst", F.round("weight", 5).alias("weight"))
 
 
 @query
-def edit_edges_units_lossless(spark: SparkSession, folder: str) -> DataFrame:
+def edit_edges_lossless(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.edit_edges(_unit_sequences(spark, folder), 0.4, "lossless").select("src", "dst", F.round("weight", 5).alias("weight"))
 
 
@@ -517,5 +506,4 @@ def sampled_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def similarity_degrees(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: segments, centred and normalised, joined by similarity, and each one's degree."""
     vectors = write_table(_vectors(spark, folder), "vectors").df
-    found = pairs.vertex_degrees(pairs.graph_vertices(vectors), pairs.cosine_edges(vectors, 0.74))
-    return found.select("seg_id", "degree", F.round("strength", 3).alias("strength"))
+    return pairs.cosine_degrees(vectors, 0.74).select("seg_id", "degree", F.round("strength", 3).alias("strength"))

@@ -46,8 +46,8 @@ _TOKENS = rf"""tok AS (SELECT DISTINCT token_id, regexp_replace({_STRIPPED}, '\d
 _GRAPH = """links AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(weight) AS weight FROM edge_list
   WHERE src <> dst AND weight > 0 AND weight <= 1 AND NOT isnan(weight) GROUP BY ALL),
 verts AS (SELECT src AS seg_id FROM links UNION SELECT dst FROM links)"""
-_SEQUENCES = """seqs AS (SELECT DISTINCT seg_id, list_transform(list_filter(quantised, lambda u: u >= 0), lambda u: u % 90) AS u FROM unit_segments WHERE seg_id IS NOT NULL AND quantised IS NOT NULL),
-texts AS (SELECT seg_id, array_to_string(list_transform(u, lambda v: chr(v + 33)), '') AS t, len(u) AS n FROM seqs WHERE len(u) > 0)"""
+_SEQUENCES = """seqs AS (SELECT DISTINCT seg_id, list_filter(quantised, lambda u: u >= 0) AS u FROM unit_segments WHERE seg_id IS NOT NULL AND quantised IS NOT NULL),
+texts AS (SELECT seg_id, u, len(u) AS n FROM seqs WHERE len(u) > 0)"""
 _STARTED = "cents AS (SELECT seg_id AS k, x FROM lab WHERE seg_id < 20)"
 
 
@@ -61,9 +61,15 @@ def _means(near: str) -> str:
 
 
 def _edit(bound: str) -> str:
-    return f"""WITH {_SEQUENCES} SELECT a.seg_id AS src, b.seg_id AS dst, round(1.0::DOUBLE - levenshtein(a.t, b.t) / greatest(a.n, b.n)::DOUBLE, 5) AS weight
-FROM texts a JOIN texts b ON a.seg_id < b.seg_id AND abs(a.n - b.n) / greatest(a.n, b.n)::DOUBLE <= {bound}
-WHERE 1.0::DOUBLE - levenshtein(a.t, b.t) / greatest(a.n, b.n)::DOUBLE >= 0.4"""
+    # levenshtein compares bytes, and there are more units than those: for each pair a unit is written as its place in
+    # the first sequence, and units that it lacks as a blank. A pair without a common unit has the similarity 0.
+    return f"""WITH {_SEQUENCES},
+pairs AS (SELECT a.seg_id AS src, b.seg_id AS dst, a.u AS ua, b.u AS ub, greatest(a.n, b.n)::DOUBLE AS n
+  FROM texts a JOIN texts b ON a.seg_id < b.seg_id AND abs(a.n - b.n) / greatest(a.n, b.n)::DOUBLE <= {bound} AND len(list_intersect(a.u, b.u)) > 0),
+coded AS (SELECT src, dst, n, array_to_string(list_transform(ua, lambda v: chr((32 + list_position(ua, v))::INT)), '') AS ta,
+  array_to_string(list_transform(ub, lambda v: chr((32 + coalesce(list_position(ua, v), 0))::INT)), '') AS tb FROM pairs),
+scored AS (SELECT src, dst, 1.0::DOUBLE - levenshtein(ta, tb) / n AS weight FROM coded)
+SELECT src, dst, round(weight, 5) AS weight FROM scored WHERE weight >= 0.4"""
 
 
 _RUN_NAME = "regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', '')"
@@ -99,6 +105,10 @@ SELECT seg_id, len(quantised)::INT AS n_units, coalesce(n, 0) AS n_collapsed, co
     "new_segments": "SELECT DISTINCT utt_id, start_frame, end_frame FROM segments s WHERE utt_id IS NOT NULL AND NOT EXISTS (FROM unit_segments u WHERE u.utt_id = s.utt_id AND u.start_frame = s.start_frame AND u.end_frame = s.end_frame AND len(u.quantised) > 0)",
     "numbered_segments": "SELECT utt_id, start_frame, end_frame, row_number() OVER (ORDER BY utt_id, start_frame, end_frame) - 1 AS vertex FROM (SELECT DISTINCT utt_id, start_frame, end_frame FROM segments WHERE utt_id IS NOT NULL)",
     "normalised_vectors": f"WITH {_UNIT} SELECT seg_id, {_shown('u')} FROM unit",
+    "rejected_vectors": """WITH marked AS (SELECT CASE WHEN seg_id IS NULL THEN 'null_id' WHEN features IS NULL THEN 'null_vector' WHEN len(features) <> 96 THEN 'length'
+  WHEN len(list_filter(features, lambda v: v IS NULL OR NOT isfinite(v))) > 0 THEN 'not_finite' END AS reason, seg_id FROM segments),
+again AS (SELECT seg_id, count(*) - 1 AS n FROM marked WHERE reason IS NULL GROUP BY seg_id HAVING n > 0)
+SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'repeated', sum(n)::BIGINT FROM again HAVING count(*) > 0""",
     "frame_moments": f"WITH {_LONG} SELECT count(*) AS n, dim::INT AS dim, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS var FROM long GROUP BY dim",
     "standardised_frames": f"""WITH {_LONG}, st AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS sd FROM long GROUP BY dim),
 z AS (SELECT seg_id, list(CASE WHEN sd > 0 THEN (v - m) / sd ELSE 0 END ORDER BY dim) AS z FROM long JOIN st USING (dim) GROUP BY seg_id) SELECT seg_id, {_shown('z')} FROM z""",

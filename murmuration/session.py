@@ -1,8 +1,8 @@
 """The folder that all executors share, and tables written there to cut lineage.
 
 A table in the shared folder survives the loss of executors, which ``localCheckpoint`` does not. The folder is
-the one that the cluster names in ``spark.checkpoint.dir``; a machine-local one is made only where that setting
-is absent, as in tests on one machine.
+the one that the cluster names in ``spark.checkpoint.dir``. Where that setting is absent, a session on one machine
+(master ``local``) gets a temporary folder, and any other session an error. The session's settings are not changed.
 """
 
 from __future__ import annotations
@@ -16,16 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of this process's applications, with their sessions; what is left in them goes when the process ends.
 _used: dict[str, SparkSession] = {}
+#: The temporary folder of this process, for sessions on one machine.
+_machine: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The application's folder for intermediate tables, below ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="murmuration-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _machine_dir(spark)
     path = f"{base.rstrip('/')}/murmuration/{spark.sparkContext.applicationId}"
     if path not in _used:
         _used[path] = spark
@@ -33,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _machine_dir(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _machine:
+        _machine.append(tempfile.mkdtemp(prefix="murmuration-"))
+        atexit.register(shutil.rmtree, _machine[0], ignore_errors=True)
+    return _machine[0]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
