@@ -9,12 +9,16 @@
   one space of buckets, so two picks that agree need not be of the same band. A bucket with many rows is cut into
   blocks, each pair of which is a task.
 * **Verification.** What is asked for is the cosine, so it is verified in place of the Jaccard similarity: within
-  a bucket, all pairs by matrix products over 8-bit codes. The error of a code is known, so a pair is decided by
-  its codes unless it is nearer to the threshold than both errors; such pairs are decided on the full vectors.
-  Of a bucket's links only a spanning forest leaves the task, never all pairs.
+  a bucket, all pairs by matrix products over 6-bit codes. The error of a code is known, so a pair is decided by
+  its codes unless it is nearer to the threshold than both errors; such pairs, if the decided ones do not connect
+  them already, are decided on the full vectors. Of a bucket's links only a spanning forest leaves the task, never
+  all pairs.
 * **Components** of the links form the groups, by hash-to-min.
-* **Splitting.** Links within a component are counted, again by matrix products. Where not all members are alike,
-  the member with the most links takes these as its group, then the next of the rest, and so on.
+* **Splitting.** Links within a component are counted, by matrix products over 8-bit codes and, near the threshold, on
+  the full vectors. Where not all members are alike, the member with the most links takes these as its group, then
+  the next of the rest, and so on, always by the full vectors.
+* **Profiles.** A member is the more typical of its group the higher its mean similarity to the group's members, which
+  follows from the sum of their vectors.
 
 Equal vectors are reduced to the smallest id before any of this, by an aggregation of their hashes that combines
 before its shuffle, and come back at the end.
@@ -28,17 +32,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..arrowtools import by_key, packed, scan_tasks, unpacked
 from ..session import write_table
 from .components import connected_components
-from .vectors import BLOCK_ROWS, centre, hashed, in_blocks, unit, usable, vector_rows
+from .vectors import BLOCK_ROWS, centre, hashed, in_blocks, is_usable, unit, unit_vectors, usable, vector_rows
 
 MIN_ANCHORS, MAX_ANCHORS = 64, 131_072
 #: Anchors of one matrix product. A vector is always compared with all anchors, so many at a time.
 EXACT_ANCHORS = 8192
-#: Members of a loose component whose codes one task holds: 130 MB. Larger ones are split in rounds.
-SPLIT_ROWS = 1_000_000
+#: Members of a loose component, or of a group to be described, whose vectors one task holds: 100 MB. Larger
+#: components are split in rounds, each of which takes so many medoids; larger groups are summed up in parts.
+SPLIT_ROWS = 262_144
+SPLIT_HEADS = 1024
 #: Vectors an anchor, on average, until there are MAX_ANCHORS.
 ROWS_PER_ANCHOR = 100
 #: The least set size and number of bands; as many bands an anchor of the set are kept for larger sets.
@@ -58,11 +65,35 @@ def anchor_vectors(rows: DataFrame, mean: np.ndarray, n: int, dim: int) -> np.nd
     return unit(x[first[:wanted]], mean).astype(np.float32)
 
 
-def code(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """8-bit codes of unit vectors, the scale of each, and the length of the error that each code makes."""
-    scale = np.maximum(np.abs(x).max(1), 1e-30) / 127.0
+def code(x: np.ndarray, bits: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of unit vectors, the scale of each, and the length of the error that each code makes."""
+    scale = np.maximum(np.abs(x).max(1), 1e-30) / (2 ** (bits - 1) - 1)
     codes = np.rint(x / scale[:, None]).astype(np.int8)
-    return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
+    return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1) + 1e-6
+
+
+def small_codes(x: np.ndarray) -> np.ndarray:
+    """6-bit codes, four in three bytes, with their scale and error: what a bucket gets of a vector."""
+    codes, scale, err = code(x, 6)
+    c = np.zeros((len(x), -(-x.shape[1] // 4) * 4), np.uint8)
+    c[:, : x.shape[1]] = codes + 32
+    c = c.reshape(len(x), -1, 4)
+    three = np.stack([c[..., 0] << 2 | c[..., 1] >> 4, c[..., 1] << 4 | c[..., 2] >> 2, c[..., 2] << 6 | c[..., 3]], 2)
+    tail = np.stack([scale, err], 1).astype(np.float32)
+    return np.concatenate([three.reshape(len(x), -1), tail.view(np.uint8)], 1)
+
+
+def small_floats(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of ``small_codes``, and their shares of the bound as in ``floats``."""
+    width = -(-dim // 4) * 3
+    raw = unpacked(col, np.uint8, width + 8)
+    tail = np.ascontiguousarray(raw[:, width:]).view(np.float32)
+    b = raw[:, :width].reshape(len(raw), -1, 3)
+    c = np.stack([b[..., 0] >> 2, (b[..., 0] & 3) << 4 | b[..., 1] >> 4, (b[..., 1] & 15) << 2 | b[..., 2] >> 6, b[..., 2] & 63], 2).reshape(len(raw), -1)
+    x = c[:, :dim].astype(np.float32)
+    x -= 32
+    x *= tail[:, :1]
+    return x, 1.03 * tail[:, 1] + np.float32(1e-6)
 
 
 def nearest_anchors(x: np.ndarray, anchors: np.ndarray, size: int, block: int = EXACT_ANCHORS) -> np.ndarray:
@@ -148,11 +179,11 @@ def fitted_sets(anchors: np.ndarray, threshold: float, recall: float = RECALL, p
 
 
 def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, bands: int, set_size: int) -> DataFrame:
-    """``vhash, id, code, scale, err, keys`` of each row with a usable vector; ``vhash`` is the same for equal ones."""
+    """``vhash, id, code, scale, err, small, keys`` of each row with a usable vector; ``vhash`` is the same for equal ones."""
     permutations = hash_orders(len(anchors), bands)
     at_once = EXACT_ANCHORS
     shared = rows.sparkSession.sparkContext.broadcast((mean, anchors, permutations))
-    schema = pa.schema([("vhash", pa.binary()), ("id", pa.int64()), ("code", pa.binary()), ("scale", pa.float32()), ("err", pa.float32()), ("keys", pa.list_(pa.int32()))])
+    schema = pa.schema([("vhash", pa.binary()), ("id", pa.int64()), ("code", pa.binary()), ("scale", pa.float32()), ("err", pa.float32()), ("small", pa.binary()), ("keys", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -168,9 +199,9 @@ def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, band
                 x = unit(raw, mean)
                 codes, scale, err = code(x)
                 buckets = minhash_keys(nearest_anchors(x.astype(np.float32), anchors, set_size, at_once), permutations)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), part.column(0).take(pa.array(at)), packed(codes), pa.array(scale.astype(np.float32)), pa.array((err + 1e-6).astype(np.float32)), pa.array(buckets, pa.list_(pa.int32()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), part.column(0).take(pa.array(at)), packed(codes), pa.array(scale.astype(np.float32)), pa.array(err.astype(np.float32)), packed(small_codes(x)), pa.array(buckets, pa.list_(pa.int32()))], schema=schema)
 
-    return rows.mapInArrow(encode, "vhash binary, id bigint, code binary, scale float, err float, keys array<int>")
+    return rows.mapInArrow(encode, "vhash binary, id bigint, code binary, scale float, err float, small binary, keys array<int>")
 
 
 def similarities(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +228,7 @@ def floats(batch: pa.RecordBatch, code_at: int, dim: int) -> tuple[np.ndarray, n
 
 def spanning_links(ids: np.ndarray, blocks: list[np.ndarray], x: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A spanning forest of the sure links among ``ids`` (between the blocks if there are two), as links to the
-    smallest id; and all unsure pairs. All pairs are compared, a strip at a time."""
+    smallest id; and the unsure pairs that it does not connect. All pairs are compared, a strip at a time."""
     label = np.arange(len(ids))
     unsure: list[np.ndarray] = []
     left, right = blocks
@@ -209,8 +240,8 @@ def spanning_links(ids: np.ndarray, blocks: list[np.ndarray], x: tuple, threshol
             continue
         r, c, sure = similarities((x[0][i], x[1][i]), (x[0][j], x[1][j]), threshold)
         a, b = i[r], j[c]
-        open_ = ~sure & (a != b)
-        unsure.append(np.stack([ids[a[open_]], ids[b[open_]]], 1))
+        open_ = ~sure & (a < b if left is right else a != b) & (label[a] != label[b])
+        unsure.append(np.stack([a[open_], b[open_]], 1))
         a, b = a[sure], b[sure]
         while len(a):  # links that join different trees, until there are none
             apart = label[a] != label[b]
@@ -221,7 +252,8 @@ def spanning_links(ids: np.ndarray, blocks: list[np.ndarray], x: tuple, threshol
             while (label[label] != label).any():
                 label = label[label]
     tree = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[tree], ids[label[tree]], np.concatenate(unsure) if unsure else np.zeros((0, 2), np.int64)
+    pairs = np.concatenate(unsure) if unsure else np.zeros((0, 2), np.int64)
+    return ids[tree], ids[label[tree]], ids[pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]]
 
 
 def _task_blocks(batch: pa.RecordBatch, lo_at: int) -> list[np.ndarray]:
@@ -233,10 +265,10 @@ def _task_blocks(batch: pa.RecordBatch, lo_at: int) -> list[np.ndarray]:
     return [every[block == lo], every[block == hi]]
 
 
-def bucket_links(codes: DataFrame, dim: int, threshold: float, buckets: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def bucket_links(codes: DataFrame, dim: int, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``a, b, sure``: links of a spanning forest of each bucket, and the pairs left to the full vectors."""
-    rows = codes.select(F.explode("keys").alias("key"), "id", "code", "scale", "err")
-    tasks = in_blocks(rows, "key", "id", buckets, block_rows).select("key", "lo", "hi", "block", "id", "code", "scale", "err")
+    rows = codes.select(F.explode("keys").alias("key"), "id", "small")
+    tasks = in_blocks(rows, "key", "id", codes.select(F.explode("keys").alias("key")), block_rows).select("key", "lo", "hi", "block", "id", "small")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +276,10 @@ def bucket_links(codes: DataFrame, dim: int, threshold: float, buckets: int, blo
             if batch.num_rows < 2:
                 continue
             ids = batch.column(4).to_numpy()
-            a, b, unsure = spanning_links(ids, _task_blocks(batch, 1), floats(batch, 5, dim), threshold)
+            a, b, unsure = spanning_links(ids, _task_blocks(batch, 1), small_floats(batch.column(5), dim), threshold)
             if len(a) + len(unsure):
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(a, unsure[:, 0])), pa.array(np.append(b, unsure[:, 1])), pa.array(np.arange(len(a) + len(unsure)) < len(a))], schema=schema)
+                low, high = unsure.min(1, initial=np.iinfo(np.int64).max), unsure.max(1, initial=np.iinfo(np.int64).min)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(a, high)), pa.array(np.append(b, low)), pa.array(np.arange(len(a) + len(unsure)) < len(a))], schema=schema)
 
     return scan_tasks(tasks, ["key", "lo", "hi"], ["id"], link, _EDGES)
 
@@ -265,11 +298,11 @@ def alike_pairs(pairs: DataFrame, rows: DataFrame, mean: np.ndarray, dim: int, t
     return both.select("a", "b", "xa", "xb").mapInArrow(decide, "a bigint, b bigint")
 
 
-def member_degrees(members: DataFrame, dim: int, threshold: float, most_groups: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``grp, id, degree, typicality``: for each member the number of other members of the same group that are
-    alike, and the sum of its similarities to the members. ``unsure`` pairs are rows with ``other`` set."""
-    tasks = in_blocks(members, "grp", "id", most_groups, block_rows).select("grp", "lo", "hi", "block", "id", "code", "scale", "err")
-    schema = pa.schema([("grp", pa.int64()), ("id", pa.int64()), ("degree", pa.int64()), ("typicality", pa.float64()), ("other", pa.int64())])
+def member_degrees(members: DataFrame, counted: DataFrame, dim: int, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``grp, id, degree``: for each member the number of other members of the same group that are alike. ``unsure``
+    pairs are rows with ``other`` set. ``counted`` has ``grp`` as often as ``members``."""
+    tasks = in_blocks(members, "grp", "id", counted, block_rows).select("grp", "lo", "hi", "block", "id", "code", "scale", "err")
+    schema = pa.schema([("grp", pa.int64()), ("id", pa.int64()), ("degree", pa.int64()), ("other", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches, 3):
@@ -288,62 +321,72 @@ def member_degrees(members: DataFrame, dim: int, threshold: float, most_groups:
                     degree += np.bincount(b[sure], minlength=len(ids))
                 open_ = ~sure & ((a < b) if left is right else other)
                 unsure.append(np.stack([a[open_], b[open_]], 1))
-            total = np.zeros(len(ids))
-            if left is right:
-                total = (x[0] @ x[0].sum(0)).astype(np.float64)
-            else:
-                total[left], total[right] = x[0][left] @ x[0][right].sum(0), x[0][right] @ x[0][left].sum(0)
             pairs = np.concatenate(unsure) if unsure else np.zeros((0, 2), np.int64)
             n = len(ids) + len(pairs)
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, batch.column(0)[0].as_py(), np.int64)), pa.array(np.append(ids, ids[pairs[:, 0]])), pa.array(np.append(degree, np.zeros(len(pairs), np.int64))), pa.array(np.append(total, np.zeros(len(pairs)))), pa.chunked_array([none, pa.array(ids[pairs[:, 1]], pa.int64())]).combine_chunks()], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(0)[0].as_py(), np.int64)), pa.array(np.append(ids, ids[pairs[:, 0]])), pa.array(np.append(degree, np.zeros(len(pairs), np.int64))), pa.chunked_array([none, pa.array(ids[pairs[:, 1]], pa.int64())]).combine_chunks()], schema=schema)
 
-    return scan_tasks(tasks, ["grp", "lo", "hi"], ["id"], count, "grp bigint, id bigint, degree bigint, typicality double, other bigint")
+    return scan_tasks(tasks, ["grp", "lo", "hi"], ["id"], count, "grp bigint, id bigint, degree bigint, other bigint")
 
 
-def split_loose(members: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """``id, part``: the members ``grp, id, degree, code, scale, err`` of loose groups around medoids of highest
-    degree (ties: smallest id). A task holds a group's codes, not its pairs: one product with a vector a medoid."""
+def split_loose(members: DataFrame, mean: np.ndarray, dim: int, threshold: float) -> DataFrame:
+    """``id, part``: the members ``grp, id, degree, x`` of loose groups around medoids of highest degree (ties: smallest
+    id). A task holds a group's vectors, not its pairs: one product with a vector a medoid."""
     schema = pa.schema([("id", pa.int64()), ("part", pa.int64())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches):
             ids, degree = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            x, _ = floats(batch, 3, dim)
+            x = unit(usable(batch.column(3), dim)[1], mean)
             order = np.lexsort((ids, -degree))
             part = np.full(len(ids), -1, np.int64)
             for m in order.tolist():
                 if part[m] < 0:
-                    free = part < 0
-                    near = free & (x @ x[m] >= threshold)
-                    near[m] = True
+                    free = np.flatnonzero(part < 0)
+                    near = free[(x[free] @ x[m] >= threshold) | (free == m)]
                     part[near] = ids[near].min()
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(part)], schema=schema)
 
-    return scan_tasks(members.select("grp", "id", "degree", "code", "scale", "err"), ["grp"], ["id"], split, "id bigint, part bigint")
+    return scan_tasks(members.select("grp", "id", "degree", "x"), ["grp"], ["id"], split, "id bigint, part bigint")
 
 
-def split_large(members: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """``split_loose`` for components of any size: in each round, every component's free member with the most links
-    takes the free members that are alike. Rounds are as many as the most parts of a component."""
-    state = write_table(members.select("grp", "id", "degree", "code", "scale", "err", F.lit(None).cast("bigint").alias("medoid")), "split")
+def split_large(members: DataFrame, mean: np.ndarray, dim: int, threshold: float, heads: int = SPLIT_HEADS) -> DataFrame:
+    """``split_loose`` for components of any size, in rounds. Of the free members of each component the ``heads`` with the
+    most links come to the driver. In their order, one that is alike with none chosen before it is a medoid, as it
+    would be one by one; each free member then goes to the first of them that it is alike with."""
+    spark = members.sparkSession
+    state = write_table(members.select("grp", "id", "degree", "x", F.lit(None).cast("bigint").alias("medoid")), "split")
+    order = Window.partitionBy("grp").orderBy(F.desc("degree"), "id")
     while True:
-        free = state.df.where("medoid is null")
-        best = F.max_by(F.struct("id", "code", "scale"), F.struct(F.col("degree"), -F.col("id")))
-        heads = write_table(free.groupBy("grp").agg(best.alias("m")).select("grp", F.col("m.id").alias("head"), F.col("m.code").alias("head_code"), F.col("m.scale").alias("head_scale")), "medoids")
-        if heads.df.isEmpty():
+        top = state.df.where("medoid is null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= heads)
+        rows = top.select("grp", "r", "id", "x").orderBy("grp", "r").toArrow().combine_chunks()
+        if not rows.num_rows:
             break
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, grp, ids = unit(usable(rows["x"].combine_chunks(), dim)[1], mean), rows["grp"].to_numpy(), rows["id"].to_numpy()
+        chosen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for g in np.unique(grp).tolist():
+            own = np.flatnonzero(grp == g)
+            s, taken = x[own] @ x[own].T >= threshold, np.zeros(len(own), bool)
+            keep = []
+            for i in range(len(own)):
+                if not taken[i]:
+                    keep.append(own[i])
+                    taken |= s[i]
+            chosen[g] = (ids[keep], x[keep])
+        shared = spark.sparkContext.broadcast(chosen)
+
+        def near(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, y = (unpacked(batch.column(f"{p}code"), np.int8, dim).astype(np.float32) * batch.column(f"{p}scale").to_numpy()[:, None] for p in ("", "head_"))
-                ids, head = batch.column("id").to_numpy(), batch.column("head").to_numpy()
-                alike = (np.einsum("ij,ij->i", x, y) >= threshold) | (ids == head)
-                medoid = pa.array(head, mask=~alike)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "id", "degree", "code", "scale", "err")), medoid], names=["grp", "id", "degree", "code", "scale", "err", "medoid"])
-
-        moved = free.drop("medoid").join(heads.df, "grp").mapInArrow(near, state.df.schema)
+                y, g, own = unit(usable(batch.column("x"), dim)[1], mean), batch.column("grp").to_numpy(), batch.column("id").to_numpy()
+                medoid = np.full(len(own), -1, np.int64)
+                for k in np.unique(g).tolist():
+                    at = np.flatnonzero(g == k)
+                    names, heads = shared.value[k]
+                    alike = (y[at] @ heads.T >= threshold) | (own[at][:, None] == names[None, :])
+                    medoid[at] = np.where(alike.any(1), names[alike.argmax(1)], -1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "id", "degree", "x")), pa.array(medoid, mask=medoid < 0)], names=["grp", "id", "degree", "x", "medoid"])
+
+        moved = state.df.where("medoid is null").mapInArrow(near, state.df.schema)
         following = write_table(state.df.where("medoid is not null").unionByName(moved), "split")
         state.drop()
         state = following
@@ -357,11 +400,10 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     A vector is usable if it has ``dim`` elements, all non-null and finite and not all zero; other rows, and rows
     with a null id, take no part. Rows that repeat an id count once. The mean of all usable vectors is subtracted;
     similarity is the cosine of the results, and two vectors are alike at ``threshold`` or more. The result has one
-    row for each usable id: ``id, group_id, n_members, tight, degree, typicality, component, n_component``.
-    ``group_id`` is the smallest id of the group, ``tight`` says that all members are alike with one another and
-    with none outside, ``degree`` is the number of members of the component that are alike (equal vectors count
-    once), ``typicality`` the mean similarity to the group's vectors. A vector without any link is a group of
-    one. Empty tables give an empty result; other columns are not read.
+    row for each usable id: ``id, group_id, n_members, tight, degree, component, n_component``. ``group_id`` is the
+    smallest id of the group, ``tight`` says that all members are alike with one another and with none outside, and
+    ``degree`` is the number of members of the component that are alike (equal vectors count once). A vector without
+    any link is a group of one. Empty tables give an empty result; other columns are not read.
 
     Links are found by banding; a link that is found is exact. ``bands`` and ``set_size`` are fitted to the anchors,
     whatever their number, so that pairs at just the threshold are found with about ``recall`` and others with more.
@@ -380,7 +422,7 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     copies = surplus.df.where("id <> rep").select("id", "rep").distinct()
     vectors = every.df.join(surplus.df.select("row"), "row", "left_anti")
 
-    found = write_table(bucket_links(vectors, dim, threshold, max(len(anchors), 1), block_rows).dropDuplicates(["a", "b"]), "bucket-links")
+    found = write_table(bucket_links(vectors, dim, threshold, block_rows).dropDuplicates(["a", "b"]), "bucket-links")
     unsure = found.df.where("not sure").select("a", "b")
     links = found.df.where("sure").select("a", "b")
     if not unsure.isEmpty():
@@ -388,53 +430,99 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     linked = write_table(connected_components(links, "a", "b", "id", "grp"), "groups")
     found.drop()
 
-    members = write_table(vectors.select("id", "code", "scale", "err").join(linked.df, "id"), "members")
-    counted = write_table(member_degrees(members.df, dim, threshold, n // block_rows + 1, block_rows), "degrees")
+    members = vectors.select("id", "code", "scale", "err").join(linked.df, "id")
+    counted = write_table(member_degrees(members, linked.df, dim, threshold, block_rows), "degrees")
     unsure = counted.df.where("other is not null").select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
-    degrees = counted.df.where("other is null").select("grp", "id", "degree", "typicality")
+    by_member = counted.df.where("other is null").groupBy("grp", "id").agg(F.sum("degree").alias("degree"))
     if not unsure.isEmpty():
         more = alike_pairs(unsure.select("a", "b"), rows, mean, dim, threshold).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("more"))
-        one = degrees.join(linked.df.select("id"), "id", "left_semi").groupBy("grp", "id").agg(F.sum("degree").alias("degree"), F.sum("typicality").alias("typicality"))
-        degrees = one.join(more, "id", "left").select("grp", "id", (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree"), "typicality")
-    by_member = degrees.groupBy("grp", "id").agg(F.sum("degree").alias("degree"), F.sum("typicality").alias("typicality"))
+        by_member = by_member.join(more, "id", "left").select("grp", "id", (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree"))
     by_group = by_member.groupBy("grp").agg(F.count("*").alias("n"), F.min("degree").alias("least"))
-    known = by_member.join(by_group, "grp").select("grp", "id", "degree", (F.col("typicality") / F.col("n")).alias("typicality"), (F.col("least") == F.col("n") - 1).alias("tight"), "n")
-    known_table = write_table(known, "known")
-    loose = known_table.df.where("not tight").join(members.df.select("id", "code", "scale", "err"), "id")
-    parts = split_loose(loose.where(F.col("n") <= SPLIT_ROWS), dim, threshold)
-    if not (large := loose.where(F.col("n") > SPLIT_ROWS)).isEmpty():
-        parts = parts.unionByName(split_large(large, dim, threshold))
-    # Parts are described by their own members, not by those of the whole component.
-    parts = write_table(parts, "parts").df
-    of_parts = mean_similarities(decoded(parts.join(members.df.select("id", "code", "scale"), "id"), dim), dim).select("id", F.col("key").alias("part"), F.col("typicality").alias("in_part"))
-    settled = known_table.df.join(of_parts, "id", "left").select("id", F.coalesce("part", "grp").alias("group_id"), F.col("grp").alias("component"), "degree", F.coalesce("in_part", "typicality").alias("typicality"), "tight")
+    known = write_table(by_member.join(by_group, "grp").select("grp", "id", "degree", (F.col("least") == F.col("n") - 1).alias("tight"), "n"), "known")
+    counted.drop()
+    loose = known.df.where("not tight")
+    settled = known.df.select("id", F.col("grp").alias("group_id"), F.col("grp").alias("component"), "degree", "tight")
+    if not loose.isEmpty():
+        loose = loose.join(rows.dropDuplicates(["id"]), "id")
+        parts = split_loose(loose.where(F.col("n") <= SPLIT_ROWS), mean, dim, threshold)
+        if not (large := loose.where(F.col("n") > SPLIT_ROWS)).isEmpty():
+            parts = parts.unionByName(split_large(large, mean, dim, threshold))
+        parts = write_table(parts, "parts").df
+        settled = settled.join(parts, "id", "left").select("id", F.coalesce("part", "group_id").alias("group_id"), "component", "degree", "tight")
     # Vectors without a link, then the copies, which share their representative's group.
-    alone = vectors.select("id").join(linked.df, "id", "left_anti").select("id", F.col("id").alias("group_id"), F.col("id").alias("component"), F.lit(0).cast("bigint").alias("degree"), F.lit(1.0).alias("typicality"), F.lit(True).alias("tight"))
+    alone = vectors.select("id").join(linked.df, "id", "left_anti").select("id", F.col("id").alias("group_id"), F.col("id").alias("component"), F.lit(0).cast("bigint").alias("degree"), F.lit(True).alias("tight"))
     placed = settled.unionByName(alone)
-    of_copies = copies.join(placed.withColumnRenamed("id", "rep"), "rep").select("id", "group_id", "component", "degree", "typicality", "tight")
+    of_copies = copies.join(placed.withColumnRenamed("id", "rep"), "rep").select("id", "group_id", "component", "degree", "tight")
     full = placed.unionByName(of_copies)
     sizes = full.groupBy("group_id").agg(F.count("*").alias("n_members"))
     in_component = full.groupBy("component").agg(F.count("*").alias("n_component"))
-    return full.join(sizes, "group_id").join(in_component, "component").select("id", "group_id", "n_members", "tight", "degree", "typicality", "component", "n_component")
+    return full.join(sizes, "group_id").join(in_component, "component").select("id", "group_id", "n_members", "tight", "degree", "component", "n_component")
 
 
-def decoded(rows: DataFrame, dim: int) -> DataFrame:
-    """``key, id, x`` of the coded vectors ``part, id, code, scale``."""
+def typicalities(rows: DataFrame, dim: int, most_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``key, id, n, typicality`` of unit vectors ``key bigint, id, x`` (packed): the number of the key's vectors, and the
+    mean similarity to them, by their sum. A key is one task up to ``most_rows``; a larger one is summed up in parts, and
+    its sum, one row a key, is sent to all tasks."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most_rows)
+    hot = write_table(counts, "hot-groups").df
+    schema = "key bigint, id bigint, n bigint, typicality double"
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mean_of(key: pa.Array, ids: pa.Array, x: np.ndarray, total: np.ndarray, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([key, ids, pa.array(np.full(len(x), n, np.int64)), pa.array(x.astype(np.float64) @ total / n)], names=["key", "id", "n", "typicality"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_key(batches):
+            x = unpacked(batch.column(2), np.float32, dim)
+            yield mean_of(batch.column(0), batch.column(1), x, x.sum(0, dtype=np.float64), len(x))
+
+    few = rows if hot.isEmpty() else rows.join(hot.select("key"), "key", "left_anti")
+    out = scan_tasks(few.select("key", "id", "x"), ["key"], [], whole, schema)
+    if few is rows:
+        return out
+    many = rows.join(F.broadcast(hot), "key").select("key", "id", "x", "n")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = unpacked(batch.column(2), np.int8, dim).astype(np.float32) * batch.column(3).to_numpy()[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["key", "id", "x"])
+            key, x = batch.column(0).to_numpy(), unpacked(batch.column(2), np.float32, dim)
+            for k in np.unique(key).tolist():
+                sums[k] = sums.get(k, 0.0) + x[key == k].sum(0, dtype=np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), packed(np.array(list(sums.values())).reshape(-1, dim))], names=["key", "s"])
+
+    total: dict[int, np.ndarray] = {}
+    for row in many.mapInArrow(add, "key bigint, s binary").toLocalIterator():
+        total[row["key"]] = total.get(row["key"], 0.0) + np.frombuffer(row["s"])
+    shared = rows.sparkSession.sparkContext.broadcast(total)
 
-    return rows.select("part", "id", "code", "scale").mapInArrow(decode, "key bigint, id bigint, x array<float>")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            for k in np.unique(key).tolist():
+                part = batch.filter(pa.array(key == k))
+                yield mean_of(part.column(0), part.column(1), unpacked(part.column(2), np.float32, dim), shared.value[k], part.column(3)[0].as_py())
 
+    return out.unionByName(many.mapInArrow(compare, schema))
 
-def mean_similarities(rows: DataFrame, dim: int) -> DataFrame:
-    """``key, id, typicality`` of unit vectors ``key, id, x``: the mean similarity to all vectors of the key, by their
-    sum, so that no key is gathered and no pair is formed."""
-    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.sum(F.col("x")[i]) for i in range(dim))).alias("s"))
-    dot = F.aggregate(F.zip_with("x", "s", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda p, q: p + q)
-    return rows.join(sums, "key").select("key", "id", (dot / F.col("n")).alias("typicality"))
+
+def most_typical(ranked: DataFrame, typical: int = 3) -> DataFrame:
+    """``key, n, typical_ids``: for each key of ``typicalities`` the ids of its most typical vectors, compared to six
+    decimals (ties: smallest id). Each task keeps so many rows a key before they are shuffled."""
+    order = Window.partitionBy("key").orderBy(F.desc(F.round("typicality", 6)), "id")
+    first = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= typical)
+    picked = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda p: p["id"])
+    return first.groupBy("key").agg(F.first("n").alias("n"), picked.alias("typical_ids"))
+
+
+def group_profiles(groups: DataFrame, segments: DataFrame, typical: int = 3, least: int = 2, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features") -> DataFrame:
+    """``group_id, n_members, tight, typical_ids``: each group of ``similarity_groups`` with at least ``least`` members,
+    with the ids of its ``typical`` members that are most similar to the group's members in the mean (ties: smallest
+    id). Equal vectors count as often as there are ids."""
+    kept = groups.where(F.col("n_members") >= least)
+    rows = vector_rows(segments, id_col, vector_col)
+    vectors = unit_vectors(rows.dropDuplicates(["id"]), centre(rows, dim)[0], dim)
+    picked = most_typical(typicalities(kept.select(F.col("group_id").alias("key"), "id").join(vectors, "id"), dim), typical)
+    tight = kept.groupBy("group_id").agg(F.first("tight").alias("tight"))
+    return picked.join(tight, F.col("key") == F.col("group_id")).select("group_id", F.col("n").alias("n_members"), "tight", "typical_ids")
 
 
 def cluster_profiles(partition: DataFrame, segments: DataFrame, typical: int = 3, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features") -> DataFrame:
@@ -446,44 +534,18 @@ def cluster_profiles(partition: DataFrame, segments: DataFrame, typical: int = 3
     similarity; a segment counts once in a cluster. The most typical ones have the highest mean similarity to the
     cluster's segments (ties: smallest id); a cluster without any has an empty list.
     """
-    members = partition.where("run_id is not null and cluster >= 0 and member_id is not null").select("member_id", "run_id", "cluster", "utt_id", "start_sec", "end_sec").dropDuplicates(["member_id"])
-    sizes = members.groupBy("run_id", "cluster").agg(F.count("*").alias("n_members"))
+    members = partition.where("run_id is not null and cluster >= 0 and member_id is not null").select("member_id", F.col("run_id").cast("bigint").alias("run_id"), F.col("cluster").cast("bigint").alias("cluster"), "utt_id", "start_sec", "end_sec").dropDuplicates(["member_id"])
     rows = vector_rows(segments, id_col, vector_col)
-    mean, _ = centre(rows, dim)
-    shared = rows.sparkSession.sparkContext.broadcast(mean)
-
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, x = usable(batch.column(1), dim)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(list(unit(x, shared.value).astype(np.float32)), pa.list_(pa.float32()))], names=["id", "x"])
-
-    vectors = rows.mapInArrow(units, "id bigint, x array<float>")
-    # Only usable segments can be a member's; which these are is known from their ids.
-    places = segments.where("utt_id is not null").select(F.col(id_col).cast("bigint").alias("id"), "utt_id", "start_frame", "end_frame").dropDuplicates(["id"]).join(vectors.select("id"), "id", "left_semi")
+    vectors = unit_vectors(rows.dropDuplicates(["id"]), centre(rows, dim)[0], dim)
+    # Only usable segments can be a member's; the test here needs no vector to be shuffled.
+    places = segments.where(F.col("utt_id").isNotNull() & F.col(id_col).isNotNull() & (F.size(vector_col) == dim) & is_usable(vector_col)).select(F.col(id_col).cast("bigint").alias("id"), "utt_id", "start_frame", "end_frame").dropDuplicates(["id"])
     first = F.floor(F.col("start_sec") * 50).cast("int")
     near = members.where("utt_id is not null and end_sec > start_sec").withColumn("start_frame", F.explode(F.sequence(first - 2, first + 3))).join(places, ["utt_id", "start_frame"])
     apart = F.greatest(F.abs(F.col("start_sec") * 50 - F.col("start_frame")), F.abs(F.col("end_sec") * 50 - F.col("end_frame")))
     matched = near.withColumn("apart", F.round(apart, 3)).where("apart <= 2").groupBy("member_id", "run_id", "cluster").agg(F.min(F.struct("apart", "id")).alias("m"))
-    by_id = matched.groupBy(F.col("m.id").alias("id")).agg(F.collect_set(F.struct("run_id", "cluster")).alias("keys"))
-    chosen = write_table(vectors.join(by_id, "id").dropDuplicates(["id"]), "cluster-vectors").df.select(F.explode("keys").alias("key"), "id", "x")
-    ranked = write_table(mean_similarities(chosen, dim), "cluster-members").df
-    in_cluster = ranked.groupBy("key").agg(F.count("*").alias("n_members"))
-    picked = group_profiles(ranked.join(in_cluster, "key").select(F.col("key").alias("group_id"), "id", "n_members", "typicality", F.lit(None).cast("boolean").alias("tight")), typical, least=1)
-    profiles = picked.select("group_id.run_id", "group_id.cluster", F.col("n_members").alias("n_segments"), "typical_ids")
-    out = sizes.join(profiles, ["run_id", "cluster"], "left")
-    return out.select("run_id", "cluster", "n_members", F.coalesce("n_segments", F.lit(0).cast("bigint")).alias("n_segments"), F.coalesce("typical_ids", F.array().cast("array<bigint>")).alias("typical_ids"))
-
-
-def group_profiles(groups: DataFrame, typical: int = 3, least: int = 2) -> DataFrame:
-    """``group_id, n_members, tight, typical_ids``: each group of ``similarity_groups`` with at least ``least`` members,
-    with the ids of its ``typical`` most typical members (ties: smallest id)."""
-    ranked = groups.where(F.col("n_members") >= least).groupBy("group_id", "n_members", "tight")
-    order = F.struct((-F.round("typicality", 6)).alias("t"), F.col("id").alias("id"))
-    picks = [F.min(order).alias("p0")]
-    first = ranked.agg(*picks)
-    out = first.select("group_id", "n_members", "tight", F.array("p0").alias("picked"))
-    for _ in range(typical - 1):  # each step is one combined aggregation, so that no group is gathered
-        rest = groups.select("group_id", order.alias("o")).join(out.select("group_id", "picked"), "group_id").where("o > picked[size(picked) - 1]")
-        following = rest.groupBy("group_id").agg(F.min("o").alias("p"))
-        out = out.join(following, "group_id", "left").select("group_id", "n_members", "tight", F.when(F.col("p").isNotNull(), F.concat("picked", F.array("p"))).otherwise(F.col("picked")).alias("picked"))
-    return out.select("group_id", "n_members", "tight", F.expr("transform(picked, p -> p.id)").alias("typical_ids"))
+    # A cluster is one number: its run above its own number, of at most 31 bits.
+    chosen = matched.select(F.expr("shiftleft(run_id, 32) + cluster").alias("key"), F.col("m.id").alias("id")).distinct().join(vectors, "id")
+    picked = most_typical(typicalities(write_table(chosen, "cluster-vectors").df, dim), typical)
+    profiles = picked.select(F.expr("shiftright(key, 32)").alias("run_id"), F.expr("key & 4294967295L").alias("cluster"), F.col("n").alias("n_segments"), "typical_ids")
+    out = members.groupBy("run_id", "cluster").agg(F.count("*").alias("n_members")).join(profiles, ["run_id", "cluster"], "left")
+    return out.select(F.col("run_id").cast("int").alias("run_id"), F.col("cluster").cast("int").alias("cluster"), "n_members", F.coalesce("n_segments", F.lit(0).cast("bigint")).alias("n_segments"), F.coalesce("typical_ids", F.array().cast("array<bigint>")).alias("typical_ids"))

@@ -263,7 +263,7 @@ def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.
                     yield pa.RecordBatch.from_arrays([pa.array(found[r, c].astype(np.int32)), part.column(0).take(pa.array(at[some[r]])), pa.array(role.astype(np.int32)), packed(x[some[r]])], schema=schema)
 
     postings = rows.select("id", "x", asked.alias("asks")).mapInArrow(post, "list int, id bigint, role int, x binary")
-    tasks = in_blocks(postings, "list", "id", MAX_LISTS, block_rows).select("list", "lo", "hi", "block", "id", "role", "x")
+    tasks = in_blocks(postings, "list", "id", block_rows=block_rows).select("list", "lo", "hi", "block", "id", "role", "x")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches, 3):

@@ -35,12 +35,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Size and most typical members of every group, which have ``group_id``, and of every discovered cluster, which
-    have ``run_id`` and ``cluster``; ``n_segments`` of a cluster's members have a segment."""
+    """Size and most typical members of every group, and of every discovered cluster.
+
+    ``kind`` is ``tight`` or ``loose`` for a group, whose ``number`` is its group_id and ``run_id`` -1, and ``cluster``
+    for a cluster, whose ``number`` is its own. ``n_segments`` of a cluster's members have a segment. ``typical_ids``
+    are set apart by blanks, the most typical first."""
     segments = _table(spark, folder, "segments")
-    of_groups = groups.group_profiles(groups.similarity_groups(segments)).withColumn("n_segments", F.col("n_members"))
+    of_groups = groups.group_profiles(groups.similarity_groups(segments), segments)
     of_clusters = groups.cluster_profiles(_table(spark, folder, "partition_file"), segments)
-    return of_groups.unionByName(of_clusters, allowMissingColumns=True)
+    ids = F.concat_ws(" ", F.col("typical_ids").cast("array<string>")).alias("typical_ids")
+    rows = of_groups.select(F.when(F.col("tight"), "tight").otherwise("loose").alias("kind"), F.lit(-1).alias("run_id"), F.col("group_id").alias("number"), "n_members", F.col("n_members").alias("n_segments"), ids)
+    return rows.unionByName(of_clusters.select(F.lit("cluster").alias("kind"), "run_id", F.col("cluster").cast("bigint").alias("number"), "n_members", "n_segments", ids))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,6 @@
 """The queries' results in DuckDB's SQL, over whole tables, where SQL can express them in reasonable time.
 
-Not here: p7_ids (a tokenizer), p8_near and p3_knn (approximate searches), p2_profiles (iterated medoids); these
-are tested against brute force.
+Not here: p7_ids (a tokenizer), which is tested against the library's encoder; its texts come back in p7_decoded.
 """
 
 from __future__ import annotations
@@ -29,6 +28,16 @@ mean AS (SELECT list(m ORDER BY i) AS mu FROM (SELECT i, avg(v) AS m FROM (SELEC
 centred AS (SELECT seg_id, list_transform(list_zip(x, mu), lambda p: p[1] - p[2]) AS c FROM unit_rows, mean),
 unit AS (SELECT seg_id, list_transform(c, lambda v: v / sqrt(list_dot_product(c, c)))::DOUBLE[96] AS u FROM centred)"""
 
+# Links, components, and whether all members of a component are alike.
+_LINKED = """
+links AS (SELECT a.seg_id AS a, b.seg_id AS b FROM unit a, unit b WHERE a.seg_id <> b.seg_id AND array_inner_product(a.u, b.u) >= 0.74),
+reach(seg_id, g) USING KEY (seg_id) AS (
+  SELECT a AS seg_id, least(a, min(b)) AS g FROM links GROUP BY a
+  UNION
+  SELECT l.b, min(reach.g) AS g FROM reach JOIN links l ON l.a = reach.seg_id JOIN recurring.reach AS old ON old.seg_id = l.b WHERE reach.g < old.g GROUP BY l.b),
+degree AS (SELECT a AS seg_id, count(*) AS d FROM links GROUP BY a),
+sized AS (SELECT g, count(*) AS n, min(d) AS least_d FROM reach JOIN degree USING (seg_id) GROUP BY g)"""
+
 _RUNS = """
 rows AS (SELECT DISTINCT seg_id, quantised FROM unit_segments WHERE seg_id IS NOT NULL),
 items AS (SELECT seg_id, unnest(quantised) AS unit, generate_subscripts(quantised, 1) - 1 AS pos FROM rows),
@@ -57,15 +66,33 @@ marked AS (SELECT field, term, n_records, total FROM counts JOIN totals USING (f
 SELECT field, term, 'rare' AS mark FROM marked WHERE n_records <= 2
 UNION ALL SELECT field, term, 'common' FROM marked WHERE n_records > 0.25 * total""",
     "p1_counts": f"WITH {_PAIRS} SELECT field, term, n_rows, n_records FROM counts",
-    "p2_found": f"""WITH RECURSIVE {_UNIT},
-links AS (SELECT a.seg_id AS a, b.seg_id AS b FROM unit a, unit b WHERE a.seg_id <> b.seg_id AND array_inner_product(a.u, b.u) >= 0.74),
-reach(seg_id, g) USING KEY (seg_id) AS (
-  SELECT a AS seg_id, least(a, min(b)) AS g FROM links GROUP BY a
-  UNION
-  SELECT l.b, min(reach.g) AS g FROM reach JOIN links l ON l.a = reach.seg_id JOIN recurring.reach AS old ON old.seg_id = l.b WHERE reach.g < old.g GROUP BY l.b),
-degree AS (SELECT a AS seg_id, count(*) AS d FROM links GROUP BY a),
-sized AS (SELECT g, count(*) AS n, min(d) AS least_d FROM reach JOIN degree USING (seg_id) GROUP BY g)
+    "p2_found": f"""WITH RECURSIVE {_UNIT}, {_LINKED}
 SELECT seg_id, g AS group_id FROM reach JOIN sized USING (g) WHERE least_d = n - 1""",
+    "p2_profiles": f"""WITH RECURSIVE {_UNIT}, {_LINKED},
+loose AS (SELECT seg_id, g, d FROM reach JOIN sized USING (g) JOIN degree USING (seg_id) WHERE least_d < n - 1),
+parts(seg_id, medoid) USING KEY (seg_id) AS (
+  SELECT seg_id, NULL::BIGINT AS medoid FROM loose
+  UNION
+  SELECT f.seg_id, h.m FROM (SELECT l.g, arg_min(l.seg_id, (-l.d, l.seg_id)) AS m FROM recurring.parts p JOIN loose l USING (seg_id) WHERE p.medoid IS NULL GROUP BY l.g) h
+    JOIN loose o ON o.g = h.g JOIN recurring.parts f ON f.seg_id = o.seg_id
+  WHERE f.medoid IS NULL AND (f.seg_id = h.m OR EXISTS (FROM links WHERE links.a = h.m AND links.b = f.seg_id))),
+members AS (SELECT seg_id, g AS group_id, true AS tight FROM reach JOIN sized USING (g) WHERE least_d = n - 1
+  UNION ALL SELECT seg_id, min(seg_id) OVER (PARTITION BY medoid), false FROM parts),
+sized_groups AS (SELECT group_id, bool_and(tight) AS tight, count(*) AS n FROM members GROUP BY group_id HAVING n > 1),
+mem AS (SELECT DISTINCT member_id, run_id, cluster, utt_id, start_sec, end_sec FROM partition_file WHERE run_id IS NOT NULL AND cluster >= 0),
+places AS (SELECT DISTINCT seg_id, utt_id, start_frame, end_frame FROM segments JOIN unit_rows USING (seg_id) WHERE utt_id IS NOT NULL),
+near AS (SELECT member_id, run_id, cluster, seg_id, round(greatest(abs(start_sec * 50 - start_frame), abs(end_sec * 50 - end_frame)), 3) AS apart
+  FROM mem JOIN places USING (utt_id) WHERE end_sec > start_sec),
+matched AS (SELECT DISTINCT run_id, cluster, seg_id FROM (FROM near WHERE apart <= 2 QUALIFY row_number() OVER (PARTITION BY member_id ORDER BY apart, seg_id) = 1)),
+keyed AS (SELECT group_id, NULL::INT AS run_id, NULL::INT AS cluster, seg_id FROM members SEMI JOIN sized_groups USING (group_id)
+  UNION ALL SELECT NULL, run_id, cluster, seg_id FROM matched),
+scored AS (SELECT k.group_id, k.run_id, k.cluster, k.seg_id, round(avg(array_inner_product(a.u, b.u)), 6) AS t FROM keyed k
+  JOIN keyed o ON k.group_id IS NOT DISTINCT FROM o.group_id AND k.run_id IS NOT DISTINCT FROM o.run_id AND k.cluster IS NOT DISTINCT FROM o.cluster
+  JOIN unit a ON a.seg_id = k.seg_id JOIN unit b ON b.seg_id = o.seg_id GROUP BY ALL),
+picked AS (SELECT group_id, run_id, cluster, count(*) AS n, array_to_string(list(seg_id ORDER BY t DESC, seg_id)[1:3], ' ') AS typical_ids FROM scored GROUP BY ALL)
+SELECT CASE WHEN tight THEN 'tight' ELSE 'loose' END AS kind, -1 AS run_id, group_id AS number, n AS n_members, n AS n_segments, typical_ids FROM picked JOIN sized_groups USING (group_id, n)
+UNION ALL
+SELECT 'cluster', m.run_id, m.cluster::BIGINT, count(*), coalesce(any_value(n), 0), coalesce(any_value(typical_ids), '') FROM mem m LEFT JOIN (FROM picked WHERE run_id IS NOT NULL) p USING (run_id, cluster) GROUP BY m.run_id, m.cluster""",
     "p3_found": f"""WITH {_UNIT},
 sims AS (SELECT a.seg_id AS a, b.seg_id AS b, array_inner_product(a.u, b.u) AS s FROM unit a, unit b WHERE a.seg_id <> b.seg_id),
 near AS (SELECT a, b, s FROM sims WHERE s >= 0.97 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)

@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..arrowtools import matrix
+from ..arrowtools import matrix, packed
 from ..session import write_table
 
 #: Most rows of one key that one task takes at once; a key with more is cut into blocks.
 BLOCK_ROWS = 8192
+#: Most hot keys that are sent to all tasks: 2 MB.
+MOST_SENT = 100_000
 
 
 def usable(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +59,18 @@ def centre(rows: DataFrame, dim: int) -> tuple[np.ndarray, int]:
     return np.array([found.get(i, 0.0) for i in range(dim)]) / max(n, 1), n
 
 
+def unit_vectors(rows: DataFrame, mean: np.ndarray, dim: int) -> DataFrame:
+    """``id, x`` (packed float32) of the usable vectors of ``id, x``, centred and of length 1."""
+    shared = rows.sparkSession.sparkContext.broadcast(mean)
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = usable(batch.column(1), dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), packed(unit(x, shared.value).astype(np.float32))], names=["id", "x"])
+
+    return rows.select("id", "x").mapInArrow(units, "id bigint, x binary")
+
+
 def unit(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """Centred vectors of length 1; a vector that equals the mean stays zero."""
     x = x - mean
@@ -64,25 +78,24 @@ def unit(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def in_blocks(rows: DataFrame, key: str, id_col: str, limit: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, id_col: str, counted: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` with the columns ``lo, hi, block``, so that (key, lo, hi) is a task of bounded size.
 
     A key of at most ``block_rows`` rows is one task with lo = hi = block = 0. A larger one is cut into blocks by
     a hash of the id, and each pair of blocks is one task, which has both blocks' rows; ``block`` tells them
     apart. Every pair of rows of a key thus meets in a task: pairs of two blocks once, pairs within a block in the
-    task with lo = hi. ``limit`` is the most different keys there can be; the sizes of hot keys are sent to all
-    tasks, and they are no more than that.
+    task with lo = hi. ``counted`` has the keys in as many rows, where they are cheaper to read than in ``rows``. Hot
+    keys are at most one for each ``block_rows`` rows; they are sent to all tasks if they are ``MOST_SENT`` or fewer,
+    and joined by a shuffle if more.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > block_rows).collect()
-    if not counts:
+    counts = (rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
+    hot = write_table(counts.select(key, F.ceil(F.col("n") / block_rows).cast("int").alias("n_blocks")), "hot-keys").df
+    n = hot.count()
+    if not n:
         return rows.select("*", *(F.lit(0).alias(c) for c in ("lo", "hi", "block")))
-    if len(counts) > limit:
-        raise RuntimeError("more keys than stated")
-    blocks = {r[key]: -(-r["n"] // block_rows) for r in counts}
-    table = F.create_map(*(F.lit(v) for kv in blocks.items() for v in kv))
-    n = F.coalesce(F.element_at(table, F.col(key)), F.lit(1))
+    sized = rows.join(F.broadcast(hot) if n <= MOST_SENT else hot, key, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.col("n_blocks")).cast("int")
-    spread = rows.withColumn("n_blocks", n).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    spread = sized.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     return spread.select("*", F.least("block", "other").cast("int").alias("lo"), F.greatest("block", "other").cast("int").alias("hi")).drop("n_blocks", "other")
 
 

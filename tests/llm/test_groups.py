@@ -153,38 +153,75 @@ def test_borderline_pairs_are_decided_on_full_vectors(spark):
 
 def test_codes_keep_their_bounds():
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(200, 96))
+    for dim in (96, 50, 3):
+        x = rng.normal(size=(200, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        codes, scale, err = groups.code(x)
+        y = codes * scale[:, None]
+        assert (np.abs(x @ x.T - y @ y.T) <= 1.01 * (err[:, None] + err[None, :]) + 1e-6).all()
+        y, bound = groups.small_floats(groups.packed(groups.small_codes(x)), dim)
+        assert y.shape == x.shape and (np.abs(x @ x.T - y @ y.T) <= bound[:, None] + bound[None, :]).all()
+        assert bound.max() < 0.1 or dim == 3
+
+
+def truth(rows, threshold, typical=3, least=2):
+    """Groups, split one medoid after the other, with their most typical members: by brute force."""
+    label, tight, near, ids = brute(rows, threshold)
+    v = usable(rows)
+    x = np.array([v[i] for i in ids])
+    x = x - x.mean(0)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    codes, scale, err = groups.code(x)
-    y = codes * scale[:, None]
-    assert (np.abs(x @ x.T - y @ y.T) <= 1.01 * (err[:, None] + err[None, :]) + 1e-6).all()
-
-
-def test_profiles(spark):
-    rng = np.random.default_rng(5)
-    df = spark.createDataFrame(clustered(rng, [1, 1, 1, 1, 3, 8], 0.1), ROWS)
-    found = groups.similarity_groups(df, 0.7, DIM).cache()
-    got = {r["group_id"]: r for r in groups.group_profiles(found, 2).collect()}
-    assert sorted(r["n_members"] for r in got.values()) == [3, 8]
-    for g, r in got.items():
-        best = sorted((-round(m["typicality"], 6), m["id"]) for m in found.where(F.col("group_id") == g).collect())
-        assert r["typical_ids"] == [i for _, i in best[:2]]
+    place = {i: k for k, i in enumerate(ids)}
+    parts = []
+    for g in set(label.values()):
+        free = sorted(i for i in ids if label[i] == g)
+        if g in tight:
+            parts.append((free, True))
+            continue
+        degree = {i: near[place[i], [place[j] for j in free]].sum() for i in free}
+        while free:
+            m = min(free, key=lambda i: (-degree[i], i))
+            own = [i for i in free if i == m or near[place[m], place[i]]]
+            parts.append((own, False))
+            free = [i for i in free if i not in own]
+    out = {}
+    for own, is_tight in parts:
+        if len(own) >= least:
+            at = [place[i] for i in own]
+            t = (x[at] @ x[at].T).mean(1)
+            out[min(own)] = (len(own), is_tight, [own[k] for k in np.lexsort((own, -np.round(t, 6)))[:typical]])
+    return out
 
 
-def test_parts_of_a_loose_component_are_ranked_by_their_own_members(spark):
+@pytest.mark.parametrize(("rows_a_task", "heads"), [(1_000_000, 1024), (2, 1), (2, 3), (2, 1024)])
+def test_profiles_equal_brute_force_where_components_are_split(spark, monkeypatch, rows_a_task, heads):
+    monkeypatch.setattr(groups, "SPLIT_ROWS", rows_a_task)
+    monkeypatch.setattr(groups.split_large, "__defaults__", (heads,))
+    monkeypatch.setattr(groups.typicalities, "__defaults__", (rows_a_task,))
     rng = np.random.default_rng(2)
     base = np.linalg.qr(rng.normal(size=(DIM, DIM)))[0]
-    angles = np.deg2rad([0, 5, 10, 25, 45, 50, 55, 60, 62, 64, 66])
-    rows = [(i, (np.cos(a) * base[0] + np.sin(a) * base[1]).tolist()) for i, a in enumerate(angles)]
+    rows, n = [], 0
+    for k, angles in enumerate(([0, 5, 10, 25, 45, 50, 55, 60, 62, 64, 66], [0, 12, 24, 36, 48, 60, 72, 84], [0, 1, 2, 3])):
+        for a in np.deg2rad(angles):
+            rows.append((n, (np.cos(a) * base[2 * k] + np.sin(a) * base[2 * k + 1] + 0.02 * rng.normal(size=DIM)).tolist()))
+            n += 1
     rows += [(200 + i, (-np.array(v)).tolist()) for i, v in rows]
-    got = run(spark, rows, 0.9)
-    x = {i: np.array(v) for i, v in rows}
-    mean = np.mean(list(x.values()), axis=0)
-    x = {i: (v - mean) / np.linalg.norm(v - mean) for i, v in x.items()}
-    assert any(r["n_members"] < r["n_component"] and r["n_members"] > 1 for r in got.values())
-    for i, r in got.items():
-        own = [j for j, s in got.items() if s["group_id"] == r["group_id"]]
-        assert abs(r["typicality"] - np.mean([x[i] @ x[j] for j in own])) < 0.01
+    want = truth(rows, 0.9)
+    assert any(not t for _, t, _ in want.values()) and any(t for _, t, _ in want.values())
+    df = spark.createDataFrame(rows + dirty(), ROWS)
+    found = groups.similarity_groups(df, 0.9, DIM, bands=16, set_size=14)
+    got = {r["group_id"]: (r["n_members"], r["tight"], r["typical_ids"]) for r in groups.group_profiles(found, df, dim=DIM).collect()}
+    assert got == want
+
+
+def test_equal_vectors_count_in_profiles(spark):
+    rng = np.random.default_rng(5)
+    rows = clustered(rng, [1, 1, 1, 1, 3, 8], 0.1)
+    rows += [(900 + i, rows[-1][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, ROWS)
+    got = {r["group_id"]: (r["n_members"], r["typical_ids"]) for r in groups.group_profiles(groups.similarity_groups(df, 0.7, DIM), df, 2, dim=DIM).collect()}
+    assert got == {g: (n, t) for g, (n, _, t) in truth(rows, 0.7, 2).items()}
+    assert groups.group_profiles(groups.similarity_groups(df.limit(0), 0.7, DIM), df.limit(0), dim=DIM).count() == 0
 
 
 def test_every_cluster_of_a_run_has_a_profile(spark):
