@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from ..arrowtools import by_key, packed, scan_tasks, unpacked
 from ..session import write_table
 from .components import connected_components
-from .vectors import BLOCK_ROWS, centre, hashed, in_blocks, is_usable, unit, unit_vectors, usable, vector_rows
+from .vectors import BLOCK_ROWS, centre, from_fixed_point, hashed, in_blocks, is_usable, unit, unit_vectors, usable, vector_rows
 
 MIN_ANCHORS, MAX_ANCHORS = 64, 131_072
 #: Anchors of one matrix product. A vector is always compared with all anchors, so many at a time.
@@ -394,7 +394,7 @@ def split_large(members: DataFrame, mean: np.ndarray, dim: int, threshold: float
     return state.df.join(parts, "medoid").select("id", "part")
 
 
-def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", bands: int | None = None, set_size: int | None = None, block_rows: int = BLOCK_ROWS, recall: float = RECALL) -> DataFrame:
+def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", bands: int | None = None, set_size: int | None = None, block_rows: int = BLOCK_ROWS, recall: float = RECALL, centred: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """Groups of similar vectors.
 
     A vector is usable if it has ``dim`` elements, all non-null and finite and not all zero; other rows, and rows
@@ -407,9 +407,10 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
 
     Links are found by banding; a link that is found is exact. ``bands`` and ``set_size`` are fitted to the anchors,
     whatever their number, so that pairs at just the threshold are found with about ``recall`` and others with more.
+    ``centred`` passes the mean and number of the vectors, as ``vectors.centre`` gives them, if they are known.
     """
     rows = vector_rows(segments, id_col, vector_col)
-    mean, n = centre(rows, dim)
+    mean, n = centred or centre(rows, dim)
     anchors = anchor_vectors(rows, mean, n, dim)
     if bands is None or set_size is None:
         fitted = fitted_sets(anchors, threshold, recall)
@@ -459,47 +460,54 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     return full.join(sizes, "group_id").join(in_component, "component").select("id", "group_id", "n_members", "tight", "degree", "component", "n_component")
 
 
-def typicalities(rows: DataFrame, dim: int, most_rows: int = SPLIT_ROWS) -> DataFrame:
-    """``key, id, n, typicality`` of unit vectors ``key bigint, id, x`` (packed): the number of the key's vectors, and the
-    mean similarity to them, by their sum. A key is one task up to ``most_rows``; a larger one is summed up in parts, and
-    its sum, one row a key, is sent to all tasks."""
-    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most_rows)
-    hot = write_table(counts, "hot-groups").df
+def typicalities(members: DataFrame, vectors: DataFrame, dim: int, most_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``key, id, n, typicality`` of the different members ``key bigint, id`` that have a vector ``id, x`` of
+    ``unit_vectors``: how many the key has, and the mean similarity to them, by their sum. Rows of ``vectors`` that repeat
+    count once. A key is one task up to ``most_rows`` members; a larger one is summed up in parts, and its sum, one row
+    a key, is sent to all tasks."""
+    members = write_table(members.select("key", "id").distinct(), "profiled").df
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most_rows)
+    hot = write_table(counts.select("key"), "hot-groups").df
     schema = "key bigint, id bigint, n bigint, typicality double"
 
     def mean_of(key: pa.Array, ids: pa.Array, x: np.ndarray, total: np.ndarray, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([key, ids, pa.array(np.full(len(x), n, np.int64)), pa.array(x.astype(np.float64) @ total / n)], names=["key", "id", "n", "typicality"])
+        return pa.RecordBatch.from_arrays([key, ids, pa.array(np.full(len(x), n, np.int64)), pa.array(x @ total / n)], names=["key", "id", "n", "typicality"])
+
+    def decoded(col: pa.Array) -> np.ndarray:
+        return from_fixed_point(unpacked(col, np.uint8, 3 * dim))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches):
-            x = unpacked(batch.column(2), np.float32, dim)
-            yield mean_of(batch.column(0), batch.column(1), x, x.sum(0, dtype=np.float64), len(x))
-
-    few = rows if hot.isEmpty() else rows.join(hot.select("key"), "key", "left_anti")
-    out = scan_tasks(few.select("key", "id", "x"), ["key"], [], whole, schema)
-    if few is rows:
+            batch = batch.take(pa.array(np.unique(batch.column(1).to_numpy(), return_index=True)[1]))
+            x = decoded(batch.column(2))
+            yield mean_of(batch.column(0), batch.column(1), x, x.sum(0), len(x))
+
+    some = not hot.isEmpty()
+    few = members.join(hot, "key", "left_anti") if some else members
+    out = scan_tasks(few.join(vectors, "id").select("key", "id", "x"), ["key"], [], whole, schema)
+    if not some:
         return out
-    many = rows.join(F.broadcast(hot), "key").select("key", "id", "x", "n")
+    many = write_table(members.join(F.broadcast(hot), "key").join(vectors, "id").select("key", "id", "x").dropDuplicates(["key", "id"]), "hot-members").df
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            key, x = batch.column(0).to_numpy(), unpacked(batch.column(2), np.float32, dim)
+            key, x = batch.column(0).to_numpy(), decoded(batch.column(2))
             for k in np.unique(key).tolist():
-                sums[k] = sums.get(k, 0.0) + x[key == k].sum(0, dtype=np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), packed(np.array(list(sums.values())).reshape(-1, dim))], names=["key", "s"])
+                sums[k] = sums.get(k, 0.0) + np.append(x[key == k].sum(0), (key == k).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), packed(np.array(list(sums.values())).reshape(-1, dim + 1))], names=["key", "s"])
 
     total: dict[int, np.ndarray] = {}
     for row in many.mapInArrow(add, "key bigint, s binary").toLocalIterator():
         total[row["key"]] = total.get(row["key"], 0.0) + np.frombuffer(row["s"])
-    shared = rows.sparkSession.sparkContext.broadcast(total)
+    shared = members.sparkSession.sparkContext.broadcast(total)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(0).to_numpy()
             for k in np.unique(key).tolist():
                 part = batch.filter(pa.array(key == k))
-                yield mean_of(part.column(0), part.column(1), unpacked(part.column(2), np.float32, dim), shared.value[k], part.column(3)[0].as_py())
+                yield mean_of(part.column(0), part.column(1), decoded(part.column(2)), shared.value[k][:-1], int(shared.value[k][-1]))
 
     return out.unionByName(many.mapInArrow(compare, schema))
 
@@ -513,19 +521,19 @@ def most_typical(ranked: DataFrame, typical: int = 3) -> DataFrame:
     return first.groupBy("key").agg(F.first("n").alias("n"), picked.alias("typical_ids"))
 
 
-def group_profiles(groups: DataFrame, segments: DataFrame, typical: int = 3, least: int = 2, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features") -> DataFrame:
+def group_profiles(groups: DataFrame, segments: DataFrame, typical: int = 3, least: int = 2, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", centred: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """``group_id, n_members, tight, typical_ids``: each group of ``similarity_groups`` with at least ``least`` members,
     with the ids of its ``typical`` members that are most similar to the group's members in the mean (ties: smallest
-    id). Equal vectors count as often as there are ids."""
-    kept = groups.where(F.col("n_members") >= least)
+    id). Equal vectors count as often as there are ids. ``centred`` passes the mean of the vectors, if it is known."""
+    kept = write_table(groups.where(F.col("n_members") >= least).select("group_id", "id", "tight"), "grouped").df
     rows = vector_rows(segments, id_col, vector_col)
-    vectors = unit_vectors(rows.dropDuplicates(["id"]), centre(rows, dim)[0], dim)
-    picked = most_typical(typicalities(kept.select(F.col("group_id").alias("key"), "id").join(vectors, "id"), dim), typical)
+    vectors = unit_vectors(rows, (centred or centre(rows, dim))[0], dim)
+    picked = most_typical(typicalities(kept.select(F.col("group_id").alias("key"), "id"), vectors, dim), typical)
     tight = kept.groupBy("group_id").agg(F.first("tight").alias("tight"))
     return picked.join(tight, F.col("key") == F.col("group_id")).select("group_id", F.col("n").alias("n_members"), "tight", "typical_ids")
 
 
-def cluster_profiles(partition: DataFrame, segments: DataFrame, typical: int = 3, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features") -> DataFrame:
+def cluster_profiles(partition: DataFrame, segments: DataFrame, typical: int = 3, dim: int = 96, id_col: str = "seg_id", vector_col: str = "features", centred: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """``run_id, cluster, n_members, n_segments, typical_ids``: every cluster of every run with its most typical segments.
 
     Members are the different ``member_id`` with a non-null run and a cluster of 0 or more; all count in ``n_members``,
@@ -536,7 +544,7 @@ def cluster_profiles(partition: DataFrame, segments: DataFrame, typical: int = 3
     """
     members = partition.where("run_id is not null and cluster >= 0 and member_id is not null").select("member_id", F.col("run_id").cast("bigint").alias("run_id"), F.col("cluster").cast("bigint").alias("cluster"), "utt_id", "start_sec", "end_sec").dropDuplicates(["member_id"])
     rows = vector_rows(segments, id_col, vector_col)
-    vectors = unit_vectors(rows.dropDuplicates(["id"]), centre(rows, dim)[0], dim)
+    vectors = unit_vectors(rows, (centred or centre(rows, dim))[0], dim)
     # Only usable segments can be a member's; the test here needs no vector to be shuffled.
     places = segments.where(F.col("utt_id").isNotNull() & F.col(id_col).isNotNull() & (F.size(vector_col) == dim) & is_usable(vector_col)).select(F.col(id_col).cast("bigint").alias("id"), "utt_id", "start_frame", "end_frame").dropDuplicates(["id"])
     first = F.floor(F.col("start_sec") * 50).cast("int")
@@ -544,8 +552,8 @@ def cluster_profiles(partition: DataFrame, segments: DataFrame, typical: int = 3
     apart = F.greatest(F.abs(F.col("start_sec") * 50 - F.col("start_frame")), F.abs(F.col("end_sec") * 50 - F.col("end_frame")))
     matched = near.withColumn("apart", F.round(apart, 3)).where("apart <= 2").groupBy("member_id", "run_id", "cluster").agg(F.min(F.struct("apart", "id")).alias("m"))
     # A cluster is one number: its run above its own number, of at most 31 bits.
-    chosen = matched.select(F.expr("shiftleft(run_id, 32) + cluster").alias("key"), F.col("m.id").alias("id")).distinct().join(vectors, "id")
-    picked = most_typical(typicalities(write_table(chosen, "cluster-vectors").df, dim), typical)
+    chosen = matched.select(F.expr("shiftleft(run_id, 32) + cluster").alias("key"), F.col("m.id").alias("id"))
+    picked = most_typical(typicalities(chosen, vectors, dim), typical)
     profiles = picked.select(F.expr("shiftright(key, 32)").alias("run_id"), F.expr("key & 4294967295L").alias("cluster"), F.col("n").alias("n_segments"), "typical_ids")
     out = members.groupBy("run_id", "cluster").agg(F.count("*").alias("n_members")).join(profiles, ["run_id", "cluster"], "left")
     return out.select(F.col("run_id").cast("int").alias("run_id"), F.col("cluster").cast("int").alias("cluster"), "n_members", F.coalesce("n_segments", F.lit(0).cast("bigint")).alias("n_segments"), F.coalesce("typical_ids", F.array().cast("array<bigint>")).alias("typical_ids"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import asof, components, groups, knn, leaks, runs, terms, textstats, tokens
+from . import asof, components, groups, knn, leaks, runs, terms, textstats, tokens, vectors
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,8 +41,9 @@ def p2_profiles(spark: SparkSession, folder: str) -> DataFrame:
     for a cluster, whose ``number`` is its own. ``n_segments`` of a cluster's members have a segment. ``typical_ids``
     are set apart by blanks, the most typical first."""
     segments = _table(spark, folder, "segments")
-    of_groups = groups.group_profiles(groups.similarity_groups(segments), segments)
-    of_clusters = groups.cluster_profiles(_table(spark, folder, "partition_file"), segments)
+    centred = vectors.centre(vectors.vector_rows(segments, "seg_id", "features"), 96)
+    of_groups = groups.group_profiles(groups.similarity_groups(segments, centred=centred), segments, centred=centred)
+    of_clusters = groups.cluster_profiles(_table(spark, folder, "partition_file"), segments, centred=centred)
     ids = F.concat_ws(" ", F.col("typical_ids").cast("array<string>")).alias("typical_ids")
     rows = of_groups.select(F.when(F.col("tight"), "tight").otherwise("loose").alias("kind"), F.lit(-1).alias("run_id"), F.col("group_id").alias("number"), "n_members", F.col("n_members").alias("n_segments"), ids)
     return rows.unionByName(of_clusters.select(F.lit("cluster").alias("kind"), "run_id", F.col("cluster").cast("bigint").alias("number"), "n_members", "n_segments", ids))
