@@ -20,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_table
 from .codepoints import LETTER, NUMBER, classes, in_portions, span_hashes, spans, to_codepoints
 
-#: Items of one pass over the documents; more items take more passes.
-ITEMS_PER_PASS = 5_000
+#: Bytes of the index of one pass over the documents, in each Python worker; more items take more passes.
+INDEX_BYTES = 128 << 20
+#: Words of an item that are indexed together; a longer item is taken in parts, which overlap.
+PART_WORDS = 4096
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -40,14 +43,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x * _MIX
 
 
-def edit_distance(a: list[str], b: list[str]) -> int:
-    """Levenshtein distance of two sequences of words."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
+def passage_distance(item: list[str], text: list[str]) -> int:
+    """The least Levenshtein distance of the item's words to any number of the text's first words."""
+    row = list(range(len(text) + 1))
+    for i, x in enumerate(item, 1):
         diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
+        for j, y in enumerate(text, 1):
             diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    return min(row)
+
+
+def table_count(window: int, max_edits: int, recall: float) -> tuple[int, int]:
+    """Sampled steps of a hash table, and tables. A pair at distance e differs in about 2 e of the 3 * window steps that
+    matter; a sample of s steps misses all of these with probability about exp(-2 e s / window)."""
+    steps = min(window, 6) if max_edits else window
+    hit = math.exp(-2.0 * max_edits * steps / window)
+    return steps, 1 if not max_edits else math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
 
 class PassageIndex:
@@ -70,11 +81,7 @@ class PassageIndex:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
         rng = np.random.default_rng(seed)
-        # A pair at distance e differs in about 2 e of the 3 * window steps that matter; a sample of s steps misses
-        # all of these with probability about exp(-2 e s / window).
-        steps = min(window, 6) if max_edits else window
-        hit = math.exp(-2.0 * max_edits * steps / window)
-        tables = 1 if not max_edits else min(64, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+        steps, tables = table_count(window, max_edits, recall)
         self.tables = []
         for _ in range(tables):
             bits = rng.random((3 * window, len(self.vocabulary) + 1)) < 0.5
@@ -129,8 +136,9 @@ class PassageIndex:
         maybe = np.flatnonzero(self.filter[(hashes >> np.uint64(44)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), len(self.vocabulary) - 1)
         word[maybe] = np.where(self.vocabulary[at] == hashes[maybe], at + 1, 0)
-        last = np.append(text, -1)[np.minimum(np.arange(len(hashes)) + self.window - 1, len(hashes))]
-        whole = last == text  # windows that end within their text
+        least = self.window - self.max_edits
+        last = np.append(text, -1)[np.minimum(np.arange(len(hashes)) + least - 1, len(hashes))]
+        whole = last == text  # passages that can end within their text
         if self.pieces is not None:
             whole &= self._with_piece(word, text)
         pairs: list[np.ndarray] = []
@@ -143,50 +151,71 @@ class PassageIndex:
             pairs.append(np.stack([np.repeat(found, n), owner[which]], 1))
         candidates = np.unique(np.concatenate(pairs), axis=0)
         order = np.lexsort((candidates[:, 0], self.item[candidates[:, 1]], text[candidates[:, 0]]))
+        ends = np.searchsorted(text, np.arange(len(texts)), side="right")  # where each text's words end
         out: list[tuple[int, int]] = []
         for p, g in candidates[order].tolist():
             pair = (int(text[p]), int(self.item[g]))
-            if (not out or out[-1] != pair) and self._verified(joined, starts, stops, p, g):
+            if (not out or out[-1] != pair) and self._verified(joined, starts, stops, p, int(ends[text[p]]), g):
                 out.append(pair)
         return out
 
     def _with_piece(self, word: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Whether the window that begins at each word holds a piece of an item's window."""
+        """Whether the longest passage that begins at each word holds a piece of an item's window."""
         at = self._inside(text, self.piece)
         unknown = np.append(0, np.cumsum(word[: len(text)] == 0))
         at = at[unknown[at + self.piece] == unknown[at]]
         h = self._hash(word, at)
         known = self.pieces[np.minimum(np.searchsorted(self.pieces, h), len(self.pieces) - 1)] == h
-        begins = np.zeros(len(text) + 1 + self.window, np.int64)
+        longest = self.window + self.max_edits
+        begins = np.zeros(len(text) + 1 + longest, np.int64)
         begins[at[known] + 1] = 1
         so_far = np.cumsum(begins)
         here = np.arange(len(text))
-        return so_far[here + self.window - self.piece + 1] > so_far[here]
+        return so_far[here + longest - self.piece + 1] > so_far[here]
 
-    def _verified(self, joined: str, starts: np.ndarray, stops: np.ndarray, p: int, g: int) -> bool:
-        own = [joined[starts[k] : stops[k]] for k in range(p, p + self.window)]
+    def _verified(self, joined: str, starts: np.ndarray, stops: np.ndarray, p: int, end: int, g: int) -> bool:
+        own = [joined[starts[k] : stops[k]] for k in range(p, min(p + self.window + self.max_edits, end))]
         at = int(self.first[g])
         of_item = [self.text[self.starts[k] : self.stops[k]] for k in range(at, at + self.window)]
-        return own == of_item if not self.max_edits else edit_distance(own, of_item) <= self.max_edits
+        return own == of_item if not self.max_edits else passage_distance(of_item, own) <= self.max_edits
+
+
+def item_parts(items: DataFrame, window: int, part_words: int = PART_WORDS) -> DataFrame:
+    """``item_id, part, item_text, n``: items of more than ``part_words`` words in parts that share ``window - 1`` words
+    with the next, so that every window is whole in one of them; ``n`` is a part's number of words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                joined, starts, stops, _, _ = words_of([text])
+                firsts = range(0, max(len(starts) - window + 1, 0), part_words)
+                lasts = [min(k + part_words + window - 1, len(starts)) for k in firsts]
+                parts = [joined[starts[a] : stops[b - 1]] for a, b in zip(firsts, lasts)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string()), pa.array([b - a for a, b in zip(firsts, lasts)], pa.int64())], names=["item_id", "part", "item_text", "n"])
+
+    return items.mapInArrow(cut, "item_id bigint, part int, item_text string, n bigint")
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, window: int = 12, max_edits: int = 0, recall: float = 0.95, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, window: int = 12, max_edits: int = 0, recall: float = 0.95, index_bytes: int = INDEX_BYTES, part_words: int = PART_WORDS) -> DataFrame:
     """``doc_id, item_id`` (different pairs) of documents that hold a passage of an item.
 
     ``documents`` has ``doc_id bigint, text string`` and ``items`` has ``item_id bigint, item_text string``; other
-    columns are not read. Words are the longest runs of letters and digits of the lower-cased text. A passage is
-    ``window`` consecutive words that are within ``max_edits`` inserted, deleted or changed words of as many
-    consecutive words of the item; with 0, all of them are found, else a share of about ``recall`` of the
-    passages. Items with fewer words than ``window`` have no passage. Null and empty texts and rows with a null id
-    give no row. Items are taken in blocks of ``items_per_pass``, each of which is one pass over the documents;
-    a block is all that the driver and the tasks hold of the items.
+    columns are not read. Words are the longest runs of letters and digits of the lower-cased text. A passage is a
+    number of consecutive words that ``max_edits`` inserted, deleted or changed words at most turn into ``window``
+    consecutive words of the item; with 0, all of them are found, else a share of about ``recall`` of the passages.
+    Items with fewer words than ``window`` have no passage. Null and empty texts and rows with a null id give no row.
+    The driver and each Python worker hold the index of one block of items, of about ``index_bytes``; each block is
+    one pass over the documents. Long items are cut into parts, so a block is no larger for them.
     """
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = items.where("item_id is not null and item_text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "item_text").distinct()
-    passes = max(1, math.ceil(usable.count() / items_per_pass))
+    parts = write_table(item_parts(usable, window, part_words), "items").df
+    # Of each word the index keeps its place, and a hash and an owner in each table.
+    words = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    passes = max(1, math.ceil(words * (40 + 16 * table_count(window, max_edits, recall)[1]) / index_bytes))
     out = None
     for k in range(passes):
-        block = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id").toArrow()
+        block = parts.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(passes)) == k).orderBy("item_id", "part").toArrow()
         index = PassageIndex(block["item_id"].to_pylist(), block["item_text"].to_pylist(), window, max_edits, recall)
         shared = documents.sparkSession.sparkContext.broadcast(index)
 

@@ -56,9 +56,17 @@ def test_equals_brute_force(spark, window):
     assert found(spark, docs, items, window=window) == brute(docs, items, window)
 
 
-def test_blocks_of_items(spark):
+@pytest.mark.parametrize(("index_bytes", "part_words"), [(6_000, 4096), (1 << 30, 5), (6_000, 1)])
+def test_blocks_of_items_and_parts_of_long_ones(spark, index_bytes, part_words):
     docs, items = corpus(4)
-    assert found(spark, docs, items, window=8, items_per_pass=5) == brute(docs, items, 8)
+    assert found(spark, docs, items, window=8, index_bytes=index_bytes, part_words=part_words) == brute(docs, items, 8)
+
+
+def test_parts_hold_every_window_once(spark):
+    text = " ".join(f"u{i}" for i in range(50))
+    rows = leaks.item_parts(spark.createDataFrame([(1, text), (2, "a b"), (3, "")], "item_id bigint, item_text string"), 4, 10).collect()
+    windows = [" ".join(w[k : k + 4]) for r in rows for w in [r["item_text"].split()] for k in range(r["n"] - 3)]
+    assert sorted(windows) == sorted(" ".join(text.split()[k : k + 4]) for k in range(47))
 
 
 def test_a_passage_does_not_cross_documents(spark):
@@ -85,9 +93,37 @@ def test_edited_passages(spark):
     assert len(got) >= 0.9 * len(truth)
 
 
-def test_edit_distance():
-    assert leaks.edit_distance(list("kitten"), list("sitting")) == 3
-    assert leaks.edit_distance([], ["a"]) == 1 and leaks.edit_distance(["a"], ["a"]) == 0
+def near_brute(docs, items, window, edits):
+    """All pairs of a passage and an item's window, by the same distance; no index."""
+    out = set()
+    for i, t in items:
+        w = WORD.findall(t.lower())
+        for d, u in docs:
+            v = WORD.findall((u or "").lower())
+            if any(leaks.passage_distance(w[k : k + window], v[p : p + window + edits]) <= edits for k in range(len(w) - window + 1) for p in range(len(v))):
+                out.add((d, i))
+    return out
+
+
+def test_inserted_and_deleted_words_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    items = [(i, " ".join(f"v{k}" for k in rng.integers(0, 400, 14))) for i in range(25)]
+    docs = []
+    for i, text in items:
+        for kind in range(8):
+            w = text.split()[1:13]
+            for _ in range(1 + kind % 3):
+                k = int(rng.integers(0, len(w)))
+                w[k : k + 1] = ([], [w[k], "new"], ["other"])[int(rng.integers(3))]
+            docs.append((100 * i + kind, " ".join((["before"] if kind % 2 else []) + w + (["after", "that"] if kind % 4 < 2 else []))))
+    want = near_brute(docs, items, 12, 2)
+    got = found(spark, docs, items, window=12, max_edits=2)
+    assert len(want) > 100 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_passage_distance():
+    assert leaks.passage_distance(list("kitten"), list("sitting")) == 2  # sitti, and what follows is free
+    assert leaks.passage_distance([], ["a"]) == 0 and leaks.passage_distance(["a"], ["a", "b"]) == 0 and leaks.passage_distance(["a", "b"], []) == 2
 
 
 def test_empty_tables(spark):
