@@ -1,10 +1,11 @@
 """The k most similar vectors of each vector: balanced posting lists, searched by nearest centroids.
 
-* **Lists.** Centroids are fitted by k-means on a bounded sample; one whose list is too long is split. Every vector
+* **Lists.** Centroids are fitted by k-means in two steps on a bounded sample; one whose list is too long is split. Every vector
   is posted to the list of its nearest centroid and, near a boundary, to those whose centroid is not much
   farther: whose distance is at most ``store_ratio`` times the smallest.
-* **Centroid search** goes through a graph in memory with two layers, pivots and their edges to centroids. The edges
-  are as many as the centroids, so that the nearest lists are exact; a bounded fan loses them as lists grow.
+* **Centroid search** goes through a graph in memory: from pivots to the centroids around them, and along the edges of
+  the best of these to further ones. How many pivots it starts with is found for the centroids at hand, so that it
+  reaches 0.99 of the lists that an exact search would name, at any number of lists.
 * **Pruning.** A query searches the lists whose centroid is at most ``query_ratio`` times as far as the nearest. How
   far and how many are widened until a sample of the queries finds the neighbours that all rows hold for it.
   Where all vectors are queries, the posting of a vector to a list serves as its query there as well.
@@ -27,61 +28,140 @@ from ..arrowtools import by_key, packed, scan_tasks, unpacked
 from ..session import write_table
 from .vectors import BLOCK_ROWS, centre, hashed, in_blocks, is_usable, unit, usable, vector_rows
 
-MIN_LISTS, MAX_LISTS = 8, 16384
+#: MAX_LISTS is 50 MB of centroids.
+MIN_LISTS, MAX_LISTS = 8, 131_072
 #: Vectors a list, on average, until there are MAX_LISTS.
 ROWS_PER_LIST = 100
 #: Queries whose true neighbours are looked up in all rows, to see how many lists must be searched.
 TRIAL_QUERIES = 1024
-#: Vectors of the sample for each list; the sample has at most this times MAX_LISTS.
+#: Vectors of the sample for each list, up to MAX_SAMPLE.
 SAMPLE_PER_LIST = 8
+#: Most vectors of the sample: 400 MB on the driver.
+MAX_SAMPLE = 1 << 20
 
 
 class CentroidGraph:
-    """Centroids, pivots among them, and the edges from each pivot to the centroids around it."""
+    """Centroids in cells around pivots, with edges from each centroid to the cells of its nearest centroids.
 
-    def __init__(self, centroids: np.ndarray, fan: int = 512, entries: int = 4) -> None:
+    A search enters the cells of the nearest pivots and then, from the best centroids found so far, those that their
+    edges lead to most often. Every centroid is in one cell, so it can be reached, and none is compared twice.
+    ``fit`` finds for how many pivots to start with; until then, and where that takes half of them, all are compared.
+    """
+
+    def __init__(self, centroids: np.ndarray, degree: int = 12, seed: int = 5) -> None:
         self.centroids = centroids
         m = len(centroids)
-        self.fan, self.entries = min(fan, m), entries
-        rng = np.random.default_rng(5)
-        n = max(1, int(np.ceil(np.sqrt(m)))) if m > fan else 1
-        self.pivots = centroids[rng.choice(m, n, replace=False)] if m else centroids
-        self.edges = np.argsort(-(self.pivots @ centroids.T), axis=1)[:, : self.fan]
+        self.pivots = balanced_kmeans(centroids, int(np.ceil(np.sqrt(m))), seed=seed) if m else centroids
+        self.cell = nearest_rows(centroids, self.pivots)
+        self.order = np.argsort(self.cell, kind="stable")
+        self.begin = np.searchsorted(self.cell[self.order], np.arange(len(self.pivots) + 1))
+        self.members = np.ascontiguousarray(centroids[self.order])
+        #: Pivots to start with, for each number of centroids that is asked for.
+        self.entries: dict[int, int] = {}
+        near = np.concatenate([self._enter(centroids[i : i + 1024], 8, min(degree + 1, m))[0][:, 1:] for i in range(0, m, 1024)]) if m else np.zeros((0, 0), np.int64)
+        self.ways = self.cell[np.maximum(near, 0)]
 
     def search(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the ``want`` nearest centroids reached, nearest first, and their similarities; -1 where fewer."""
-        entries = min(self.entries, len(self.pivots))
-        near = x @ self.pivots.T
-        enter = np.argpartition(-near, entries - 1, axis=1)[:, :entries] if entries < len(self.pivots) else np.tile(np.arange(len(self.pivots)), (len(x), 1))
-        take = min(want, self.fan)
-        ids = np.full((len(x), entries, take), -1, np.int64)
-        sims = np.full((len(x), entries, take), -np.inf, np.float32)
-        for slot in range(entries):
-            order = np.argsort(enter[:, slot], kind="stable")
-            cuts = np.flatnonzero(np.diff(enter[order, slot])) + 1
-            for rows in np.split(order, cuts):
-                edge = self.edges[enter[rows[0], slot]]
-                s = x[rows] @ self.centroids[edge].T
-                top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(rows), 1))
-                ids[rows, slot], sims[rows, slot] = edge[top], np.take_along_axis(s, top, 1)
-        ids, sims = ids.reshape(len(x), -1), sims.reshape(len(x), -1)
-        order = np.lexsort((-sims, ids), axis=1) if entries > 1 else None
-        if order is not None:  # the same centroid may be reached through several pivots
-            ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-            sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :want]
-        ids, sims = np.take_along_axis(ids, best, 1), np.take_along_axis(sims, best, 1)
-        return np.where(np.isfinite(sims), ids, -1), sims
+        want = min(want, len(self.centroids))
+        entries = self.entries.get(want, len(self.pivots))
+        if 2 * entries >= len(self.pivots):
+            return best_rows(np.broadcast_to(np.arange(len(self.centroids)), (len(x), len(self.centroids))), x @ self.centroids.T, want)
+        parts = [self._enter(x[i : i + 1024], entries, want, max(1, entries // 4)) for i in range(0, len(x), 1024)]
+        return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros((0, want), np.int64), np.zeros((0, want), np.float32))
+
+    def fit(self, x: np.ndarray, want: int, recall: float = 0.99) -> CentroidGraph:
+        """Start with as many pivots as it takes to find the share ``recall`` of the nearest centroids of ``x``."""
+        want = min(want, len(self.centroids))
+        self.entries.pop(want, None)
+        if not len(x):
+            return self
+        true = self.search(x, want)[0]
+        n, entries = np.arange(len(x))[:, None], 1
+        while 2 * entries < len(self.pivots):
+            self.entries[want] = entries
+            hit = np.zeros((len(x), len(self.centroids) + 1), bool)
+            hit[n, self.search(x, want)[0]] = True
+            if hit[n, true].mean() >= recall:
+                return self
+            entries += max(1, entries // 3)
+        self.entries.pop(want, None)
+        return self
+
+    def _enter(self, x: np.ndarray, entries: int, want: int, further: int = 0, beam: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        n, p = len(x), len(self.pivots)
+        first = best_rows(np.broadcast_to(np.arange(p), (n, p)), x @ self.pivots.T, min(entries, p))[0]
+        ids, sims = self._visit(x, first, np.ones(first.shape, bool), want)
+        if further:
+            rows = np.arange(n)[:, None]
+            cells = self.ways[np.maximum(ids[:, :beam], 0)].reshape(n, -1)
+            votes = np.bincount((rows * p + cells).ravel(), minlength=n * p).reshape(n, p)
+            votes[rows, first] = 0
+            more = np.argpartition(-votes, min(further, p) - 1, axis=1)[:, :further]
+            ids2, sims2 = self._visit(x, more, votes[rows, more] > 0, want)
+            ids, sims = best_rows(np.concatenate([ids, ids2], 1), np.concatenate([sims, sims2], 1), want)
+        return ids, sims
+
+    def _visit(self, x: np.ndarray, cells: np.ndarray, ok: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best centroids of each row's cells: one product a cell, with the rows that enter it."""
+        rows, slots = np.nonzero(ok)
+        entered = cells[rows, slots]
+        order = np.argsort(entered, kind="stable")
+        sizes = np.diff(self.begin)
+        take = max(1, min(want, int(sizes.max())))
+        ids = np.full((len(x), cells.shape[1], take), -1, np.int64)
+        sims = np.full(ids.shape, -np.inf, np.float32)
+        for group in np.split(order, np.flatnonzero(np.diff(entered[order])) + 1) if len(order) else ():
+            c = entered[group[0]]
+            own = self.order[self.begin[c] : self.begin[c + 1]]
+            s = x[rows[group]] @ self.members[self.begin[c] : self.begin[c + 1]].T
+            t = min(take, len(own))
+            if not t:
+                continue
+            top = np.argpartition(-s, t - 1, axis=1)[:, :t] if t < len(own) else np.broadcast_to(np.arange(t), s.shape)
+            ids[rows[group], slots[group], :t], sims[rows[group], slots[group], :t] = own[top], np.take_along_axis(s, top, 1)
+        return best_rows(ids.reshape(len(x), -1), sims.reshape(len(x), -1), want)
+
+
+def best_rows(ids: np.ndarray, sims: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``want`` most similar of each row, the best first; -1 where there are fewer."""
+    if want < sims.shape[1]:
+        top = np.argpartition(-sims, want - 1, axis=1)[:, :want]
+        ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+    order = np.argsort(-sims, axis=1, kind="stable")
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    return np.where(np.isfinite(sims), ids, -1), sims
+
+
+def nearest_rows(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The most similar row of ``c`` for each row of ``x``."""
+    return np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 3, seed: int = 2) -> np.ndarray:
+    """Centroids of ``lists`` lists of about the same length, in two steps: parts first, as many as the square root,
+    and then within each part as many centroids as it has rows for. So the work grows with the root of the lists."""
+    lists = min(lists, len(x))
+    parts = int(np.ceil(np.sqrt(lists)))
+    if parts < 2:
+        return balanced_kmeans(x, lists, rounds, seed)
+    coarse = balanced_kmeans(x, parts, rounds, seed)
+    own = nearest_rows(x, coarse)
+    order = np.argsort(own, kind="stable")
+    begin = np.searchsorted(own[order], np.arange(parts + 1))
+    ends = np.round(begin * lists / len(x)).astype(int)
+    fine = [balanced_kmeans(x[order[begin[i] : begin[i + 1]]], int(ends[i + 1] - ends[i]), rounds, seed + i) for i in range(parts) if ends[i + 1] > ends[i]]
+    return np.concatenate(fine)
+
+
+def balanced_kmeans(x: np.ndarray, lists: int, rounds: int = 3, seed: int = 2) -> np.ndarray:
     """k-means on unit vectors. After each round lists of more than twice the mean length get further centroids
     from among their members, in place of the shortest lists."""
     rng = np.random.default_rng(seed)
     lists = min(lists, len(x))
     c = x[rng.choice(len(x), lists, replace=False)].copy()
     for turn in range(rounds):
-        own = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+        own = nearest_rows(x, c)
         size = np.bincount(own, minlength=lists)
         order = np.argsort(own, kind="stable")
         filled = np.flatnonzero(size)
@@ -209,14 +289,14 @@ def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.
     rows = vector_rows(segments, id_col, vector_col)
     mean, n = centre(rows, dim)
     lists = int(np.clip(n // ROWS_PER_LIST, MIN_LISTS, MAX_LISTS))
-    share = min(1.0, SAMPLE_PER_LIST * lists / max(n, 1))
-    sample = rows.where(F.pmod(hashed("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE_PER_LIST * lists).select("x").toArrow()
+    wanted = min(SAMPLE_PER_LIST * lists, MAX_SAMPLE)
+    share = min(1.0, wanted / max(n, 1))
+    sample = rows.where(F.pmod(hashed("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * wanted).select("x").toArrow()
     fitted = unit(np.unique(usable(sample["x"].combine_chunks(), dim)[1], axis=0), mean).astype(np.float32) if sample.num_rows else np.zeros((0, dim), np.float32)
     if not len(fitted):
         fitted = np.eye(1, dim, dtype=np.float32)
     centroids = fit_centroids(fitted, lists)
-    graph = CentroidGraph(centroids, fan=len(centroids))
-    shared = rows.sparkSession.sparkContext.broadcast((mean, graph))
+    graph = CentroidGraph(centroids)
 
     # Equal vectors beyond the first k + 1.
     keyed = rows.where(F.size("x") == dim).withColumn("h", F.xxhash64("x"))
@@ -237,6 +317,9 @@ def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.
         near = true_neighbours(rows, ids, trial, mean, dim, k, min_similarity).select("q", F.explode("top").alias("t")).select("q", (-F.col("t.s")).alias("s"), "t.x").toArrow() if len(at) else None
         if near is not None and near.num_rows:
             query_ratio, most_searched = fitted_search(graph, trial, near["q"].to_numpy(), near["s"].to_numpy(), unpacked(near["x"].combine_chunks(), np.float32, dim), store_ratio, most_stored, query_ratio, most_searched, recall)
+    for want in {most_stored, max(most_stored, most_searched)}:
+        graph.fit(fitted[:: max(1, len(fitted) // 512)], want)
+    shared = rows.sparkSession.sparkContext.broadcast((mean, graph))
     schema = pa.schema([("list", pa.int32()), ("id", pa.int64()), ("role", pa.int32()), ("x", pa.binary())])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
