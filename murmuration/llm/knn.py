@@ -4,8 +4,8 @@
   is posted to the list of its nearest centroid and, near a boundary, to those whose centroid is not much
   farther: whose distance is at most ``store_ratio`` times the smallest.
 * **Centroid search** goes through a graph in memory: from pivots to the centroids around them, and along the edges of
-  the best of these to further ones. How many pivots it starts with is found for the centroids at hand, so that it
-  reaches 0.99 of the lists that an exact search would name, at any number of lists.
+  the best of these to further ones. How many pivots it starts with is fitted as well, so that what the graph misses
+  does not lower the recall; where directions are too many for a graph to lead anywhere, all centroids are compared.
 * **Pruning.** A query searches the lists whose centroid is at most ``query_ratio`` times as far as the nearest. How
   far and how many are widened until a sample of the queries finds the neighbours that all rows hold for it.
   Where all vectors are queries, the posting of a vector to a list serves as its query there as well.
@@ -45,7 +45,8 @@ class CentroidGraph:
 
     A search enters the cells of the nearest pivots and then, from the best centroids found so far, those that their
     edges lead to most often. Every centroid is in one cell, so it can be reached, and none is compared twice.
-    ``fit`` finds for how many pivots to start with; until then, and where that takes half of them, all are compared.
+    ``entries`` is the number of pivots to start with. Where it is half of them or more, as it is until it has been
+    fitted, all centroids are compared.
     """
 
     def __init__(self, centroids: np.ndarray, degree: int = 12, seed: int = 5) -> None:
@@ -56,38 +57,18 @@ class CentroidGraph:
         self.order = np.argsort(self.cell, kind="stable")
         self.begin = np.searchsorted(self.cell[self.order], np.arange(len(self.pivots) + 1))
         self.members = np.ascontiguousarray(centroids[self.order])
-        #: Pivots to start with, for each number of centroids that is asked for.
-        self.entries: dict[int, int] = {}
+        self.entries = len(self.pivots)
         near = np.concatenate([self._enter(centroids[i : i + 1024], 8, min(degree + 1, m))[0][:, 1:] for i in range(0, m, 1024)]) if m else np.zeros((0, 0), np.int64)
         self.ways = self.cell[np.maximum(near, 0)]
 
     def search(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the ``want`` nearest centroids reached, nearest first, and their similarities; -1 where fewer."""
         want = min(want, len(self.centroids))
-        entries = self.entries.get(want, len(self.pivots))
-        if 2 * entries >= len(self.pivots):
+        if 2 * self.entries >= len(self.pivots):
             return best_rows(np.broadcast_to(np.arange(len(self.centroids)), (len(x), len(self.centroids))), x @ self.centroids.T, want)
-        parts = [self._enter(x[i : i + 1024], entries, want, max(1, entries // 4)) for i in range(0, len(x), 1024)]
+        parts = [self._enter(x[i : i + 1024], self.entries, want, max(1, self.entries // 4)) for i in range(0, len(x), 1024)]
         return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros((0, want), np.int64), np.zeros((0, want), np.float32))
 
-    def fit(self, x: np.ndarray, want: int, recall: float = 0.99) -> CentroidGraph:
-        """Start with as many pivots as it takes to find the share ``recall`` of the nearest centroids of ``x``."""
-        want = min(want, len(self.centroids))
-        self.entries.pop(want, None)
-        if not len(x):
-            return self
-        true = self.search(x, want)[0]
-        n, entries = np.arange(len(x))[:, None], 1
-        while 2 * entries < len(self.pivots):
-            self.entries[want] = entries
-            hit = np.zeros((len(x), len(self.centroids) + 1), bool)
-            hit[n, self.search(x, want)[0]] = True
-            if hit[n, true].mean() >= recall:
-                return self
-            entries += max(1, entries // 3)
-        self.entries.pop(want, None)
-        return self
-
     def _enter(self, x: np.ndarray, entries: int, want: int, further: int = 0, beam: int = 8) -> tuple[np.ndarray, np.ndarray]:
         n, p = len(x), len(self.pivots)
         first = best_rows(np.broadcast_to(np.arange(p), (n, p)), x @ self.pivots.T, min(entries, p))[0]
@@ -180,7 +161,7 @@ def balanced_kmeans(x: np.ndarray, lists: int, rounds: int = 3, seed: int = 2) -
 def chosen_lists(ids: np.ndarray, sims: np.ndarray, ratio: float) -> np.ndarray:
     """Which of the centroids found lie at most ``ratio`` times as far as the nearest."""
     far = np.sqrt(np.maximum(2.0 - 2.0 * sims, 0.0))
-    return (ids >= 0) & (far <= ratio * far[:, :1] + 1e-6)
+    return (ids >= 0) & ((far <= min(ratio, 1e9) * far[:, :1] + 1e-6) | np.isinf(ratio))
 
 
 def true_neighbours(rows: DataFrame, ids: np.ndarray, x: np.ndarray, mean: np.ndarray, dim: int, k: int, least: float) -> DataFrame:
@@ -220,14 +201,20 @@ def true_neighbours(rows: DataFrame, ids: np.ndarray, x: np.ndarray, mean: np.nd
     return near.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("s"), "neighbour", "x"))), 1, k).alias("top"))
 
 
+def hard_queries(q: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which of the neighbours (query ``q``, similarity ``s``) are those of the fifth of queries with the farthest ones."""
+    asked, at = np.unique(q, return_inverse=True)
+    far = np.full(len(asked), np.inf)
+    np.minimum.at(far, at, s)
+    return np.isin(at, np.argsort(far, kind="stable")[: -(-len(asked) // 5)])
+
+
 def fitted_search(graph: CentroidGraph, x: np.ndarray, q: np.ndarray, s: np.ndarray, y: np.ndarray, store_ratio: float, most_stored: int, query_ratio: float, most_searched: int, recall: float) -> tuple[float, int]:
     """The ratio and number of lists, at least those given, with which the queries ``x[q]`` find their true neighbours
-    ``y`` of similarities ``s`` at ``recall``, both in all and for the fifth with the farthest neighbours."""
+    ``y`` of similarities ``s`` at ``recall``, both in all and for the fifth with the farthest neighbours, if all
+    centroids are compared."""
     lists = len(graph.centroids)
-    far = np.full(len(x), np.inf)
-    np.minimum.at(far, q, s)
-    asked = np.unique(q)
-    hard = np.isin(q, asked[np.argsort(far[asked], kind="stable")[: -(-len(asked) // 5)]])
+    hard = hard_queries(q, s)
     place = np.full((len(q), most_stored), lists)
     times = np.full((len(q), most_stored), np.inf)
     for begin in range(0, len(q), 256):
@@ -247,6 +234,28 @@ def fitted_search(graph: CentroidGraph, x: np.ndarray, q: np.ndarray, s: np.ndar
     return np.inf, lists
 
 
+def fitted_entries(graph: CentroidGraph, x: np.ndarray, q: np.ndarray, s: np.ndarray, y: np.ndarray, store_ratio: float, most_stored: int, query_ratio: float, most_searched: int, recall: float) -> int:
+    """For how many pivots a search through the graph must start, so that the queries find their true neighbours at
+    ``recall`` as in ``fitted_search``, although some lists are missed; all of them where half would not do."""
+    hard, every = hard_queries(q, s), graph.entries
+    entries = 1
+    while 2 * entries < len(graph.pivots) and len(q):
+        graph.entries = entries
+        found = np.zeros(len(q), bool)
+        asked, a = graph.search(x, most_searched)
+        asked = np.where(chosen_lists(asked, a, query_ratio), asked, -1)
+        for begin in range(0, len(q), 256):
+            cut = slice(begin, begin + 256)
+            kept, k = graph.search(y[cut], most_stored)
+            kept = np.where(chosen_lists(kept, k, store_ratio), kept, -2)
+            found[cut] = (kept[:, :, None] == asked[q[cut]][:, None, :]).any((1, 2))
+        if min(found.mean(), found[hard].mean()) >= recall:
+            return entries
+        entries += max(1, entries // 3)
+    graph.entries = every
+    return every
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, query: np.ndarray, stored: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, neighbour row, similarity) of the k best stored rows of each query row; ties: smallest id."""
     out: list[tuple[np.ndarray, ...]] = []
@@ -284,7 +293,8 @@ def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.
     The search is approximate: a neighbour is found if its lists (at most ``most_stored``) and the query's (at most
     ``most_searched``) have one in common. ``query_ratio`` and ``most_searched`` are the least that is searched: both
     are widened, up to all lists, until a sample of the queries finds the share ``recall`` of its true neighbours,
-    also where these are farthest. What is found has its exact similarity.
+    also where these are farthest; then the search of centroids is narrowed as far as that share allows. What is found
+    has its exact similarity.
     """
     rows = vector_rows(segments, id_col, vector_col)
     mean, n = centre(rows, dim)
@@ -316,15 +326,15 @@ def nearest_vectors(segments: DataFrame, k: int = 5, min_similarity: float = -1.
         ids = picked["id"].to_numpy()[at] if len(at) else np.zeros(0, np.int64)
         near = true_neighbours(rows, ids, trial, mean, dim, k, min_similarity).select("q", F.explode("top").alias("t")).select("q", (-F.col("t.s")).alias("s"), "t.x").toArrow() if len(at) else None
         if near is not None and near.num_rows:
-            query_ratio, most_searched = fitted_search(graph, trial, near["q"].to_numpy(), near["s"].to_numpy(), unpacked(near["x"].combine_chunks(), np.float32, dim), store_ratio, most_stored, query_ratio, most_searched, recall)
-    for want in {most_stored, max(most_stored, most_searched)}:
-        graph.fit(fitted[:: max(1, len(fitted) // 512)], want)
+            known = (trial, near["q"].to_numpy(), near["s"].to_numpy(), unpacked(near["x"].combine_chunks(), np.float32, dim))
+            query_ratio, most_searched = fitted_search(graph, *known, store_ratio, most_stored, query_ratio, most_searched, recall)
+            graph.entries = fitted_entries(graph, *known, store_ratio, most_stored, query_ratio, most_searched, recall)
     shared = rows.sparkSession.sparkContext.broadcast((mean, graph))
     schema = pa.schema([("list", pa.int32()), ("id", pa.int64()), ("role", pa.int32()), ("x", pa.binary())])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, graph = shared.value
-        step = int(np.clip((1 << 23) // len(graph.centroids), 64, 4096))
+        step = int(np.clip((1 << 23) // (len(graph.centroids) if 2 * graph.entries >= len(graph.pivots) else 1), 64, 4096))
         for batch in batches:
             for begin in range(0, batch.num_rows, step):
                 part = batch.slice(begin, step)

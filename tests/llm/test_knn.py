@@ -96,17 +96,49 @@ def test_pairs(spark):
     assert got == {(min(i, n), max(i, n)) for i, w in brute(rows, 2, 0.8).items() for n, _ in w}
 
 
-def test_graph_reaches_the_nearest_centroids():
+def low_dimensional(n, seed=6, dim=64, inner=6):
+    rng = np.random.default_rng(seed)
+    x = (rng.normal(size=(n, inner)) @ np.random.default_rng(1).normal(size=(inner, dim))).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("m", [2_000, 16_384, 131_072])
+def test_graph_finds_nearest_centroids_at_any_number(m):
+    c = low_dimensional(m)
+    graph = knn.CentroidGraph(c)
+    assert sorted(graph.order.tolist()) == list(range(m)) and graph.begin[-1] == m  # all can be reached
+    graph.entries = 10
+    x = low_dimensional(300, 9)
+    ids, sims = graph.search(x, 6)
+    assert (np.diff(sims, axis=1) <= 0).all()
+    want = np.argsort(-(x @ c.T), axis=1)[:, :6]
+    hit = np.mean([len(set(a) & set(b)) / 6 for a, b in zip(ids.tolist(), want.tolist())])
+    assert hit >= 0.9
+    assert all(len(set(r)) == 6 for r in ids.tolist())
+
+
+def test_graph_compares_all_until_it_is_fitted():
     rng = np.random.default_rng(6)
     c = rng.normal(size=(3000, 32)).astype(np.float32)
-    c /= np.linalg.norm(c, axis=1, keepdims=True)
     x = c[::7] + 0.1 * rng.normal(size=c[::7].shape).astype(np.float32)
     graph = knn.CentroidGraph(c)
-    ids, sims = graph.search(x, 3)
-    assert (np.diff(sims, axis=1) <= 0).all()
-    assert ((x @ c.T).argmax(1) == ids[:, 0]).mean() > 0.95
+    assert (graph.search(x, 3)[0] == np.argsort(-(x @ c.T), axis=1)[:, :3]).all()
     small = knn.CentroidGraph(c[:5]).search(x, 8)[0]
-    assert ((small >= 0).sum(1) == 5).all() and all(len(set(r[:5])) == 5 for r in small.tolist())
+    assert small.shape[1] == 5 and all(len(set(r)) == 5 for r in small.tolist())
+
+
+def test_entries_are_fitted_to_the_recall():
+    base = low_dimensional(4000, 3)
+    graph = knn.CentroidGraph(knn.fit_centroids(base, 1500))
+    x = base[:200]
+    s = x @ base.T
+    s[np.arange(200), np.arange(200)] = -9
+    top = np.argsort(-s, axis=1)[:, :5]
+    q, near = np.repeat(np.arange(200), 5), base[top.ravel()]
+    known = (x, q, np.take_along_axis(s, top, 1).ravel(), near)
+    options = (1.3, 6, *knn.fitted_search(graph, *known, 1.3, 6, 1.3, 6, 0.95), 0.95)
+    entries = knn.fitted_entries(graph, *known, *options)
+    assert entries == graph.entries and 2 * entries < len(graph.pivots)
 
 
 def test_lists_are_balanced():
