@@ -1,7 +1,8 @@
 """BIRCH: clustering features (count, sum, sum of squared lengths) in trees, one a partition, then joined.
 
-Each partition builds a tree of its own rows; what leaves it are its leaf features. These are joined by another
-tree, clustered by Ward's linkage on their centroids, and every vector goes to the cluster of its nearest feature.
+Each partition builds a tree of its own rows; what leaves it are its leaf features. These are joined by further trees,
+each of some of those before, down to one; clustered by Ward's linkage on their centroids; and every vector goes to
+the cluster of its nearest feature.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..arrowtools import lists, matrix
+from ..session import write_table
 from .agglomerative import MAX_ROWS, cut, distances, merges
 from .neighbours import assign_nearest, centroid_table
 
@@ -99,6 +101,12 @@ class Tree:
                 todo += node.children
 
 
+def _leaf_batch(tree: Tree) -> pa.RecordBatch:
+    rows = list(tree.leaves())
+    s = np.array([r[1] for r in rows]).reshape(len(rows), tree.dim)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), lists(s), pa.array([r[2] for r in rows], pa.float64())], names=["n", "s", "q"])
+
+
 def features(vectors: DataFrame, dim: int, threshold: float = 0.5, branching: int = 50) -> DataFrame:
     """``n, s, q``: the leaf features of each partition's tree."""
 
@@ -108,35 +116,51 @@ def features(vectors: DataFrame, dim: int, threshold: float = 0.5, branching: in
             _, x = matrix(batch.column(0), dim)
             for v, q in zip(x, (x**2).sum(1).tolist()):
                 tree.insert(1.0, v, q)
-        rows = list(tree.leaves())
-        s = np.array([r[1] for r in rows]).reshape(len(rows), dim)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), lists(s), pa.array([r[2] for r in rows], pa.float64())], names=["n", "s", "q"])
+        yield _leaf_batch(tree)
 
     return vectors.select(F.col("x").cast("array<double>").alias("x")).where("x is not null").mapInArrow(build, "n double, s array<double>, q double")
 
 
+def joined_features(parts: DataFrame, dim: int, tasks: int, threshold: float = 0.5, branching: int = 50) -> DataFrame:
+    """The features of ``parts`` joined in ``tasks`` trees."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Tree(dim, threshold, branching)
+        for batch in batches:
+            for n, s, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                tree.insert(n, np.array(s), q)
+        yield _leaf_batch(tree)
+
+    return parts.repartition(tasks).mapInArrow(join, "n double, s array<double>, q double")
+
+
+def fit_features(vectors: DataFrame, dim: int, threshold: float = 0.5, branching: int = 50) -> DataFrame:
+    """The leaf features of all vectors: each partition's, joined on the executors in ever fewer trees, down to one."""
+    parts = write_table(features(vectors, dim, threshold, branching), "features").df
+    tasks = parts.select(F.spark_partition_id()).distinct().count()
+    while True:
+        tasks = max(1, -(-tasks // 4))
+        parts = write_table(joined_features(parts, dim, tasks, threshold, branching), "features").df
+        if tasks <= 1:
+            return parts
+
+
 def birch(vectors: DataFrame, n_clusters: int, dim: int, threshold: float = 0.5, branching: int = 50, id_col: str = "seg_id") -> DataFrame:
     """``id_col, k``: cluster 0 to ``n_clusters - 1`` of each vector ``id_col, x`` of ``dim`` elements.
 
-    The driver holds the joined features. If they are more than ``agglomerative.MAX_ROWS``, they are joined again
-    with a threshold that is half as large again, until they are not. Fewer features than ``n_clusters`` give
-    fewer clusters; no vector gives an empty result.
+    Trees are joined on the executors. Ward's linkage of the features runs on the driver, which takes
+    ``agglomerative.MAX_ROWS`` of them; if there are more, an error says so, and a larger ``threshold`` gives fewer.
+    Fewer features than ``n_clusters`` give fewer clusters; no vector gives an empty result.
     """
-    t = features(vectors, dim, threshold, branching).toArrow()
-    rows = list(zip(t["n"].to_pylist(), np.array(t["s"].to_pylist(), float).reshape(t.num_rows, dim), t["q"].to_pylist()))
-    while True:
-        tree = Tree(dim, threshold, branching)
-        for n, s, q in rows:
-            tree.insert(n, s, q)
-        rows = list(tree.leaves())
-        if len(rows) <= MAX_ROWS:
-            break
-        threshold *= 1.5
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], f"{id_col} bigint, k bigint")
-    c = np.array([s / n for n, s, _ in rows])
-    label = cut(len(c), merges(distances(c, "euclidean"), "ward"), n_clusters, None)
+    fitted = fit_features(vectors, dim, threshold, branching)
+    if (found := fitted.count()) > MAX_ROWS:
+        raise ValueError(f"{found} features at a threshold of {threshold}; at most {MAX_ROWS} can be clustered: raise the threshold")
+    t = fitted.toArrow()
     spark = vectors.sparkSession
+    if not t.num_rows:
+        return spark.createDataFrame([], f"{id_col} bigint, k bigint")
+    c = np.array(t["s"].to_pylist(), float).reshape(t.num_rows, dim) / t["n"].to_numpy()[:, None]
+    label = cut(len(c), merges(distances(c, "euclidean"), "ward"), n_clusters, None)
     names = spark.createDataFrame(pa.table({"k": pa.array(np.arange(len(c))), "cluster": pa.array(label.astype(np.int64))}))
     near = assign_nearest(vectors, centroid_table(spark, c), id_col)
     return near.join(names, "k").select(id_col, F.col("cluster").alias("k"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .neighbours import centroid_matrix, centroid_table
 
 
 class Catalog:
@@ -15,7 +18,7 @@ class Catalog:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _path(self, kind: str, key: dict) -> str:
-        parts = "/".join(f"{k}={key[k]}" for k in sorted(key))
+        parts = "/".join(f"{k}={quote(str(key[k]), safe='')}" for k in sorted(key))
         return f"{self.folder}/{kind}/{parts}" if parts else f"{self.folder}/{kind}"
 
     def exists(self, kind: str, **key: object) -> bool:
@@ -35,6 +38,14 @@ class Catalog:
         return self.load(kind, **key) if self.exists(kind, **key) else self.save(kind, make(), **key)
 
 
-def graph_edges(catalog: Catalog, vectors: DataFrame, kind: str, min_similarity: float, make: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
-    """The edges of a similarity graph, kept by its kind and its threshold; one form for all sizes."""
-    return catalog.cached("edges", lambda: make(vectors, min_similarity).withColumn("min_similarity", F.lit(min_similarity)), graph=kind, threshold=min_similarity).select("src", "dst", "weight")
+def graph_edges(catalog: Catalog, source: str, vectors: DataFrame, kind: str, min_similarity: float, make: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
+    """The edges of a similarity graph, kept by what the vectors are, the kind and the threshold; one form for all sizes.
+    ``source`` names the vectors: whatever is made from other data must have another name."""
+    if not source:
+        raise ValueError("the vectors need a name, so that other ones do not get their edges")
+    return catalog.cached("edges", lambda: make(vectors, min_similarity), source=source, graph=kind, threshold=min_similarity).select("src", "dst", "weight")
+
+
+def kept_matrix(catalog: Catalog, kind: str, make: Callable[[], np.ndarray], **key: object) -> np.ndarray:
+    """A matrix on the driver, such as loadings, kept as rows."""
+    return centroid_matrix(catalog.cached(kind, lambda: centroid_table(catalog.spark, make()), **key))[1]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..arrowtools import lists, matrix
+from ..session import write_table
 from .kmeans import kmeans, partial_sums
 from .neighbours import centroid_matrix
 
@@ -66,18 +67,18 @@ def em_step(vectors: DataFrame, model: Spherical) -> tuple[Spherical, float]:
     return Spherical(n / n.sum(), mean, np.maximum(var, REGULARISER)), float(s[0, d + 2] / max(s[:, d].sum(), 1e-300))
 
 
-def fit_gmm(vectors: DataFrame, k: int, max_iter: int = 1000, tol: float = 1e-3, seed: int = 42, id_col: str = "seg_id") -> tuple[DataFrame, Spherical]:
-    """``id_col, k, log_likelihood`` (hard labels) of all vectors, and the model. It starts from k-means and ends
-    when the mean log likelihood gains less than ``tol``. No vector gives an empty result."""
-    _, centroids = kmeans(vectors, k, 10, seed, id_col=id_col)
-    _, c = centroid_matrix(centroids)
-    if not len(c):
-        return vectors.sparkSession.createDataFrame([], f"{id_col} bigint, k bigint, log_likelihood double"), Spherical(np.zeros(0), c, np.zeros(0))
-    stats = partial_sums(vectors, c).groupBy("k").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost")).orderBy("k").toArrow()
-    at = stats["k"].to_numpy()
-    n = stats["n"].to_numpy()
-    model = Spherical(n / n.sum(), c[at], stats["cost"].to_numpy() / n / c.shape[1] + REGULARISER)
-    before = -np.inf
+def packed_rows(vectors: DataFrame, id_col: str = "seg_id") -> DataFrame:
+    """``id_col, x`` written once as arrays of doubles, for operators that read them in every round."""
+    return write_table(vectors.select(id_col, F.col("x").cast("array<double>").alias("x")).where("x is not null"), "vectors").df
+
+
+def fit_gmm(vectors: DataFrame, k: int, max_iter: int = 1000, tol: float = 1e-3, seed: int = 42, id_col: str = "seg_id", init: Spherical | None = None) -> tuple[DataFrame, Spherical]:
+    """``id_col, k, log_likelihood`` (hard labels) of all vectors, and the model. It starts from ``init`` or from k-means
+    and ends when the mean log likelihood gains less than ``tol``. No vector gives an empty result."""
+    vectors = packed_rows(vectors, id_col)
+    if init is None and (init := _from_kmeans(vectors, k, seed, id_col)) is None:
+        return vectors.sparkSession.createDataFrame([], f"{id_col} bigint, k bigint, log_likelihood double"), Spherical(np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+    model, before = init, -np.inf
     for _ in range(max_iter):
         model, now = em_step(vectors, model)
         if abs(now - before) < tol:
@@ -86,6 +87,17 @@ def fit_gmm(vectors: DataFrame, k: int, max_iter: int = 1000, tol: float = 1e-3,
     return label(vectors, model, id_col), model
 
 
+def _from_kmeans(vectors: DataFrame, k: int, seed: int, id_col: str) -> Spherical | None:
+    """The clusters of k-means as components; None if there is no vector."""
+    _, centroids = kmeans(vectors, k, 10, seed, id_col=id_col)
+    _, c = centroid_matrix(centroids)
+    if not len(c):
+        return None
+    stats = partial_sums(vectors, c).groupBy("k").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost")).orderBy("k").toArrow()
+    n = stats["n"].to_numpy()
+    return Spherical(n / n.sum(), c[stats["k"].to_numpy()], stats["cost"].to_numpy() / n / c.shape[1] + REGULARISER)
+
+
 def label(vectors: DataFrame, model: Spherical, id_col: str = "seg_id") -> DataFrame:
     """``id_col, k, log_likelihood``: the most probable component of each vector (ties: the lowest)."""
     shared = vectors.sparkSession.sparkContext.broadcast(model)

@@ -88,10 +88,10 @@ def kmeans(vectors: DataFrame, k: int, rounds: int = 15, seed: int = 0, init: Da
     return assign_nearest(vectors, centroids, id_col), centroids
 
 
-def fit_codebook(frames: DataFrame, k: int = 500, seed: int = 42, rounds: int = 20) -> DataFrame:
-    """``k, x``: the codebook of frame vectors ``utt_id, frame, x``."""
+def fit_codebook(frames: DataFrame, k: int = 500, seed: int = 42, rounds: int = 20, init: DataFrame | None = None) -> DataFrame:
+    """``k, x``: the codebook of frame vectors ``utt_id, frame, x``, from ``init`` or from k-means++."""
     keyed = frames.select(F.xxhash64("utt_id", "frame").alias("seg_id"), "x")
-    return kmeans(keyed, k, rounds, seed)[1]
+    return kmeans(keyed, k, rounds, seed, init)[1]
 
 
 def quantise(frames: DataFrame, codebook: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..arrowtools import matrix
 from ..functions import arrays
 from ..functions.special import lgamma
+from ..session import write_table
+from .neighbours import MAX_VALUES
 from .segments import moments
 
 LOG_PI, LOG_2PI = math.log(math.pi), math.log(2 * math.pi)
@@ -34,6 +36,10 @@ class FixedPrior:
     mu_0: list[float]
     var_0: list[float]
 
+    @property
+    def dim(self) -> int:
+        return len(self.var)
+
 
 @dataclass
 class ConjugatePrior:
@@ -164,27 +170,46 @@ def log_predictive(x: np.ndarray, mu: np.ndarray, var: np.ndarray, v: np.ndarray
 
 
 def score_predictive(vectors: DataFrame, stats: DataFrame, prior: FixedPrior | ConjugatePrior, id_col: str = "seg_id") -> DataFrame:
-    """``id_col, k, log_pred``: the best component of each vector by posterior predictive, and its log density. The
-    components, one row each, are sent to all tasks."""
-    shared = vectors.sparkSession.sparkContext.broadcast(predictive_arrays(predictive_parameters(stats, prior)))
+    """``id_col, k, log_pred``: the best component of each vector by posterior predictive (ties: the lowest k), and its
+    log density. Components are sent to all tasks in blocks of ``MAX_VALUES`` numbers; more than one block takes a pass
+    each and a maximum over the passes."""
+    params = write_table(predictive_parameters(stats, prior), "predictive").df
+    blocks = max(1, -(-params.count() * 2 * prior.dim // MAX_VALUES))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col("x").cast("array<double>").alias("x")).where("x is not null")
+    out = None
+    for b in range(blocks):
+        shared = vectors.sparkSession.sparkContext.broadcast(predictive_arrays(params.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, _, mu, var, v = shared.value
-        for batch in batches:
-            at, x = matrix(batch.column(1), mu.shape[1])
-            if len(x):
-                p = log_predictive(x, mu, var, v)
-                best = p.argmax(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ks[best]), pa.array(p[np.arange(len(x)), best])], names=["id", "k", "log_pred"])
+        def score(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
+            ks, _, mu, var, v = shared.value
+            for batch in batches:
+                at, x = matrix(batch.column(1), mu.shape[1] if len(ks) else 0)
+                if len(x) and len(ks):
+                    p = log_predictive(x, mu, var, v)
+                    best = p.argmax(1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ks[best]), pa.array(p[np.arange(len(x)), best])], names=["id", "k", "log_pred"])
 
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col("x").cast("array<double>").alias("x")).where("x is not null")
-    return rows.mapInArrow(score, "id bigint, k bigint, log_pred double").withColumnRenamed("id", id_col)
+        found = rows.mapInArrow(score, "id bigint, k bigint, log_pred double")
+        out = found if out is None else out.unionByName(found)
+    return _best_of(out, blocks).withColumnRenamed("id", id_col)
+
+
+def _best_of(scores: DataFrame, blocks: int) -> DataFrame:
+    """The best of the ``blocks`` rows of each id."""
+    if blocks == 1:
+        return scores
+    best = F.max(F.struct("log_pred", (-F.col("k")).alias("k"))).alias("m")
+    return scores.groupBy("id").agg(best).select("id", (-F.col("m.k")).alias("k"), "m.log_pred")
 
 
 def assignment_posteriors(vectors: DataFrame, stats: DataFrame, prior: FixedPrior | ConjugatePrior, alpha: float, k_max: int, id_col: str = "seg_id") -> DataFrame:
     """``id_col, k, prob``: for each vector and active component the probability of ``alpha / k_max + n`` times the
-    posterior predictive, scaled to a sum of 1. Largest exponents are taken out first, so nothing underflows."""
-    shared = vectors.sparkSession.sparkContext.broadcast(predictive_arrays(predictive_parameters(stats, prior)))
+    posterior predictive, scaled to a sum of 1. Largest exponents are taken out first, so nothing underflows. There is a
+    row for each vector and component; components of more than ``MAX_VALUES`` numbers are refused."""
+    params = write_table(predictive_parameters(stats, prior), "predictive").df
+    if params.count() * 2 * prior.dim > MAX_VALUES:
+        raise ValueError(f"the components have more than {MAX_VALUES} numbers")
+    shared = vectors.sparkSession.sparkContext.broadcast(predictive_arrays(params))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ks, n, mu, var, v = shared.value
@@ -236,6 +261,33 @@ def log_predictive_full(x: np.ndarray, n: int, s: np.ndarray, outer: np.ndarray,
     return math.lgamma((v + d) / 2) - math.lgamma(v / 2) - d / 2 * (math.log(v) + LOG_PI) - 0.5 * np.linalg.slogdet(cov)[1] - (v + d) / 2 * np.log1p(far / v)
 
 
+def score_predictive_full(vectors: DataFrame, outer: DataFrame, prior: ConjugatePrior, id_col: str = "seg_id") -> DataFrame:
+    """``id_col, k, log_pred``: the best full-covariance component of each vector by its multivariate Student t (ties: the
+    lowest k). ``outer``: ``component_outer``. A component is D * D numbers; they are sent to all tasks in blocks of
+    ``MAX_VALUES`` numbers, and more than one block takes a pass each and a maximum over the passes."""
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col("x").cast("array<double>").alias("x")).where("x is not null")
+    outer = write_table(outer, "outer").df
+    blocks = max(1, -(-outer.count() * prior.dim**2 // MAX_VALUES))
+    out = None
+    for b in range(blocks):
+        t = outer.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).orderBy("k").toArrow()
+        parts = [(k, n, np.array(s), np.array(o).reshape(prior.dim, prior.dim)) for k, n, s, o in zip(*(t[c].to_pylist() for c in ("k", "n", "s", "outer")))]
+        shared = vectors.sparkSession.sparkContext.broadcast(parts)
+
+        def score(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, x = matrix(batch.column(1), prior.dim)
+                if len(x) and shared.value:
+                    p = np.stack([log_predictive_full(x, n, s, o, prior) for _, n, s, o in shared.value], 1)
+                    best = p.argmax(1)
+                    ks = np.array([c[0] for c in shared.value], np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ks[best]), pa.array(p[np.arange(len(x)), best])], names=["id", "k", "log_pred"])
+
+        found = rows.mapInArrow(score, "id bigint, k bigint, log_pred double")
+        out = found if out is None else out.unionByName(found)
+    return _best_of(out, blocks).withColumnRenamed("id", id_col)
+
+
 def map_table(outer: DataFrame, prior: ConjugatePrior) -> DataFrame:
     """``k, n, mean, cov`` of ``component_outer``'s rows: the most probable mean and covariance (row by row) of each
     full component, as expressions."""

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, special, timebase
 from ..operators import agglomerative, birch, community, gibbs, gmm, kmeans, mixture, neighbours, pairs, partition, scaling, segments, zipf
-from ..session import write_table
-from ..sources import files
+from ..session import shared_dir, write_table
+from ..sources import files, segment_files
 
 DIM, LABELLED_DIM = 96, 64
 QUERIES: dict[str, object] = {}
@@ -446,60 +448,246 @@ def graph_components(spark: SparkSession, folder: str) -> DataFrame:
     return community.components(vertices, edges.where("weight >= 0.7"))
 
 
-# Without SQL: seeded, iterative or numerical operators, which are tested against brute force or by their properties.
+@query
+def quality_rb(spark: SparkSession, folder: str) -> DataFrame:
+    vertices, edges = _graph(spark, folder)
+    found = community.partition_quality(vertices.select("seg_id", (F.col("seg_id") % 50).alias("cluster")), edges, "rb", 0.7)
+    return found.withColumn("quality", F.round("quality", 4))
+
+
+# Files: tables written as the files that the analysis works on, and read again.
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 @query
-def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return kmeans.kmeans(_labelled(spark, folder)[0], 10)[0].select("seg_id", "k")
+def frame_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors by recording, in order of their first frame, through matrix files."""
+    to = _folder(spark, "frames")
+    segment_files.write_frames(_frames(spark, folder), to)
+    return files.read_frames(spark, to).select("utt_id", "frame", *shown("x"))
 
 
 @query
-def gmm_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return gmm.fit_gmm(_labelled(spark, folder)[0], 10, max_iter=50)[0].select("seg_id", "k")
+def boundary_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Boundary times through list files."""
+    rows = table(spark, folder, "boundaries").where("utt_id is not null and pos is not null and end_sec is not null").distinct()
+    lines = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "end_sec"))), lambda r: r["end_sec"].cast("string")))
+    to = _folder(spark, "boundaries")
+    segment_files.write_files(rows.groupBy("utt_id").agg(lines.alias("content")).select(F.concat("utt_id", F.lit(".list")).alias("name"), "content"), to)
+    return files.read_boundaries(spark, to)
 
 
 @query
-def birch_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return birch.birch(_labelled(spark, folder)[0], 10, LABELLED_DIM)
+def textgrid_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold intervals with times through TextGrid files, one tier a file."""
+    rows = table(spark, folder, "textgrid").where("utt_id is not null and tier is not null and interval_start is not null and interval_end is not null").dropDuplicates(["token_id"])
+    label = F.regexp_replace(F.coalesce("label", F.lit("")), '"', '""')
+    one = F.format_string('        intervals [1]:\n            xmin = %s\n            xmax = %s\n            text = "%s"\n', F.col("interval_start").cast("string"), F.col("interval_end").cast("string"), label)
+    head = F.format_string('    item [1]:\n        class = "IntervalTier"\n        name = "%s"\n', "tier")
+    content = F.concat(head, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_id", one.alias("t")))), lambda r: r["t"]), ""))
+    to = _folder(spark, "textgrids")
+    by_tier = rows.groupBy("utt_id", "tier").agg(content.alias("content"))
+    segment_files.write_files(by_tier.select(F.concat("utt_id", F.lit("."), "tier", F.lit(".TextGrid")).alias("name"), "content"), to)
+    return files.read_textgrids(spark, to).withColumn("utt_id", F.regexp_replace("utt_id", r"\.[^.]*$", ""))
 
 
 @query
-def agglomerative_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Average linkage of normalised segments up to a cosine distance of 0.26."""
-    vectors = write_table(_vectors(spark, folder), "vectors").df
-    return agglomerative.agglomerative(vectors, threshold=0.26, metric="cosine")
+def partition_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All clusters through a partition file in parts."""
+    rows = table(spark, folder, "partition_file").where("utt_id is not null and end_sec > start_sec").dropDuplicates(["member_id"])
+    places = rows.select(F.col("member_id").alias("seg_id"), "utt_id", timebase.seconds_to_frames(F.col("start_sec")).alias("start_frame"), timebase.seconds_to_frames(F.col("end_sec")).alias("end_frame"))
+    to = _folder(spark, "partition")
+    files.write_partition(partition.partition_members(_assignments(spark, folder).join(places.select("seg_id"), "seg_id", "left_semi"), places), to)
+    return files.read_partition(spark, to, in_parts=True).select("class", "pos", "utt_id", "start_sec", "end_sec")
 
 
 @query
-def leiden_communities(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = write_table(_vectors(spark, folder), "vectors").df
-    return community.leiden_partition(pairs.graph_vertices(vectors), write_table(pairs.cosine_edges(vectors, 0.5), "edges").df, "cpm", 0.5)
+def pooled_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Segment vectors through files named by recording and frames; of segments at one place the first counts."""
+    rows = segments.valid_vectors(table(spark, folder, "segments").where("utt_id is not null"), DIM, keep=["utt_id", "start_frame", "end_frame"])
+    one = rows.groupBy("utt_id", "start_frame", "end_frame").agg(F.min_by("x", "seg_id").alias("features"))
+    to = _folder(spark, "pooled")
+    segment_files.write_segments(one, to)
+    return segment_files.read_pooled(spark, to).select("utt_id", "start_frame", "end_frame", *shown("features"))
 
 
 @query
-def fbgmm_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return gibbs.fbgmm(_labelled(spark, folder)[0], _fixed_prior(), 20, n_iter=2)[0]
+def unit_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Unit sequences without missing frames through files; of sequences at one place the first counts."""
+    rows = table(spark, folder, "unit_segments").where("utt_id is not null and quantised is not null").dropDuplicates(["seg_id"])
+    one = rows.groupBy("utt_id", "start_frame", "end_frame").agg(F.min_by(F.filter("quantised", lambda u: u >= 0), "seg_id").alias("units"))
+    to = _folder(spark, "units")
+    segment_files.write_segments(one, to, "units")
+    return segment_files.read_units(spark, to).select("utt_id", "start_frame", "end_frame", F.concat_ws(" ", F.col("units").cast("array<string>")).alias("units"))
+
+
+# Iterated fits, from given starts where the result is compared in full.
+
+
+@query
+def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """k-means from the first ten vectors, eight rounds."""
+    vectors = _labelled(spark, folder)[0]
+    return kmeans.kmeans(vectors, 10, 8, init=_first_centroids(vectors, 10))[0].select("seg_id", "k", F.round("distance2", 4).alias("distance2"))
+
+
+@query
+def gmm_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """A Gaussian mixture from the first ten vectors with equal weights and variances, five rounds."""
+    vectors = _labelled(spark, folder)[0]
+    _, c = neighbours.centroid_matrix(_first_centroids(vectors, 10))
+    start = gmm.Spherical(np.full(len(c), 1 / len(c)), c, np.full(len(c), 0.05))
+    found = gmm.fit_gmm(vectors, 10, max_iter=5, tol=0.0, init=start)[0]
+    return found.select("seg_id", "k", F.round("log_likelihood", 3).alias("log_likelihood"))
+
+
+@query
+def codebook_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Each frame's nearest vector of a codebook of 20, fitted from the first vectors in five rounds."""
+    vectors = _labelled(spark, folder)[0]
+    frames = vectors.select(F.lit("all").alias("utt_id"), F.col("seg_id").cast("int").alias("frame"), "x")
+    return kmeans.quantise(frames, kmeans.fit_codebook(frames, 20, rounds=5, init=_first_centroids(vectors)))
+
+
+@query
+def predictive_full(spark: SparkSession, folder: str) -> DataFrame:
+    """The most probable full-covariance component of each vector."""
+    vectors, labels = _labelled(spark, folder)
+    found = mixture.score_predictive_full(vectors, mixture.component_outer(vectors, labels), _full_prior())
+    return found.withColumn("log_pred", F.round("log_pred", 3))
 
 
 @query
 def principal_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Squared length of each standardised frame in all principal components, which keep it."""
     frames = _labelled(spark, folder)[0]
-    stats, loadings = scaling.fit_scaler_pca(frames, 8)
-    return scaling.project(frames, stats, loadings, ["seg_id"]).select("seg_id", *shown("x"))
+    stats, loadings = scaling.fit_scaler_pca(frames, LABELLED_DIM)
+    found = scaling.project(frames, stats, loadings, ["seg_id"])
+    return found.select("seg_id", F.round(arrays.dot(F.col("x"), F.col("x")), 4).alias("x_square"))
 
 
 @query
-def codebook_units(spark: SparkSession, folder: str) -> DataFrame:
-    """Each frame's nearest vector of a codebook of 20."""
-    frames = _labelled(spark, folder)[0].select(F.lit("all").alias("utt_id"), F.col("seg_id").cast("int").alias("frame"), "x")
-    return kmeans.quantise(frames, kmeans.fit_codebook(frames, 20, rounds=5))
+def principal_variances(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the components are uncorrelated and in order of variance, and their variance in all."""
+    frames = _labelled(spark, folder)[0]
+    stats, loadings = scaling.fit_scaler_pca(frames, LABELLED_DIM)
+    projected = write_table(scaling.project(frames, stats, loadings, ["seg_id"]), "projected").df
+    outer = mixture.component_outer(projected, projected.select("seg_id", F.lit(0).alias("k"))).first()
+    cov = np.array(outer["outer"]).reshape(LABELLED_DIM, LABELLED_DIM) / outer["n"]
+    apart = bool(np.abs(cov - np.diag(np.diag(cov))).max() < 1e-6)
+    row = (apart, bool((np.diff(np.diag(cov)) < 1e-9).all()), round(float(np.trace(cov)), 4))
+    return spark.createDataFrame([row], "uncorrelated boolean, in_order boolean, variance double")
+
+
+@query
+def agglomerative_single(spark: SparkSession, folder: str) -> DataFrame:
+    """Single linkage of normalised segments up to a cosine distance of 0.26: the components of the similarity graph."""
+    vectors = write_table(_vectors(spark, folder), "vectors").df
+    return agglomerative.agglomerative(vectors, threshold=0.26, linkage="single", metric="cosine")
+
+
+# What seeds or ties decide is compared by what must hold of any right result.
+
+
+@query
+def seeded_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """k-means++: how many centroids, and how many of them are different vectors of the table."""
+    vectors = _labelled(spark, folder)[0]
+    found = kmeans.seed_centroids(vectors, 10).select(F.col("x").cast("array<float>").alias("x"))
+    known = found.join(vectors.select(F.col("x").cast("array<float>").alias("x")).distinct(), "x", "left_semi").distinct()
+    return found.agg(F.count("*").alias("n")).crossJoin(known.agg(F.count("*").alias("n_known")))
 
 
 @query
 def sampled_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """A sample of sixty vectors for seeding twenty centroids."""
-    return segments.hash_sample(_labelled(spark, folder)[0], "seg_id", 60).select("seg_id")
+    """A sample of sixty vectors for seeding twenty centroids: how many, and how many different ones of the table."""
+    vectors = _labelled(spark, folder)[0]
+    found = segments.hash_sample(vectors, "seg_id", 60).select("seg_id")
+    return found.agg(F.count("*").alias("n")).crossJoin(found.join(vectors, "seg_id", "left_semi").distinct().agg(F.count("*").alias("n_known")))
+
+
+@query
+def birch_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf features of all trees: their counts and sums, which add up to those of the vectors, and whether each radius
+    is within the threshold."""
+    found = birch.fit_features(_labelled(spark, folder)[0], LABELLED_DIM)
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    fits = q / n - arrays.dot(s, s) / (n * n) <= 0.25 + 1e-9
+    total = F.aggregate(s, F.lit(0.0), lambda a, b: a + b)
+    return found.agg(F.sum("n").cast("bigint").alias("n"), F.round(F.sum(total), 3).alias("s"), F.round(F.sum("q"), 3).alias("q"), F.every(fits).alias("within"))
+
+
+@query
+def birch_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors and clusters, and vectors that are in none or several."""
+    vectors = _labelled(spark, folder)[0]
+    found = write_table(birch.birch(vectors, 10, LABELLED_DIM), "birch").df
+    return found.agg(F.count("*").alias("n"), F.countDistinct("k").alias("n_clusters"), (F.count("*") - F.countDistinct("seg_id")).alias("n_repeated"))
+
+
+@query
+def agglomerative_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Average linkage of normalised segments up to a cosine distance of 0.26: vectors, clusters that span components of
+    the similarity graph, and pairs of clusters of a component that could still be joined."""
+    vectors = write_table(_vectors(spark, folder), "vectors").df
+    found = write_table(agglomerative.agglomerative(vectors, threshold=0.26, metric="cosine"), "clusters").df
+    within = community.components(pairs.graph_vertices(vectors), pairs.cosine_edges(vectors, 0.74 - 1e-9))
+    placed = found.join(within, "seg_id")
+    spanning = placed.groupBy("cluster").agg(F.countDistinct("component").alias("n")).where("n > 1").agg(F.count("*").alias("n_spanning"))
+    sums = segments.mean_vector(placed.join(vectors, "seg_id"), ["component", "cluster"], "x", "m")
+    a, b = sums.alias("a"), sums.alias("b")
+    near = a.join(b, F.expr("a.component = b.component and a.cluster < b.cluster")).where(1 - arrays.dot(F.col("a.m"), F.col("b.m")) < 0.26 - 1e-6)
+    return found.agg(F.count("*").alias("n")).crossJoin(spanning).crossJoin(near.agg(F.count("*").alias("n_joinable")))
+
+
+def _checked_communities(vertices: DataFrame, edges: DataFrame, found: DataFrame, resolution: float) -> DataFrame:
+    """Vertices, vertices in none or several communities, communities that are not connected, and whether CPM prefers
+    them to the components and to single vertices."""
+    a, b = found.select(F.col("seg_id").alias("src"), F.col("cluster").alias("ca")), found.select(F.col("seg_id").alias("dst"), F.col("cluster").alias("cb"))
+    inner = edges.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "weight")
+    pieces = community.components(vertices, inner).select("component").distinct().count() - found.select("cluster").distinct().count()
+    parts = community.components(vertices, edges).select("seg_id", F.col("component").alias("cluster"))
+    quality = [community.partition_quality(p, edges, "cpm", resolution).first()["quality"] for p in (found, parts)]
+    counts = found.agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("seg_id")).alias("n_repeated"))
+    return counts.select("n", "n_repeated", F.lit(pieces).cast("bigint").alias("n_in_pieces"), F.lit(quality[0] >= max(quality[1], 0.0) - 1e-9).alias("preferred"))
+
+
+@query
+def leiden_communities(spark: SparkSession, folder: str) -> DataFrame:
+    """Communities of the similarity graph at 0.5, and what must hold of them."""
+    vectors = write_table(_vectors(spark, folder), "vectors").df
+    vertices, edges = pairs.graph_vertices(vectors), write_table(pairs.cosine_edges(vectors, 0.5), "edges").df
+    found = write_table(community.leiden_partition(vertices, edges, "cpm", 0.5), "communities").df
+    return _checked_communities(vertices, edges, found, 0.5)
+
+
+@query
+def tuned_communities(spark: SparkSession, folder: str) -> DataFrame:
+    """Communities of the edge list, tuned to a tenth as many as there are vertices: vertices, vertices that are in none or
+    several, and whether no partition of the search came nearer to that number."""
+    vertices, edges = (write_table(t, "graph").df for t in _graph(spark, folder))
+    target = max(1, vertices.count() // 10)
+    found, _, history = community.tuned_partition(vertices, edges, target, resolution=0.1, max_iter=3)
+    k = found.select("cluster").distinct().count()
+    best = abs(k - target) <= min(abs(h["diff"]) for h in history)
+    return found.agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("seg_id")).alias("n_repeated"), F.lit(best).alias("best"))
+
+
+@query
+def fbgmm_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Two sweeps of the Gibbs sampler: vectors, vectors whose component is out of range, sweeps, and whether the recorded
+    log probability is that of the data and the assignments by the operators for these."""
+    vectors = _labelled(spark, folder)[0]
+    found, trace = gibbs.fbgmm(vectors, _fixed_prior(), 20, n_iter=2)
+    stats = write_table(mixture.component_stats(vectors, found), "stats").df
+    data = mixture.log_marginal_fixed(stats, _fixed_prior()).agg(F.sum("log_marg").alias("v")).first()["v"]
+    prior = mixture.log_prior_assignments(stats, 1.0, 20).first()["log_prob_z"]
+    recorded = trace.orderBy(F.desc("iter")).first()["log_marg"]
+    out = F.count(F.when(~F.col("k").between(0, 19), 1)).alias("n_outside")
+    return found.agg(F.count("*").alias("n"), out).crossJoin(trace.agg(F.count("*").alias("n_sweeps"))).withColumn("agrees", F.lit(abs(recorded - data - prior) < 1e-6 * abs(recorded)))
 
 
 @query

@@ -72,6 +72,50 @@ scored AS (SELECT src, dst, 1.0::DOUBLE - levenshtein(ta, tb) / n AS weight FROM
 SELECT src, dst, round(weight, 5) AS weight FROM scored WHERE weight >= 0.4"""
 
 
+def _rounds(n: int, size: int) -> str:
+    """CTEs of ``n`` rounds of k-means from the first ``size`` vectors; the last centroids are ``c{n}``."""
+    steps = [f"c0 AS (SELECT seg_id AS k, x FROM lab WHERE seg_id < {size})"]
+    for i in range(1, n + 1):
+        steps.append(f"n{i} AS MATERIALIZED ({_nearest('lab', f'c{i - 1}')}), c{i} AS MATERIALIZED ({_means(f'n{i}')})")
+    return ", ".join(steps)
+
+
+def _joint(model: str) -> str:
+    return f"""SELECT p.seg_id, p.x, c.k, ln(c.w) - 0.5::DOUBLE * (64 * ln(2 * pi() * c.v) + list_sum(list_transform(list_zip(p.x, c.m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / c.v) AS j
+  FROM lab p, {model} c"""
+
+
+def _em(n: int, size: int) -> str:
+    """CTEs of ``n`` rounds of expectation maximisation; the last model is ``g{n}``."""
+    steps = [f"g0 AS (SELECT seg_id AS k, 1.0::DOUBLE / {size} AS w, 0.05::DOUBLE AS v, x AS m FROM lab WHERE seg_id < {size})"]
+    for i in range(1, n + 1):
+        steps.append(f"""j{i} AS MATERIALIZED ({_joint(f'g{i - 1}')}),
+t{i} AS (SELECT *, exp(j - max(j) OVER (PARTITION BY seg_id)) AS e FROM j{i}),
+r{i} AS MATERIALIZED (SELECT seg_id, x, k, e / sum(e) OVER (PARTITION BY seg_id) AS r FROM t{i}),
+s{i} AS (SELECT k, sum(r) + 10 * 2.220446049250313e-16::DOUBLE AS n, sum(r * list_dot_product(x, x)) AS q FROM r{i} GROUP BY k),
+d{i} AS (SELECT k, dim, sum(r * v) AS s FROM (SELECT k, r, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM r{i}) GROUP BY k, dim),
+m{i} AS (SELECT k, list(s / n ORDER BY dim) AS m FROM d{i} JOIN s{i} USING (k) GROUP BY k),
+g{i} AS MATERIALIZED (SELECT k, n / sum(n) OVER () AS w, greatest((q / n - list_dot_product(m, m)) / 64.0::DOUBLE + 1e-6::DOUBLE, 1e-6::DOUBLE) AS v, m FROM m{i} JOIN s{i} USING (k))""")
+    return ", ".join(steps)
+
+
+# Elimination of each component's scale matrix S_N, below a pivot a step; column 64 and on are what is solved for.
+# Rows with i = l = step are the pivots, and those with i = step and l >= 64 what is left of a right side there.
+_SCALES = f"""{_LABELLED},
+cells AS (SELECT k, i, l, sum(x[i + 1] * x[l + 1]) AS o FROM lab, range(64) a(i), range(64) b(l) GROUP BY ALL),
+firsts AS (SELECT k, i, sum(x[i + 1]) AS s, count(*)::DOUBLE AS n FROM lab, range(64) a(i) GROUP BY ALL),
+scales AS (SELECT c.k, c.i, c.l, c.o + CASE WHEN c.i = c.l THEN 0.1::DOUBLE ELSE 0 END - a.s * b.s / (a.n + 0.05::DOUBLE) AS v
+  FROM cells c JOIN firsts a ON a.k = c.k AND a.i = c.i JOIN firsts b ON b.k = c.k AND b.i = c.l)"""
+
+
+def _eliminated(source: str) -> str:
+    return f"""steps AS (SELECT 0 AS step, k, i, l, v FROM {source}
+  UNION ALL
+  SELECT e.step + 1, e.k, e.i, e.l, e.v - c.v * r.v / p.v FROM steps e
+    JOIN steps c ON c.k = e.k AND c.i = e.i AND c.l = e.step JOIN steps r ON r.k = e.k AND r.i = e.step AND r.l = e.l
+    JOIN steps p ON p.k = e.k AND p.i = e.step AND p.l = e.step WHERE e.i > e.step AND e.l > e.step)"""
+
+
 _RUN_NAME = "regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]*$', '')"
 _RUN_METHOD = f"""CASE WHEN lower({_RUN_NAME}) LIKE '%kmeans%' THEN 'K-means' WHEN lower({_RUN_NAME}) LIKE '%birch%' THEN 'BIRCH'
   WHEN lower({_RUN_NAME}) LIKE '%agglomerative%' THEN 'Agglomerative' WHEN lower({_RUN_NAME}) LIKE '%cosine%' OR lower({_RUN_NAME}) LIKE '%graph%' THEN 'Graph'
@@ -191,4 +235,57 @@ reach(seg_id, component) USING KEY (seg_id) AS (
   UNION
   SELECT l.b, min(reach.component) AS component FROM reach JOIN both_ways l ON l.a = reach.seg_id JOIN recurring.reach AS old ON old.seg_id = l.b WHERE reach.component < old.component GROUP BY l.b)
 SELECT seg_id, component FROM reach""",
+    "quality_rb": f"""WITH {_GRAPH}, ends AS (SELECT src % 50 AS c, weight FROM links UNION ALL SELECT dst % 50, weight FROM links), str AS (SELECT c, sum(weight) AS k FROM ends GROUP BY c),
+inn AS (SELECT src % 50 AS c, sum(weight) AS e FROM links WHERE src % 50 = dst % 50 GROUP BY c), tot AS (SELECT sum(weight) AS m FROM links)
+SELECT round(sum(coalesce(e, 0) - 0.7::DOUBLE * k * k / (4 * m)), 4) AS quality FROM str LEFT JOIN inn USING (c), tot""",
+    "kmeans_clusters": f"WITH {_LABELLED}, {_rounds(8, 10)}, near AS ({_nearest('lab', 'c8')}) SELECT seg_id, k, round(d, 4) AS distance2 FROM near",
+    "codebook_units": f"WITH {_LABELLED}, {_rounds(5, 20)}, near AS ({_nearest('lab', 'c5')}) SELECT 'all' AS utt_id, seg_id::INT AS frame, k::INT AS unit FROM near",
+    "gmm_clusters": f"""WITH {_LABELLED}, {_em(5, 10)}, joint AS ({_joint('g5')}),
+best AS (SELECT seg_id, arg_max(k, j) AS k, max(j) AS top FROM joint GROUP BY seg_id)
+SELECT seg_id, any_value(best.k) AS k, round(any_value(top) + ln(sum(exp(j - top))), 3) AS log_likelihood FROM joint JOIN best USING (seg_id) GROUP BY seg_id""",
+    "log_marginal_full": f"""WITH RECURSIVE {_SCALES}, {_eliminated('scales')},
+det AS (SELECT k, sum(ln(v)) AS d FROM steps WHERE i = step AND l = step GROUP BY k), cnt AS (SELECT k, count(*)::DOUBLE AS n FROM lab GROUP BY k)
+SELECT k, round(-n * 32 * ln(pi()) + 32 * (ln(0.05::DOUBLE) - ln(n + 0.05::DOUBLE)) + 67.0::DOUBLE / 2 * 64 * ln(0.1::DOUBLE) - (n + 67) / 2 * d
+  + list_sum(list_transform(range(1, 65), lambda i: lgamma((n + 68 - i) / 2) - lgamma((68.0::DOUBLE - i) / 2))), 4) AS log_marg FROM det JOIN cnt USING (k)""",
+    "predictive_full": f"""WITH RECURSIVE {_SCALES},
+sides AS (SELECT f.k, f.i, 64 + p.seg_id AS l, p.x[f.i + 1] - f.s / (f.n + 0.05::DOUBLE) AS v FROM firsts f, lab p),
+source AS (FROM scales UNION ALL FROM sides), {_eliminated('source')},
+pivots AS (SELECT k, step, v FROM steps WHERE i = step AND l = step), det AS (SELECT k, sum(ln(v)) AS d FROM pivots GROUP BY k),
+far AS (SELECT s.k, s.l - 64 AS seg_id, sum(s.v * s.v / p.v) AS q FROM steps s JOIN pivots p ON p.k = s.k AND p.step = s.step WHERE s.i = s.step AND s.l >= 64 GROUP BY ALL),
+cnt AS (SELECT k, count(*)::DOUBLE AS n, n + 4 AS f, (n + 1.05::DOUBLE) / ((n + 0.05::DOUBLE) * (n + 4)) AS c FROM lab GROUP BY k),
+scored AS (SELECT seg_id, k, lgamma((f + 64) / 2) - lgamma(f / 2) - 32 * (ln(f) + ln(pi())) - 0.5::DOUBLE * (d + 64 * ln(c)) - (f + 64) / 2 * ln(1 + q / c / f) AS p FROM far JOIN det USING (k) JOIN cnt USING (k))
+SELECT seg_id, k, round(p, 3) AS log_pred FROM scored QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY p DESC, k) = 1""",
+    "principal_components": f"""WITH {_LONG}, st AS (SELECT dim, avg(v) AS m, var_pop(v) AS w FROM long GROUP BY dim)
+SELECT seg_id, round(sum(CASE WHEN w > 0 THEN (v - m) * (v - m) / w ELSE 0 END), 4) AS x_square FROM long JOIN st USING (dim) GROUP BY seg_id""",
+    "principal_variances": f"WITH {_LONG}, st AS (SELECT dim, var_pop(v) AS w FROM long GROUP BY dim) SELECT true AS uncorrelated, true AS in_order, round(count(*) FILTER (w > 0)::DOUBLE, 4) AS variance FROM st",
+    "agglomerative_single": f"""WITH RECURSIVE {_UNIT}, both_ways AS (SELECT a.seg_id AS a, b.seg_id AS b FROM unit a JOIN unit b ON a.seg_id <> b.seg_id WHERE list_dot_product(a.u, b.u) > 0.74),
+reach(seg_id, cluster) USING KEY (seg_id) AS (
+  SELECT seg_id, seg_id AS cluster FROM unit
+  UNION
+  SELECT l.b, min(reach.cluster) AS cluster FROM reach JOIN both_ways l ON l.a = reach.seg_id JOIN recurring.reach AS old ON old.seg_id = l.b WHERE reach.cluster < old.cluster GROUP BY l.b)
+SELECT seg_id, cluster FROM reach""",
+    "seeded_centroids": f"WITH {_LABELLED} SELECT least(10, count(DISTINCT x)) AS n, least(10, count(DISTINCT x)) AS n_known FROM lab",
+    "sampled_vectors": "SELECT least(60, count(*)) AS n, least(60, count(DISTINCT vec_id)) AS n_known FROM embeddings",
+    "birch_features": f"WITH {_LABELLED} SELECT count(*) AS n, round(sum(list_sum(x)), 3) AS s, round(sum(list_dot_product(x, x)), 3) AS q, true AS within FROM lab",
+    "birch_clusters": "SELECT count(*) AS n, 10::BIGINT AS n_clusters, 0::BIGINT AS n_repeated FROM embeddings",
+    "agglomerative_clusters": f"WITH {_UNIT} SELECT count(*) AS n, 0::BIGINT AS n_spanning, 0::BIGINT AS n_joinable FROM unit",
+    "leiden_communities": f"WITH {_UNIT} SELECT count(*) AS n, 0::BIGINT AS n_repeated, 0::BIGINT AS n_in_pieces, true AS preferred FROM unit",
+    "tuned_communities": f"WITH {_GRAPH} SELECT count(*) AS n, 0::BIGINT AS n_repeated, true AS best FROM verts",
+    "fbgmm_clusters": "SELECT count(*) AS n, 0::BIGINT AS n_outside, 2::BIGINT AS n_sweeps, true AS agrees FROM embeddings",
+    "frame_files": f"""WITH {_VALID}, frames AS (SELECT utt_id, start_frame AS frame, arg_min(x, seg_id) AS x FROM valid WHERE utt_id IS NOT NULL AND start_frame IS NOT NULL GROUP BY ALL)
+SELECT utt_id, row_number() OVER (PARTITION BY utt_id ORDER BY frame)::INT - 1 AS frame, {_shown('x')} FROM frames""",
+    "boundary_files": """SELECT utt_id, row_number() OVER (PARTITION BY utt_id ORDER BY pos, end_sec)::INT - 1 AS pos, end_sec
+FROM (SELECT DISTINCT utt_id, pos, end_sec FROM boundaries WHERE utt_id IS NOT NULL AND pos IS NOT NULL AND end_sec IS NOT NULL)""",
+    "textgrid_files": """SELECT utt_id, tier, interval_start, interval_end, coalesce(label, '') AS label FROM (SELECT DISTINCT token_id, utt_id, tier, interval_start, interval_end, label FROM textgrid)
+WHERE utt_id IS NOT NULL AND tier IS NOT NULL AND interval_start IS NOT NULL AND interval_end IS NOT NULL""",
+    "partition_files": f"""WITH {_MEMBERS}, good AS (SELECT * FROM mem WHERE utt_id IS NOT NULL AND end_sec > start_sec AND cluster >= 0 AND run_id IS NOT NULL),
+asg AS (SELECT member_id, run_id::BIGINT * 1000000 + cluster AS cluster, utt_id, {_frame('start_sec')} AS s, {_frame('end_sec')} AS e FROM good),
+cls AS (SELECT cluster, row_number() OVER (ORDER BY min(member_id))::INT - 1 AS class FROM asg GROUP BY cluster)
+SELECT class, row_number() OVER (PARTITION BY class ORDER BY member_id)::INT - 1 AS pos, utt_id, round(s * 20.0::DOUBLE / 1000.0::DOUBLE, 2) AS start_sec, round(e * 20.0::DOUBLE / 1000.0::DOUBLE, 2) AS end_sec
+FROM asg JOIN cls USING (cluster)""",
+    "pooled_files": f"""WITH places AS (SELECT DISTINCT seg_id, utt_id, start_frame, end_frame FROM segments WHERE utt_id IS NOT NULL), {_VALID},
+one AS (SELECT p.utt_id, p.start_frame, p.end_frame, arg_min(v.x, v.seg_id) AS x FROM valid v JOIN places p USING (seg_id) WHERE p.start_frame IS NOT NULL AND p.end_frame IS NOT NULL GROUP BY ALL)
+SELECT utt_id, start_frame, end_frame, {_shown('x')} FROM one""",
+    "unit_files": """WITH one AS (SELECT utt_id, start_frame, end_frame, arg_min(quantised, seg_id) AS q FROM unit_segments WHERE utt_id IS NOT NULL AND quantised IS NOT NULL GROUP BY ALL)
+SELECT utt_id, start_frame, end_frame, array_to_string(list_filter(q, lambda u: u >= 0), ' ') AS units FROM one WHERE start_frame IS NOT NULL AND end_frame IS NOT NULL""",
 }

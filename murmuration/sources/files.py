@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.timebase import frames_to_seconds
+from ..operators.numbering import number_rows
+from ..session import write_table
 
 
 def stem(path: Column) -> Column:
@@ -67,21 +69,30 @@ def write_partition(members: DataFrame, path: str) -> None:
     partition_lines(members).repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
 
 
-def read_partition(spark: SparkSession, path: str) -> DataFrame:
-    """``path, class, pos, utt_id, start_sec, end_sec`` of partition files (one file, or a folder of whole ones).
+def read_partition(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
+    """``path, class, pos, utt_id, start_sec, end_sec`` of partition files: one file, or a folder of whole ones. With
+    ``in_parts`` the files of the folder, in the order of their names, are one partition, as ``write_partition`` leaves
+    it; ``path`` is the folder then.
 
     A line of three parts is a member, one of two parts is a heading, all others do not count. A heading without
-    members gives no class, so classes are numbered by the headings that have members. A file is one row of text
-    while it is read.
+    members gives no class, so classes are numbered by the headings that have members. A file is read in splits, by
+    many tasks: lines are numbered within their split, and what precedes a split comes from one row a split.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
-    rows = files.select("path", F.posexplode("lines").alias("at", "line")).select("path", "at", F.filter(F.split(F.trim("line"), r"\s+"), lambda v: v != "").alias("part"))
-    kept = rows.where(F.size("part").isin(2, 3))
-    w = Window.partitionBy("path").orderBy("at")
-    block = kept.withColumn("block", F.sum((F.size("part") == 2).cast("int")).over(w)).where(F.size("part") == 3)
-    by_class = block.withColumn("class", F.dense_rank().over(Window.partitionBy("path").orderBy("block")) - 1)
-    pos = F.row_number().over(Window.partitionBy("path", "class").orderBy("at")) - 1
-    return by_class.select("path", "class", pos.alias("pos"), F.col("part")[0].alias("utt_id"), F.col("part")[1].cast("double").alias("start_sec"), F.col("part")[2].cast("double").alias("end_sec"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.filter(F.split(F.trim("value"), r"\s+"), lambda v: v != "").alias("part"))
+    source = F.lit(path) if in_parts else F.col("file")
+    kept = lines.where(F.size("part").isin(2, 3)).select(source.alias("path"), "file", "start", "at", (F.size("part") == 2).cast("bigint").alias("heading"), "part")
+    inside = Window.partitionBy("path", "file", "start").orderBy("at")
+    counted = write_table(kept.withColumn("h", F.sum("heading").over(inside)).withColumn("m", F.sum(1 - F.col("heading")).over(inside)), "partition").df
+    splits = counted.groupBy("path", "file", "start").agg(F.max("h").alias("hs"), F.max("m").alias("ms"))
+    before = Window.partitionBy("path").orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("path", "file", "start", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("hs", "ms")))
+    members = counted.where("heading = 0").join(offsets, ["path", "file", "start"]).select("path", (F.col("h") + F.col("hs")).alias("block"), (F.col("m") + F.col("ms")).alias("number"), "part")
+    blocks = write_table(members.groupBy("path", "block").agg(F.min("number").alias("first")), "classes").df
+    numbered = number_rows(blocks, ["path", "block"], "nth")
+    zero = numbered.groupBy("path").agg(F.min("nth").alias("least"))
+    classes = numbered.join(F.broadcast(zero), "path").select("path", "block", "first", (F.col("nth") - F.col("least")).cast("int").alias("class"))
+    seconds = [F.element_at("part", i).cast("double").alias(c) for i, c in ((2, "start_sec"), (3, "end_sec"))]
+    return members.join(classes, ["path", "block"]).select("path", "class", (F.col("number") - F.col("first")).cast("int").alias("pos"), F.element_at("part", 1).alias("utt_id"), *seconds)
 
 
 _ITEM = re.compile(r'^\s*(item\s*\[\d+\]:|intervals\s*\[\d+\]:?|class\s*=\s*"(?P<cls>[^"]*)"|name\s*=\s*"(?P<name>(?:[^"]|"")*)"|xmin\s*=\s*(?P<xmin>\S+)|xmax\s*=\s*(?P<xmax>\S+)|text\s*=\s*"(?P<text>(?:[^"]|"")*)")', re.M)

@@ -115,8 +115,11 @@ def test_pipelines(spark, tmp_path):
     for family in ("fixed", "diag", "full"):
         a, trace = pipelines.fbgmm_clusters(vectors, 4, 2, family=family, checkpoint=str(tmp_path / family))
         assert a.count() == 21 and trace.count() == 2
-        _, more = pipelines.fbgmm_clusters(vectors, 4, 1, family=family, checkpoint=str(tmp_path / family), resume=True)
-        assert more.first()["iter"] == 3
+        b, more = pipelines.fbgmm_clusters(vectors, 4, 1, family=family, checkpoint=str(tmp_path / family), resume=True)
+        assert sorted(r["iter"] for r in more.collect()) == [1, 2, 3]
+        # A run that is cut off and resumed is the run that is not.
+        whole, _ = pipelines.fbgmm_clusters(vectors, 4, 3, family=family, checkpoint=str(tmp_path / f"{family}-whole"))
+        assert sorted(map(tuple, b.collect())) == sorted(map(tuple, whole.collect()))
     assert pipelines.members(pipelines.kmeans_clusters(vectors, 4), pooled).count() == 21
 
 
@@ -129,9 +132,35 @@ def test_catalog(spark, tmp_path):
         return spark.createDataFrame([(1, 2, 0.9)], "src bigint, dst bigint, weight double")
 
     for _ in range(2):
-        assert graph_edges(catalog, None, "cosine", 0.5, make).count() == 1
-    graph_edges(catalog, None, "cosine", 0.6, make)
-    assert made == [0.5, 0.6] and not catalog.exists("model", k=3)
+        assert graph_edges(catalog, "one/a b", None, "cosine", 0.5, make).count() == 1
+    graph_edges(catalog, "one/a b", None, "cosine", 0.6, make)
+    graph_edges(catalog, "other", None, "cosine", 0.5, make)  # other vectors have edges of their own
+    assert made == [0.5, 0.6, 0.5] and not catalog.exists("model", k=3)
+    with pytest.raises(ValueError):
+        graph_edges(catalog, "", None, "cosine", 0.5, make)
+
+
+def test_pipelines_read_what_a_catalog_keeps(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    frames = spark.createDataFrame([(f"u{u}", f, rng.normal(size=5).tolist()) for u in range(3) for f in range(20)], "utt_id string, frame int, x array<double>")
+    ends = spark.createDataFrame([(f"u{u}", p, 0.1 * (p + 1)) for u in range(3) for p in range(4)], "utt_id string, pos int, end_sec double")
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    first = pipelines.pool(frames, ends, 3, catalog, "train")
+    # The models of the first frames serve for others under the same name, as they must for new recordings.
+    again = pipelines.pool(frames, ends, 3, catalog, "train")
+    plain = pipelines.pool(frames, ends, 3)
+    rows = lambda df: [[*map(str, r[:-1]), *np.round(r["features"], 5).tolist()] for r in df.orderBy("seg_id").collect()]
+    assert rows(first) == rows(again) == rows(plain)
+    assert all(catalog.exists(k, source="train") for k in ("scaler",)) and catalog.exists("loadings", source="train", n_components=3)
+    _, codebook = pipelines.quantise(frames, frames, ends, 4, catalog=catalog, source="train")
+    assert catalog.exists("codebook", source="train", k=4, hours=2.0, seed=42) and codebook.count() == 4
+    vectors = pipelines.embeddings(first, 3)
+    assert pipelines.kmeans_clusters(vectors, 3, catalog=catalog, source="train").count() == pipelines.kmeans_clusters(vectors, 3, catalog=catalog, source="train").count() == 12
+    assert catalog.exists("initial-centroids", source="train", k=3, seed=0)
+    pipelines.cosine_graph(vectors, 3, 0.2, max_iter=1, catalog=catalog, source="train")
+    assert catalog.exists("edges", source="train", graph="cosine", threshold=0.2)
+    with pytest.raises(ValueError):
+        pipelines.pool(frames, ends, 3, catalog)
 
 
 def test_rank_frequency(spark):

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from murmuration.operators import gibbs, mixture
 from murmuration.operators.mixture import ConjugatePrior, FixedPrior
 
-X = np.array([[1.2, 0.9, 0.2], [-0.1, 0.8, -0.2], [0.5, 0.4, 0.3], [-0.34, -0.36, -0.07]])
+X = np.random.default_rng(17).normal(size=(4, 3)).round(3)
 
 
 def frames(spark, x=X, z=(0, 0, 1, 0)):
@@ -17,8 +17,8 @@ def frames(spark, x=X, z=(0, 0, 1, 0)):
 
 def prior(family, d=3):
     if family == "fixed":
-        return FixedPrior([0.3, 0.2, 0.5][:d], [0.5, -0.1, 0.1][:d], [2.0, 1.0, 1.5][:d])
-    return ConjugatePrior([0.5, -0.1, 0.1][:d], 2.0, 5.0, [0.5] * d if family == "diag" else (0.5 * np.eye(d)).tolist())
+        return FixedPrior([0.3, 0.2, 0.5][:d], [0.25, -0.3, 0.0][:d], [2.0, 1.0, 1.5][:d])
+    return ConjugatePrior([0.25, -0.3, 0.0][:d], 1.7, 6.0, [0.5] * d if family == "diag" else (0.5 * np.eye(d)).tolist())
 
 
 def test_statistics(spark):
@@ -123,6 +123,27 @@ def test_prior_of_the_fixed_family_uses_the_prior_precision_alone():
     assert c.log_prior == pytest.approx(want)
 
 
+@pytest.mark.parametrize("values", [1 << 20, 1])
+def test_best_components_in_one_block_and_in_several(spark, monkeypatch, values):
+    monkeypatch.setattr(mixture, "MAX_VALUES", values)
+    rng = np.random.default_rng(3)
+    x, z = rng.normal(size=(40, 3)), np.arange(40) % 4
+    x += z[:, None]
+    df, labels = frames(spark, x, z)
+    outer = mixture.component_outer(df, labels)
+    full = {r["seg_id"]: (r["k"], r["log_pred"]) for r in mixture.score_predictive_full(df, outer, prior("full")).collect()}
+    p = np.stack([mixture.log_predictive_full(x, 10, x[z == k].sum(0), x[z == k].T @ x[z == k], prior("full")) for k in range(4)], 1)
+    assert full == {i: (int(p[i].argmax()), pytest.approx(p[i].max())) for i in range(40)}
+    for family in ("fixed", "diag"):
+        stats = mixture.component_stats(df, labels)
+        got = {r["seg_id"]: (r["k"], r["log_pred"]) for r in mixture.score_predictive(df, stats, prior(family)).collect()}
+        p = mixture.log_predictive(x, *mixture.predictive_arrays(mixture.predictive_parameters(stats, prior(family)))[2:])
+        assert got == {i: (int(p[i].argmax()), pytest.approx(p[i].max())) for i in range(40)}
+    if values == 1:
+        with pytest.raises(ValueError):
+            mixture.assignment_posteriors(df, mixture.component_stats(df, labels), prior("diag"), 1.0, 4)
+
+
 def test_draw():
     p = np.array([0.2, 0.5, 0.3])
     assert [gibbs.draw(p, u) for u in (0.0, 0.19, 0.21, 0.69, 0.71, 1.0)] == [0, 0, 1, 1, 2, 2]
@@ -160,7 +181,7 @@ def test_posterior_draws(family):
     mean = np.mean([m for m, _ in draws], 0)
     c = gibbs.Components(X, prior(family), family, 1, np.zeros(4, int))
     assert np.allclose(mean, c.mu[0], atol=0.08)
-    if family == "full":  # an inverse Wishart with v_N = 9 has the mean S_N / (v_N - D - 1)
+    if family == "full":  # an inverse Wishart has the mean S_N / (v_N - D - 1)
         _, v_n, _, s_n = mixture.full_posterior(4, X.sum(0), X.T @ X, prior("full"))
         assert np.allclose(np.mean([s for _, s in draws], 0), s_n / (v_n - 4), rtol=0.2, atol=0.03)
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from murmuration.sources import files
+from murmuration.sources import files, segment_files
 
 GRID = '''File type = "ooTextFile"
 Object class = "TextGrid"
@@ -75,6 +75,45 @@ def test_partition_round_trip(spark, tmp_path):
     assert sorted(got) == [(0, 0, "a", 0.0, 1.0), (0, 1, "b", 0.1, 0.2), (1, 0, "c", 0.02, 0.04), (2, 0, "d", 0.06, 0.08)]
 
 
+def test_partition_in_parts_and_in_splits(spark, tmp_path):
+    rows = [(c, i, f"u{i}", i, i + 2) for c in range(7) for i in range(c * 40, c * 40 + (1 if c == 3 else 40))]
+    df = spark.createDataFrame(rows, "class int, pos int, utt_id string, start_frame int, end_frame int")
+    want = sorted((c, i - c * 40, u, a / 50, b / 50) for c, i, u, a, b in rows)
+    files.write_partition(df, str(tmp_path / "parts"))
+    read = lambda **kw: sorted(tuple(r[1:]) for r in files.read_partition(spark, **kw).collect())
+    assert read(path=str(tmp_path / "parts"), in_parts=True) == want
+    (tmp_path / "whole.txt").write_text("".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*"))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert read(path=str(tmp_path / "whole.txt")) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_segment_files(spark, tmp_path):
+    folder = str(tmp_path / "segments")
+    rows = [("a_b", 0, 5, [1.0, 2.0]), ("a_b", 5, 9, [3.0, 4.0]), ("c", 0, 2, [5.0, 6.0]), ("c", 0, 2, [5.0, 6.0]), (None, 0, 1, [1.0]), ("d", 0, 1, None)]
+    df = spark.createDataFrame(rows, "utt_id string, start_frame int, end_frame int, features array<double>")
+    assert segment_files.write_segments(df, folder) == 3
+    assert segment_files.write_segments(df, folder) == 0  # what is there stays
+    np.save(tmp_path / "segments" / "pca_model.npy", np.zeros(3))
+    np.save(tmp_path / "segments" / "nokey.npy", np.zeros(3))
+    (tmp_path / "segments" / "sub").mkdir()
+    np.save(tmp_path / "segments" / "sub" / "e_3_4.npy", np.float32([7, 8]))
+    got = sorted(map(tuple, segment_files.read_pooled(spark, folder).collect()))
+    assert got == sorted([*rows[:3], ("e", 3, 4, [7.0, 8.0])])
+    assert [r["path"].rsplit("/", 1)[1] for r in segment_files.unread_files(spark, folder).collect()] == ["nokey.npy"]
+    units = spark.createDataFrame([("a", 0, 5, [3, 3, 7]), ("a", 5, 6, [])], "utt_id string, start_frame int, end_frame int, units array<int>")
+    assert segment_files.write_segments(units, str(tmp_path / "units"), "units") == 2
+    assert sorted(map(tuple, segment_files.read_units(spark, str(tmp_path / "units")).collect())) == [("a", 0, 5, [3, 3, 7]), ("a", 5, 6, [])]
+
+
+def test_frame_files(spark, tmp_path):
+    df = spark.createDataFrame([("u", 1, [1.0, 2.0]), ("u", 0, [3.0, 4.0]), ("v", 0, [5.0, 6.0]), (None, 0, [0.0, 0.0])], "utt_id string, frame int, x array<float>")
+    assert segment_files.write_frames(df, str(tmp_path / "f")) == 2
+    assert sorted(map(tuple, files.read_frames(spark, str(tmp_path / "f")).collect())) == [("u", 0, [3.0, 4.0]), ("u", 1, [1.0, 2.0]), ("v", 0, [5.0, 6.0])]
+
+
 def test_run_names(spark):
     names = ["x/cosine_t0.5_r0.31_58.00.txt", "kmeans_116.7.txt", "a/birch_r0.9.txt", "other.txt", None]
     got = [(r["run_threshold"], r["run_resolution"], r["run_method"]) for r in files.run_metadata(spark.createDataFrame([(n,) for n in names], "path string")).collect()]
