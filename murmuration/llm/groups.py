@@ -474,7 +474,9 @@ def typicalities(members: DataFrame, vectors: DataFrame, dim: int, most_rows: in
         return pa.RecordBatch.from_arrays([key, ids, pa.array(np.full(len(x), n, np.int64)), pa.array(x @ total / n)], names=["key", "id", "n", "typicality"])
 
     def decoded(col: pa.Array) -> np.ndarray:
-        return from_fixed_point(unpacked(col, np.uint8, 3 * dim))
+        x = from_fixed_point(unpacked(col, np.uint8, 3 * dim))
+        norm = np.linalg.norm(x, axis=1, keepdims=True)  # of two members both are as typical, whatever was rounded
+        return x / np.where(norm > 0, norm, 1)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches):
@@ -548,7 +550,9 @@ def cluster_profiles(partition: DataFrame, segments: DataFrame, typical: int = 3
     # Only usable segments can be a member's; the test here needs no vector to be shuffled.
     places = segments.where(F.col("utt_id").isNotNull() & F.col(id_col).isNotNull() & (F.size(vector_col) == dim) & is_usable(vector_col)).select(F.col(id_col).cast("bigint").alias("id"), "utt_id", "start_frame", "end_frame").dropDuplicates(["id"])
     first = F.floor(F.col("start_sec") * 50).cast("int")
-    near = members.where("utt_id is not null and end_sec > start_sec").withColumn("start_frame", F.explode(F.sequence(first - 2, first + 3))).join(places, ["utt_id", "start_frame"])
+    # Both sides meet in slots of 64 frames; a member near the edge of one also looks into the next.
+    slots = F.array_distinct(F.array(F.floor((first - 2) / 64), F.floor((first + 3) / 64)))
+    near = members.where("utt_id is not null and end_sec > start_sec").withColumn("slot", F.explode(slots)).join(places.withColumn("slot", F.floor(F.col("start_frame") / 64)), ["utt_id", "slot"])
     apart = F.greatest(F.abs(F.col("start_sec") * 50 - F.col("start_frame")), F.abs(F.col("end_sec") * 50 - F.col("end_frame")))
     matched = near.withColumn("apart", F.round(apart, 3)).where("apart <= 2").groupBy("member_id", "run_id", "cluster").agg(F.min(F.struct("apart", "id")).alias("m"))
     # A cluster is one number: its run above its own number, of at most 31 bits.

@@ -97,6 +97,9 @@ SELECT 'cluster', m.run_id, m.cluster::BIGINT, count(*), coalesce(any_value(n),
 sims AS (SELECT a.seg_id AS a, b.seg_id AS b, array_inner_product(a.u, b.u) AS s FROM unit a, unit b WHERE a.seg_id <> b.seg_id),
 near AS (SELECT a, b, s FROM sims WHERE s >= 0.97 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS seg_id_a, greatest(a, b) AS seg_id_b FROM near""",
+    "p3_knn": f"""WITH {_UNIT},
+near AS (SELECT a.seg_id, b.seg_id AS neighbour_id, array_inner_product(a.u, b.u) AS s FROM unit a, unit b WHERE a.seg_id % 50 = 0 AND a.seg_id <> b.seg_id)
+SELECT seg_id, neighbour_id, row_number() OVER w::INT AS place, round(s, 5) AS similarity FROM near WINDOW w AS (PARTITION BY seg_id ORDER BY s DESC, neighbour_id) QUALIFY row_number() OVER w <= 10""",
     "p4_found": f"""WITH members AS (SELECT DISTINCT member_id, utt_id, (start_sec + end_sec) / 2 AS t FROM partition_file WHERE utt_id IS NOT NULL AND end_sec > start_sec),
 words AS (SELECT DISTINCT token_id, utt_id, (interval_start + interval_end) / 2 AS t FROM textgrid
   WHERE tier = 'words' AND label IS NOT NULL AND interval_end > interval_start AND {_CLEAN} NOT IN {_SILENCE})
