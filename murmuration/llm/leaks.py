@@ -7,7 +7,8 @@ keeps, for each window, the embedding at some sampled steps. Windows of document
 windows of a batch at a time, and dropped as soon as what they have written at the sampled steps so far is no
 prefix of an entry. A window with edits must also hold an unchanged piece of an item's window; those without one are
 dropped first. Several tables with other random bits and samples reach the target recall for windows with
-edits; equal windows are found by one table, always. Each candidate is then verified word by word.
+edits; equal windows are found by one table, always. Each candidate is then verified: by the numbers of its words,
+many at a time, and those that pass word by word.
 """
 
 from __future__ import annotations
@@ -53,6 +54,19 @@ def passage_distance(item: list[str], text: list[str]) -> int:
     return min(row)
 
 
+def passage_distances(items: np.ndarray, texts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``passage_distance`` of each row of words as numbers; of a row of ``texts`` only the first ``length`` words count."""
+    n, m = texts.shape
+    row = np.broadcast_to(np.arange(m + 1, dtype=np.int16), (n, m + 1)).copy()
+    for i in range(items.shape[1]):
+        change = row[:, :-1] + (texts != items[:, i : i + 1])
+        up = row + 1
+        up[:, 1:] = np.minimum(up[:, 1:], change)
+        # Words left out of the text cost one each: the least of all places before, each plus the way to it.
+        row = np.minimum.accumulate(up - np.arange(m + 1, dtype=np.int16), axis=1) + np.arange(m + 1, dtype=np.int16)
+    return np.where(np.arange(m + 1) <= length[:, None], row, np.int16(1 << 14)).min(1)
+
+
 def table_count(window: int, max_edits: int, recall: float) -> tuple[int, int]:
     """Sampled steps of a hash table, and tables. A pair at distance e differs in about 2 e of the 3 * window steps that
     matter; a sample of s steps misses all of these with probability about exp(-2 e s / window)."""
@@ -64,7 +78,7 @@ def table_count(window: int, max_edits: int, recall: float) -> tuple[int, int]:
 class PassageIndex:
     """The hash tables of the items' windows."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int = 12, max_edits: int = 0, recall: float = 0.95, seed: int = 7) -> None:
+    def __init__(self, ids: list[int], texts: list[str], window: int = 12, max_edits: int = 0, recall: float = 0.999, seed: int = 7) -> None:
         if window < 1 or not 0 <= max_edits < window:
             raise ValueError("window must be at least 1, and max_edits less than it")
         self.window, self.max_edits = window, max_edits
@@ -73,7 +87,7 @@ class PassageIndex:
         word = np.searchsorted(self.vocabulary, hashes) + 1  # 0 is a word that no item has
         first = self._inside(text, window)
         grams = word[first[:, None] + np.arange(window)] if len(first) else np.zeros((0, window), np.int64)
-        self.item = np.array([ids[t] for t in text[first]], np.int64)
+        self.item, self.grams = np.array([ids[t] for t in text[first]], np.int64), grams
         self.text, self.starts, self.stops, self.first = joined, starts, stops, first
         # Of window // (edits + 1) words in a row, at least one such piece of an item's window is left as it is.
         self.piece = window // (max_edits + 1)
@@ -150,6 +164,9 @@ class PassageIndex:
             which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             pairs.append(np.stack([np.repeat(found, n), owner[which]], 1))
         candidates = np.unique(np.concatenate(pairs), axis=0)
+        ends = np.searchsorted(text, np.arange(len(texts)), side="right")  # where each text's words end
+        if self.max_edits:
+            candidates = candidates[self._near(word, ends[text[candidates[:, 0]]], candidates)]
         order = np.lexsort((candidates[:, 0], self.item[candidates[:, 1]], text[candidates[:, 0]]))
         ends = np.searchsorted(text, np.arange(len(texts)), side="right")  # where each text's words end
         out: list[tuple[int, int]] = []
@@ -173,6 +190,18 @@ class PassageIndex:
         here = np.arange(len(text))
         return so_far[here + longest - self.piece + 1] > so_far[here]
 
+    def _near(self, word: np.ndarray, ends: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        """Which candidates are within the edits by the numbers of their words. A number stands for a hash, so those left
+        out are farther apart for certain; the others are verified by the words themselves."""
+        longest = self.window + self.max_edits
+        keep = np.zeros(len(candidates), bool)
+        for begin in range(0, len(candidates), 8192):
+            p, g = candidates[begin : begin + 8192].T
+            own = word[np.minimum(p[:, None] + np.arange(longest), len(word) - 1)]
+            length = np.minimum(ends[begin : begin + 8192] - p, longest)
+            keep[begin : begin + 8192] = passage_distances(self.grams[g], own, length) <= self.max_edits
+        return keep
+
     def _verified(self, joined: str, starts: np.ndarray, stops: np.ndarray, p: int, end: int, g: int) -> bool:
         own = [joined[starts[k] : stops[k]] for k in range(p, min(p + self.window + self.max_edits, end))]
         at = int(self.first[g])
@@ -196,7 +225,7 @@ def item_parts(items: DataFrame, window: int, part_words: int = PART_WORDS) -> D
     return items.mapInArrow(cut, "item_id bigint, part int, item_text string, n bigint")
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, window: int = 12, max_edits: int = 0, recall: float = 0.95, index_bytes: int = INDEX_BYTES, part_words: int = PART_WORDS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, window: int = 12, max_edits: int = 0, recall: float = 0.999, index_bytes: int = INDEX_BYTES, part_words: int = PART_WORDS) -> DataFrame:
     """``doc_id, item_id`` (different pairs) of documents that hold a passage of an item.
 
     ``documents`` has ``doc_id bigint, text string`` and ``items`` has ``item_id bigint, item_text string``; other

@@ -122,6 +122,17 @@ item_grams AS (SELECT DISTINCT item_id, list_slice(w, i, i + 11) AS g, g[1] AS h
 heads AS (SELECT DISTINCT list_slice(g, 1, 3) AS h FROM item_grams),
 doc_grams AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 11) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM doc_words) SEMI JOIN heads ON list_slice(w, i, i + 2) = h)
 SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN item_grams USING (g)""",
+    # One of three pieces of four words is unchanged in a window with two edits; passages have 10 to 14 words.
+    "p8_near": r"""WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+item_words AS (SELECT DISTINCT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, list_slice(w, i, i + 11) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM item_words)),
+pieces AS (SELECT item_id, g, o, list_slice(g, o + 1, o + 4) AS piece FROM windows, (VALUES (0), (4), (8)) t(o)),
+known AS (SELECT DISTINCT piece FROM pieces),
+grams AS (SELECT doc_id, w, i, list_slice(w, i, i + 3) AS piece FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM doc_words) SEMI JOIN known ON list_slice(w, i, i + 3) = piece),
+starts AS (SELECT DISTINCT doc_id, item_id, g, list_slice(w, i - o + d, i - o + d + 13) AS own FROM grams JOIN pieces USING (piece), range(-2, 3) t(d) WHERE i - o + d >= 1),
+coded AS (SELECT doc_id, item_id, array_to_string(list_transform(g, lambda v: chr((64 + list_position(g, v))::INT)), '') AS a,
+  array_to_string(list_transform(own, lambda v: chr((64 + coalesce(list_position(g, v), 0))::INT)), '') AS b FROM starts)
+SELECT DISTINCT doc_id, item_id FROM coded WHERE list_min(list_transform(range(10, 15), lambda n: levenshtein(a, left(b, n)))) <= 2""",
     "p9_statistics": f"WITH {_STATS} SELECT doc_id, n_words, word_chars, symbol_chars, n_lines, ended_lines, common_words FROM stats",
     "p9_found": f"""WITH {_STATS}
 SELECT doc_id, 'no_words' AS mark FROM shares WHERE n_words = 0
