@@ -117,8 +117,8 @@ def _statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Marks of every document."""
-    return textstats.quality_marks(_statistics(spark, folder))
+    """Marks of every document, by the ranks of its statistics within its language."""
+    return textstats.ranked_marks(_statistics(spark, folder))
 
 
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,12 +4,15 @@ The statistics of a batch of texts come from one array of code points. Ranks are
 language: the different values of a statistic, with their counts, are range-partitioned and sorted; each
 partition sums the counts below a value, and the totals of the partitions before it are added as offsets. From the
 ranks follow the empirical tail probabilities of each value, and a document's outlier score is the sum of their
-negative logarithms over all statistics.
+negative logarithms over all statistics. A mark is a limit in some statistic; the limit has a rank as well, and a
+document has the mark if its own rank lies beyond, so that each mark comes with the share of documents that it cuts
+off. What is compared are different values: documents only look theirs up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..joins import join_sized
 from ..session import write_table
 from .codepoints import BLANK, FEED, LETTER, NUMBER, STOP, classes, in_portions, span_hashes, spans, to_codepoints
 
@@ -98,18 +102,45 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, id_col: str =
     return counted.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), *COUNTS, share("word_chars", "n_words").alias("mean_word_length"), share("symbol_chars", "word_chars").alias("symbol_share"), share("ended_lines", "n_lines").alias("line_end_share"), share("common_words", "n_words").alias("common_share"))
 
 
+#: What each mark demands: a document without words has none of them.
+MARKS = {
+    "long_words": (("mean_word_length", ">", 15.0),),
+    "symbols": (("symbol_share", ">", 0.28),),
+    "no_line_end": (("line_end_share", "<", 0.02),),
+    "no_common": (("common_share", "<", 0.01),),
+    "prose": (("line_end_share", ">=", 0.5), ("mean_word_length", "<=", 8.0), ("symbol_share", "<=", 0.12)),
+}
+
+
+def _beyond(op: str, at: str) -> F.Column:
+    """Whether a value lies beyond a limit, by the numbers of rows below and up to each; the value is that of a row."""
+    below, upto = F.col("n_below"), F.col("n_below") + F.col("n")
+    return {">": below >= F.col(f"upto_{at}"), ">=": below >= F.col(f"below_{at}"), "<": upto <= F.col(f"below_{at}"), "<=": upto <= F.col(f"upto_{at}")}[op]
+
+
+def ranked_marks(statistics: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """``id_col, mark``, as ``quality_marks``, by ranks within the language: values and limits are compared by how many
+    documents lie below them. A null language is one of its own."""
+    stats = write_table(statistics.select(F.col(id_col).alias("id"), F.col(lang_col).alias("grp"), *SHARES).withColumn("row", F.monotonically_increasing_id()), "statistics").df
+    pairs = ", ".join(f"'{s}', {s}" for s in SHARES[1:])
+    long = stats.where("n_words > 0").select("row", "grp", F.expr(f"stack({len(SHARES) - 1}, {pairs}) as (stat, value)")).where("value is not null")
+    ranks = write_table(value_ranks(long), "value-ranks").df
+    parts = [(f"c{i}", *c) for i, c in enumerate(dict.fromkeys(c for cs in MARKS.values() for c in cs))]
+    limits = ranks.groupBy("grp", "stat").agg(F.count("*").alias("n_values"), *(F.coalesce(F.sum(F.when(F.col("value") < limit, F.col("n"))), F.lit(0)).alias(f"below_{c}") for c, _, _, limit in parts), *(F.coalesce(F.sum(F.when(F.col("value") <= limit, F.col("n"))), F.lit(0)).alias(f"upto_{c}") for c, _, _, limit in parts))
+    judged = join_sized(ranks, limits, ["grp", "stat"], "n_values")
+    flags = write_table(judged.select("grp", "stat", "value", "n", *(((F.col("stat") == stat) & _beyond(op, c)).alias(c) for c, stat, op, _ in parts)), "judged-values").df
+    found = join_sized(long, flags, ["grp", "stat", "value"], "n").groupBy("row").agg(*(F.max(c).alias(c) for c, *_ in parts))
+    name = {(stat, op, limit): c for c, stat, op, limit in parts}
+    holds = [F.when(reduce(lambda a, b: a & b, (F.col(name[c]) for c in conditions)), mark) for mark, conditions in MARKS.items()]
+    marked = found.join(stats.select("row", "id"), "row").select("id", F.explode(F.array_compact(F.array(*holds))).alias("mark"))
+    return marked.unionByName(stats.where("n_words = 0").select("id", F.lit("no_words").alias("mark"))).distinct().withColumnRenamed("id", id_col)
+
+
 def quality_marks(statistics: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``id_col, mark``: a row for each mark that holds; repeated documents count once. A document without words
-    has the mark ``no_words`` alone."""
-    mean, symbols, ended, common = (F.col(c) for c in SHARES[1:])
-    marks = F.array(
-        F.when(F.col("n_words") == 0, "no_words"),
-        F.when(mean > 15, "long_words"),
-        F.when(symbols > 0.28, "symbols"),
-        F.when(ended < 0.02, "no_line_end"),
-        F.when(common < 0.01, "no_common"),
-        F.when((ended >= 0.5) & (mean <= 8) & (symbols <= 0.12), "prose"),
-    )
+    has the mark ``no_words`` alone. The limits are compared with the values themselves."""
+    holds = [F.when(reduce(lambda a, b: a & b, (F.expr(f"{stat} {op} {limit}D") for stat, op, limit in conditions)), mark) for mark, conditions in MARKS.items()]
+    marks = F.array(F.when(F.col("n_words") == 0, "no_words"), *holds)
     return statistics.select(id_col, F.explode(F.array_compact(marks)).alias("mark")).distinct()
 
 
@@ -160,9 +191,9 @@ def outlier_scores(statistics: DataFrame, id_col: str = "doc_id", lang_col: str
     # Read three times below: the texts are not.
     stats = write_table(statistics.select(F.col(id_col).alias("id"), F.col(lang_col).alias("grp"), *(F.col(s).cast("double").alias(s) for s in SHARES)), "statistics").df
     pairs = ", ".join(f"'{s}', {s}" for s in SHARES)
-    long = stats.where("n_words > 0").select("id", "grp", F.expr(f"stack({len(SHARES)}, {pairs}) as (stat, value)"))
-    ranks = value_ranks(long)
+    long = stats.where("n_words > 0").select("id", "grp", F.expr(f"stack({len(SHARES)}, {pairs}) as (stat, value)")).where("value is not null")
+    ranks = write_table(value_ranks(long), "value-ranks").df
     tail = F.least(F.col("n_below") + F.col("n"), F.col("total") - F.col("n_below")) * 2.0 / F.col("total")
-    cost = ranks.select("grp", "stat", "value", (-F.log(F.least(tail, F.lit(1.0)))).alias("cost"))
-    scored = long.alias("a").join(cost.alias("b"), F.expr("a.grp <=> b.grp and a.stat = b.stat and a.value = b.value")).groupBy("a.id").agg(F.sum("cost").alias("score"))
+    cost = ranks.select("grp", "stat", "value", "n", (-F.log(F.least(tail, F.lit(1.0)))).alias("cost"))
+    scored = join_sized(long, cost, ["grp", "stat", "value"], "n").groupBy("id").agg(F.sum("cost").alias("score"))
     return stats.alias("s").join(scored.alias("t"), F.expr("s.id = t.id"), "left").select(F.col("s.id").alias(id_col), F.col("s.grp").alias("lang"), F.col("t.score").alias("outlier_score"))

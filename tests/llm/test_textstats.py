@@ -64,6 +64,24 @@ def test_marks(spark):
     assert got == {1: {"no_words"}, 2: {"prose"}, 3: {"symbols", "no_line_end", "no_common"}, 4: {"long_words", "no_line_end", "no_common"}}
 
 
+def test_ranked_marks_are_the_marks(spark, monkeypatch):
+    from murmuration import joins
+
+    monkeypatch.setattr(joins.join_sized, "__defaults__", (3,))
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(150):
+        words = ["the", "a", "%%", "wordwordwordwordword", "x1", "end.", "fine", "\n"]
+        text = " ".join(rng.choice(words, int(rng.integers(0, 9)), p=rng.dirichlet(np.ones(8))))
+        rows.append((i, text, [None, "en", "de", "one"][int(rng.integers(4))] if i else "alone"))
+    rows += [(900, "aaaaaaaaaaaaaaa.", "en"), (901, "aaaaaaaaaaaaaaaa.", "en"), (902, None, None), (None, "the end.", "en"), (5, rows[5][1], rows[5][2])]
+    stats = textstats.text_statistics(frame(spark, rows), common(spark))
+    got = sorted(map(tuple, textstats.ranked_marks(stats).collect()), key=str)
+    assert got == sorted(map(tuple, textstats.quality_marks(stats).collect()), key=str)
+    assert {m for _, m in got} == {*textstats.MARKS, "no_words"}
+    assert textstats.ranked_marks(stats.limit(0)).count() == 0
+
+
 def test_ranks_equal_brute_force_with_ties_and_a_hot_group(spark):
     rng = np.random.default_rng(2)
     rows = [("hot" if rng.random() < 0.5 else None if rng.random() < 0.1 else f"g{rng.integers(3)}", f"s{rng.integers(2)}", float(rng.integers(0, 50)) / 7) for _ in range(3000)]
