@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -79,6 +80,19 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Reco
         yield joined(held)
 
 
+def changes(columns: list[pa.Array]) -> np.ndarray:
+    """True where a row differs from the one before it in any of the columns; the first row is True."""
+    n = len(columns[0])
+    out = np.zeros(n, bool)
+    out[:1] = True
+    for c in columns:
+        if n > 1:
+            a, b = c.slice(1), c.slice(0, n - 1)
+            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+            out[1:] |= ~same.to_numpy(zero_copy_only=False)
+    return out
+
+
 def scan_tasks(rows: DataFrame, keys: list[str], then: list[str], f: Callable, schema: str) -> DataFrame:
     """Rows of each key together, by one shuffle and a sort; ``f`` gets an iterator of Arrow batches."""
     return rows.repartition(*keys).sortWithinPartitions(*keys, *then).mapInArrow(f, schema)
