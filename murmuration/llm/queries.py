@@ -86,6 +86,13 @@ def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return runs.sequence_runs(_table(spark, folder, "unit_segments"), _table(spark, folder, "codebook")).select("seg_id", "run_start", "base_unit", "run_length", F.round("duration_sec", 2).alias("duration_sec"))
 
 
+def p5_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of equal consecutive gold labels of each recording and tier."""
+    rows = _table(spark, folder, "textgrid").where("utt_id is not null and tier is not null")
+    events = rows.select(F.concat("utt_id", F.lit("/"), "tier").alias("entity"), F.col("interval_start").alias("time"), F.col("token_id").alias("id"), F.col("label").alias("event"))
+    return runs.event_runs(events).withColumn("event", F.coalesce("event", F.lit("(none)")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The group of every segment that is linked with another."""
     return components.connected_components(components.countable_links(_table(spark, folder, "edge_list")), id_col="seg_id")
@@ -131,4 +138,4 @@ def p9_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return textstats.outlier_scores(_statistics(spark, folder)).withColumn("outlier_score", F.round("outlier_score", 4))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_profiles, p3_found, p3_knn, p4_found, p5_found, p5_collapsed, p6_found, p7_ids, p7_decoded, p8_found, p8_near, p9_found, p9_statistics, p9_outliers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_profiles, p3_found, p3_knn, p4_found, p5_found, p5_collapsed, p5_events, p6_found, p7_ids, p7_decoded, p8_found, p8_near, p9_found, p9_statistics, p9_outliers)}

@@ -1,6 +1,6 @@
 """Runs of equal consecutive units: start positions in sorted arrays, found again by binary search.
 
-Sequences come as arrays, one a row. A batch of rows is one chunk: its elements lie in one flat array. The
+Sequences come as arrays, one a row; ``event_runs`` takes events as rows. A batch of rows is one chunk: its elements lie in one flat array. The
 positions at which a run starts are gathered, in order; a boundary of a sequence always starts one, so no run
 crosses it. Each element's run is found by binary search among the starts, and counts and durations are
 aggregated by run. There is no shuffle, and a long sequence costs no more than its elements.
@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..arrowtools import flat_list
+from ..arrowtools import changes, flat_list
+from ..session import write_table
 
 #: Most rows of a codebook that are sent to all tasks: 16 MB. A larger one is joined instead.
 MAX_CODEBOOK = 1_000_000
@@ -61,8 +63,10 @@ def sequence_runs(sequences: DataFrame, codebook: DataFrame | None = None, min_l
             rows = _map_by_join(rows, book)
     known = np.array(sorted(units), np.int64)
     bases = np.array([units[u] for u in known.tolist()], np.int64)
+    shared = sequences.sparkSession.sparkContext.broadcast((known, bases))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bases = shared.value
         for batch in batches:
             starts, lengths, values = flat_list(batch.column(1))
             present = ~values.is_null().to_numpy(zero_copy_only=False)
@@ -79,6 +83,61 @@ def sequence_runs(sequences: DataFrame, codebook: DataFrame | None = None, min_l
     return found.dropDuplicates(["seg_id", "run_start"]).withColumn("duration_sec", F.col("run_length") * F.lit(frame_sec))
 
 
+def event_runs(events: DataFrame) -> DataFrame:
+    """All runs of equal consecutive events of an entity, where events are rows.
+
+    ``events`` has ``entity string, time double, event string`` and ``id bigint``, which orders events at one time; other
+    columns are not read. Rows that repeat all four count once. A null event is an event like others, equal to a null; rows
+    with a null entity, time or id are left out. The result is ``entity, start_time, end_time, event, n``: the times of a
+    run's first and last event, and its count; its duration is the difference of the times.
+
+    Rows are range-partitioned and sorted by entity, time and id, so an entity that holds a third of all rows is spread over
+    many tasks. A task gathers the places where a run starts in a sorted array and finds each event's run in it by binary
+    search. Runs that touch an edge of a partition are put together by one row a partition.
+    """
+    order = ["entity", "time", "id"]
+    rows = events.select(F.col("entity").cast("string").alias("entity"), F.col("time").cast("double").alias("time"), F.col("id").cast("bigint").alias("id"), F.col("event").cast("string").alias("event")).where("entity is not null and time is not null and id is not null").distinct()
+    names = ["pid", "at", "entity", "start_time", "end_time", "event", "n"]
+    schema = pa.schema([("pid", pa.int32()), ("at", pa.int64()), ("entity", pa.string()), ("start_time", pa.float64()), ("end_time", pa.float64()), ("event", pa.string()), ("n", pa.int64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            entity, event, time = batch.column(0), batch.column(3), batch.column(1)
+            new = changes([entity, event])
+            begins = np.flatnonzero(new)
+            run = np.searchsorted(begins, np.arange(batch.num_rows), side="right") - 1
+            n = np.bincount(run, minlength=len(begins))
+            first, last = pa.array(begins), pa.array(begins + n - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch.column(4)[0].as_py(), np.int32)), pa.array(done + begins), entity.take(first), time.take(first), time.take(last), event.take(first), pa.array(n)], schema=schema)
+            done += batch.num_rows
+
+    # Written once: runs and what joins them must see the same partitions.
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, "event", F.spark_partition_id().alias("pid"))
+    local = write_table(ordered.mapInArrow(scan, ", ".join(f"{f} {t}" for f, t in zip(names, ("int", "bigint", "string", "double", "double", "string", "bigint")))), "runs").df
+    # A batch or a partition may end within a run: pieces that follow one another and are equal get one number.
+    inside = Window.partitionBy("pid").orderBy("at")
+    edge = (F.lag("entity").over(inside).eqNullSafe(F.col("entity"))) & (F.lag("event").over(inside).eqNullSafe(F.col("event")))
+    numbered = local.withColumn("starts", F.when(edge, 0).otherwise(1)).withColumn("run", F.sum("starts").over(inside))
+    whole = numbered.groupBy("pid", "run").agg(F.first("entity").alias("entity"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.first("event").alias("event"), F.sum("n").alias("n"))
+    pieces = write_table(whole, "run-pieces").df
+    ends = pieces.groupBy("pid").agg(F.min_by(F.struct("entity", "event"), "run").alias("head"), F.max_by(F.struct("entity", "event"), "run").alias("tail"), F.max("run").alias("runs"))
+    across = Window.orderBy("pid")  # one row a partition
+    goes_on = F.lag("tail").over(across).eqNullSafe(F.col("head"))
+    # A partition's first run goes on from the one before; through partitions of a single run, from further back.
+    chains = ends.withColumn("on", F.coalesce(goes_on, F.lit(False))).withColumn("previous", F.lag("pid").over(across)).withColumn("opens", F.when(F.col("on") & (F.lag("runs").over(across) == 1), 0).otherwise(1)).withColumn("chain", F.sum("opens").over(across))
+    first = chains.groupBy("chain").agg(F.min_by(F.when(F.col("on"), F.col("previous")).otherwise(F.col("pid")), "pid").alias("home"))
+    homes = chains.join(first, "chain").select("pid", "on", "home")
+    placed = pieces.join(F.broadcast(homes), "pid")
+    owner = F.when((F.col("run") == 1) & F.col("on"), F.col("home")).otherwise(F.col("pid"))
+    totals = ends.select(F.col("pid").alias("owner"), "runs")
+    keyed = placed.withColumn("owner", owner).join(F.broadcast(totals), "owner").withColumn("key", F.when((F.col("run") == 1) & F.col("on"), F.col("runs")).otherwise(F.col("run")))
+    out = keyed.groupBy("owner", "key").agg(F.first("entity").alias("entity"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.first("event").alias("event"), F.sum("n").alias("n"))
+    return out.select("entity", "start_time", "end_time", "event", "n")
+
+
 def _map_by_join(rows: DataFrame, book: DataFrame) -> DataFrame:
     """The sequences in base units where the codebook is too large to send: exploded, joined, put together."""
     items = rows.dropDuplicates(["seg_id"]).select("seg_id", F.posexplode("quantised").alias("pos", "unit"))

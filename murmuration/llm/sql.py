@@ -108,6 +108,10 @@ WHERE abs(m.t - w.t) <= 0.1
 QUALIFY row_number() OVER (PARTITION BY member_id ORDER BY abs(m.t - w.t), w.t, token_id) = 1""",
     "p5_found": f"WITH {_RUNS} SELECT seg_id, run_start, base_unit, run_length FROM runs WHERE run_length >= 5",
     "p5_collapsed": f"WITH {_RUNS} SELECT seg_id, run_start, base_unit, run_length, round(run_length * 0.02::DOUBLE, 2) AS duration_sec FROM runs",
+    "p5_events": """WITH rows AS (SELECT DISTINCT token_id, utt_id || '/' || tier AS entity, interval_start AS t, label FROM textgrid WHERE utt_id IS NOT NULL AND tier IS NOT NULL AND interval_start IS NOT NULL AND token_id IS NOT NULL),
+marked AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(label) OVER w IS DISTINCT FROM label THEN 1 ELSE 0 END AS new FROM rows WINDOW w AS (PARTITION BY entity ORDER BY t, token_id)),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY entity ORDER BY t, token_id) AS run FROM marked)
+SELECT entity, min(t) AS start_time, max(t) AS end_time, coalesce(any_value(label), '(none)') AS event, count(*) AS n FROM grouped GROUP BY entity, run""",
     "p6_found": """WITH RECURSIVE one AS (SELECT DISTINCT src AS a, dst AS b FROM edge_list WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst AND weight BETWEEN 0.5 AND 1 AND NOT isnan(weight)),
 links AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
 reach(seg_id, group_id) USING KEY (seg_id) AS (

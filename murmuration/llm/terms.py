@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..arrowtools import changes
+
+# Labels that mark silence.
 SILENCE = ("", "<unk>", "sp", "sil", "spn")
 KEYS = ("field", "scope", "term")
 _PARTIAL = "field string, scope int, term string, n_rows bigint, n_inner bigint, first_record string, last_record string"
@@ -34,19 +36,6 @@ def is_silence(cleaned: Column) -> Column:
     return cleaned.isin(*SILENCE)
 
 
-def _changes(columns: list[pa.Array]) -> np.ndarray:
-    """True where a row differs from the one before it in any of the columns; the first row is True."""
-    n = len(columns[0])
-    out = np.zeros(n, bool)
-    out[:1] = True
-    for c in columns:
-        if n > 1:
-            a, b = c.slice(1), c.slice(0, n - 1)
-            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
-            out[1:] |= ~same.to_numpy(zero_copy_only=False)
-    return out
-
-
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of each term of one sorted partition. The open run at a batch's end goes on in the next."""
     held: dict | None = None  # the last term so far: its counts, its first and last record, its last row
@@ -54,9 +43,9 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         field, scope, term, record, row = (batch.column(i) for i in range(5))
-        new_term = _changes([field, scope, term])
-        new_record = new_term | _changes([record])
-        new_row = new_record | _changes([row])
+        new_term = changes([field, scope, term])
+        new_record = new_term | changes([record])
+        new_row = new_record | changes([row])
         starts = np.flatnonzero(new_term)
         ends = np.append(starts[1:], batch.num_rows) - 1
         rows = np.add.reduceat(new_row.astype(np.int64), starts)

@@ -56,3 +56,34 @@ def test_empty_and_extra_columns(spark):
     empty = spark.createDataFrame([], "unit int, base_unit int")
     assert rows(runs.sequence_runs(df, empty)) == {(1, 0, 5, 2)}
     assert runs.sequence_runs(df.limit(0), empty).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_event_runs_equal_brute_force(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows, i = [], 0
+    for e, n in (("hot", 400), ("a", 30), ("b", 1), ("long", 200)):
+        t = 0.0
+        for _ in range(n):
+            t += float(rng.integers(0, 3))
+            event = "x" if e == "long" else [None, "x", "y"][int(rng.integers(3)) * int(rng.random() < 0.4)]
+            rows.append((e, t, i, event))
+            i += 1
+    want, last = [], None
+    for e, t, i, v in sorted(rows, key=lambda r: r[:3]):
+        if last == (e, v):
+            want[-1] = (*want[-1][:2], t, v, want[-1][4] + 1)
+        else:
+            want.append((e, t, t, v, 1))
+        last = (e, v)
+    bad = [(None, 1.0, 1, "x"), ("a", None, 2, "x"), ("a", 1.0, None, "x")]
+    df = spark.createDataFrame(rows + rows[::3] + bad, "entity string, time double, id bigint, event string")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many partitions as that, however small
+    try:
+        got = runs.event_runs(df.withColumns({c: F.lit("x") for c in ("pid", "at", "run", "n")})).collect()
+        assert runs.event_runs(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
