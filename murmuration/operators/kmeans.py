@@ -27,11 +27,17 @@ def seed_centroids(vectors: DataFrame, k: int, seed: int = 0, id_col: str = "seg
     rng = np.random.default_rng(seed)
     chosen: list[int] = []
     if len(x):
+        q = np.einsum("ij,ij->i", x, x)
+
+        def from_row(i: int) -> np.ndarray:
+            d = q + q[i] - 2 * (x @ x[i])
+            return np.where(d > 1e-12 * (q + q[i]), d, 0.0)  # what rounding leaves of an equal vector is no distance
+
         chosen.append(int(rng.integers(len(x))))
-        far = ((x - x[chosen[0]]) ** 2).sum(1)
-        while len(chosen) < k and far.sum() > 0:
-            chosen.append(int(np.searchsorted(np.cumsum(far), rng.random() * far.sum(), side="right")))
-            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+        far = from_row(chosen[0])
+        while len(chosen) < k and (total := np.cumsum(far))[-1] > 0:
+            chosen.append(min(int(np.searchsorted(total, rng.random() * total[-1], side="right")), len(x) - 1))
+            far = np.minimum(far, from_row(chosen[-1]))
     return centroid_table(vectors.sparkSession, x[chosen])
 
 

@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,26 @@ def _forget(path: str) -> None:
         pass
 
 
+#: Tables written within each open ``scratch``.
+_scopes: list[list[Table]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Intermediate tables that operators write within it go at its end, and results must have been used by then::
+
+        with scratch():
+            similarity_groups(segments).write.parquet(path)
+
+    Without it they stay until the process ends, since results are read from them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for table in _scopes.pop():
+            table.drop()
+
+
 class Table:
     """A DataFrame written to the shared folder. ``df`` reads it; ``drop`` deletes its files."""
 
@@ -59,6 +81,8 @@ class Table:
         self.path = f"{shared_dir(self._spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
+        if _scopes:
+            _scopes[-1].append(self)
 
     def drop(self) -> None:
         _delete(self._spark, self.path)

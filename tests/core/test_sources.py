@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from murmuration.sources import files, segment_files
 
@@ -118,3 +119,32 @@ def test_run_names(spark):
     names = ["x/cosine_t0.5_r0.31_58.00.txt", "kmeans_116.7.txt", "a/birch_r0.9.txt", "other.txt", None]
     got = [(r["run_threshold"], r["run_resolution"], r["run_method"]) for r in files.run_metadata(spark.createDataFrame([(n,) for n in names], "path string")).collect()]
     assert got == [(0.5, 0.31, "Graph"), (None, None, "K-means"), (None, 0.9, "BIRCH"), (None, None, None), (None, None, None)]
+
+
+def test_scratch_tables_go_at_the_end(spark):
+    import os
+
+    from murmuration import session
+
+    with session.scratch():
+        table = session.write_table(spark.range(3), "kept")
+        with session.scratch():
+            inner = session.write_table(table.df, "inner")
+            assert inner.df.count() == 3
+        assert not os.path.exists(inner.path) and table.df.count() == 3
+        dropped = session.write_table(spark.range(2), "dropped")
+        dropped.drop()
+    assert not os.path.exists(table.path)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from murmuration import session
+
+    class Elsewhere:
+        conf = spark.conf
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Elsewhere())
