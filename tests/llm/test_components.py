@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from murmuration.llm import components
 from murmuration.llm.components import connected_components, countable_links
 
 
@@ -44,6 +45,22 @@ def test_ordered_chain(spark):
     assert groups(connected_components(spark.createDataFrame(edges, "src bigint, dst bigint"))) == brute(edges)
 
 
+def test_stars_leave_before_a_long_chain_is_done(spark, monkeypatch):
+    taken = []
+    part = components._parted
+    monkeypatch.setattr(components, "_parted", lambda e: taken.append(part(e)) or taken[-1])
+    edges = [(10 * i, 10 * i + k) for i in range(400) for k in range(1, 9)] + [(10_000 + i, 10_001 + i) for i in range(300)]
+    edges += [(20_000, 20_001), (20_001, 20_002), (20_000, 20_003)]  # no star at first
+    assert groups(connected_components(spark.createDataFrame(edges, "src bigint, dst bigint"))) == brute(edges)
+    assert taken and taken[0][0].df.count() >= 3200
+
+
+def test_stars_are_told_from_what_is_linked_further(spark):
+    stars, others = [(1, 5), (1, 6), (2, 7)], [(3, 8), (4, 8), (10, 11), (11, 12), (20, 21), (20, 22), (21, 22)]
+    settled, rest = components._parted(spark.createDataFrame(stars + others, "a bigint, b bigint"))
+    assert sorted(map(tuple, settled.df.collect())) == stars and sorted(map(tuple, rest.df.collect())) == sorted(others)
+
+
 def test_empty_and_too_few_rounds(spark):
     assert connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
     with pytest.raises(RuntimeError):
