@@ -13,6 +13,9 @@ from ..arrowtools import by_key, scan_tasks
 from ..session import write_table
 
 QUALITIES = ("cpm", "modularity", "rb")
+#: Edges of a connected component that one task takes; a larger component is shrunk by moves in rounds first.
+MAX_EDGES = 2_000_000
+MOVE_ROUNDS = 12
 
 
 def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -153,15 +156,17 @@ def refine(g: Graph, q: Quality, part: np.ndarray, rng: np.random.Generator) ->
     return np.unique(sub, return_inverse=True)[1]
 
 
-def leiden(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, kind: str = "cpm", resolution: float = 0.5, seed: int = 42, max_size: int | None = None, total: float | None = None, rounds: int = 2) -> np.ndarray:
+def leiden(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, kind: str = "cpm", resolution: float = 0.5, seed: int = 42, max_size: int | None = None, total: float | None = None, rounds: int = 2, size: np.ndarray | None = None, inner: np.ndarray | None = None) -> np.ndarray:
     """Community of each of n vertices by the Leiden algorithm: moving, refining, merging, until nothing changes;
     the whole ``rounds`` times, each from the last result. Every community is connected, unless the resolution is
-    negative."""
-    q = Quality(kind, resolution, float(w.sum()) if total is None else total)
+    negative. A vertex may stand for ``size`` vertices with a weight of ``inner`` among them."""
+    size = np.ones(n, np.int64) if size is None else size
+    inner = np.zeros(n) if inner is None else inner
+    q = Quality(kind, resolution, float(w.sum() + inner.sum()) if total is None else total)
     rng = np.random.default_rng(seed)
     labels = np.arange(n)
     for _ in range(rounds):
-        g = Graph(n, src, dst, w, np.ones(n, np.int64), np.zeros(n))
+        g = Graph(n, src, dst, w, size, inner)
         part, where = labels.copy(), np.arange(n)
         while True:
             part = np.unique(move_nodes(g, q, part, rng, max_size), return_inverse=True)[1]
@@ -177,30 +182,113 @@ def leiden(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, kind: str =
     return np.unique(labels, return_inverse=True)[1] if n else labels
 
 
+def best_moves(nodes: DataFrame, edges: DataFrame, factor: float) -> DataFrame:
+    """``id, to, gain``: of the nodes ``id, comm, mass`` those that gain by leaving for the community of a neighbour, and the
+    best one (ties: the smallest). ``edges`` has both directions, ``a, b, w``. Gains are those of a move alone."""
+    total = nodes.groupBy("comm").agg(F.sum("mass").alias("total"), F.count("*").alias("n"))
+    near = edges.join(nodes.select(F.col("id").alias("b"), F.col("comm").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
+    own = nodes.join(total, "comm").select("id", "comm", "mass", (F.col("total") - F.col("mass")).alias("rest"), F.col("n").alias("own_n"))
+    asked = near.join(own, F.col("a") == F.col("id")).join(total.select(F.col("comm").alias("to"), "total", F.col("n").alias("to_n")), "to")
+    value = F.col("w") - F.lit(factor) * F.col("mass") * F.when(F.col("to") == F.col("comm"), F.col("rest")).otherwise(F.col("total"))
+    stay = F.coalesce(F.max(F.when(F.col("to") == F.col("comm"), F.col("value"))), F.lit(-factor) * F.first("mass") * F.first("rest"))
+    # Of two nodes that are alone only the one with the larger id moves, so that they do not change places.
+    free = (F.col("to") != F.col("comm")) & ~((F.col("own_n") == 1) & (F.col("to_n") == 1) & (F.col("to") > F.col("comm")))
+    best = F.max(F.when(free, F.struct("value", (-F.col("to")).alias("minus"))))
+    found = asked.withColumn("value", value).groupBy("id").agg(stay.alias("stay"), best.alias("best")).where("best is not null and best.value > stay + 1e-12")
+    return found.select("id", (-F.col("best.minus")).alias("to"), (F.col("best.value") - F.col("stay")).alias("gain"))
+
+
+def shrunk(nodes: DataFrame, edges: DataFrame, q: Quality, seed: int, max_size: int | None, rounds: int = MOVE_ROUNDS) -> DataFrame:
+    """``id, part``: connected parts of communities that nodes ``id, size, mass`` move to in rounds.
+
+    In a round, a half of the nodes that gain by a move makes it, another half each time, since neighbours that move at once
+    do not know of each other. Communities that grow beyond ``max_size`` are dissolved. A part is a connected piece of a
+    community, so whatever is made of parts is as connected as they are."""
+    state = write_table(nodes.select("id", "size", "mass", F.col("id").alias("comm")), "moving")
+    for turn in range(rounds):
+        half = F.pmod(F.xxhash64("id", F.lit(seed + turn)), F.lit(2)) == 0
+        moves = write_table(best_moves(state.df, edges, q.factor).where(half).select("id", "to"), "moves")
+        if moves.df.isEmpty() and turn:
+            break
+        following = write_table(state.df.join(moves.df, "id", "left").select("id", "size", "mass", F.coalesce("to", "comm").alias("comm")), "moving")
+        state.drop()
+        moves.drop()
+        state = following
+    if max_size is not None:
+        grown = state.df.groupBy("comm").agg(F.sum("size").alias("grown"))
+        state = write_table(state.df.join(grown, "comm").withColumn("comm", F.when(F.col("grown") > max_size, F.col("id")).otherwise(F.col("comm"))), "moving")
+    at = state.df.select("id", "comm")
+    inside = edges.where("a < b").join(at.select(F.col("id").alias("a"), F.col("comm").alias("ca")), "a").join(at.select(F.col("id").alias("b"), F.col("comm").alias("cb")), "b").where("ca = cb")
+    return components(state.df.select(F.col("id").alias("seg_id")), inside.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("seg_id").alias("id"), F.col("component").alias("part"))
+
+
+def _shrunk_graph(edges: DataFrame, q: Quality, seed: int, max_size: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Large components as graphs of their parts: ``seg_id, node`` of every vertex, the nodes ``id, component, size, inner``
+    and edges ``component, src, dst, weight`` between them. They are shrunk until no component has more than ``MAX_EDGES`` edges or
+    a level makes the nodes fewer by less than a tenth."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"), "component").distinct()
+    nodes = write_table(ends.select("id", "component", F.lit(1).cast("bigint").alias("size"), F.lit(0.0).alias("inner")), "nodes").df
+    links = write_table(edges.select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight"), "links").df
+    where = nodes.select(F.col("id").alias("seg_id"), F.col("id").alias("node"))
+    n = nodes.count()
+    while not links.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > MAX_EDGES).isEmpty():
+        both = write_table(links.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("weight").alias("w")))).alias("e")).select("e.*"), "both").df
+        strength = both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("s"))
+        mass = F.col("size").cast("double") if q.by_size else F.coalesce("s", F.lit(0.0)) + 2 * F.col("inner")
+        weighed = nodes.join(strength, "id", "left").select("id", "size", mass.alias("mass"))
+        part = write_table(shrunk(weighed, both, q, seed, max_size), "parts").df
+        a, b = part.select(F.col("id").alias("src"), F.col("part").alias("pa")), part.select(F.col("id").alias("dst"), F.col("part").alias("pb"))
+        merged = write_table(links.join(a, "src").join(b, "dst").groupBy("component", F.least("pa", "pb").alias("src"), F.greatest("pa", "pb").alias("dst")).agg(F.sum("weight").alias("weight")), "links").df
+        within = merged.where("src = dst").select(F.col("src").alias("id"), F.col("weight").alias("more"))
+        of_parts = nodes.join(part, "id").groupBy("part").agg(F.first("component").alias("component"), F.sum("size").alias("size"), F.sum("inner").alias("inner"))
+        nodes = write_table(of_parts.withColumnRenamed("part", "id").join(within, "id", "left").select("id", "component", "size", (F.col("inner") + F.coalesce("more", F.lit(0.0))).alias("inner")), "nodes").df
+        links = merged.where("src <> dst")
+        where = write_table(where.join(part.select(F.col("id").alias("node"), "part"), "node").select("seg_id", F.col("part").alias("node")), "where").df
+        before, n = n, nodes.count()
+        if n > 0.9 * before:
+            break
+    return where, nodes, links
+
+
 def leiden_partition(vertices: DataFrame, edges: DataFrame, kind: str = "cpm", resolution: float = 0.5, seed: int = 42, max_size: int | None = None, parts: DataFrame | None = None) -> DataFrame:
     """``seg_id, cluster`` (the smallest id of the community) of every vertex.
 
     No community spans two connected components, so each component is a task of its own; what a quality needs of
-    the whole graph, its total weight, is passed in. A component is held by one task. At a negative resolution CPM
-    also favours joining what is not linked; that is not looked for across components. ``parts`` passes known
-    components.
+    the whole graph, its total weight, is passed in. A component of more than ``MAX_EDGES`` edges is first shrunk on all
+    executors: vertices move in rounds, and connected parts of the communities become the nodes of a smaller graph, which
+    the task gets. At a negative resolution CPM also favours joining what is not linked; that is not looked for across
+    components. ``parts`` passes known components.
     """
     parts = components(vertices, edges) if parts is None else parts
     total = edges.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()["w"] if kind != "cpm" else 0.0
     inside = edges.join(parts, F.col("src") == F.col("seg_id")).select("component", "src", "dst", F.col("weight").cast("double").alias("weight"))
+    large = write_table(inside.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > MAX_EDGES).select("component"), "large").df
     schema = pa.schema([("seg_id", pa.int64()), ("cluster", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges of a component, and, with the same node at both ends, its size and inner weight where it has any."""
         for batch in by_key(batches):
-            a, b, w = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            a, b, w, n = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
             ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            label = leiden(len(ids), at[: len(a)], at[len(a) :], w, kind, resolution, seed, max_size, total)
+            at_a, at_b, alone = at[: len(a)], at[len(a) :], a == b
+            size, inner = np.ones(len(ids), np.int64), np.zeros(len(ids))
+            size[at_a[alone]], inner[at_a[alone]] = n[alone], w[alone]
+            label = leiden(len(ids), at_a[~alone], at_b[~alone], w[~alone], kind, resolution, seed, max_size, total if kind != "cpm" else None, size=size, inner=inner)
             first = np.full(label.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(first, label, ids)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(first[label])], schema=schema)
 
-    found = scan_tasks(inside, ["component"], ["src", "dst"], find, "seg_id bigint, cluster bigint")
-    alone = vertices.select(F.col("seg_id").cast("bigint").alias("seg_id")).join(edges.select(F.explode(F.array("src", "dst")).alias("seg_id")), "seg_id", "left_anti")
+    few, where = inside.where("src <> dst").withColumn("size", F.lit(1).cast("bigint")), None
+    if not large.isEmpty():
+        where, nodes, links = _shrunk_graph(write_table(few.join(F.broadcast(large), "component"), "large-edges").df, Quality(kind, resolution, total), seed, max_size)
+        stands = nodes.select("component", F.col("id").alias("src"), F.col("id").alias("dst"), F.col("inner").alias("weight"), "size")
+        few = few.join(F.broadcast(large), "component", "left_anti").unionByName(links.withColumn("size", F.lit(1).cast("bigint"))).unionByName(stands)
+    found = scan_tasks(few, ["component"], ["src", "dst"], find, "seg_id bigint, cluster bigint")
+    if where is not None:
+        # A part is named by its smallest vertex, and so is a community of parts.
+        moved = where.join(found.select(F.col("seg_id").alias("node"), "cluster"), "node").select("seg_id", "cluster")
+        found = moved.unionByName(found.join(where.select("seg_id"), "seg_id", "left_anti"))
+    alone = vertices.select(F.col("seg_id").cast("bigint").alias("seg_id")).join(edges.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("seg_id")), "seg_id", "left_anti")
     return found.unionByName(alone.select("seg_id", F.col("seg_id").alias("cluster")))
 
 

@@ -68,6 +68,36 @@ def test_partition_by_component(spark):
     assert community.leiden_partition(vertices, edges.limit(0)).count() == n + 3
 
 
+@pytest.mark.parametrize(("kind", "gamma", "max_size"), [("cpm", 0.2, None), ("cpm", 0.2, 20), ("modularity", 1.0, None)])
+def test_large_components_are_shrunk_first(spark, monkeypatch, kind, gamma, max_size):
+    monkeypatch.setattr(community, "MAX_EDGES", 60)
+    n, a, b, w, truth = planted(6, 14, 0.8, 0.03)
+    extra = [(200, 201, 0.9), (201, 202, 0.8)]  # a small component beside it
+    edges = spark.createDataFrame([*((int(x), int(y), float(z)) for x, y, z in zip(a, b, w)), *extra], "src bigint, dst bigint, weight double")
+    vertices = spark.createDataFrame([(i,) for i in [*range(n), 200, 201, 202, 300]], "seg_id bigint")
+    got = {r["seg_id"]: r["cluster"] for r in community.leiden_partition(vertices, edges, kind, gamma, max_size=max_size).collect()}
+    assert set(got) == {*range(n), 200, 201, 202, 300} and got[300] == 300 and got[200] == got[201] == got[202] == 200
+    found = np.array([got[i] for i in range(n)])
+    assert all(c == min(np.flatnonzero(found == c)) for c in set(found.tolist()))
+    plain = community.leiden(n, a, b, w, kind, gamma, max_size=max_size)
+    assert quality(found, n, a, b, w, kind, gamma) >= 0.95 * quality(plain, n, a, b, w, kind, gamma)
+    if max_size is not None:
+        assert np.bincount(found).max() <= max_size
+    near = {v: set() for v in range(n)}
+    for x, y in zip(a.tolist(), b.tolist()):
+        if found[x] == found[y]:
+            near[x].add(y)
+            near[y].add(x)
+    for c in set(found.tolist()):
+        seen, todo = set(), [c]
+        while todo:
+            v = todo.pop()
+            if v not in seen:
+                seen.add(v)
+                todo += near[v]
+        assert len(seen) == (found == c).sum()
+
+
 @pytest.mark.parametrize("kind,gamma", [("cpm", 0.3), ("modularity", 1.0), ("rb", 1.7)])
 def test_quality_query_equals_numpy(spark, kind, gamma):
     n, a, b, w, truth, vertices, edges = graph(spark, 1)
