@@ -294,8 +294,9 @@ def map_table(outer: DataFrame, prior: ConjugatePrior) -> DataFrame:
     d = prior.dim
     k_n, v_n = F.col("n") + prior.k_0, F.col("n") + prior.v_0
     mean = F.transform(F.arrays_zip(F.col("s").alias("s"), _lit(prior.m_0).alias("m")), lambda z: (z["s"] + prior.k_0 * z["m"]) / k_n)
-    base = _lit([float(prior.s_0[i][j]) + prior.k_0 * prior.m_0[i] * prior.m_0[j] for i in range(d) for j in range(d)])
-    rows = outer.select("k", "n", mean.alias("mean"), F.zip_with("outer", base, lambda a, b: a + b).alias("total"))
+    base = np.array(prior.s_0, float) + prior.k_0 * np.outer(prior.m_0, prior.m_0)
+    table = outer.sparkSession.createDataFrame(pa.table({"base": pa.array([base.ravel().tolist()], pa.list_(pa.float64()))}))
+    rows = outer.crossJoin(F.broadcast(table)).select("k", "n", mean.alias("mean"), F.zip_with("outer", "base", lambda a, b: a + b).alias("total"))
     cov = F.transform("total", lambda t, i: (t - k_n * F.get("mean", F.floor(i / d).cast("int")) * F.get("mean", (i % d).cast("int"))) / (v_n + d + 2))
     return rows.select("k", "n", "mean", cov.alias("cov"))
 

@@ -12,6 +12,7 @@ from ..functions import arrays, special, timebase
 from ..operators import agglomerative, birch, community, gibbs, gmm, kmeans, mixture, neighbours, pairs, partition, scaling, segments, zipf
 from ..session import shared_dir, write_table
 from ..sources import files, segment_files
+from ..streaming import scaler
 
 DIM, LABELLED_DIM = 96, 64
 QUERIES: dict[str, object] = {}
@@ -153,6 +154,18 @@ def frame_moments(spark: SparkSession, folder: str) -> DataFrame:
     return zipped.select("n", "dim", F.round("z.mean", 6).alias("mean"), F.round("z.var", 6).alias("var"))
 
 
+@query
+def streamed_moments(spark: SparkSession, folder: str) -> DataFrame:
+    """``frame_moments`` of frames that arrive as a stream, in micro-batches."""
+    path = _folder(spark, "moments")
+    arrived = write_table(_labelled(spark, folder)[0].select("x").repartition(3), "frames")
+    frames = spark.readStream.schema(arrived.df.schema).option("maxFilesPerTrigger", 1).parquet(arrived.path)
+    scaler.fit_stream(frames, LABELLED_DIM, path, _folder(spark, "stream-state")).awaitTermination()
+    row = scaler.fitted(spark, path, LABELLED_DIM, 1)[0]
+    zipped = row.select("n", F.posexplode(F.arrays_zip("mean", "var")).alias("dim", "z"))
+    return zipped.select("n", "dim", F.round("z.mean", 6).alias("mean"), F.round("z.var", 6).alias("var"))
+
+
 @query
 def standardised_frames(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _labelled(spark, folder)[0]
@@ -168,8 +181,11 @@ def bounded_prefix(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def batch_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each batch of 1,000 ids."""
-    rows = table(spark, folder, "segments").select("seg_id").distinct()
-    return rows.groupBy(F.floor(F.col("seg_id") / 1000).alias("batch")).agg(F.count("*").alias("n"))
+    rows = table(spark, folder, "segments").where("seg_id is not null").select("seg_id").distinct()
+    n = rows.agg(F.coalesce(F.max("seg_id") + 1, F.lit(0)).alias("n")).first()["n"]
+    ranges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(segments.batch_ranges(n, 1000))], "batch bigint, start bigint, stop bigint")
+    counts = rows.groupBy(F.floor(F.col("seg_id") / 1000).alias("batch")).agg(F.count("*").alias("n"))
+    return counts.join(ranges, "batch").select("batch", "start", "stop", "n")
 
 
 @query

@@ -154,10 +154,12 @@ SELECT seg_id, len(quantised)::INT AS n_units, coalesce(n, 0) AS n_collapsed, co
 again AS (SELECT seg_id, count(*) - 1 AS n FROM marked WHERE reason IS NULL GROUP BY seg_id HAVING n > 0)
 SELECT reason, count(*) AS n FROM marked WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'repeated', sum(n)::BIGINT FROM again HAVING count(*) > 0""",
     "frame_moments": f"WITH {_LONG} SELECT count(*) AS n, dim::INT AS dim, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS var FROM long GROUP BY dim",
+    "streamed_moments": f"WITH {_LONG} SELECT count(*) AS n, dim::INT AS dim, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS var FROM long GROUP BY dim",
     "standardised_frames": f"""WITH {_LONG}, st AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS sd FROM long GROUP BY dim),
 z AS (SELECT seg_id, list(CASE WHEN sd > 0 THEN (v - m) / sd ELSE 0 END ORDER BY dim) AS z FROM long JOIN st USING (dim) GROUP BY seg_id) SELECT seg_id, {_shown('z')} FROM z""",
     "bounded_prefix": f"WITH {_UTTERANCES}, run AS (SELECT *, coalesce(sum(n_frames) OVER (ORDER BY utt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM utts) SELECT utt_id, n_frames FROM run WHERE before < 0.02 * 3600 * 50",
-    "batch_numbers": "SELECT seg_id // 1000 AS batch, count(DISTINCT seg_id) AS n FROM segments GROUP BY batch",
+    "batch_numbers": """SELECT seg_id // 1000 AS batch, min(batch * 1000)::BIGINT AS start, least(min(batch * 1000) + 1000, (SELECT max(seg_id) + 1 FROM segments))::BIGINT AS stop, count(DISTINCT seg_id) AS n
+FROM (SELECT seg_id, seg_id // 1000 AS batch FROM segments WHERE seg_id IS NOT NULL) GROUP BY seg_id // 1000""",
     "cosine_edges": f"WITH {_UNIT}, {_EDGES} SELECT src, dst, round(weight, 5) AS weight FROM edges",
     "similarity_degrees": f"""WITH {_UNIT}, {_EDGES}, ends AS (SELECT src AS seg_id, weight FROM edges UNION ALL SELECT dst, weight FROM edges)
 SELECT seg_id, count(weight) AS degree, round(coalesce(sum(weight), 0.0::DOUBLE), 3) AS strength FROM unit LEFT JOIN ends USING (seg_id) GROUP BY seg_id""",
