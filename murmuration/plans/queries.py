@@ -28,10 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shown(x: str) -> list[Column]:
-    """A vector as its ends, its sum and its squared length, rounded."""
+    """A vector as its ends, its sum, a sum that depends on the order, and its squared length, rounded."""
     v = arrays.doubles(F.col(x))
     total = F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
-    parts = {"x_first": F.element_at(v, 1), "x_last": F.element_at(v, -1), "x_sum": total, "x_square": arrays.dot(v, v)}
+    ordered = F.aggregate(F.transform(v, lambda e, i: e * (i + 1) / 100), F.lit(0.0), lambda s, e: s + e)
+    parts = {"x_first": F.element_at(v, 1), "x_last": F.element_at(v, -1), "x_sum": total, "x_ordered": ordered, "x_square": arrays.dot(v, v)}
     return [(F.round(c, 4) + F.lit(0.0)).alias(name) for name, c in parts.items()]  # no negative zero
 
 

@@ -7,7 +7,7 @@ _STOP = "('', '<unk>', 'sp', 'sil', 'spn')"
 
 
 def _shown(x: str) -> str:
-    return f"round({x}[1], 4) + 0.0::DOUBLE AS x_first, round({x}[-1], 4) + 0.0::DOUBLE AS x_last, round(list_sum({x}), 4) + 0.0::DOUBLE AS x_sum, round(list_dot_product({x}, {x}), 4) AS x_square"
+    return f"round({x}[1], 4) + 0.0::DOUBLE AS x_first, round({x}[-1], 4) + 0.0::DOUBLE AS x_last, round(list_sum({x}), 4) + 0.0::DOUBLE AS x_sum, round(list_sum(list_transform({x}, lambda v, i: v * i / 100)), 4) + 0.0::DOUBLE AS x_ordered, round(list_dot_product({x}, {x}), 4) AS x_square"
 
 
 def _frame(sec: str) -> str:
