@@ -13,6 +13,7 @@ from ..operators import agglomerative, birch, community, gibbs, gmm, kmeans, mix
 from ..session import shared_dir, write_table
 from ..sources import files, segment_files
 from ..streaming import scaler
+from . import pipelines
 
 DIM, LABELLED_DIM = 96, 64
 QUERIES: dict[str, object] = {}
@@ -96,6 +97,21 @@ def mean_pool(spark: SparkSession, folder: str) -> DataFrame:
     return pooled.select("utt_id", "start_frame", "end_frame", *shown("x"))
 
 
+@query
+def pool_command(spark: SparkSession, folder: str) -> DataFrame:
+    """The pooling command from frames to numbered segments, with eight components: places, and whether each is whole."""
+    found = pipelines.pool(_frames(spark, folder), table(spark, folder, "boundaries"), 8)
+    return found.select("seg_id", "utt_id", "start_frame", "end_frame", (F.size("features") == 8).alias("whole"))
+
+
+@query
+def quantise_command(spark: SparkSession, folder: str) -> DataFrame:
+    """The quantising command with a codebook of five: numbered sequences, their lengths, and whether all units are known."""
+    frames = _frames(spark, folder)
+    found, _ = pipelines.quantise(frames, frames, table(spark, folder, "boundaries"), 5)
+    return found.select("seg_id", "utt_id", "start_frame", "end_frame", F.size("units").alias("n_units"), F.forall("units", lambda u: u.between(0, 4)).alias("known"))
+
+
 def _frame_units(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "unit_segments").where("utt_id is not null").select("utt_id", "start_frame", F.posexplode("quantised").alias("pos", "unit"))
     return rows.where("unit >= 0").groupBy("utt_id", (F.col("start_frame") + F.col("pos")).alias("frame")).agg(F.min("unit").alias("unit"))

@@ -133,6 +133,17 @@ utts AS (SELECT utt_id, max(frame) + 1 AS n_frames FROM frames GROUP BY utt_id),
 items AS (SELECT utt_id, start_frame, end_frame, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM intervals JOIN frames USING (utt_id) WHERE frame >= start_frame AND frame < end_frame),
 pooled AS (SELECT utt_id, start_frame, end_frame, list(m ORDER BY dim) AS x FROM (SELECT utt_id, start_frame, end_frame, dim, avg(v)::FLOAT::DOUBLE AS m FROM items GROUP BY ALL) GROUP BY ALL)
 SELECT utt_id, start_frame, end_frame, {_shown('x')} FROM pooled""",
+    "pool_command": f"""WITH {_VALID},
+frames AS (SELECT DISTINCT utt_id, start_frame AS frame FROM valid WHERE utt_id IS NOT NULL AND start_frame IS NOT NULL),
+utts AS (SELECT utt_id, max(frame) + 1 AS n_frames FROM frames GROUP BY utt_id), {_POOLED},
+pooled AS (SELECT DISTINCT utt_id, start_frame, end_frame FROM intervals JOIN frames USING (utt_id) WHERE frame >= start_frame AND frame < end_frame)
+SELECT row_number() OVER (ORDER BY utt_id, start_frame, end_frame) - 1 AS seg_id, utt_id, start_frame, end_frame, true AS whole FROM pooled""",
+    "quantise_command": f"""WITH {_VALID}, {_CUT},
+frames AS (SELECT DISTINCT utt_id, start_frame AS frame FROM valid WHERE utt_id IS NOT NULL AND start_frame IS NOT NULL),
+known AS (SELECT * FROM cut WHERE start_frame <> end_frame AND utt_id IN (SELECT utt_id FROM frames)),
+counted AS (SELECT c.utt_id, c.start_frame, c.end_frame, count(f.frame)::INT AS n_units FROM known c LEFT JOIN frames f
+  ON c.utt_id = f.utt_id AND f.frame >= greatest(c.start_frame, 0) AND f.frame < c.end_frame GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY utt_id, start_frame, end_frame) - 1 AS seg_id, utt_id, start_frame, end_frame, n_units, true AS known FROM counted""",
     "unit_sequences": f"""WITH {_CUT},
 units AS (SELECT utt_id, start_frame + pos AS frame, min(unit) AS unit FROM (SELECT utt_id, start_frame, unnest(quantised) AS unit, generate_subscripts(quantised, 1) - 1 AS pos FROM unit_segments WHERE utt_id IS NOT NULL) WHERE unit >= 0 GROUP BY ALL),
 known AS (SELECT * FROM cut WHERE start_frame <> end_frame AND utt_id IN (SELECT utt_id FROM units)),

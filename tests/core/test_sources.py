@@ -137,14 +137,14 @@ def test_scratch_tables_go_at_the_end(spark):
     assert not os.path.exists(table.path)
 
 
-def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
-    from murmuration import session
-
-    class Elsewhere:
-        conf = spark.conf
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn"])
+def test_a_cluster_without_a_shared_folder_is_an_error(master):
+    from types import SimpleNamespace
 
-        class sparkContext:
-            master, applicationId = "spark://host:7077", "app"
+    from murmuration import session
 
+    elsewhere = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, applicationId="app"))
     with pytest.raises(RuntimeError):
-        session.shared_dir(Elsewhere())
+        session.shared_dir(elsewhere)
+    elsewhere.conf["spark.checkpoint.dir"] = "/shared/"
+    assert session.shared_dir(elsewhere) == "/shared/murmuration/app"
