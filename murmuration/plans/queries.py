@@ -91,7 +91,7 @@ def quantising_intervals(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def mean_pool(spark: SparkSession, folder: str) -> DataFrame:
     """Mean of the vectors that begin within each boundary interval."""
-    frames = _frames(spark, folder)
+    frames = write_table(_frames(spark, folder), "frames").df  # read three times
     n = frames.groupBy("utt_id").agg((F.max("frame") + 1).alias("n_frames"))
     pooled = segments.mean_pool(frames, segments.pooling_intervals(table(spark, folder, "boundaries"), n), DIM)
     return pooled.select("utt_id", "start_frame", "end_frame", *shown("x"))
@@ -120,7 +120,7 @@ def _frame_units(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def unit_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """Unit sequences between boundaries, collapsed."""
-    found = segments.unit_sequences(_frame_units(spark, folder), segments.quantising_intervals(table(spark, folder, "boundaries")), True)
+    found = segments.unit_sequences(write_table(_frame_units(spark, folder), "frame-units").df, segments.quantising_intervals(table(spark, folder, "boundaries")), True)
     return found.select("utt_id", "start_frame", "end_frame", F.concat_ws(" ", F.transform("units", lambda u: u.cast("string"))).alias("units"))
 
 
