@@ -93,6 +93,7 @@ def changes(columns: list[pa.Array]) -> np.ndarray:
     return out
 
 
-def scan_tasks(rows: DataFrame, keys: list[str], then: list[str], f: Callable, schema: str) -> DataFrame:
-    """Rows of each key together, by one shuffle and a sort; ``f`` gets an iterator of Arrow batches."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *then).mapInArrow(f, schema)
+def scan_tasks(rows: DataFrame, keys: list[str], then: list[str], f: Callable, schema: str, parts: int | None = None) -> DataFrame:
+    """Rows of each key together, by one shuffle and a sort; ``f`` gets an iterator of Arrow batches. ``parts`` sets the
+    number of partitions, for few keys with much work each."""
+    return (rows.repartition(*keys) if parts is None else rows.repartition(parts, *keys)).sortWithinPartitions(*keys, *then).mapInArrow(f, schema)

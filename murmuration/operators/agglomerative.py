@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..arrowtools import by_key, joined, matrix, scan_tasks
 from ..functions import arrays
 from .community import components
-from .pairs import cosine_edges
+from .pairs import cosine_links
 
 #: Vectors of one task: their distances take 4 N**2 bytes.
 MAX_ROWS = 24_000
@@ -112,12 +112,12 @@ def _labelled(batch: pa.RecordBatch, id_at: int, linkage: str, metric: str, k: i
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(first[labels] if len(labels) else np.zeros(0, np.int64))], names=["id", "cluster"])
 
 
-def agglomerative(vectors: DataFrame, n_clusters: int | None = None, threshold: float | None = None, linkage: str = "average", metric: str = "euclidean", id_col: str = "seg_id") -> DataFrame:
+def agglomerative(vectors: DataFrame, n_clusters: int | None = None, threshold: float | None = None, linkage: str = "average", metric: str = "euclidean", id_col: str = "seg_id", parts: DataFrame | None = None) -> DataFrame:
     """``id_col, cluster``: the smallest id of its cluster, for each vector ``id_col, x``.
 
     Clusters are joined while their distance is less than ``threshold``, in which case ``n_clusters`` does not
     count, or until ``n_clusters`` are left. Ward needs the Euclidean metric. Vectors that are null or not finite
-    take no part.
+    take no part. ``parts`` passes the components ``seg_id, component`` of the pairs within the threshold, if they are known.
     """
     if linkage == "ward" and metric != "euclidean":
         raise ValueError("ward needs the euclidean metric")
@@ -134,8 +134,9 @@ def agglomerative(vectors: DataFrame, n_clusters: int | None = None, threshold:
                 yield _labelled(joined(parts), 0, linkage, metric, n_clusters, threshold)
 
         return rows.coalesce(1).mapInArrow(whole, "id bigint, cluster bigint").withColumnRenamed("id", id_col)
-    near = near_pairs(rows, threshold, metric)
-    groups = components(rows.select(F.col("id").alias("seg_id")), near).select(F.col("seg_id").alias("id"), "component")
+    if parts is None:
+        parts = components(rows.select(F.col("id").alias("seg_id")), near_links(rows, threshold, metric))
+    groups = parts.select(F.col("seg_id").alias("id"), "component")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches):
@@ -145,13 +146,13 @@ def agglomerative(vectors: DataFrame, n_clusters: int | None = None, threshold:
     return scan_tasks(tasks, ["component"], ["id"], part, "id bigint, cluster bigint").withColumnRenamed("id", id_col)
 
 
-def near_pairs(rows: DataFrame, threshold: float, metric: str) -> DataFrame:
-    """``src, dst`` of vectors nearer than the threshold. Euclidean distances become inner products of vectors with
+def near_links(rows: DataFrame, threshold: float, metric: str) -> DataFrame:
+    """``src, dst``: links with the components of the pairs of vectors nearer than the threshold. Euclidean distances become inner products of vectors with
     two more dimensions, so that the cosine join serves for both."""
     q = arrays.dot(F.col("x"), F.col("x"))
     if metric == "cosine":
         unit = rows.select(F.col("id").alias("seg_id"), arrays.l2_normalise(F.col("x")).alias("x"))
-        return cosine_edges(unit, 1.0 - threshold - 1e-9).select("src", "dst", "weight")
+        return cosine_links(unit, 1.0 - threshold - 1e-9)
     # -|x - y|^2 / 2 is the product of (x, -|x|^2 / 2, 1) with (y, 1, -|y|^2 / 2): the last two are swapped.
     both = rows.select(F.col("id").alias("seg_id"), F.concat("x", F.array(-q / 2, F.lit(1.0))).alias("x"))
-    return cosine_edges(both, -threshold * threshold / 2 - 1e-9, swap_last_two=True)
+    return cosine_links(both, -threshold * threshold / 2 - 1e-9, swap_last_two=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..arrowtools import by_key, scan_tasks
 from ..session import write_table
+from .pairs import FOREST_EDGES, spanning_forest
 
 QUALITIES = ("cpm", "modularity", "rb")
 #: Edges of a connected component that one task takes; a larger component is shrunk by moves in rounds first.
@@ -21,11 +22,27 @@ MOVE_ROUNDS = 12
 def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``seg_id, component`` (the smallest id) of every vertex; infrastructure for the operators here.
 
-    Labels go along edges, and from a label to its own label, which shortens the way to go by half each round.
+    Each task first keeps a spanning forest of its edges, and forests are joined while that makes them much smaller. Then
+    labels go along the links that are left, and from a label to its own label, which shortens the way to go by half each round.
     Every round is written to the shared folder.
     """
     own = vertices.select(F.col("seg_id").cast("bigint").alias("seg_id")).distinct()
-    both = write_table(edges.where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").cast("bigint").alias("a"), F.col("dst").cast("bigint").alias("b")), F.struct(F.col("dst").cast("bigint").alias("a"), F.col("src").cast("bigint").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
+    links = write_table(spanning_forest(edges), "forest")
+    if not links.df.select(F.explode(F.array("src", "dst")).alias("seg_id")).join(own, "seg_id", "left_anti").isEmpty():
+        # Nothing is connected by way of an end that is no vertex.
+        a, b = own.withColumnRenamed("seg_id", "src"), own.withColumnRenamed("seg_id", "dst")
+        links.drop()
+        links = write_table(spanning_forest(edges.join(a, "src", "left_semi").join(b, "dst", "left_semi")), "forest")
+    n = links.df.count()
+    while n > FOREST_EDGES // 4:
+        fewer = write_table(spanning_forest(links.df.coalesce(-(-n // FOREST_EDGES))), "forest")
+        before, n = n, fewer.df.count()
+        links.drop()
+        links = fewer
+        if n > before // 2:
+            break
+    both = write_table(links.df.select(F.explode(F.array(F.struct(F.col("src").cast("bigint").alias("a"), F.col("dst").cast("bigint").alias("b")), F.struct(F.col("dst").cast("bigint").alias("a"), F.col("src").cast("bigint").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
+    links.drop()
     labels = write_table(own.select("seg_id", F.col("seg_id").alias("component")), "labels")
     if both.df.isEmpty():
         return labels.df

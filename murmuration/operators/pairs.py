@@ -16,8 +16,16 @@ from pyspark.sql import functions as F
 from ..arrowtools import by_key, matrix, scan_tasks
 from ..functions import arrays
 
-#: Most vectors of a block: two of them are a task, at 96 dimensions 50 MB.
-BLOCK_ROWS = 32_768
+#: Most vectors of a block: two of them are a task, at 96 dimensions 100 MB. Each vector is copied once a block.
+BLOCK_ROWS = 65_536
+#: Rows and columns of one matrix product, whose result stays in a core's cache.
+TILE = (256, 512)
+#: Cost of a candidate pair that is looked at in double precision, in dimensions of the matrix product.
+PAIR_COST = 2000.0
+#: Edges of which a task keeps a spanning forest at once.
+FOREST_EDGES = 4_000_000
+#: Most partitions for the pairs of blocks.
+MAX_PARTS = 4096
 #: Most sequences of a block of the edit join, whose bags take 2 KB each.
 BLOCK_SEQUENCES = 16_384
 #: Features to which the units of a sequence are hashed, for a bound of what two sequences share.
@@ -38,10 +46,87 @@ def block_count(n: int, spark: SparkSession, block_rows: int) -> int:
     return max(1, -(-n // block_rows), min(busy, -(-n // 1024)))
 
 
-def _cosine_tasks(vectors: DataFrame, block_rows: int) -> DataFrame:
-    """``lo, hi, block, seg_id, x``: the vectors with packed doubles, each in the tasks in which it meets the others."""
+def _cosine_tasks(vectors: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """``lo, hi, block, seg_id, x``: the vectors with packed doubles, each in the tasks in which it meets the others; and the
+    number of partitions."""
     rows = vectors.where("seg_id is not null and x is not null").select(F.col("seg_id").cast("bigint").alias("seg_id"), F.col("x").cast("array<double>").alias("x"))
-    return block_pairs(rows, "seg_id", block_count(rows.count(), vectors.sparkSession, block_rows)).select("lo", "hi", "block", "seg_id", "x")
+    n_blocks = block_count(rows.count(), vectors.sparkSession, block_rows)
+    return block_pairs(rows, "seg_id", n_blocks).select("lo", "hi", "block", "seg_id", "x"), task_parts(n_blocks)
+
+
+def task_parts(n_blocks: int) -> int:
+    """Partitions for the pairs of blocks: twice as many, so that few get two of them."""
+    return min(n_blocks * (n_blocks + 1), MAX_PARTS)
+
+
+def leading_dims(x: np.ndarray, y: np.ndarray, min_similarity: float) -> int:
+    """How many leading dimensions decide most pairs at the least cost, by a sample of two sets of vectors."""
+    dim = x.shape[1]
+    a, b = (v[np.linspace(0, len(v) - 1, min(len(v), 256)).astype(np.int64)] for v in (x, y))
+    if dim < 16 or len(a) < 64 or len(b) < 64:
+        return dim
+    costs = {dim: dim + PAIR_COST * float((a @ b.T >= min_similarity).mean())}
+    for k in range(dim // 4, dim, max(1, dim // 12)):
+        rest = np.linalg.norm(a[:, k:], axis=1)[:, None] * np.linalg.norm(b[:, k:], axis=1)[None, :]
+        costs[k] = k + 1 + PAIR_COST * float((a[:, :k] @ b[:, :k].T + rest >= min_similarity).mean())
+    return min(costs, key=costs.get)
+
+
+def _single(x: np.ndarray, k: int) -> np.ndarray:
+    """The first ``k`` dimensions in single precision, and the length of the rest as one more."""
+    if k == x.shape[1]:
+        return x.astype(np.float32)
+    return np.concatenate([x[:, :k], np.linalg.norm(x[:, k:], axis=1, keepdims=True)], axis=1, dtype=np.float32, casting="same_kind")
+
+
+def _tiled(x: np.ndarray, left: np.ndarray, right: np.ndarray, min_similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``left`` and of ``right`` whose product is at least ``min_similarity``, and the products; of one block with
+    itself each pair once. Products in single precision, of the leading dimensions and the lengths of the rest, are upper
+    bounds but for their rounding; what they let pass is decided in double precision."""
+    same = left is right
+    dim = x.shape[1]
+    k = leading_dims(x[left], x[right], min_similarity)
+    a = _single(x[left], k)
+    b = a if same else _single(x[right], k)
+    longest = [float(np.sqrt(np.einsum("ij,ij->i", v, v).max(initial=0.0))) for v in (a, b)]
+    least = np.float32(min_similarity - (dim + 16) * 2.0**-23 * longest[0] * longest[1] - abs(min_similarity) * 2.0**-22)
+    high, wide = TILE
+    columns = [np.ascontiguousarray(b[at : at + wide].T) for at in range(0, len(b), wide)]
+    for begin in range(0, len(a), high):
+        rows = a[begin : begin + high]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, column in enumerate(columns):
+            at = n * wide
+            if same and at + column.shape[1] <= begin:
+                continue
+            hit = np.flatnonzero(rows @ column >= least)
+            if not len(hit):
+                continue
+            r, c = np.divmod(hit, column.shape[1])
+            i, j = left[begin + r], right[at + c]
+            if len(hit) > rows.shape[0] * column.shape[1] // 16:
+                s = (x[left[begin : begin + high]] @ x[right[at : at + wide]].T)[r, c]
+            else:
+                s = np.einsum("ij,ij->i", x[i], x[j])
+            keep = s >= min_similarity
+            if same:
+                keep &= begin + r < at + c
+            found.append((i[keep], j[keep], s[keep]))
+        if found:
+            yield tuple(np.concatenate(v) for v in zip(*found))
+
+
+def _products(x: np.ndarray, left: np.ndarray, right: np.ndarray, min_similarity: float, swap_last_two: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``_tiled`` for vectors of any length, all in double precision."""
+    other = np.concatenate([x[right, :-2], x[right, -1:], x[right, -2:-1]], axis=1) if swap_last_two else x[right]
+    rows = int(np.clip((1 << 22) // max(len(right), 1), 16, 1024))
+    for begin in range(0, len(left), rows):
+        s = x[left[begin : begin + rows]] @ other.T
+        keep = s >= min_similarity
+        if left is right:
+            keep &= np.arange(begin, begin + len(s))[:, None] < np.arange(len(right))[None, :]
+        r, c = np.nonzero(keep)
+        yield left[begin + r], right[c], s[r, c]
 
 
 def _similar(batches: Iterator[pa.RecordBatch], min_similarity: float, swap_last_two: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -51,17 +136,16 @@ def _similar(batches: Iterator[pa.RecordBatch], min_similarity: float, swap_last
         sizes = np.diff(batch.column(4).offsets.to_numpy())
         at, x = matrix(batch.column(4), int(sizes.max()))
         ids, block = batch.column(3).to_numpy()[at], batch.column(2).to_numpy()[at]
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        other = np.concatenate([x[right, :-2], x[right, -1:], x[right, -2:-1]], axis=1) if swap_last_two else x[right]
-        rows = int(np.clip((1 << 22) // max(len(right), 1), 16, 1024))
-        for begin in range(0, len(left), rows):
-            i = left[begin : begin + rows]
-            s = x[i] @ other.T
-            keep = s >= min_similarity
+        left = np.flatnonzero(block == lo)
+        right = left if lo == hi else np.flatnonzero(block == hi)
+        if not len(left) or not len(right):
+            continue
+        plain = not swap_last_two and float(np.abs(x).max()) < 2
+        for i, j, s in _tiled(x, left, right, min_similarity) if plain else _products(x, left, right, min_similarity, swap_last_two):
             if lo == hi:
-                keep &= ids[i][:, None] < ids[right][None, :]
-            r, c = np.nonzero(keep)
-            yield ids, i[r], right[c], s[r, c]
+                keep = ids[i] != ids[j]
+                i, j, s = i[keep], j[keep], s[keep]
+            yield ids, i, j, s
 
 
 def cosine_edges(vectors: DataFrame, min_similarity: float = 0.5, block_rows: int = BLOCK_ROWS, swap_last_two: bool = False) -> DataFrame:
@@ -78,7 +162,74 @@ def cosine_edges(vectors: DataFrame, min_similarity: float = 0.5, block_rows: in
         for ids, i, j, s in _similar(batches, min_similarity, swap_last_two):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(s)], schema=schema)
 
-    return scan_tasks(_cosine_tasks(vectors, block_rows), ["lo", "hi"], ["seg_id"], edges, "src bigint, dst bigint, weight double")
+    tasks, parts = _cosine_tasks(vectors, block_rows)
+    return scan_tasks(tasks, ["lo", "hi"], ["seg_id"], edges, "src bigint, dst bigint, weight double", parts)
+
+
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the smallest place of each tree) after the links ``a, b`` between places."""
+    while len(a):
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _links(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    tree = np.flatnonzero(label != np.arange(len(ids)))
+    a, b = ids[tree], ids[label[tree]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["src", "dst"])
+
+
+def cosine_links(vectors: DataFrame, min_similarity: float = 0.5, block_rows: int = BLOCK_ROWS, swap_last_two: bool = False) -> DataFrame:
+    """``src, dst`` with ``src < dst``: links with the connected components of ``cosine_edges``, without its edges. All pairs
+    are compared, and each task keeps a spanning forest of those that pass, at most a link a row."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, np.ndarray] | None = None
+        for ids, i, j, _ in _similar(batches, min_similarity, swap_last_two):
+            if held is None or held[0] is not ids:
+                if held is not None:
+                    yield _links(*held)
+                held = (ids, np.arange(len(ids)))
+            held = (ids, join_labels(held[1], i, j))
+        if held is not None:
+            yield _links(*held)
+
+    tasks, parts = _cosine_tasks(vectors, block_rows)
+    return scan_tasks(tasks, ["lo", "hi"], ["seg_id"], link, "src bigint, dst bigint", parts)
+
+
+def spanning_forest(edges: DataFrame, most: int = FOREST_EDGES) -> DataFrame:
+    """``src, dst``: links with the same ends and connected components as the edges. A task holds at most some ``most`` edges
+    and keeps a forest of them whenever it has so many. Ends that are null, and edges from a vertex to itself, do not count."""
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def kept() -> pa.RecordBatch:
+            a, b = (np.concatenate([h.column(n).to_numpy() for h in held]) for n in (0, 1))
+            ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            return _links(ids, join_labels(np.arange(len(ids)), at[: len(a)], at[len(a) :]))
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                held = [kept()]
+                rows = held[0].num_rows
+                if rows > most // 2:  # as many links as edges: they go on, and the next pass is left to the rounds
+                    yield held[0]
+                    held, rows = [], 0
+        if rows:
+            yield kept()
+
+    return edges.where("src <> dst").select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).mapInArrow(forest, "src bigint, dst bigint")
 
 
 def cosine_degrees(vectors: DataFrame, min_similarity: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -99,8 +250,9 @@ def cosine_degrees(vectors: DataFrame, min_similarity: float = 0.5, block_rows:
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in held], schema=schema)
 
-    parts = scan_tasks(_cosine_tasks(vectors, block_rows), ["lo", "hi"], ["seg_id"], count, "seg_id bigint, degree bigint, strength double")
-    return parts.groupBy("seg_id").agg(F.sum("degree").alias("degree"), F.sum("strength").alias("strength"))
+    tasks, parts = _cosine_tasks(vectors, block_rows)
+    counted = scan_tasks(tasks, ["lo", "hi"], ["seg_id"], count, "seg_id bigint, degree bigint, strength double", parts)
+    return counted.groupBy("seg_id").agg(F.sum("degree").alias("degree"), F.sum("strength").alias("strength"))
 
 
 def bags(texts: list[str], dims: int = BAG_DIMS) -> tuple[np.ndarray, np.ndarray]:

@@ -666,8 +666,8 @@ def agglomerative_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Average linkage of normalised segments up to a cosine distance of 0.26: vectors, clusters that span components of
     the similarity graph, and pairs of clusters of a component that could still be joined."""
     vectors = write_table(_vectors(spark, folder), "vectors").df
-    found = write_table(agglomerative.agglomerative(vectors, threshold=0.26, metric="cosine"), "clusters").df
-    within = community.components(pairs.graph_vertices(vectors), pairs.cosine_edges(vectors, 0.74 - 1e-9))
+    within = community.components(pairs.graph_vertices(vectors), pairs.cosine_links(vectors, 0.74 - 1e-9))
+    found = write_table(agglomerative.agglomerative(vectors, threshold=0.26, metric="cosine", parts=within), "clusters").df
     placed = found.join(within, "seg_id")
     spanning = placed.groupBy("cluster").agg(F.countDistinct("component").alias("n")).where("n > 1").agg(F.count("*").alias("n_spanning"))
     sums = segments.mean_vector(placed.join(vectors, "seg_id"), ["component", "cluster"], "x", "m")

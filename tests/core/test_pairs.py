@@ -120,3 +120,51 @@ def test_edit_queries_keep_units_apart(spark, tmp_path, how, most):
                 if abs(len(a) - len(b)) / n <= most and 1 - distance(a, b) / n >= 0.4:
                     want.add((i, j, round(1 - distance(a, b) / n, 5)))
     assert {tuple(r) for r in queries.QUERIES[how](spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("t", [-0.2, 0.3, 0.5, 0.74])
+def test_tiles_find_what_all_products_find(t, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + 0.05 * rng.normal(size=(40, 48)) for c in rng.normal(size=(12, 48)) / 7])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] = x[3]  # a product that is exactly the threshold counts
+    monkeypatch.setattr(pairs, "TILE", (64, 96))
+    for left, right in ((np.arange(480), None), (np.arange(0, 200), np.arange(200, 480))):
+        right = left if right is None else right
+        found = list(pairs._tiled(x, left, right, t))
+        got = {(min(a, b), max(a, b)) for i, j, _ in found for a, b in zip(i.tolist(), j.tolist())}
+        s = x[left] @ x[right].T
+        want = {(a, b) for a, b in zip(left[np.nonzero(s >= t)[0]].tolist(), right[np.nonzero(s >= t)[1]].tolist()) if a < b}
+        assert got == want and sum(len(i) for i, _, _ in found) == len(want)
+
+
+def test_leading_dimensions_are_used_where_they_decide():
+    x = np.random.default_rng(1).normal(size=(400, 96))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert pairs.leading_dims(x, x, 0.74) < 70 and pairs.leading_dims(x, x, 0.1) == 96
+
+
+def test_links_have_the_components_of_the_edges(spark):
+    from murmuration.operators import community
+
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(30, 16)), 5, axis=0) + 0.1 * rng.normal(size=(150, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "seg_id bigint, x array<double>")
+    edges, links = pairs.cosine_edges(df, 0.8).collect(), pairs.cosine_links(df, 0.8, block_rows=64)
+    parts = lambda e: sorted(map(tuple, community.components(df.select("seg_id"), e).collect()))
+    assert parts(links) == parts(spark.createDataFrame(edges)) and links.count() < len(edges)
+
+
+def test_forest_of_many_edges_in_pieces(spark):
+    from murmuration.operators import community
+
+    rng = np.random.default_rng(3)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 60, size=(3000, 2)) * 2 + rng.integers(0, 2, size=(3000, 1))] + [(5, 5), (None, 3)]
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint")
+    few = pairs.spanning_forest(edges.coalesce(1), 500)
+    assert 118 <= few.count() < 600
+    vertices = spark.range(121).withColumnRenamed("id", "seg_id")
+    assert {tuple(r) for r in community.components(vertices, edges).collect()} == {(i, i % 2) for i in range(120)} | {(120, 120)}
+    # An end that is no vertex connects nothing.
+    assert {tuple(r) for r in community.components(vertices.where("seg_id <> 1"), spark.createDataFrame([(0, 1), (1, 2)], "src bigint, dst bigint")).where("seg_id < 3").collect()} == {(0, 0), (2, 2)}
