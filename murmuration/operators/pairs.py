@@ -6,6 +6,7 @@ size: cosines of two blocks are one matrix product, and what leaves a task are t
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..arrowtools import by_key, matrix, scan_tasks
 from ..functions import arrays
+from ..session import write_table
 
 #: Most vectors of a block: two of them are a task, at 96 dimensions 100 MB. Each vector is copied once a block.
 BLOCK_ROWS = 65_536
@@ -26,10 +28,11 @@ PAIR_COST = 2000.0
 FOREST_EDGES = 4_000_000
 #: Most partitions for the pairs of blocks.
 MAX_PARTS = 4096
-#: Most sequences of a block of the edit join, whose bags take 2 KB each.
+#: Most sequences of a block of the edit join, whose bags take 1 KB each.
 BLOCK_SEQUENCES = 16_384
-#: Features to which the units of a sequence are hashed, for a bound of what two sequences share.
-BAG_DIMS = 512
+#: Buckets for the units of a sequence, for a bound of what two sequences share; sequences after which they are filled, and
+#: most features (a unit and the number of its occurrence) that get a bucket by that.
+BAG_DIMS, SAMPLED_TEXTS, MAX_FEATURES = 128, 20_000, 65_536
 
 
 def block_pairs(rows: DataFrame, id_col: str, n_blocks: int) -> DataFrame:
@@ -255,21 +258,112 @@ def cosine_degrees(vectors: DataFrame, min_similarity: float = 0.5, block_rows:
     return counted.groupBy("seg_id").agg(F.sum("degree").alias("degree"), F.sum("strength").alias("strength"))
 
 
-def bags(texts: list[str], dims: int = BAG_DIMS) -> tuple[np.ndarray, np.ndarray]:
-    """Bags of characters as vectors, and lengths. The n-th occurrence of a character is a feature of its own, hashed
-    to one of ``dims``; so the inner product of two bags is at least the number of characters they share."""
+def feature_buckets(texts: list[str], dims: int = BAG_DIMS) -> dict[int, int]:
+    """A bucket for each frequent feature (character and number of its occurrence, as one number) of the texts, so that all
+    buckets are about as full: frequent features share theirs with rare ones at most."""
+    _, key = _features(texts)
+    names, counts = np.unique(key, return_counts=True)
+    order = np.argsort(-counts, kind="stable")[:MAX_FEATURES]
+    load = [(0, b) for b in range(dims)]
+    out: dict[int, int] = {}
+    for f, n in zip(names[order].tolist(), counts[order].tolist()):
+        full, b = heapq.heappop(load)
+        out[f] = b
+        heapq.heappush(load, (full + n, b))
+    return out
+
+
+def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each character of the texts its text, and the character and how often it came before in it, as one number."""
     length = np.fromiter(map(len, texts), np.int64, len(texts))
     owner = np.repeat(np.arange(len(texts)), length)
-    char = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    char = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) if len(owner) else owner
     order = np.lexsort((char, owner))
     owner, char = owner[order], char[order]
     new = np.append(True, (owner[1:] != owner[:-1]) | (char[1:] != char[:-1]))[: len(char)]
     at = np.arange(len(char))
-    occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
-    feature = ((char * 2654435761 + occurrence * 40503 + (occurrence * char) % 8191) >> 4) % dims
-    out = np.zeros((len(texts), dims), np.float32)
-    np.add.at(out, (owner, feature), 1)
-    return out, length
+    return owner, char << 32 | (at - np.maximum.accumulate(np.where(new, at, 0)))
+
+
+def bags(texts: list[str], buckets: tuple[np.ndarray, np.ndarray], dims: int = BAG_DIMS) -> np.ndarray:
+    """How many features of each text are in each bucket; ``buckets`` are the known features, sorted, and theirs, others are
+    hashed. What two texts share is at most the sum of the lesser number of each bucket."""
+    owner, key = _features(texts)
+    bucket = (key * 2654435761 + (key >> 32) * 40503 >> 7) % dims
+    known, to = buckets
+    if len(known):
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        bucket = np.where(known[at] == key, to[at], bucket)
+    return np.bincount(owner * dims + bucket, minlength=len(texts) * dims).reshape(len(texts), dims)
+
+
+def _length_tasks(texts: DataFrame, block_rows: int, min_ratio: float) -> tuple[DataFrame, int]:
+    """``task, block, id, t``: texts in blocks of similar lengths, each in the tasks in which it meets the others of lengths
+    that may be a pair's (``min_ratio`` of the longer one at least); and the number of tasks. ``block`` is 0 for the block
+    of the shorter ones."""
+    by_length = {r["n"]: r["rows"] for r in texts.groupBy(F.length("t").alias("n")).agg(F.count("*").alias("rows")).collect()}
+    total = sum(by_length.values())
+    size = -(-max(total, 1) // block_count(total, texts.sparkSession, block_rows))
+    # A block has whole lengths, or a length is cut into several blocks by a hash of the id.
+    blocks: list[tuple[int, int]] = []
+    placed: dict[int, tuple[int, int]] = {}  # length: its first block and how many it has
+    filled = 0
+    for n in sorted(by_length):
+        rows = by_length[n]
+        if blocks and filled + rows <= size:
+            blocks[-1] = (blocks[-1][0], n)
+            placed[n] = (len(blocks) - 1, 1)
+            filled += rows
+            continue
+        parts = -(-rows // size)
+        placed[n] = (len(blocks), parts)
+        blocks += [(n, n)] * parts
+        filled = rows if parts == 1 else size
+    meet: list[list[tuple[int, int]]] = [[] for _ in blocks]
+    n_tasks = 0
+    for lo in range(len(blocks)):
+        for hi in range(lo, len(blocks)):
+            if blocks[lo][1] >= min_ratio * blocks[hi][0] - 1e-9:
+                meet[lo].append((n_tasks, 0))
+                if lo != hi:
+                    meet[hi].append((n_tasks, 1))
+                n_tasks += 1
+    spark = texts.sparkSession
+    lengths = spark.createDataFrame([(n, *p) for n, p in placed.items()], "n int, first int, parts int")
+    tasks = spark.createDataFrame([(b, t, side) for b, m in enumerate(meet) for t, side in m], "own int, task int, block int")
+    at = texts.withColumn("n", F.length("t")).join(F.broadcast(lengths), "n").withColumn("own", F.col("first") + F.pmod(F.xxhash64(F.lit(17), "id"), F.col("parts")).cast("int"))
+    return at.join(F.broadcast(tasks), "own").select("task", "block", "id", "t"), n_tasks
+
+
+def _sharing(short: list[np.ndarray], long: list[np.ndarray], length: np.ndarray, same: bool, min_similarity: float, min_ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of a shorter (or as long) and a longer text that may share ``min_similarity`` of the longer one's characters.
+    ``short`` and ``long``: numbers of features in each bucket and lengths. The product of the roots of two numbers is at least
+    the lesser, so a matrix product bounds what is shared; what it lets pass is looked at bucket by bucket."""
+    root = [np.sqrt(b[0], dtype=np.float32) for b in (short, long)]
+    need = (min_similarity * long[1] - 1e-3).astype(np.float32)
+    least = np.float32(0.9999 if min_similarity > 0.01 else -1)  # where nothing need be shared, all pairs pass
+    scaled = root[1] / np.maximum(need, np.float32(1e-3))[:, None]
+    high, wide = TILE
+    columns = [np.ascontiguousarray(scaled[at : at + wide].T) for at in range(0, len(scaled), wide)]
+    for begin in range(0, len(root[0]), high):
+        rows = root[0][begin : begin + high]
+        for n, column in enumerate(columns):
+            at = n * wide
+            if same and at + column.shape[1] <= begin:
+                continue
+            hit = np.flatnonzero(rows @ column >= least)
+            if not len(hit):
+                continue
+            i, j = np.divmod(hit, column.shape[1])
+            i, j = i + begin, j + at
+            keep = short[1][i] >= min_ratio * long[1][j] - 1e-9
+            if same:
+                keep &= i < j
+            i, j = i[keep], j[keep]
+            shared = np.minimum(short[0][i], long[0][j]).sum(1, dtype=np.int32)
+            keep = shared >= need[j]
+            if keep.any():
+                yield i[keep], j[keep]
 
 
 def edit_edges(sequences: DataFrame, min_similarity: float = 0.5, length_filter: str = "reference", block_rows: int = BLOCK_SEQUENCES) -> DataFrame:
@@ -281,38 +375,45 @@ def edit_edges(sequences: DataFrame, min_similarity: float = 0.5, length_filter:
     The two agree at 0.5. Equal sequences are compared once and expanded at the end.
 
     A distance is at least the longer length less the number of units that both share. That number has an upper
-    bound by a matrix product of bags of units, taken for two blocks of sequences at a time; only pairs that it
-    lets pass get their distance, which is computed in the JVM. No pair is lost.
+    bound by a matrix product of bags of units, taken for two blocks of sequences at a time, of lengths that may be a
+    pair's; only pairs that it lets pass get their distance, which is computed in the JVM. No pair is lost.
     """
     if length_filter not in ("reference", "lossless"):
         raise ValueError("length_filter is 'reference' or 'lossless'")
     rows = sequences.where("seg_id is not null and units is not null").select(F.col("seg_id").cast("bigint").alias("seg_id"), arrays.as_text(F.col("units")).alias("t")).where("t <> ''")
-    texts = rows.groupBy("t").agg(F.min("seg_id").alias("id"))
-    tasks = block_pairs(texts, "id", block_count(texts.count(), sequences.sparkSession, block_rows)).select("lo", "hi", "block", "id", "t")
+    rows = write_table(rows, "texts").df
+    texts = write_table(rows.groupBy("t").agg(F.min("seg_id").alias("id")), "texts").df
+    most = min_similarity if length_filter == "reference" else 1.0 - min_similarity
+    min_ratio = max(1.0 - most, min(min_similarity, 1.0), 0.0) - 1e-9
+    some = [r["t"] for r in texts.orderBy(F.xxhash64(F.lit(3), "id")).limit(SAMPLED_TEXTS).select("t").collect()]
+    known = feature_buckets(some)
+    names = np.array(sorted(known), np.int64)
+    shared = sequences.sparkSession.sparkContext.broadcast((names, np.array([known[f] for f in names.tolist()], np.int64)))
+    tasks, n_tasks = _length_tasks(texts, block_rows, min_ratio)
     schema = pa.schema([("ia", pa.int64()), ("ib", pa.int64()), ("ta", pa.string()), ("tb", pa.string())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_key(batches, 2):
-            lo, hi = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
-            block, ids, t = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4)
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            bag, length = bags(t.to_pylist())
-            rows = int(np.clip((1 << 22) // max(len(right), 1), 16, 512))
-            for begin in range(0, len(left), rows):
-                i = left[begin : begin + rows]
-                longest = np.maximum(length[i][:, None], length[right][None, :])
-                keep = bag[i] @ bag[right].T >= min_similarity * longest - 1e-3
-                if lo == hi:
-                    keep &= ids[i][:, None] < ids[right][None, :]
-                r, c = np.nonzero(keep)
-                for part in range(0, len(r), 65536):
-                    a, b = pa.array(i[r[part : part + 65536]]), pa.array(right[c[part : part + 65536]])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids).take(a), pa.array(ids).take(b), t.take(a), t.take(b)], schema=schema)
-
-    near = scan_tasks(tasks, ["lo", "hi"], ["id"], candidates, "ia bigint, ib bigint, ta string, tb string")
+        for batch in by_key(batches):
+            words = batch.column(3).to_pylist()
+            length = np.fromiter(map(len, words), np.int64, len(words))
+            order = np.lexsort((length, batch.column(1).to_numpy()))  # the shorter block first, by length
+            length, t = length[order], batch.column(3).take(pa.array(order))
+            ids, block = batch.column(2).take(pa.array(order)), batch.column(1).to_numpy()[order]
+            count = bags(t.to_pylist(), shared.value)
+            count = count.astype(np.uint16 if count.max() < 65536 else np.int32)
+            cut = int((block == 0).sum())
+            same = cut == len(block)
+            short = [count, length] if same else [count[:cut], length[:cut]]
+            long = short if same else [count[cut:], length[cut:]]
+            for i, j in _sharing(short, long, length, same, min_similarity, min_ratio):
+                j = j if same else j + cut
+                for part in range(0, len(i), 65536):
+                    a, b = pa.array(i[part : part + 65536]), pa.array(j[part : part + 65536])
+                    yield pa.RecordBatch.from_arrays([ids.take(a), ids.take(b), t.take(a), t.take(b)], schema=schema)
+
+    near = scan_tasks(tasks, ["task"], ["id"], candidates, "ia bigint, ib bigint, ta string, tb string", min(2 * max(n_tasks, 1), MAX_PARTS))
     na, nb = F.length("ta"), F.length("tb")
     longest = F.greatest(na, nb).cast("double")
-    most = min_similarity if length_filter == "reference" else 1.0 - min_similarity
     weight = F.lit(1.0) - F.levenshtein("ta", "tb") / longest
     between = near.where(F.abs(na - nb) / longest <= F.lit(most)).select("ia", "ib", weight.alias("weight")).where(F.col("weight") >= min_similarity)
     copies = rows.join(texts, "t").select("id", "seg_id")

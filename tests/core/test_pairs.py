@@ -168,3 +168,39 @@ def test_forest_of_many_edges_in_pieces(spark):
     assert {tuple(r) for r in community.components(vertices, edges).collect()} == {(i, i % 2) for i in range(120)} | {(120, 120)}
     # An end that is no vertex connects nothing.
     assert {tuple(r) for r in community.components(vertices.where("seg_id <> 1"), spark.createDataFrame([(0, 1), (1, 2)], "src bigint, dst bigint")).where("seg_id < 3").collect()} == {(0, 0), (2, 2)}
+
+
+@pytest.mark.parametrize("how, t", [("reference", 0.4), ("lossless", 0.4), ("lossless", 0.7), ("lossless", 0.0)])
+def test_edit_blocks_of_lengths_lose_no_pair(spark, how, t):
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 12, size=n).tolist() for n in rng.integers(1, 30, size=25)]
+    rows = [(i, [u if rng.random() > 0.3 else int(rng.integers(0, 150)) for u in base[i % 25]][: int(rng.integers(1, 40))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "seg_id bigint, units array<int>")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want, most = set(), t if how == "reference" else 1 - t
+    for i, a in rows:
+        for j, b in rows[i + 1 :]:
+            n = max(len(a), len(b))
+            if abs(len(a) - len(b)) / n <= most and 1 - distance(a, b) / n >= t:
+                want.add((i, j))
+    assert {(r["src"], r["dst"]) for r in pairs.edit_edges(df, t, how, block_rows=16).collect()} == want
+
+
+def test_buckets_are_even_and_bound_what_texts_share():
+    rng = np.random.default_rng(4)
+    texts = ["".join(chr(33 + int(u)) for u in rng.zipf(1.6, size=20) % 90) for _ in range(300)]
+    known = pairs.feature_buckets(texts[:200], 32)
+    names = np.array(sorted(known))
+    bag = pairs.bags(texts, (names, np.array([known[f] for f in names])), 32)
+    assert (bag.sum(1) == 20).all() and bag[:200].sum(0).max() < 2 * bag[:200].sum(0).mean() + 200
+    for i, j in rng.integers(0, 300, size=(200, 2)):
+        share = sum(min(texts[i].count(c), texts[j].count(c)) for c in set(texts[i]))
+        assert np.minimum(bag[i], bag[j]).sum() >= share
