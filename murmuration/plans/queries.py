@@ -676,14 +676,14 @@ def agglomerative_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return found.agg(F.count("*").alias("n")).crossJoin(spanning).crossJoin(near.agg(F.count("*").alias("n_joinable")))
 
 
-def _checked_communities(vertices: DataFrame, edges: DataFrame, found: DataFrame, resolution: float) -> DataFrame:
+def _checked_communities(vertices: DataFrame, edges: DataFrame, found: DataFrame, within: DataFrame, resolution: float) -> DataFrame:
     """Vertices, vertices in none or several communities, communities that are not connected, and whether CPM prefers
     them to the components and to single vertices."""
     a, b = found.select(F.col("seg_id").alias("src"), F.col("cluster").alias("ca")), found.select(F.col("seg_id").alias("dst"), F.col("cluster").alias("cb"))
-    inner = edges.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "weight")
+    inner = write_table(edges.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "weight"), "inner").df  # all that CPM counts
     pieces = community.components(vertices, inner).select("component").distinct().count() - found.select("cluster").distinct().count()
-    parts = community.components(vertices, edges).select("seg_id", F.col("component").alias("cluster"))
-    quality = [community.partition_quality(p, edges, "cpm", resolution).first()["quality"] for p in (found, parts)]
+    parts = within.select("seg_id", F.col("component").alias("cluster"))
+    quality = [community.partition_quality(p, e, "cpm", resolution).first()["quality"] for p, e in ((found, inner), (parts, edges))]
     counts = found.agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("seg_id")).alias("n_repeated"))
     return counts.select("n", "n_repeated", F.lit(pieces).cast("bigint").alias("n_in_pieces"), F.lit(quality[0] >= max(quality[1], 0.0) - 1e-9).alias("preferred"))
 
@@ -693,8 +693,9 @@ def leiden_communities(spark: SparkSession, folder: str) -> DataFrame:
     """Communities of the similarity graph at 0.5, and what must hold of them."""
     vectors = write_table(_vectors(spark, folder), "vectors").df
     vertices, edges = pairs.graph_vertices(vectors), write_table(pairs.cosine_edges(vectors, 0.5), "edges").df
-    found = write_table(community.leiden_partition(vertices, edges, "cpm", 0.5), "communities").df
-    return _checked_communities(vertices, edges, found, 0.5)
+    within = community.components(vertices, edges)
+    found = write_table(community.leiden_partition(vertices, edges, "cpm", 0.5, parts=within), "communities").df
+    return _checked_communities(vertices, edges, found, within, 0.5)
 
 
 @query

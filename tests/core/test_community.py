@@ -207,3 +207,13 @@ def test_tokens(spark):
     assert [(r["token_id"], r["token"]) for r in zipf.clean_tokens(df).collect()] == [(1, "cat"), (3, "")]
     assert [r["token"] for r in zipf.clean_tokens(df, "phones").collect()] == ["ah"]
     assert zipf.clean_tokens(df, drop_blank=True).count() == 1
+
+
+def test_leiden_query_searches_the_components_of_the_graph_once(spark, monkeypatch):
+    from murmuration.plans import queries
+
+    calls, search = [], community.components
+    monkeypatch.setattr(community, "components", lambda v, e, *a: calls.append(e) or search(v, e, *a))
+    row = queries.leiden_communities(spark, "/root/testdata/sf0.001").first()
+    assert row["n_repeated"] == row["n_in_pieces"] == 0 and row["preferred"]
+    assert len(calls) == 2  # the graph, and what is within communities
