@@ -6,13 +6,14 @@
   its set a pair shares, so ``set_size`` and ``bands`` are found for the anchors at hand: the least with which
   pairs at just the threshold, made up from the anchors, meet in a bucket with the ``recall`` that is asked for.
 * **Banding.** Each of ``bands`` hash functions picks one anchor of the set: the vector's bucket. All bands share
-  one space of buckets, so two picks that agree need not be of the same band. A bucket with many rows is cut into
-  blocks, each pair of which is a task.
+  one space of buckets, so two picks that agree need not be of the same band. Near anchors form groups; a vector is
+  sent once to each group in which it has buckets, with a mark for each of them, and a group is a task. A group with
+  many rows is cut into blocks, each pair of which is a task. So many groups are sent at once, in rounds, that
+  their rows take no more disk than the vectors.
 * **Verification.** What is asked for is the cosine, so it is verified in place of the Jaccard similarity: within
   a bucket, all pairs by matrix products over 6-bit codes. The error of a code is known, so a pair is decided by
   its codes unless it is nearer to the threshold than both errors; such pairs, if the decided ones do not connect
-  them already, are decided on the full vectors. Of a bucket's links only a spanning forest leaves the task, never
-  all pairs.
+  them already, are decided on the full vectors. Of a task's links only a spanning forest leaves it, never all pairs.
 * **Components** of the links form the groups, by hash-to-min.
 * **Splitting.** Links within a component are counted, by matrix products over 8-bit codes and, near the threshold, on
   the full vectors. Where not all members are alike, the member with the most links takes these as its group, then
@@ -27,6 +28,7 @@ before its shuffle, and come back at the end.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..arrowtools import by_key, packed, scan_tasks, unpacked
-from ..session import write_table
+from ..session import freed_shuffles, write_table
 from .components import connected_components
 from .vectors import BLOCK_ROWS, centre, from_fixed_point, hashed, in_blocks, is_usable, unit, unit_vectors, usable, vector_rows
 
@@ -52,6 +54,13 @@ ROWS_PER_ANCHOR = 100
 SET_SIZE, BANDS = 8, 16
 #: Share of the pairs at just the threshold that are to meet in a bucket, where no anchor is of their group.
 RECALL = 0.95
+#: Most anchors of a group, which are marks of 64 bits; least groups, if there are as many anchors; and rows that a
+#: group has on average, at most. A group with more than twice as many is cut.
+MARKS, LEAST_GROUPS, GROUP_ROWS = 64, 16, 131_072
+#: Bytes of disk that the rows of a round may take, even if the vectors take less.
+ROUND_BYTES = 64 << 20
+#: Undecided pairs that a task holds before it hands them on.
+MOST_UNSURE = 1 << 21
 _EDGES = "a bigint, b bigint, sure boolean"
 
 
@@ -178,17 +187,56 @@ def fitted_sets(anchors: np.ndarray, threshold: float, recall: float = RECALL, p
     return m, BANDS
 
 
-def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, bands: int, set_size: int) -> DataFrame:
-    """``vhash, id, code, scale, err, small, keys`` of each row with a usable vector; ``vhash`` is the same for equal ones."""
+def anchor_groups(anchors: np.ndarray, width: int, steps: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each anchor, and its place in it: groups of at most ``width`` near anchors and of about the same size.
+    All anchors are halved by two means, then each half, and so on."""
+    group, place = np.zeros(len(anchors), np.int32), np.zeros(len(anchors), np.int32)
+    parts, n_groups = [(np.arange(len(anchors)), -(-len(anchors) // width))], 0
+    while parts:
+        own, n = parts.pop()
+        if n <= 1:
+            group[own], place[own], n_groups = n_groups, np.arange(len(own)), n_groups + 1
+            continue
+        x, cut = anchors[own], len(own) * (n // 2) // n
+        away = x[(x @ x[0]).argmin()] - x[0]
+        for _ in range(steps):
+            order = np.argsort(x @ away, kind="stable")
+            away = x[order[cut:]].mean(0) - x[order[:cut]].mean(0)
+        parts += [(own[order[:cut]], n // 2), (own[order[cut:]], n - n // 2)]
+    return group, place
+
+
+def group_width(n: int, n_anchors: int, keys: int) -> int:
+    """Anchors of a group, where ``n`` vectors have at most so many ``keys``."""
+    return int(np.clip(min(n_anchors // LEAST_GROUPS, GROUP_ROWS * n_anchors // max(n * keys, 1)), 1, MARKS))
+
+
+def marked(keys: list[np.ndarray], group: np.ndarray, place: np.ndarray) -> pa.Array:
+    """The buckets of each vector as its groups, each with the bits of the places of its anchors."""
+    flat = np.concatenate([*keys, np.zeros(0, np.int32)]).astype(np.int64)
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    order = np.lexsort((group[flat], row))
+    row, g, bit = row[order], group[flat][order], np.uint64(1) << place[flat][order].astype(np.uint64)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (g[1:] != g[:-1])
+    marks = np.bitwise_or.reduceat(bit, np.flatnonzero(new)) if len(bit) else bit
+    offsets = np.searchsorted(row[new], np.arange(len(keys) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(g[new], pa.int32()), pa.array(marks.view(np.int64))], ["key", "marks"]))
+
+
+def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, bands: int, set_size: int, width: int = MARKS) -> DataFrame:
+    """``vhash, id, code, scale, err, small, keys`` of each row with a usable vector; ``vhash`` is the same for equal ones.
+    ``keys`` has the groups of anchors in which the vector has buckets, and the marks of these."""
     permutations = hash_orders(len(anchors), bands)
     at_once = EXACT_ANCHORS
-    shared = rows.sparkSession.sparkContext.broadcast((mean, anchors, permutations))
-    schema = pa.schema([("vhash", pa.binary()), ("id", pa.int64()), ("code", pa.binary()), ("scale", pa.float32()), ("err", pa.float32()), ("small", pa.binary()), ("keys", pa.list_(pa.int32()))])
+    shared = rows.sparkSession.sparkContext.broadcast((mean, anchors, permutations, *anchor_groups(anchors, width)))
+    buckets_type = pa.list_(pa.struct([("key", pa.int32()), ("marks", pa.int64())]))
+    schema = pa.schema([("vhash", pa.binary()), ("id", pa.int64()), ("code", pa.binary()), ("scale", pa.float32()), ("err", pa.float32()), ("small", pa.binary()), ("keys", buckets_type)])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        mean, anchors, permutations = shared.value
+        mean, anchors, permutations, group, place = shared.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 4096):
                 part = batch.slice(begin, 4096)
@@ -199,16 +247,16 @@ def coded(rows: DataFrame, mean: np.ndarray, anchors: np.ndarray, dim: int, band
                 x = unit(raw, mean)
                 codes, scale, err = code(x)
                 buckets = minhash_keys(nearest_anchors(x.astype(np.float32), anchors, set_size, at_once), permutations)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), part.column(0).take(pa.array(at)), packed(codes), pa.array(scale.astype(np.float32)), pa.array(err.astype(np.float32)), packed(small_codes(x)), pa.array(buckets, pa.list_(pa.int32()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), part.column(0).take(pa.array(at)), packed(codes), pa.array(scale.astype(np.float32)), pa.array(err.astype(np.float32)), packed(small_codes(x)), marked(buckets, group, place)], schema=schema)
 
-    return rows.mapInArrow(encode, "vhash binary, id bigint, code binary, scale float, err float, small binary, keys array<int>")
+    return rows.mapInArrow(encode, "vhash binary, id bigint, code binary, scale float, err float, small binary, keys array<struct<key: int, marks: bigint>>")
 
 
 def similarities(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, sure) for the pairs of two sets of coded vectors that are or may be alike. The whole
     matrix is only compared with one number; what depends on a pair's own errors is done for those that pass."""
     s = a[0] @ b[0].T
-    r, c = np.nonzero(s > np.float32(threshold) - a[1].max() - b[1].max())
+    r, c = np.nonzero(s > np.float32(threshold) - a[1].max(initial=0) - b[1].max(initial=0))
     margin, over = a[1][r] + b[1][c], s[r, c] - np.float32(threshold)
     keep = over > -margin
     return r[keep], c[keep], (over >= margin)[keep]
@@ -226,34 +274,51 @@ def floats(batch: pa.RecordBatch, code_at: int, dim: int) -> tuple[np.ndarray, n
     return codes * batch.column(code_at + 1).to_numpy()[:, None], (1.01 * batch.column(code_at + 2).to_numpy() + 1e-6).astype(np.float32)
 
 
-def spanning_links(ids: np.ndarray, blocks: list[np.ndarray], x: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of the sure links among ``ids`` (between the blocks if there are two), as links to the
-    smallest id; and the unsure pairs that it does not connect. All pairs are compared, a strip at a time."""
+def spanning_links(ids: np.ndarray, buckets: Iterator[list[np.ndarray]], x: tuple, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """``(a, b, sure)``: a spanning forest of the sure links among ``ids`` within the buckets (between the blocks of a
+    bucket if there are two), as links to the smallest id; and the unsure pairs that it does not connect, which are
+    handed on before its end if they are many. All pairs are compared, a strip at a time."""
     label = np.arange(len(ids))
-    unsure: list[np.ndarray] = []
-    left, right = blocks
-    rows = strip_rows(len(right))
-    for begin in range(0, len(left), rows):
-        i = left[begin : begin + rows]
-        j = right if left is not right else right[begin:]
-        if not len(j):
-            continue
-        r, c, sure = similarities((x[0][i], x[1][i]), (x[0][j], x[1][j]), threshold)
-        a, b = i[r], j[c]
-        open_ = ~sure & (a < b if left is right else a != b) & (label[a] != label[b])
-        unsure.append(np.stack([a[open_], b[open_]], 1))
-        a, b = a[sure], b[sure]
-        while len(a):  # links that join different trees, until there are none
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
-            low = np.minimum(label[a], label[b])
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            while (label[label] != label).any():
-                label = label[label]
+    unsure, held = [np.zeros((0, 2), np.int64)], 0
+    for left, right in buckets:
+        rows = strip_rows(len(right))
+        for begin in range(0, len(left), rows):
+            i = left[begin : begin + rows]
+            j = right if left is not right else right[begin:]
+            if not len(j):
+                continue
+            r, c, sure = similarities((x[0][i], x[1][i]), (x[0][j], x[1][j]), threshold)
+            a, b = i[r], j[c]
+            open_ = ~sure & (a < b if left is right else a != b) & (label[a] != label[b])
+            unsure.append(np.stack([np.minimum(a[open_], b[open_]), np.maximum(a[open_], b[open_])], 1))
+            held += len(unsure[-1])
+            a, b = a[sure], b[sure]
+            while len(a):  # links that join different trees, until there are none
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                low = np.minimum(label[a], label[b])
+                np.minimum.at(label, label[a], low)
+                np.minimum.at(label, label[b], low)
+                while (label[label] != label).any():
+                    label = label[label]
+            if held > MOST_UNSURE:
+                unsure = [_open_pairs(unsure, label)]
+                held = len(unsure[0])
+                if held > MOST_UNSURE // 2:
+                    yield ids[unsure[0][:, 1]], ids[unsure[0][:, 0]], False
+                    unsure, held = [np.zeros((0, 2), np.int64)], 0
     tree = np.flatnonzero(label != np.arange(len(ids)))
-    pairs = np.concatenate(unsure) if unsure else np.zeros((0, 2), np.int64)
-    return ids[tree], ids[label[tree]], ids[pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]]
+    pairs = _open_pairs(unsure, label)
+    yield ids[tree], ids[label[tree]], True
+    yield ids[pairs[:, 1]], ids[pairs[:, 0]], False
+
+
+def _open_pairs(unsure: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """The different pairs that are not in one tree."""
+    pairs = np.concatenate(unsure)
+    pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+    one = np.unique(pairs[:, 0] * len(label) + pairs[:, 1])
+    return np.stack([one // max(len(label), 1), one % max(len(label), 1)], 1)
 
 
 def _task_blocks(batch: pa.RecordBatch, lo_at: int) -> list[np.ndarray]:
@@ -265,25 +330,45 @@ def _task_blocks(batch: pa.RecordBatch, lo_at: int) -> list[np.ndarray]:
     return [every[block == lo], every[block == hi]]
 
 
-def bucket_links(codes: DataFrame, dim: int, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``a, b, sure``: links of a spanning forest of each bucket, and the pairs left to the full vectors."""
-    rows = codes.select(F.explode("keys").alias("key"), "id", "small")
-    tasks = in_blocks(rows, "key", "id", codes.select(F.explode("keys").alias("key")), block_rows).select("key", "lo", "hi", "block", "id", "small")
+def bucket_links(codes: DataFrame, dim: int, threshold: float, block_rows: int = 2 * GROUP_ROWS, rounds: int = 1, turn: int = 0) -> DataFrame:
+    """``a, b, sure``: links of a spanning forest of each group of buckets, and the pairs left to the full vectors. Of
+    so many ``rounds``, it is about the groups whose ``turn`` it is."""
+    keys = codes.select(F.explode("keys").alias("k"), "id", "small").select("k.key", "k.marks", "id", "small")
+    rows, counted = (df.where(F.pmod("key", F.lit(rounds)) == turn) for df in (keys, keys.select("key")))
+    tasks = in_blocks(rows, "key", "id", counted, block_rows).select("key", "lo", "hi", "block", "id", "small", "marks")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
 
+    def buckets(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        left, right = _task_blocks(batch, 1)
+        marks = batch.column(6).to_numpy().view(np.uint64)
+        for place in range(MARKS):
+            own = (marks >> np.uint64(place) & np.uint64(1)).astype(bool)
+            if own.any():
+                first = left[own[left]]
+                yield [first, first if left is right else right[own[right]]]
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches, 3):
             if batch.num_rows < 2:
                 continue
-            ids = batch.column(4).to_numpy()
-            a, b, unsure = spanning_links(ids, _task_blocks(batch, 1), small_floats(batch.column(5), dim), threshold)
-            if len(a) + len(unsure):
-                low, high = unsure.min(1, initial=np.iinfo(np.int64).max), unsure.max(1, initial=np.iinfo(np.int64).min)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(a, high)), pa.array(np.append(b, low)), pa.array(np.arange(len(a) + len(unsure)) < len(a))], schema=schema)
+            for a, b, sure in spanning_links(batch.column(4).to_numpy(), buckets(batch), small_floats(batch.column(5), dim), threshold):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.full(len(a), sure))], schema=schema)
 
     return scan_tasks(tasks, ["key", "lo", "hi"], ["id"], link, _EDGES)
 
 
+def distinct_links(links: DataFrame) -> DataFrame:
+    """Each ``a, b`` once, ``sure`` if it is so anywhere: the ends of a sure link are of one component, alike or not."""
+    return links.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def rounds_of(codes: DataFrame, n: int, dim: int) -> int:
+    """In how many rounds the rows of ``bucket_links`` take no more bytes than ``n`` vectors, or ``ROUND_BYTES``."""
+    sent = codes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    return max(1, -(-sent * (-(-dim // 4) * 3 + 24) // max(ROUND_BYTES, 4 * n * dim)))
+
+
 def alike_pairs(pairs: DataFrame, rows: DataFrame, mean: np.ndarray, dim: int, threshold: float) -> DataFrame:
     """Those of the pairs ``a, b`` whose full vectors have at least the similarity ``threshold``."""
     vectors = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
@@ -408,14 +493,20 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     Links are found by banding; a link that is found is exact. ``bands`` and ``set_size`` are fitted to the anchors,
     whatever their number, so that pairs at just the threshold are found with about ``recall`` and others with more.
     ``centred`` passes the mean and number of the vectors, as ``vectors.centre`` gives them, if they are known.
+    What each step has shuffled is deleted at its end.
     """
-    rows = vector_rows(segments, id_col, vector_col)
+    with freed_shuffles(segments.sparkSession):
+        return _similarity_groups(vector_rows(segments, id_col, vector_col), threshold, dim, bands, set_size, block_rows, recall, centred)
+
+
+def _similarity_groups(rows: DataFrame, threshold: float, dim: int, bands: int | None, set_size: int | None, block_rows: int, recall: float, centred: tuple[np.ndarray, int] | None) -> DataFrame:
     mean, n = centred or centre(rows, dim)
     anchors = anchor_vectors(rows, mean, n, dim)
     if bands is None or set_size is None:
         fitted = fitted_sets(anchors, threshold, recall)
         set_size, bands = set_size or fitted[0], bands or fitted[1]
-    every = write_table(coded(rows, mean, anchors, dim, bands, set_size).withColumn("row", F.monotonically_increasing_id()), "codes")
+    width = group_width(n, len(anchors), min(bands, set_size))
+    every = write_table(coded(rows, mean, anchors, dim, bands, set_size, width).withColumn("row", F.monotonically_increasing_id()), "codes")
     # Equal vectors are found by their hashes alone, so that the codes are not shuffled for it.
     hashes = every.df.select("vhash", "id", "row")
     several = hashes.groupBy("vhash").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("vhash", F.col("first.id").alias("rep"), F.col("first.row").alias("kept"))
@@ -423,13 +514,17 @@ def similarity_groups(segments: DataFrame, threshold: float = 0.74, dim: int = 9
     copies = surplus.df.where("id <> rep").select("id", "rep").distinct()
     vectors = every.df.join(surplus.df.select("row"), "row", "left_anti")
 
-    found = write_table(bucket_links(vectors, dim, threshold, block_rows).dropDuplicates(["a", "b"]), "bucket-links")
-    unsure = found.df.where("not sure").select("a", "b")
-    links = found.df.where("sure").select("a", "b")
+    rounds = rounds_of(every.df, n, dim)
+    most = 2 * GROUP_ROWS // BLOCK_ROWS * block_rows
+    found = [write_table(distinct_links(bucket_links(vectors, dim, threshold, most, rounds, turn)), "bucket-links") for turn in range(rounds)]
+    every_link = reduce(DataFrame.union, [t.df for t in found])
+    unsure = every_link.where("not sure").select("a", "b")
+    links = every_link.where("sure").select("a", "b")
     if not unsure.isEmpty():
         links = links.union(alike_pairs(unsure, rows, mean, dim, threshold))
     linked = write_table(connected_components(links, "a", "b", "id", "grp"), "groups")
-    found.drop()
+    for table in found:
+        table.drop()
 
     members = vectors.select("id", "code", "scale", "err").join(linked.df, "id")
     counted = write_table(member_degrees(members, linked.df, dim, threshold, block_rows), "degrees")

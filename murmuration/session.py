@@ -73,6 +73,24 @@ def scratch() -> Iterator[None]:
             table.drop()
 
 
+#: Spark's setting to delete what a query has shuffled as soon as it ends, not when the driver next collects garbage.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go when the table that they were for is written. The setting is then as it was."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREED)
+        else:
+            spark.conf.set(_FREED, before)
+
+
 class Table:
     """A DataFrame written to the shared folder. ``df`` reads it; ``drop`` deletes its files."""
 

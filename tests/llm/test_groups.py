@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +114,77 @@ def test_anchors_through_the_graph(spark, monkeypatch):
     assert {r["component"] for r in got.values() if r["tight"]} == tight
 
 
+def test_near_anchors_are_groups_and_a_vector_goes_to_each_once():
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(20, 64))
+    anchors = np.repeat(centres, 25, 0) + 0.5 * rng.normal(size=(500, 64))
+    anchors = (anchors / np.linalg.norm(anchors, axis=1, keepdims=True)).astype(np.float32)
+    for width in (1, 7, 64):
+        group, place = groups.anchor_groups(anchors, width)
+        assert place.max() < width and len(set(zip(group, place))) == 500 and group.max() == -(-500 // width) - 1
+    x = (anchors[::2] + 0.05 * rng.normal(size=(250, 64))).astype(np.float32)
+    keys = [*groups.minhash_keys(groups.nearest_anchors(x, anchors, 12), groups.hash_orders(500, 24)), np.zeros(0, np.int32)]
+    sent = groups.marked(keys, group, place)
+    assert len(sent) == len(keys) and len(sent.values) < 0.5 * sum(len(k) for k in keys)
+    for k, row in zip(keys, sent.to_pylist()):
+        at = {r["key"]: np.uint64(r["marks"] % (1 << 64)) for r in row}
+        assert len(at) == len(row)
+        assert sorted(a for a in range(500) if group[a] in at and at[group[a]] >> np.uint64(place[a]) & np.uint64(1)) == k.tolist()
+
+
+@pytest.mark.parametrize("block", [8192, 1])
+def test_groups_found_in_rounds(spark, monkeypatch, block):
+    monkeypatch.setattr(groups, "ROUND_BYTES", 1)
+    seen, rounds_of = [], groups.rounds_of
+    monkeypatch.setattr(groups, "rounds_of", lambda *a: seen.append(rounds_of(*a)) or seen[-1])
+    rng = np.random.default_rng(15)
+    rows = clustered(rng, [1] * 30 + [5] * 6 + [40])
+    label, tight, _, _ = brute(rows, 0.7)
+    got = run(spark, rows, block_rows=block)
+    assert seen[0] > 1
+    assert {i: r["component"] for i, r in got.items()} == label
+    assert {r["component"] for r in got.values() if r["tight"]} == tight
+
+
+def test_what_was_shuffled_is_deleted(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df = spark.createDataFrame(clustered(np.random.default_rng(16), [1] * 20 + [4] * 10), ROWS)
+    before, setting = disk.getAllFiles().size(), spark.conf.get(name, None)
+    groups.similarity_groups(df, 0.7, DIM, bands=16, set_size=14)
+    for _ in range(50):  # files are deleted in the background
+        if disk.getAllFiles().size() <= before:
+            break
+        time.sleep(0.1)
+    assert disk.getAllFiles().size() <= before
+    assert spark.conf.get(name, None) == setting
+
+
+def test_a_link_that_is_sure_in_one_task_is_sure(spark):
+    rows = [(i, 0, (i + j) % 2 == 0) for j in range(2) for i in range(1, 40)] + [(50, 1, False), (50, 1, False)]
+    got = {(r["a"], r["b"]): r["sure"] for r in groups.distinct_links(spark.createDataFrame(rows, "a bigint, b bigint, sure boolean")).collect()}
+    assert got == {(i, 0): True for i in range(1, 40)} | {(50, 1): False}
+
+
+def test_many_undecided_pairs_are_handed_on(monkeypatch):
+    monkeypatch.setattr(groups, "MOST_UNSURE", 10)
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(60, DIM)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    err, ids = np.full(60, 0.1, np.float32), np.arange(100, 160)
+    own = [np.arange(0, 40), np.arange(20, 60)]
+    got = list(groups.spanning_links(ids, ([o, o] for o in own), (x, err), 0.3))
+    s = x @ x.T
+    met = {(i, j) for o in own for i in o for j in o if i < j}
+    edges = {(b - 100, a - 100) for m, n, sure in got for a, b in zip(m.tolist(), n.tolist()) if sure}
+    unsure = {(b - 100, a - 100) for m, n, sure in got for a, b in zip(m.tolist(), n.tolist()) if not sure}
+    tree = {b: a for a, b in edges}
+    root = [tree.get(i, i) for i in range(60)]
+    assert len(got) > 2 and unsure <= met and all(abs(s[p] - 0.3) <= 0.2 + 1e-5 for p in unsure)
+    assert all(root[i] == root[j] for i, j in met if s[i, j] >= 0.5 + 1e-5)
+    assert all((i, j) in unsure or root[i] == root[j] for i, j in met if abs(s[i, j] - 0.3) < 0.2 - 1e-5)
+
+
 @pytest.mark.parametrize("n", [500, 4000, 30000])
 def test_pairs_at_the_threshold_meet_however_many_anchors(n):
     rng = np.random.default_rng(8)
