@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from ..arrowtools import by_key, packed, scan_tasks, unpacked
 from ..session import freed_shuffles, write_table
 from .components import connected_components
-from .vectors import BLOCK_ROWS, centre, from_fixed_point, hashed, in_blocks, is_usable, unit, unit_vectors, usable, vector_rows
+from .vectors import BLOCK_ROWS, MOST_SENT, centre, from_fixed_point, hashed, in_blocks, is_usable, unit, unit_vectors, usable, vector_rows
 
 MIN_ANCHORS, MAX_ANCHORS = 64, 131_072
 #: Anchors of one matrix product. A vector is always compared with all anchors, so many at a time.
@@ -371,7 +371,9 @@ def rounds_of(codes: DataFrame, n: int, dim: int) -> int:
 
 def alike_pairs(pairs: DataFrame, rows: DataFrame, mean: np.ndarray, dim: int, threshold: float) -> DataFrame:
     """Those of the pairs ``a, b`` whose full vectors have at least the similarity ``threshold``."""
-    vectors = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    ids = write_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "undecided").df
+    # Where they are few they are sent, so that not all vectors are shuffled for them.
+    vectors = rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "id", "left_semi").dropDuplicates(["id"])
     both = pairs.distinct().join(vectors.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(vectors.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

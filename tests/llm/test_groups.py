@@ -224,6 +224,21 @@ def test_borderline_pairs_are_decided_on_full_vectors(spark):
         assert {r["component"] for r in got.values() if r["tight"]} == tight
 
 
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_few_undecided_pairs_do_not_shuffle_all_vectors(spark, monkeypatch, most):
+    monkeypatch.setattr(groups, "MOST_SENT", most)
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(10)] + [(3, [1.0, 3.0])], "id bigint, x array<float>")
+    pairs = spark.createDataFrame([(2, 1), (3, 2), (9, 0), (3, 2), (50, 1)], "a bigint, b bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = groups.alike_pairs(pairs, rows, np.zeros(2), 2, 0.9)
+        semi = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "LeftSemi" in line]
+        assert semi and all(("BroadcastHashJoin" in line) == (most > 1) for line in semi)
+        assert sorted(map(tuple, out.collect())) == [(2, 1), (3, 2)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_codes_keep_their_bounds():
     rng = np.random.default_rng(4)
     for dim in (96, 50, 3):
