@@ -146,18 +146,30 @@ def test_groups_found_in_rounds(spark, monkeypatch, block):
     assert {r["component"] for r in got.values() if r["tight"]} == tight
 
 
-def test_what_was_shuffled_is_deleted(spark):
-    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    df = spark.createDataFrame(clustered(np.random.default_rng(16), [1] * 20 + [4] * 10), ROWS)
-    before, setting = disk.getAllFiles().size(), spark.conf.get(name, None)
+def test_what_was_shuffled_is_deleted(spark, monkeypatch):
+    name, seen, write = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], groups.write_table
+    monkeypatch.setattr(groups, "write_table", lambda df, label: seen.append(spark.conf.get(name, None)) or write(df, label))
+    setting, df = spark.conf.get(name, None), spark.createDataFrame(clustered(np.random.default_rng(16), [1] * 20 + [4] * 10), ROWS)
     groups.similarity_groups(df, 0.7, DIM, bands=16, set_size=14)
-    for _ in range(50):  # files are deleted in the background
-        if disk.getAllFiles().size() <= before:
-            break
-        time.sleep(0.1)
-    assert disk.getAllFiles().size() <= before
-    assert spark.conf.get(name, None) == setting
+    assert len(seen) > 5 and set(seen) == {"true"} and spark.conf.get(name, None) == setting
+
+    def shuffled(query):
+        """Files that are left of the shuffles from here on."""
+        first = spark._jsc.sc().newShuffleId()
+        query()
+        for _ in range(50):  # they are deleted in the background
+            files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+            names = [files.apply(i).getName().split("_") for i in range(files.size())]
+            left = [n for n in names if n[0] == "shuffle" and int(n[1]) > first]
+            if not left:
+                break
+            time.sleep(0.1)
+        return left
+
+    rows = spark.range(1000).repartition(3, "id")
+    assert shuffled(lambda: write(rows, "test"))
+    with groups.freed_shuffles(spark):
+        assert not shuffled(lambda: write(rows, "test"))
 
 
 def test_a_link_that_is_sure_in_one_task_is_sure(spark):
